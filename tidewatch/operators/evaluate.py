@@ -10,10 +10,9 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from . import models
 from .balance import exact_downsample, smote
-from .metrics import confusion, evaluate, run_summary, with_measures
-from .models import build, family_of, reconstruct, with_class_weights, with_scores
+from .metrics import confusion, run_summary, with_measures
+from .models import family_of, fit, reconstruct, with_class_weights, with_scores
 from .ranktest import signed_rank_test
 from .splits import random_baseline, stratified_folds, stratified_holdout
 from .thresholds import pick_classifier_threshold, pick_error_threshold
@@ -46,7 +45,7 @@ def cross_validate(df: DataFrame, model: str, features: list[str], label: str, i
     runs = []
     for fold in range(k):
         train, test = folded.where(F.col("fold") != fold), folded.where(F.col("fold") == fold)
-        scored = with_scores(build(model, features, label, **settings).fit(train), test)
+        scored = with_scores(fit(model, train, features, label, **settings), test)
         runs.append(_run(scored, label, F.col("prediction"), id_col, train, fold + 1, seed, "folds"))
     return _union(runs)
 
@@ -59,7 +58,7 @@ def repeated_holdout(df: DataFrame, model: str, features: list[str], label: str,
         split = stratified_holdout(df, label, id_col, seed)
         train, validation, test = (split.where(F.col("split") == s) for s in ("train", "validation", "test"))
         fit_on, extra = (with_class_weights(train, label), {"weight": "class_weight"}) if weighted else (train, {})
-        fitted = build(model, features, label, **extra, **settings).fit(fit_on)
+        fitted = fit(model, fit_on, features, label, **extra, **settings)
         tuned = pick_classifier_threshold(with_scores(fitted, validation), "score", label).first()
         scored = with_scores(fitted, test)
         rated = _run(scored, label, (F.col("score") >= tuned["threshold"]).cast("double"), id_col, train, i, seed,
@@ -72,7 +71,7 @@ def repeated_holdout(df: DataFrame, model: str, features: list[str], label: str,
 def fixed_split(train: DataFrame, test: DataFrame, model: str, features: list[str], label: str, id_col: str,
                 seed: int = 42, **settings) -> DataFrame:
     """Fit on one table, measure on another."""
-    scored = with_scores(build(model, features, label, **settings).fit(train), test)
+    scored = with_scores(fit(model, train, features, label, **settings), test)
     return _run(scored, label, F.col("prediction"), id_col, train, 1, seed, "holdout")
 
 
@@ -174,7 +173,3 @@ def batch_score(model, sources: list[DataFrame]) -> DataFrame:
     whole = reduce(lambda x, y: x.unionByName(y.select(*x.columns)), sources)
     return with_scores(model, whole)
 
-
-__all__ = ["models", "evaluate", "cross_validate", "repeated_holdout", "fixed_split", "generalize",
-           "pooled_holdout", "reconstruction_holdout", "balanced_network", "search_candidates", "summarize",
-           "suite", "batch_score", "oversampled"]

@@ -11,7 +11,7 @@ from pyspark.ml.classification import (
     NaiveBayes,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import PCA, MinMaxScaler, StandardScaler, VectorAssembler
+from pyspark.ml.feature import PCA, SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -52,16 +52,21 @@ def array_vector(name: str) -> Column:
 
 
 def build(model: str, features: list[str], label: str, weight: str | None = None, scale: bool | None = None,
-          **settings) -> Pipeline:
-    """Pipeline for a named model. The scaler is part of it, so it is fit on training rows only."""
+          minima: dict[str, float] | None = None, **settings) -> Pipeline:
+    """Pipeline for a named model. The scaler is part of it, so it is fit on training rows only.
+
+    ``minima`` shifts each feature by the given training minimum first, for
+    the multinomial model, which takes no negative readings.
+    """
     cls, defaults, _ = SETTINGS[model]
     params = {**defaults, **settings}
-    stages = [VectorAssembler(inputCols=features, outputCol="raw_features", handleInvalid="error")]
-    source = "raw_features"
-    if model == "naive_bayes":
-        stages.append(MinMaxShift(source).stage("features"))
-        source = "features"
-    elif scale if scale is not None else model not in UNSCALED:
+    stages, inputs, source = [], features, "raw_features"
+    if minima:
+        inputs = [f"_shifted_{f}" for f in features]
+        shifted = ", ".join(f"CAST(`{f}` AS DOUBLE) - ({minima[f]!r}D) AS `{i}`" for f, i in zip(features, inputs))
+        stages.append(SQLTransformer(statement=f"SELECT *, {shifted} FROM __THIS__"))
+    stages.append(VectorAssembler(inputCols=inputs, outputCol=source, handleInvalid="error"))
+    if not minima and (scale if scale is not None else model not in UNSCALED):
         stages.append(StandardScaler(inputCol=source, outputCol="features", withMean=True, withStd=True))
         source = "features"
     if model == "neural_network":
@@ -72,14 +77,12 @@ def build(model: str, features: list[str], label: str, weight: str | None = None
     return Pipeline(stages=stages)
 
 
-class MinMaxShift:
-    """Multinomial models need readings that are never negative; the training range maps to [0, 1]."""
-
-    def __init__(self, source: str):
-        self.source = source
-
-    def stage(self, target: str) -> MinMaxScaler:
-        return MinMaxScaler(inputCol=self.source, outputCol=target, min=0.0, max=1.0)
+def fit(model: str, train: DataFrame, features: list[str], label: str, **settings) -> PipelineModel:
+    """Fit a named model on training rows."""
+    if model == "naive_bayes":
+        low = train.agg(*[F.min(F.col(f).cast("double")).alias(f) for f in features]).first()
+        settings["minima"] = {f: low[f] for f in features}
+    return build(model, features, label, **settings).fit(train)
 
 
 def score_column(scored: DataFrame) -> Column:

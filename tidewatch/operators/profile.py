@@ -197,8 +197,8 @@ def process_indicators(df: DataFrame, order: str, ts: str, label: str, power: Co
 
 def relative_change(before: DataFrame, after: DataFrame, columns: list[str]) -> DataFrame:
     """Indicator, value in each of two one-row tables, and change relative to the first."""
-    b = before.select(F.struct(*[F.col(c).cast("double") for c in columns]).alias("s")).scalar()
-    a = after.select(F.struct(*[F.col(c).cast("double") for c in columns]).alias("s")).scalar()
+    b = before.select(F.struct(*[F.col(c).cast("double").alias(c) for c in columns]).alias("s")).scalar()
+    a = after.select(F.struct(*[F.col(c).cast("double").alias(c) for c in columns]).alias("s")).scalar()
     both = before.sparkSession.range(1).select(b.alias("b"), a.alias("a"))
     rows = F.array(*[F.struct(F.lit(c).alias("indicator"), F.col("b")[c].alias("before"), F.col("a")[c].alias("after"))
                      for c in columns])

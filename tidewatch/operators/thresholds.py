@@ -36,15 +36,14 @@ def threshold_measures(df: DataFrame, score: str, label: str, thresholds: list[f
     s = F.col(score).cast("double")
     cells = (df.where(s.isNotNull()).withColumn("_cell", grid_cell(s, ordered)).groupBy(*by, "_cell")
              .agg(F.count_if(F.col(label) == 1).alias("_pos"), F.count_if(F.col(label) == 0).alias("_neg")))
-    rows = []
-    for step, t in enumerate(thresholds):
-        up = F.col("_cell") > ordered.index(t)
-        pick = lambda cond, c: F.coalesce(F.sum(F.when(cond, F.col(c))), F.lit(0))
-        rows.append(F.struct(F.lit(step).alias("step"), F.lit(t).alias("threshold"), pick(up, "_pos").alias("tp"),
-                             pick(~up, "_neg").alias("tn"), pick(up, "_neg").alias("fp"),
-                             pick(~up, "_pos").alias("fn")))
-    per_group = cells.groupBy(*by).agg(F.array(*rows).alias("rows"))
-    return with_measures(per_group.select(*by, F.inline("rows")))
+    listed = F.array(*[F.struct(F.lit(i).alias("step"), F.lit(t).alias("threshold"), F.lit(ordered.index(t)).alias("_t"))
+                       for i, t in enumerate(thresholds)])
+    up = F.col("_cell") > F.col("_t")
+    count = lambda cond, c: F.coalesce(F.sum(F.when(cond, F.col(c))), F.lit(0))
+    per_step = cells.select("*", F.inline(listed)).groupBy(*by, "step", "threshold").agg(
+        count(up, "_pos").alias("tp"), count(~up, "_neg").alias("tn"),
+        count(up, "_neg").alias("fp"), count(~up, "_pos").alias("fn"))
+    return with_measures(per_step)
 
 
 def best_threshold(measured: DataFrame, by: list[str] = ()) -> DataFrame:

@@ -55,9 +55,9 @@ def read_json_lines(spark: SparkSession, path: str, schema: T.StructType | str)
 
 
 def read_reports(spark: SparkSession, root: str, schema: T.StructType | str,
-                 skip_file: str | None = None) -> DataFrame:
+                 skip_file: str | None = None, multi_line: bool = True) -> DataFrame:
     """All JSON reports under a folder tree that name both a dataset and a model."""
-    found = (spark.read.schema(schema).option("recursiveFileLookup", True).option("multiLine", True)
+    found = (spark.read.schema(schema).option("recursiveFileLookup", True).option("multiLine", multi_line)
              .option("pathGlobFilter", "*.json").json(root)
              .withColumn("source_file", F.col("_metadata.file_name")))
     if skip_file:
