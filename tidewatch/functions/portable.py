@@ -48,11 +48,13 @@ def epoch_micros(ts: str) -> Column:
 
 
 def seconds_to_timestamp(seconds) -> Column:
-    return F.timestamp_seconds(_n(seconds))
+    """Zone-free timestamp of a number of seconds since 1970."""
+    return F.timestamp_add("MICROSECOND", F.round(_n(seconds) * 1000000).cast("bigint"), F.expr(_EPOCH))
 
 
 def millis_to_timestamp(millis) -> Column:
-    return F.timestamp_millis(_c(millis).cast("bigint"))
+    """Zone-free timestamp of a number of milliseconds since 1970."""
+    return F.timestamp_add("MILLISECOND", _c(millis).cast("bigint"), F.expr(_EPOCH))
 
 
 def _c(value) -> Column:

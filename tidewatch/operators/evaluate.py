@@ -10,6 +10,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..shared import written
 from .balance import exact_downsample, smote
 from .metrics import confusion, run_summary, with_measures
 from .models import family_of, fit, reconstruct, with_class_weights, with_scores
@@ -41,7 +42,7 @@ def _run(scored: DataFrame, label: str, prediction, id_col: str, train: DataFram
 def cross_validate(df: DataFrame, model: str, features: list[str], label: str, id_col: str, k: int = 5,
                    seed: int = 42, **settings) -> DataFrame:
     """Stratified k-fold runs with a baseline per fold; scalers are fit on the training folds only."""
-    folded = stratified_folds(df, label, id_col, k, seed)
+    folded = written(stratified_folds(df, label, id_col, k, seed), "folds")
     runs = []
     for fold in range(k):
         train, test = folded.where(F.col("fold") != fold), folded.where(F.col("fold") == fold)
@@ -55,7 +56,7 @@ def repeated_holdout(df: DataFrame, model: str, features: list[str], label: str,
     """Train, tune the threshold on validation rows, test; once per seed."""
     runs = []
     for i, seed in enumerate(seeds, 1):
-        split = stratified_holdout(df, label, id_col, seed)
+        split = written(stratified_holdout(df, label, id_col, seed), "holdout")
         train, validation, test = (split.where(F.col("split") == s) for s in ("train", "validation", "test"))
         fit_on, extra = (with_class_weights(train, label), {"weight": "class_weight"}) if weighted else (train, {})
         fitted = fit(model, fit_on, features, label, **extra, **settings)
@@ -79,7 +80,8 @@ def oversampled(train: DataFrame, features: list[str], label: str, id_col: str,
     """SMOTE on plain feature columns."""
     packed = train.select(id_col, label, F.array(*[F.col(f).cast("double") for f in features]).alias("_v"))
     grown = smote(packed, label, id_col, "_v", seed=seed, **search)
-    return grown.select(id_col, label, *[F.col("_v")[i].alias(f) for i, f in enumerate(features)])
+    flat = grown.select(id_col, label, *[F.col("_v")[i].alias(f) for i, f in enumerate(features)])
+    return written(flat, "oversampled")
 
 
 def generalize(a: DataFrame, b: DataFrame, model: str, features: list[str], label: str, id_col: str,
@@ -102,7 +104,7 @@ def pooled_holdout(a: DataFrame, b: DataFrame, model: str, features: list[str],
                    seed: int = 42, test: float = 0.3, **settings) -> DataFrame:
     """One split of both regimes together, with and without a column that names the source."""
     pooled = a.withColumn("source_indicator", F.lit(0.0)).unionByName(b.withColumn("source_indicator", F.lit(1.0)))
-    split = stratified_holdout(pooled, label, id_col, seed, test, 0.0)
+    split = written(stratified_holdout(pooled, label, id_col, seed, test, 0.0), "pooled")
     train, held = split.where("split = 'train'"), split.where("split = 'test'")
     runs = []
     for used in (features, [*features, "source_indicator"]):
@@ -115,7 +117,7 @@ def pooled_holdout(a: DataFrame, b: DataFrame, model: str, features: list[str],
 def reconstruction_holdout(df: DataFrame, features: list[str], label: str, id_col: str, components: int,
                            seed: int = 42) -> DataFrame:
     """Detector fit on normal training rows; the error threshold is tuned on validation rows."""
-    split = stratified_holdout(df, label, id_col, seed)
+    split = written(stratified_holdout(df, label, id_col, seed), "holdout")
     normal = split.where((F.col("split") == "train") & (F.col(label) == 0))
     rated = reconstruct(normal, split.where(F.col("split") != "train"), features, components)
     tuned = pick_error_threshold(rated.where("split = 'validation'"), "error", label).first()
@@ -127,8 +129,8 @@ def reconstruction_holdout(df: DataFrame, features: list[str], label: str, id_co
 def balanced_network(df: DataFrame, features: list[str], label: str, id_col: str, seed: int = 42,
                      **settings) -> DataFrame:
     """Spark's feed-forward network on downsampled training rows; it takes no row weights."""
-    split = stratified_holdout(df, label, id_col, seed)
-    even = exact_downsample(split.where("split = 'train'"), label, id_col, seed)
+    split = written(stratified_holdout(df, label, id_col, seed), "holdout")
+    even = written(exact_downsample(split.where("split = 'train'"), label, id_col, seed), "even")
     return fixed_split(even, split.where("split = 'test'"), "neural_network", features, label, id_col, seed,
                        **settings)
 
@@ -168,8 +170,8 @@ def suite(datasets: dict[str, DataFrame], model_settings: dict[str, dict], featu
     return _union(runs)
 
 
-def batch_score(model, sources: list[DataFrame]) -> DataFrame:
+def batch_score(model, sources: list[DataFrame], name: str = "score") -> DataFrame:
     """Score the union of several sources; the first one sets the column order."""
     whole = reduce(lambda x, y: x.unionByName(y.select(*x.columns)), sources)
-    return with_scores(model, whole)
+    return with_scores(model, whole, name)
 

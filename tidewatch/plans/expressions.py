@@ -10,8 +10,6 @@ from ..operators import cleaning, scaling
 from .registry import query
 from .views import events, rounded, sensors, table, u_sql, vectors, with_events, with_sensors, with_vectors
 
-PREFACTOR = repr(scalar.WAVELET_PREFACTOR)
-
 
 def psi(x: str, amplitude: float = 1.0) -> str:
     return f"({amplitude * scalar.WAVELET_PREFACTOR!r}::DOUBLE * (1 - ({x}) * ({x})) * exp(-(({x}) * ({x})) / 2))"
@@ -185,7 +183,6 @@ def reconstruction_error(spark, sf):
 @query("sc22_timestamp_parse", with_events("""
 SELECT event_id, make_timestamp((ts_us // 1000000) * 1000000) AS by_seconds, make_timestamp((ts_us // 1000) * 1000) AS by_millis FROM e"""))
 def timestamp_parse(spark, sf):
-    utc = lambda c: F.to_utc_timestamp(c, F.current_timezone()).cast("timestamp_ntz") if False else c.cast("timestamp_ntz")
-    e = events(spark, sf)
-    return e.select("event_id", utc(seconds_to_timestamp(F.expr("ts_us div 1000000"))).alias("by_seconds"),
-                    utc(millis_to_timestamp(F.expr("ts_us div 1000"))).alias("by_millis"))
+    return events(spark, sf).select(
+        "event_id", seconds_to_timestamp(F.expr("ts_us div 1000000")).alias("by_seconds"),
+        millis_to_timestamp(F.expr("ts_us div 1000")).alias("by_millis"))

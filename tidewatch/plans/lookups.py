@@ -82,7 +82,7 @@ slots AS (SELECT slot, CAST(floor({u_sql('42-base', 'slot')} * mn) AS BIGINT) +
 syn AS (SELECT slot, m.vec_id AS base_id, nn.neighbor_id, gap, m.v AS a, w.v AS b FROM slots JOIN m USING (pos)
  JOIN nn ON nn.query_id = m.vec_id AND nn.rank = slots.rank JOIN v w ON w.vec_id = nn.neighbor_id)"""
 SMOTE = (KNN.format(on="a.y = 1 AND b.y = 1 AND a.vec_id <> b.vec_id"), SLOTS)
-BLEND = "list_transform(list_zip(a, b), lambda z: round(z[1] + (z[2] - z[1]) * gap, 6))"
+BLEND = "list_transform(list_zip(a, b), lambda z: round(z[1] + (z[2] - z[1]) * gap, 6) + 0.0::DOUBLE)"
 
 
 @query("jn05_slots_to_pairs", with_vectors("SELECT slot, base_id, neighbor_id, round(gap, 6) AS gap FROM syn", *SMOTE))

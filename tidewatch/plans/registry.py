@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-GROUPS = ("tables", "projections", "lookups", "aggregates", "rankings", "expressions")
+GROUPS = ("tables", "projections", "lookups", "aggregates", "rankings", "expressions", "sampling", "modelling", "live")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

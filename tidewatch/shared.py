@@ -43,6 +43,17 @@ def small_table(df: DataFrame, limit: int) -> DataFrame | None:
     return df.sparkSession.createDataFrame([tuple(r) for r in rows], df.schema)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back: cuts lineage, survives lost executors.
+
+    For tables that several later jobs read, such as training folds and
+    oversampled rows; later filters and column choices reach the files.
+    """
+    path = run_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def default_buckets(spark: SparkSession) -> int:
     """How many range buckets ordered operators cut their input into."""
     return max(8, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))

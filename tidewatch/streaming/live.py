@@ -125,11 +125,13 @@ def deduplicated(stream: DataFrame, ts: str, delay: str = "10 minutes", key: str
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
 
 
-def windowed_counts(routed_rows: DataFrame, ts: str, width: str = "10 seconds", delay: str = "10 minutes",
+def windowed_counts(routed_rows: DataFrame, ts: str, width: str = "10 seconds",
                     topics: tuple[str, str, str] = ("anomaly", "normal", "uncertain")) -> DataFrame:
-    """Event-time twin of the batch metrics: counts and mean latency per window."""
+    """Event-time twin of the batch metrics: counts and mean latency per window.
+
+    A stream must carry a watermark on ``ts`` already, as ``deduplicated`` sets it.
+    """
     names = ("anomaly_count", "normal_count", "uncertain_count")
-    rows = routed_rows.withWatermark(ts, delay) if routed_rows.isStreaming else routed_rows
-    return rows.groupBy(F.window(ts, width).alias("w")).agg(
+    return routed_rows.groupBy(F.window(ts, width).alias("w")).agg(
         F.count(F.lit(1)).alias("records_processed"), *[F.count_if(F.col("route") == t).alias(n) for n, t in zip(names, topics)],
         F.avg("e2e_latency_ms").alias("mean_e2e_latency_ms"))
