@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-HASH_BUCKETS = 65536
 _EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
 
@@ -18,9 +17,10 @@ def uniform(seed: int | str, *ids) -> Column:
     return F.conv(F.substring(order_key(seed, *ids), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
 
 
-def key_bucket(key: Column | str) -> Column:
-    """Range bucket of an order key: its first 16 bits. Monotone in the key, evenly filled."""
-    return F.conv(F.substring(_c(key), 1, 4), 16, 10).cast("int")
+def key_bucket(key: Column | str, bits: int = 16) -> Column:
+    """Range bucket of an order key: its first ``bits`` bits. Monotone in the key, evenly filled."""
+    head = F.conv(F.substring(_c(key), 1, 4), 16, 10).cast("int")
+    return F.shiftright(head, 16 - bits)
 
 
 def ratio(numerator, denominator) -> Column:

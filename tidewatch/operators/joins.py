@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.portable import ratio
-from ..shared import small_table
+from ..shared import broadcast_if_small
 
 # Largest lookup table that is broadcast; a bigger one is shuffled, with AQE splitting hot keys.
 LOOKUP_ROWS = 200_000
@@ -13,8 +13,7 @@ LOOKUP_ROWS = 200_000
 
 def lookup(df: DataFrame, dim: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Join with a lookup table: broadcast when it is proven small, shuffled otherwise."""
-    fixed = small_table(dim, LOOKUP_ROWS)
-    return df.join(F.broadcast(fixed) if fixed is not None else dim, keys, how)
+    return df.join(broadcast_if_small(dim, LOOKUP_ROWS), keys, how)
 
 
 def lookup_name(df: DataFrame, dim: DataFrame, code: str, name: str) -> DataFrame:

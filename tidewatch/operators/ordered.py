@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..shared import default_buckets
 
@@ -28,6 +28,8 @@ def with_range_bucket(df: DataFrame, column: str, name: str = _B, buckets: int |
     binary search in the JVM. Null values go to the first bucket.
     """
     n = buckets or default_buckets(df.sparkSession)
+    if n == 1:
+        return df.withColumn(name, F.lit(0))
     key = f"{name}_key"
     keyed = df.withColumn(key, F.coalesce(F.col(column).cast("double"), F.lit(float("-inf"))))
     cuts = keyed.where(F.col(column).isNotNull()).approxQuantile(key, [i / n for i in range(1, n)], 0.5 / n)
@@ -36,17 +38,39 @@ def with_range_bucket(df: DataFrame, column: str, name: str = _B, buckets: int |
         return keyed.drop(key).withColumn(name, F.lit(0))
     splits = [float("-inf"), *inner, float("inf")]
     cut = Bucketizer(splits=splits, inputCol=key, outputCol=name, handleInvalid="keep")
-    return cut.transform(keyed).withColumn(name, F.col(name).cast("int")).drop(key)
+    return cut.transform(keyed).withColumn(name, F.coalesce(F.col(name).cast("int"), F.lit(0))).drop(key)
+
+
+def _stand_in(df: DataFrame, key: str) -> Column:
+    """The key with a fixed value of its own type in place of null."""
+    kind = df.schema[key].dataType
+    if isinstance(kind, T.NumericType):
+        return F.coalesce(F.col(key), F.lit(0).cast(kind))
+    if isinstance(kind, T.BooleanType):
+        return F.coalesce(F.col(key), F.lit(False))
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return F.coalesce(F.col(key), F.lit("1970-01-01").cast(kind))
+    return F.coalesce(F.col(key).cast("string"), F.lit(""))
+
+
+def null_free_keys(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """Add key columns that are never null and stand for ``keys`` exactly.
+
+    Windows, aggregates and plain equi-joins on them share one partitioning;
+    a null-safe join condition would shuffle the large side again.
+    """
+    names = [f"_k{i}" for i in range(len(keys))]
+    gaps = F.lit(0)
+    for i, k in enumerate(keys):
+        gaps = gaps + F.when(F.col(k).isNull(), 2**i).otherwise(0)
+    return df.withColumns({**{n: _stand_in(df, k) for n, k in zip(names, keys)}, "_kz": gaps}), [*names, "_kz"]
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join where null keys meet null keys; the left side's keys are kept."""
-    renamed = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys],
-                           *[c for c in right.columns if c not in keys])
-    on = F.lit(True)
-    for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
-    return left.join(renamed, on, how).drop(*[f"_r_{k}" for k in keys])
+    a, names = null_free_keys(left, keys)
+    b, _ = null_free_keys(right, keys)
+    return a.join(b.drop(*keys), names, how).drop(*names)
 
 
 def running(df: DataFrame, by: Sequence[str], order: Sequence[str | Column],
@@ -56,21 +80,21 @@ def running(df: DataFrame, by: Sequence[str], order: Sequence[str | Column],
     ``bucket`` names a column that grows with ``order``. With ``whole`` every
     measure also gets a ``<name>_whole`` column holding its total per group.
     """
-    keys = [*by, bucket]
-    staged = df.withColumns({f"_m_{n}": c for n, (_, c) in measures.items()})
+    staged, by_free = null_free_keys(df.withColumns({f"_m_{n}": c for n, (_, c) in measures.items()}), by)
+    keys = [*by_free, bucket]
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = staged.withColumns({n: _AGG[k](f"_m_{n}").over(inside) for n, (k, _) in measures.items()})
 
     # One row per (group, bucket): far smaller than the input, at most `buckets` rows for a hot group.
     totals = staged.groupBy(*keys).agg(*[_AGG[k](f"_m_{n}").alias(f"_t_{n}") for n, (k, _) in measures.items()])
-    over = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    over = Window.partitionBy(*by_free)
     before = over.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     carried = {f"_a_{n}": _AGG[k](f"_t_{n}").over(before) for n, (k, _) in measures.items()}
     if whole:
         carried |= {f"{n}_whole": _AGG[k](f"_t_{n}").over(over) for n, (k, _) in measures.items()}
     ahead = totals.withColumns(carried).drop(*[f"_t_{n}" for n in measures])
 
-    joined = null_safe_join(local, ahead, keys)
+    joined = local.join(ahead, keys).drop(*by_free)
     merged = {}
     for n, (k, _) in measures.items():
         a, b = F.col(f"_a_{n}"), F.col(n)
@@ -90,14 +114,14 @@ def ranked(df: DataFrame, by: Sequence[str], order: Sequence[str | Column], name
 def with_previous(df: DataFrame, by: Sequence[str], order: str, columns: dict[str, str],
                   bucket: str = _B) -> DataFrame:
     """Add columns of the row just before, per group; ``order`` must be unique in a group."""
-    keys = [*by, bucket]
+    staged, by_free = null_free_keys(df, by)
+    keys = [*by_free, bucket]
     prev, last = F.struct(*[F.col(c).alias(n) for n, c in columns.items()]), "_last"
     inside = Window.partitionBy(*keys).orderBy(order)
-    local = df.withColumn("_prev", F.lag(prev).over(inside)).withColumn("_first", F.row_number().over(inside) == 1)
-    tails = df.groupBy(*keys).agg(F.max_by(prev, F.col(order)).alias(last))
-    over = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(bucket)
-    tails = tails.withColumn("_carry", F.lag(last).over(over)).drop(last)
-    out = null_safe_join(local, tails, keys)
+    local = staged.withColumn("_prev", F.lag(prev).over(inside)).withColumn("_first", F.row_number().over(inside) == 1)
+    tails = staged.groupBy(*keys).agg(F.max_by(prev, F.col(order)).alias(last))
+    tails = tails.withColumn("_carry", F.lag(last).over(Window.partitionBy(*by_free).orderBy(bucket))).drop(last)
+    out = local.join(tails, keys).drop(*by_free)
     chosen = F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_prev"))
     return (out.withColumn("_chosen", chosen)
             .withColumns({n: F.col("_chosen")[n] for n in columns})

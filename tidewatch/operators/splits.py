@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.portable import key_bucket, order_key, uniform
+from ..shared import hash_bits
 from .ordered import ranked
 
 
 def _ranked_by_hash(df: DataFrame, by: list[str], id_col: str, seed: int, whole: str | None = None) -> DataFrame:
     """Rank rows per class along a seeded hash order; the hash prefix is the range bucket."""
-    keyed = df.withColumn("_key", order_key(seed, id_col)).withColumn("_bucket", key_bucket("_key"))
+    keyed = df.withColumn("_key", order_key(seed, id_col)).withColumn("_bucket", key_bucket("_key", hash_bits(df.sparkSession)))
     return ranked(keyed, by, ["_key", id_col], "_rank", whole=whole).drop("_key", "_bucket")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -26,21 +26,14 @@ def run_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/tidewatch/{name}-{uuid.uuid4().hex}"
 
 
-def small_rows(df: DataFrame, limit: int) -> list[Row] | None:
-    """The rows of ``df`` when there are at most ``limit`` of them, else ``None``.
-
-    At most ``limit + 1`` rows ever reach the driver.
-    """
-    rows = df.limit(limit + 1).collect()
-    return None if len(rows) > limit else rows
+def fits(df: DataFrame, limit: int) -> bool:
+    """Whether ``df`` has at most ``limit`` rows; counting stops one row above."""
+    return df.limit(limit + 1).count() <= limit
 
 
-def small_table(df: DataFrame, limit: int) -> DataFrame | None:
-    """``df`` as a literal table when it has at most ``limit`` rows, else ``None``."""
-    rows = small_rows(df, limit)
-    if rows is None:
-        return None
-    return df.sparkSession.createDataFrame([tuple(r) for r in rows], df.schema)
+def broadcast_if_small(df: DataFrame, limit: int) -> DataFrame:
+    """``df`` marked for broadcast when it was counted to be small; otherwise as it is, to be shuffled."""
+    return F.broadcast(df) if fits(df, limit) else df
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -57,3 +50,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def default_buckets(spark: SparkSession) -> int:
     """How many range buckets ordered operators cut their input into."""
     return max(8, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def hash_bits(spark: SparkSession) -> int:
+    """How many leading hash bits make a range bucket: about four buckets per shuffle partition, at most 65536."""
+    return min(16, max(5, (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()))
