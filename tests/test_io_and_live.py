@@ -183,3 +183,12 @@ def test_messages_carry_every_field(spark):
     out = live.as_messages(live.routed(batch, F.col("score"), processed_ms=F.lit(2000))).first()
     body = json.loads(out["value"])
     assert out["topic"] == "anomaly" and out["key"] == "m0" and list(body) == list(live.ROUTED)
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_anti"])
+def test_hot_keys_are_salted_without_changing_the_join(spark, monkeypatch, how):
+    monkeypatch.setattr(joins, "MIN_HOT", 5)
+    rows = spark.createDataFrame([(i, "hot" if i % 3 == 0 else f"k{i % 50}" if i % 7 else None) for i in range(600)], "id int, k string")
+    side = spark.createDataFrame([("hot", 1), ("k1", 2), ("k2", 3), ("unused", 4)], "k string, x int")
+    seen = lambda df: sorted(map(str, df.select(*sorted(df.columns)).collect()))
+    assert seen(joins.spread_join(rows, side, "k", how)) == seen(rows.join(side, "k", how))

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.portable import ratio
-from ..shared import broadcast_if_small
+from ..shared import broadcast_if_small, written
 
 # Largest lookup table that is broadcast; a bigger one is shuffled, with AQE splitting hot keys.
 LOOKUP_ROWS = 200_000
+# A key is hot above 1 / (HOT_SHARE x shuffle partitions) of all rows, and never below MIN_HOT rows.
+HOT_SHARE, MIN_HOT = 4, 10_000
 
 
 def lookup(df: DataFrame, dim: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
@@ -28,9 +30,31 @@ def last_per_key(df: DataFrame, keys: list[str], order: str | Column) -> DataFra
     return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), by).alias("_l")).select(*keys, "_l.*").select(*df.columns)
 
 
+def spread_join(df: DataFrame, side: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Join many rows to one row per key, with hot keys salted.
+
+    Keys that fill more than a fair share of a shuffle partition are counted
+    first; there are at most ``HOT_SHARE`` x partitions of them, so their table
+    is small by construction. Rows of a hot key are spread by hash over salts
+    and the key's single side row is repeated once per salt.
+    """
+    spark = df.sparkSession
+    parts = HOT_SHARE * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    fair = F.greatest(counts.agg(F.sum("_n").alias("n")).scalar() / parts, F.lit(MIN_HOT))
+    hot = counts.where(F.col(key).isNotNull()).withColumn("_fair", fair).where("_n > _fair").select(
+        key, F.ceil(F.col("_n") / F.col("_fair")).cast("int").alias("_salts"))
+    hot = F.broadcast(written(hot, "hotkeys"))
+    spread = F.pmod(F.xxhash64(*df.columns), F.coalesce("_salts", F.lit(1))).cast("int")
+    left = df.join(hot, key, "left").withColumn("_salt", spread).drop("_salts")
+    right = side.join(hot, key, "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    return left.join(right, [key, "_salt"], how).drop("_salt")
+
+
 def attach_scores(records: DataFrame, scores: DataFrame, key: str, order: str) -> DataFrame:
     """Records with the last score of their key; records without a score are dropped."""
-    return records.join(last_per_key(scores, [key], order).drop(order), key)
+    return spread_join(records, last_per_key(scores, [key], order).drop(order), key)
 
 
 def attach_lag(records: DataFrame, lag: DataFrame, keys: list[str] = ("topic", "partition")) -> DataFrame:
@@ -66,14 +90,14 @@ def deltas_to_row(df: DataFrame, is_reference: Column, measures: list[str]) -> D
 
 def lost_messages(sent: DataFrame, delivered: DataFrame, key: str) -> DataFrame:
     """Sent messages that were never delivered."""
-    return sent.join(delivered.select(key).distinct(), key, "left_anti")
+    return spread_join(sent, delivered.select(key).distinct(), key, "left_anti")
 
 
 def delivery(sent: DataFrame, delivered: DataFrame, key: str, expected: str, actual: str,
              alert: str, by: list[str] = ()) -> DataFrame:
     """Loss rate and alert delivery success. ``sent`` names the expected topic, ``delivered`` the actual one."""
     got = delivered.groupBy(key).agg(F.max(actual).alias(actual), F.count(F.lit(1)).alias("_copies"))
-    both = sent.join(got, key, "left")
+    both = spread_join(sent, got, key, "left")
     due = F.col(expected) == alert
     arrived = due & F.coalesce(F.col(actual) == F.col(expected), F.lit(False))
     out = both.groupBy(*by).agg(F.count(F.lit(1)).alias("input_messages"),

@@ -56,14 +56,16 @@ def build(model: str, features: list[str], label: str, weight: str | None = None
     """Pipeline for a named model. The scaler is part of it, so it is fit on training rows only.
 
     ``minima`` shifts each feature by the given training minimum first, for
-    the multinomial model, which takes no negative readings.
+    the multinomial model, which takes no negative readings; later readings
+    below the training minimum count as the minimum.
     """
     cls, defaults, _ = SETTINGS[model]
     params = {**defaults, **settings}
     stages, inputs, source = [], features, "raw_features"
     if minima:
         inputs = [f"_shifted_{f}" for f in features]
-        shifted = ", ".join(f"CAST(`{f}` AS DOUBLE) - ({minima[f]!r}D) AS `{i}`" for f, i in zip(features, inputs))
+        shifted = ", ".join(f"greatest(CAST(`{f}` AS DOUBLE) - ({float(minima[f])!r}D), 0D) AS `{i}`"
+                            for f, i in zip(features, inputs))
         stages.append(SQLTransformer(statement=f"SELECT *, {shifted} FROM __THIS__"))
     stages.append(VectorAssembler(inputCols=inputs, outputCol=source, handleInvalid="error"))
     if not minima and (scale if scale is not None else model not in UNSCALED):

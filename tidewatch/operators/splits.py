@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.portable import key_bucket, order_key, uniform
-from ..shared import hash_bits
+from ..functions.portable import clip01, key_bucket, order_key, uniform
+from ..shared import broadcast_if_small, hash_bits, written
 from .ordered import ranked
 
 
-def _ranked_by_hash(df: DataFrame, by: list[str], id_col: str, seed: int, whole: str | None = None) -> DataFrame:
+# Largest table of per-bucket cut rows that is broadcast; beyond it the join shuffles.
+CUT_ROWS = 500_000
+
+
+def _ranked_by_hash(df: DataFrame, by: list[str], id_col: str, seed: int) -> DataFrame:
     """Rank rows per class along a seeded hash order; the hash prefix is the range bucket."""
     keyed = df.withColumn("_key", order_key(seed, id_col)).withColumn("_bucket", key_bucket("_key", hash_bits(df.sparkSession)))
-    return ranked(keyed, by, ["_key", id_col], "_rank", whole=whole).drop("_key", "_bucket")
+    return ranked(keyed, by, ["_key", id_col], "_rank").drop("_key", "_bucket")
 
 
 def stratified_folds(df: DataFrame, label: str, id_col: str, k: int = 5, seed: int = 42) -> DataFrame:
@@ -21,15 +25,51 @@ def stratified_folds(df: DataFrame, label: str, id_col: str, k: int = 5, seed: i
         "fold", F.expr(f"CAST((_rank - 1) % {int(k)} AS INT)")).drop("_rank")
 
 
+def rank_bands(df: DataFrame, label: str, id_col: str, seed: int, bands: dict[str, Column], rest: str,
+               name: str = "band") -> DataFrame:
+    """Cut every class at given ranks of its seeded hash order, without ranking every row.
+
+    ``bands`` gives, in order, the last rank of each band as an expression over
+    ``_n`` (class size) and ``_least`` (size of the smallest class); what lies
+    above goes to ``rest``. Per (class, hash bucket) only counts are computed.
+    A bucket that falls into one band is settled straight from the scan; only
+    the few buckets that a cut runs through are shuffled and ranked.
+    """
+    keyed = df.withColumn("_key", order_key(seed, id_col)).withColumn(
+        "_bucket", key_bucket("_key", hash_bits(df.sparkSession)))
+
+    def band_of(rank: Column) -> Column:
+        out = F.lit(rest)
+        for band, last in reversed(bands.items()):
+            out = F.when(rank <= last, band).otherwise(out)
+        return out
+
+    sizes = keyed.groupBy(F.col(label).alias("_class"), F.col("_bucket").alias("_cut")).agg(
+        F.count(F.lit(1)).alias("_size"))
+    per_class = Window.partitionBy("_class")
+    ahead = per_class.orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)
+    least = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n").alias("n")).scalar()
+    cuts = sizes.withColumns({"_ahead": F.coalesce(F.sum("_size").over(ahead), F.lit(0)),
+                              "_n": F.sum("_size").over(per_class), "_least": least})
+    first, last = band_of(F.col("_ahead") + 1), band_of(F.col("_ahead") + F.col("_size"))
+    cuts = written(cuts.withColumns({"_band": first, "_settled": first == last}), "cuts")
+
+    marked = keyed.join(broadcast_if_small(cuts, CUT_ROWS),
+                        F.col(label).eqNullSafe(F.col("_class")) & (F.col("_bucket") == F.col("_cut")))
+    kept = [*df.columns, name]
+    whole = marked.where("_settled").withColumn(name, F.col("_band")).select(*kept)
+    place = F.row_number().over(Window.partitionBy("_class", "_cut").orderBy("_key", id_col))
+    edge = marked.where(~F.col("_settled")).withColumn("_place", place).withColumn(
+        name, band_of(F.col("_ahead") + F.col("_place"))).select(*kept)
+    return whole.unionByName(edge)
+
+
 def stratified_holdout(df: DataFrame, label: str, id_col: str, seed: int = 42, test: float = 0.2,
                        validation: float = 0.2) -> DataFrame:
     """Column ``split``: ``test`` share of each class, then ``validation`` share of the rest, then train."""
-    placed = _ranked_by_hash(df, [label], id_col, seed, whole="_n")
     n_test = F.floor(F.col("_n") * test + 0.5)
     n_val = F.floor((F.col("_n") - n_test) * validation + 0.5)
-    return placed.withColumn("split", F.when(F.col("_rank") <= n_test, "test")
-                             .when(F.col("_rank") <= n_test + n_val, "validation").otherwise("train")
-                             ).drop("_rank", "_n")
+    return rank_bands(df, label, id_col, seed, {"test": n_test, "validation": n_test + n_val}, "train", "split")
 
 
 def hash_split(df: DataFrame, id_col: str, share: float = 0.8, seed: int = 1234) -> DataFrame:
@@ -49,6 +89,4 @@ def shuffled(df: DataFrame, id_col: str, seed: int = 42) -> DataFrame:
 
 def random_baseline(df: DataFrame, id_col: str, positive_rate, seed: int) -> DataFrame:
     """Column ``baseline``: 1 with the given probability, decided row by row."""
-    from ..functions.portable import clip01
-
     return df.withColumn("baseline", (uniform(seed, id_col) < clip01(positive_rate)).cast("int"))

@@ -34,11 +34,12 @@ def _stream(spark, sf):
     return spark.readStream.schema(EVENT_DDL).option("pathGlobFilter", "events.parquet").parquet(sf)
 
 
-def _drain(spark, sf, name):
-    """Run the live job over everything there is and return its output folder."""
+def _drain(spark, sf, name, rounds=1):
+    """Run the live job over everything there is, a number of times on one progress folder; returns the output folder."""
     out = run_dir(spark, name)
     write = live.batch_writer(out, F.col("score"), ["value"], processed_ms=F.lit(DONE_MS).cast("bigint"))
-    live.start(live.decode(_as_messages(_stream(spark, sf)), MESSAGE), write, f"{out}/progress", interval=None).awaitTermination()
+    for _ in range(rounds):
+        live.start(live.decode(_as_messages(_stream(spark, sf)), MESSAGE), write, f"{out}/progress", interval=None).awaitTermination()
     return out
 
 
@@ -63,6 +64,28 @@ def live_routed(spark, sf):
     return rounded(spark.read.schema(ROUTED_DDL).json(f"{out}/routed").select(*live.ROUTED))
 
 
+@query("st01_micro_batch_loop", with_events("SELECT 1::BIGINT AS batches, count(*) AS records FROM ok", VALID))
+def micro_batch_loop(spark, sf):
+    """Drain the stream, then trigger once more: an empty round leaves no batch behind."""
+    out = _drain(spark, sf, "loop", rounds=2)
+    return spark.read.schema("records_processed BIGINT").json(f"{out}/metrics").agg(
+        F.count(F.lit(1)).alias("batches"), F.sum("records_processed").alias("records"))
+
+
+@query("snk05_streaming_topic_sink", with_events("""
+SELECT route AS topic, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS offsets FROM ok GROUP BY 1""", VALID))
+def streaming_topic_sink(spark, sf):
+    """Routed messages straight from the stream into one folder per topic."""
+    out = run_dir(spark, "topics")
+    records = live.with_reason(live.decode(_as_messages(_stream(spark, sf)), MESSAGE), ["value"]).where("reject_reason IS NULL")
+    messages = live.as_messages(live.routed(records, F.col("score"), processed_ms=F.lit(DONE_MS)))
+    (messages.writeStream.format("json").partitionBy("topic").option("path", f"{out}/rows")
+     .option("checkpointLocation", f"{out}/progress").trigger(availableNow=True).start().awaitTermination())
+    back = spark.read.schema("topic STRING, key STRING, value STRING").json(f"{out}/rows")
+    return back.groupBy("topic").agg(F.count(F.lit(1)).alias("n"), F.sum(
+        F.get_json_object("value", "$.source_offset").cast("bigint")).alias("offsets"))
+
+
 @query("st04_live_batch_metrics", with_events(f"""
 SELECT count(*) AS records_processed, count(*) FILTER (route = 'anomaly') AS anomaly_count, count(*) FILTER (route = 'normal') AS normal_count,
  count(*) FILTER (route = 'uncertain') AS uncertain_count, round(avg({DONE_MS} - ms), 2) AS mean_e2e_latency_ms,
@@ -86,10 +109,7 @@ def quarantine(spark, sf):
 @query("st05_restart_from_progress", with_events("SELECT count(*) AS n, count(DISTINCT event_id) AS ids FROM ok", VALID))
 def restart(spark, sf):
     """The same job started twice on one progress folder delivers every record once."""
-    out = run_dir(spark, "restart")
-    write = live.batch_writer(out, F.col("score"), ["value"], processed_ms=F.lit(DONE_MS).cast("bigint"))
-    for _ in range(2):
-        live.start(live.decode(_as_messages(_stream(spark, sf)), MESSAGE), write, f"{out}/progress", interval=None).awaitTermination()
+    out = _drain(spark, sf, "restart", rounds=2)
     back = spark.read.schema("message_id STRING").json(f"{out}/routed")
     return back.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("message_id").alias("ids"))
 

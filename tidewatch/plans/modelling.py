@@ -96,6 +96,14 @@ def pipeline_round_trip(spark, sf):
     return rounded(metrics.evaluate(scored, "label", "prediction"))
 
 
+@query("src08_saved_pipeline_load")
+def saved_pipeline(spark, sf):
+    e = labelled(spark, sf)
+    path = run_dir(spark, "pipeline")
+    models.save(models.fit("decision_tree", hash_split(e, "event_id").where("split = 'train'"), FEATURES, "label"), path, FEATURES, "label")
+    return models.with_scores(models.load(path), e, "p1").groupBy("prediction").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("prj11_positive_probability")
 def probability_of_one(spark, sf):
     split = hash_split(labelled(spark, sf), "event_id")
