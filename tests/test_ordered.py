@@ -86,3 +86,13 @@ def test_histogram_edges_and_constant_column(spark):
 def test_null_counts_only_missing(spark):
     df = spark.createDataFrame([(1, None), (2, 3)], "a int, b int")
     assert [(r["column_name"], r["missing"]) for r in null_counts(df, only_missing=True).collect()] == [("b", 1)]
+
+
+def test_time_columns_can_be_the_order(spark):
+    import datetime as dt
+
+    rows = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=37 * i), dt.date(2024, 1, 1) + dt.timedelta(days=i)) for i in range(40)]
+    df = spark.createDataFrame(rows, "id int, ts timestamp_ntz, day date")
+    for order in ("ts", "day"):
+        got = ranked(with_range_bucket(df, order, buckets=6), [], [order], "rank").collect()
+        assert all(r["rank"] == r["id"] + 1 for r in got)

@@ -15,12 +15,23 @@ from collections.abc import Sequence
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from ..functions.portable import epoch_micros
 from ..shared import default_buckets
 
 _B = "_bucket"
 _AGG = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
+def _as_number(df: DataFrame, column: str) -> Column:
+    """A DOUBLE that grows with a numeric, date or timestamp column."""
+    kind = df.schema[column].dataType
+    if isinstance(kind, T.TimestampNTZType):
+        return epoch_micros(column).cast("double")
+    if isinstance(kind, T.DateType):
+        return F.unix_date(column).cast("double")
+    return F.col(column).cast("double")
+
+
 def with_range_bucket(df: DataFrame, column: str, name: str = _B, buckets: int | None = None) -> DataFrame:
     """Add a bucket number that grows with ``column``, cut at approximate quantiles.
 
@@ -31,7 +42,7 @@ def with_range_bucket(df: DataFrame, column: str, name: str = _B, buckets: int |
     if n == 1:
         return df.withColumn(name, F.lit(0))
     key = f"{name}_key"
-    keyed = df.withColumn(key, F.coalesce(F.col(column).cast("double"), F.lit(float("-inf"))))
+    keyed = df.withColumn(key, F.coalesce(_as_number(df, column), F.lit(float("-inf"))))
     cuts = keyed.where(F.col(column).isNotNull()).approxQuantile(key, [i / n for i in range(1, n)], 0.5 / n)
     inner = sorted({c for c in cuts if c == c and abs(c) != float("inf")})
     if len(inner) == 0:

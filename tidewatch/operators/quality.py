@@ -14,7 +14,7 @@ def quarantine_reason(required: list[str], message_id: str = "message_id") -> Co
     """Why a record cannot be scored; null for a valid one."""
     bad = F.lit(False)
     for c in required:
-        bad = bad | F.col(c).isNull() | F.isnan(F.col(c).cast("double"))
+        bad = bad | F.col(c).isNull() | F.coalesce(F.isnan(F.col(c).try_cast("double")), F.lit(True))
     return F.when(F.col(message_id).isNull(), "no_id").when(bad, "missing_feature")
 
 

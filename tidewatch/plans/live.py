@@ -18,11 +18,11 @@ DONE_MS = EPOCH_MS + 31 * 86400000
 
 
 def _as_messages(raw):
-    """Event rows as bus messages: every 97th has no id, readings of the first hour of day are missing."""
+    """Event rows as bus messages: one in a hundred has no id, readings of the first hour of day are missing."""
     u = uniform(42, "event_id")
     label = (F.col("event_type") == "error").cast("int")
     body = json_object({
-        "message_id": F.when(F.pmod("event_id", F.lit(97)) != 0, F.concat(F.lit("m"), F.col("event_id").cast("string"))),
+        "message_id": F.when(uniform(97, "event_id") >= 0.01, F.concat(F.lit("m"), F.col("event_id").cast("string"))),
         "event_ts_ms": F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)"),
         "label": label, "value": F.when(F.hour("ts") != 0, F.col("value")),
         "score": F.least(F.lit(1.0), F.lit(0.6) * u + F.lit(0.4) * label)})
@@ -43,7 +43,7 @@ def _drain(spark, sf, name, rounds=1):
     return out
 
 
-VALID = f"""ok AS (SELECT *, {ROUTE} AS route, ts_us // 1000 AS ms FROM e WHERE event_id % 97 <> 0 AND hr <> 0)"""
+VALID = f"""ok AS (SELECT *, {ROUTE} AS route, ts_us // 1000 AS ms FROM e WHERE {u_sql('97', 'event_id')} >= 0.01 AND hr <> 0)"""
 ROUTED_SQL = f"""SELECT 'm' || event_id AS message_id, ms AS event_ts_ms, {DONE_MS}::BIGINT AS processed_ts_ms, {DONE_MS}::BIGINT - ms AS e2e_latency_ms,
  round(score, 6) AS prediction, label, route, 'input' AS source_topic, CAST(event_id % 4 AS INTEGER) AS source_partition, event_id AS source_offset,
  0::BIGINT AS consumer_lag FROM ok"""
@@ -98,8 +98,9 @@ def live_metrics(spark, sf):
                       "p95_e2e_latency_ms", "total_consumer_lag", "routing_policy")
 
 
-@query("st10_quarantine", with_events("""
-SELECT event_id AS source_offset, CASE WHEN event_id % 97 = 0 THEN 'no_id' ELSE 'missing_feature' END AS reject_reason FROM e WHERE event_id % 97 = 0 OR hr = 0"""))
+@query("st10_quarantine", with_events(f"""
+SELECT event_id AS source_offset, CASE WHEN {u_sql('97', 'event_id')} < 0.01 THEN 'no_id' ELSE 'missing_feature' END AS reject_reason
+FROM e WHERE {u_sql('97', 'event_id')} < 0.01 OR hr = 0"""))
 def quarantine(spark, sf):
     out = _drain(spark, sf, "quarantine")
     return spark.read.schema("offset BIGINT, reject_reason STRING").json(f"{out}/quarantine").select(
@@ -125,9 +126,9 @@ def event_time_windows(spark, sf):
     return out.select(F.col("w.start").alias("window_start"), "records_processed", "anomaly_count", "normal_count", "uncertain_count")
 
 
-@query("st_event_time_windows_streamed", with_events("""
+@query("st_event_time_windows_streamed", with_events(f"""
 SELECT count(*) AS windows, CAST(sum(n) AS BIGINT) AS records FROM (SELECT ms // 10000 AS w, count(*) AS n FROM
- (SELECT ts_us // 1000 AS ms FROM e WHERE event_id % 97 <> 0) GROUP BY 1), (SELECT max(ts_us // 1000) - 600000 AS mark FROM e WHERE event_id % 97 <> 0)
+ (SELECT ts_us // 1000 AS ms FROM e WHERE {u_sql('97', 'event_id')} >= 0.01) GROUP BY 1), (SELECT max(ts_us // 1000) - 600000 AS mark FROM e WHERE {u_sql('97', 'event_id')} >= 0.01)
 WHERE (w + 1) * 10000 <= mark"""))
 def event_time_windows_streamed(spark, sf):
     """Streaming run of the windowed counts over deduplicated ids; windows behind the watermark are final."""
@@ -152,7 +153,7 @@ def metrics_append(spark, sf):
 
     path = run_dir(spark, "metricslog")
     rows = batch_metrics(latencies(spark, sf), ["batch"])
-    rows.where("batch % 2 = 0").write.mode("append").json(path)
-    rows.where("batch % 2 <> 0").write.mode("append").json(path)
+    rows.where("anomaly_count = 0").write.mode("append").json(path)
+    rows.where("anomaly_count > 0").write.mode("append").json(path)
     return spark.read.schema("records_processed BIGINT").json(path).agg(
         F.count(F.lit(1)).alias("batches"), F.sum("records_processed").alias("records"))

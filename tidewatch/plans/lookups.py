@@ -59,11 +59,11 @@ nn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, nei
 
 @query("jn03_nearest_vote", with_vectors("""
 SELECT query_id, arg_min(nl, struct_pack(a := -n, b := nl)) AS prediction FROM (SELECT query_id, nl, count(*) AS n FROM nn
- WHERE rank <= 5 GROUP BY query_id, nl) GROUP BY query_id""", KNN.format(on="a.label % 2 = 1 AND b.label % 2 = 0")))
+ WHERE rank <= 5 GROUP BY query_id, nl) GROUP BY query_id""", KNN.format(on="a.vec_id <> b.vec_id")))
 def nearest_vote(spark, sf):
+    """Leave-one-out vote: every row against all others."""
     v = vectors(spark, sf)
-    odd = F.pmod("label", F.lit(2))
-    return knn_classify(v.where(odd == 1), v.where(odd == 0), 5, "vec_id", "vec_id", "v", "label")
+    return knn_classify(v, v, 5, "vec_id", "vec_id", "v", "label", exclude_self=True)
 
 
 @query("jn04_minority_neighbours", with_vectors("""

@@ -86,7 +86,7 @@ def gaussian_bayes_sql(spark, sf):
     return out.select("event_id", "prediction")
 
 
-@query("ml07_pipeline_saved_and_reloaded")
+@query("ml07_model_saved_and_reloaded")
 def pipeline_round_trip(spark, sf):
     split = hash_split(labelled(spark, sf), "event_id")
     used = [*FEATURES, "score"]
@@ -96,7 +96,7 @@ def pipeline_round_trip(spark, sf):
     return rounded(metrics.evaluate(scored, "label", "prediction"))
 
 
-@query("src08_saved_pipeline_load")
+@query("src08_saved_model_load")
 def saved_pipeline(spark, sf):
     e = labelled(spark, sf)
     path = run_dir(spark, "pipeline")

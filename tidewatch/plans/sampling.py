@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.portable import uniform
 from ..operators import balance, splits
-from .lookups import BLEND, KNN, SMOTE
+from .lookups import BLEND, SMOTE
 from .registry import query
-from .views import REGIME, events, regime, rounded, table, u_sql, vectors, with_events, with_vectors
+from .views import events, table, u_sql, vectors, with_events, with_vectors
 
 
 @query("smp01_bernoulli_downsample", with_events(f"""
@@ -77,17 +78,17 @@ def random_baseline(spark, sf):
     return splits.random_baseline(e.withColumn("rate", rate), "event_id", "rate", 10042).select("event_id", "baseline")
 
 
-def _family(regime_name: str, mod: int) -> str:
+def _family(regime_name: str, side: str) -> str:
     """Class counts of one regime after each preparation."""
     return f"""SELECT '{regime_name}' AS regime, preparation, y, CASE preparation WHEN 'original' THEN n WHEN 'undersample' THEN lo ELSE hi END AS n
- FROM (SELECT y, count(*) AS n FROM v WHERE vec_id % 2 = {mod} GROUP BY y),
- (SELECT min(n) AS lo, max(n) AS hi FROM (SELECT count(*) AS n FROM v WHERE vec_id % 2 = {mod} GROUP BY y)),
+ FROM (SELECT y, count(*) AS n FROM v WHERE {u_sql('8', 'vec_id')} {side} 0.5 GROUP BY y),
+ (SELECT min(n) AS lo, max(n) AS hi FROM (SELECT count(*) AS n FROM v WHERE {u_sql('8', 'vec_id')} {side} 0.5 GROUP BY y)),
  (SELECT unnest(['original', 'undersample', 'smote']) AS preparation)"""
 
 
-@query("smp09_dataset_families", with_vectors(_family("standard", 0) + " UNION ALL " + _family("optimized", 1)))
+@query("smp09_dataset_families", with_vectors(_family("standard", "<") + " UNION ALL " + _family("optimized", ">=")))
 def families(spark, sf):
-    v = vectors(spark, sf).withColumn("regime", F.when(F.pmod("vec_id", F.lit(2)) == 0, "standard").otherwise("optimized"))
+    v = vectors(spark, sf).withColumn("regime", F.when(uniform(8, "vec_id") < 0.5, "standard").otherwise("optimized"))
     out = balance.families(v.select("vec_id", "v", "y", "regime"), "regime", "y", "vec_id", "v")
     return out.groupBy("regime", "preparation", "y").agg(F.count(F.lit(1)).alias("n"))
 
