@@ -12,7 +12,7 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 @pytest.fixture(scope="session")
 def spark():
-    session = (SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "4")
+    session = (SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "2")
                .config("spark.ui.enabled", "false").config("spark.driver.memory", "4g")
                .config("spark.sql.session.timeZone", "UTC").config("spark.ui.showConsoleProgress", "false")
                .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="run-", dir="/tmp")).getOrCreate())
