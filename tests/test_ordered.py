@@ -96,3 +96,18 @@ def test_time_columns_can_be_the_order(spark):
     for order in ("ts", "day"):
         got = ranked(with_range_bucket(df, order, buckets=6), [], [order], "rank").collect()
         assert all(r["rank"] == r["id"] + 1 for r in got)
+
+
+def test_hot_group_is_spread_over_buckets(spark):
+    """A group with a third of all rows is cut about as finely as its share of the buckets."""
+    df = spark.range(30_000).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("g"))
+    largest = with_range_bucket(df, "id", buckets=30).groupBy("g", "_bucket").count().agg(F.max("count")).first()[0]
+    assert largest < 3 * 10_000 / 30
+
+
+def test_one_scan_finds_the_cuts_of_several_columns(spark):
+    from tidewatch.operators.ordered import range_cuts
+
+    df = spark.createDataFrame([(float(i), None if i % 2 else -float(i)) for i in range(100)], "a double, b double")
+    cuts = range_cuts(df, ["a", "b"], buckets=4)
+    assert len(cuts["a"]) == 3 and cuts["a"] == sorted(cuts["a"]) and max(cuts["b"]) < 0

@@ -32,23 +32,31 @@ def _as_number(df: DataFrame, column: str) -> Column:
     return F.col(column).cast("double")
 
 
-def with_range_bucket(df: DataFrame, column: str, name: str = _B, buckets: int | None = None) -> DataFrame:
+def range_cuts(df: DataFrame, columns: Sequence[str], buckets: int | None = None) -> dict[str, list[float]]:
+    """Approximate quantiles of several columns in one pass, as cut points for range buckets."""
+    n = buckets or default_buckets(df.sparkSession)
+    if n == 1:
+        return {c: [] for c in columns}
+    names = [f"_n{i}" for i in range(len(columns))]
+    numbers = df.select(*[_as_number(df, c).alias(a) for a, c in zip(names, columns)])
+    found = numbers.approxQuantile(names, [i / n for i in range(1, n)], 0.5 / n)
+    return {c: sorted({x for x in cuts if x == x and abs(x) != float("inf")}) for c, cuts in zip(columns, found)}
+
+
+def with_range_bucket(df: DataFrame, column: str, name: str = _B, buckets: int | None = None,
+                      cuts: Sequence[float] | None = None) -> DataFrame:
     """Add a bucket number that grows with ``column``, cut at approximate quantiles.
 
     The cut points are a bounded list; ``Bucketizer`` finds the bucket by
-    binary search in the JVM. Null values go to the first bucket.
+    binary search in the JVM. Null values go to the first bucket. Any rising
+    ``cuts`` give the same results downstream.
     """
-    n = buckets or default_buckets(df.sparkSession)
-    if n == 1:
+    inner = list(cuts if cuts is not None else range_cuts(df, [column], buckets)[column])
+    if not inner:
         return df.withColumn(name, F.lit(0))
     key = f"{name}_key"
     keyed = df.withColumn(key, F.coalesce(_as_number(df, column), F.lit(float("-inf"))))
-    cuts = keyed.where(F.col(column).isNotNull()).approxQuantile(key, [i / n for i in range(1, n)], 0.5 / n)
-    inner = sorted({c for c in cuts if c == c and abs(c) != float("inf")})
-    if len(inner) == 0:
-        return keyed.drop(key).withColumn(name, F.lit(0))
-    splits = [float("-inf"), *inner, float("inf")]
-    cut = Bucketizer(splits=splits, inputCol=key, outputCol=name, handleInvalid="keep")
+    cut = Bucketizer(splits=[float("-inf"), *inner, float("inf")], inputCol=key, outputCol=name, handleInvalid="keep")
     return cut.transform(keyed).withColumn(name, F.coalesce(F.col(name).cast("int"), F.lit(0))).drop(key)
 
 
@@ -140,7 +148,8 @@ def with_previous(df: DataFrame, by: Sequence[str], order: str, columns: dict[st
 
 
 def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float],
-              nearest_rank: bool = False, buckets: int | None = None) -> DataFrame:
+              nearest_rank: bool = False, buckets: int | None = None,
+              cuts: Sequence[float] | None = None) -> DataFrame:
     """Exact quantiles per group, interpolated or by nearest rank.
 
     Equal readings are counted first, so a hot group or a hot value is merged
@@ -148,7 +157,7 @@ def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, flo
     is ever gathered in one task.
     """
     present = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
-    counts = with_range_bucket(present, "_v", buckets=buckets).groupBy(*by, _B, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    counts = with_range_bucket(present, "_v", buckets=buckets, cuts=cuts).groupBy(*by, _B, "_v").agg(F.count(F.lit(1)).alias("_c"))
     placed = running(counts, by, ["_v"], {"_upto": ("sum", F.col("_c"))}, whole=True)
     n, end, start = F.col("_upto_whole"), F.col("_upto"), F.col("_upto") - F.col("_c")
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.portable import ratio
 from ..schema import LABEL_CANDIDATES
-from .ordered import quantiles, with_previous, with_range_bucket
+from .ordered import quantiles, range_cuts, with_previous, with_range_bucket
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -184,14 +184,15 @@ def process_indicators(df: DataFrame, order: str, ts: str, label: str, power: Co
     Energy is the trapezoid integral of power over time (seconds).
     """
     base = df.select(order, F.col(ts).alias("_t"), F.col(label).alias("_l"), power.cast("double").alias("_p"))
-    pairs = with_previous(with_range_bucket(base, order), [], order, {"_t0": "_t", "_p0": "_p"})
+    cuts = range_cuts(base, [order, "_p"])
+    pairs = with_previous(with_range_bucket(base, order, cuts=cuts[order]), [], order, {"_t0": "_t", "_p0": "_p"})
     energy = pairs.agg(F.sum((F.col("_p") + F.col("_p0")) / 2 * (F.col("_t") - F.col("_t0"))).alias("e"))
     normal, odd = F.avg(F.when(F.col("_l") == 0, F.col("_p"))), F.avg(F.when(F.col("_l") == 1, F.col("_p")))
     return base.agg(F.avg("_p").alias("mean_power"), normal.alias("normal_mean_power"),
                     (odd - normal).alias("anomaly_minus_normal"),
                     (F.max("_t") - F.min("_t")).alias("window_seconds"),
                     F.avg(F.col("_l").cast("double")).alias("anomaly_rate")
-                    ).withColumns({"median_power": quantiles(base, [], "_p", {"median": 0.5}).scalar(),
+                    ).withColumns({"median_power": quantiles(base, [], "_p", {"median": 0.5}, cuts=cuts["_p"]).scalar(),
                                    "energy": energy.scalar()})
 
 

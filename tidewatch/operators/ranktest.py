@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .ordered import null_safe_join, quantiles, running, with_range_bucket
+from .ordered import null_safe_join, quantiles, range_cuts, running, with_range_bucket
 
 ZERO = 1e-8
 TIE_DIGITS = 8
@@ -16,14 +16,14 @@ def differences(df: DataFrame, x: str, y: str, keep: list[str] = ()) -> DataFram
     return df.select(*keep, d.alias("difference")).where(F.abs("difference") > ZERO)
 
 
-def average_ranks(diffs: DataFrame, by: list[str]) -> DataFrame:
+def average_ranks(diffs: DataFrame, by: list[str], cuts: list[float] | None = None) -> DataFrame:
     """Average rank of |difference| per group, one row per distinct size with its sign counts.
 
     Equal sizes are merged before the shuffle, and ranks follow from two-level
     running counts, so a hot group never sits in one task.
     """
     sized = diffs.withColumn("size", F.round(F.abs("difference"), TIE_DIGITS))
-    merged = with_range_bucket(sized, "size").groupBy(*by, "_bucket", "size").agg(
+    merged = with_range_bucket(sized, "size", cuts=cuts).groupBy(*by, "_bucket", "size").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("difference") > 0).alias("n_plus"),
         F.sum("difference").alias("total"))
     placed = running(merged, by, ["size"], {"upto": ("sum", F.col("n"))}, whole=True)
@@ -59,7 +59,10 @@ def signed_rank_test(df: DataFrame, by: list[str], x: str, y: str, exact_up_to:
     difference report n = 0 and p = 1.
     """
     diffs = differences(df, x, y, by)
-    ranks = average_ranks(diffs, by)
+    # Quantiles of the differences also cut their sizes well, so one pass finds both sets of range buckets.
+    cuts = range_cuts(diffs, ["difference"])["difference"]
+    ranks = average_ranks(diffs, by, sorted({abs(c) for c in cuts}))
+    medians = quantiles(diffs, by, "difference", {"median_difference": 0.5}, cuts=cuts)
     n = F.col("upto_whole")
     small = F.when(n <= exact_up_to, F.struct((F.col("rank") * 2).cast("int").alias("r"), F.col("n").cast("int").alias("n")))
     sums = ranks.groupBy(*by).agg(
@@ -80,8 +83,8 @@ def signed_rank_test(df: DataFrame, by: list[str], x: str, y: str, exact_up_to:
     normal = F.least(F.lit(1.0), F.lit(2.0) * _upper_normal_tail(z))
     tested = counts.withColumns({"p_value": F.when(F.col("n") <= exact_up_to, exact).otherwise(normal),
                                  "mean_difference": F.col("_total") / F.col("n")})
-    tested = null_safe_join(tested, quantiles(diffs, by, "difference", {"median_difference": 0.5}), by) if by else (
-        tested.withColumn("median_difference", quantiles(diffs, by, "difference", {"median_difference": 0.5}).scalar()))
+    tested = (null_safe_join(tested, medians, by) if by
+              else tested.withColumn("median_difference", medians.scalar()))
     kept = ["n", "w_plus", "w_minus", "statistic", "p_value", "mean_difference", "median_difference"]
     if by:
         groups = df.select(*by).distinct()
