@@ -14,7 +14,7 @@ from ..operators.routing import Policy, policy_quality, route_counts, with_route
 from .lookups import COUNTS, KPIS, dataset_counts
 from .registry import query
 from .views import (
-    EPOCH_MS, REGIME, ROUTE, SENSOR_COLUMNS, baseline_runs, events, predictions, r6, regime, rounded, runs, sensors,
+    EPOCH_MS, REGIME, ROUTE, SENSOR_COLUMNS, baseline_runs, events, predictions, regime, rounded, runs, sensors,
     summaries, table, u_sql, with_events, with_runs, with_sensors, with_summary,
 )
 

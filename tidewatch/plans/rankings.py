@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions.portable import order_key
-from ..functions.scalar import distance, route
+from ..functions.scalar import route
 from ..operators import profile, quality, reports
 from ..operators.joins import last_per_key, top_rows
 from ..operators.neighbors import nearest
@@ -14,9 +13,7 @@ from ..operators.ordered import ranked, with_range_bucket
 from ..operators.ranktest import average_ranks
 from ..operators.routing import SWEEP_ANOMALY, SWEEP_NORMAL, threshold_sweep
 from ..operators.splits import shuffled, stratified_folds, stratified_holdout
-from ..operators.thresholds import (
-    CLASSIFIER_GRID, best_threshold, pick_classifier_threshold, pick_error_threshold, threshold_measures,
-)
+from ..operators.thresholds import CLASSIFIER_GRID, pick_classifier_threshold, pick_error_threshold
 from ..sources.replay import interleave, message_id
 from ..sources.writers import union_ragged
 from .aggregates import POLICY_COLUMNS, policy_sql, tuning_runs
@@ -24,7 +21,7 @@ from .lookups import KNN
 from .registry import query
 from .tables import REPLAY
 from .views import (
-    EPOCH_MS, ROUTE, baseline_runs, events, predictions, rounded, runs, summaries, table, u_sql, vectors, with_events,
+    EPOCH_MS, ROUTE, baseline_runs, events, rounded, runs, summaries, table, u_sql, vectors, with_events,
     with_runs, with_summary, with_vectors,
 )
 

@@ -15,10 +15,6 @@ FEATURES = tuple(c.format(s) for s in SUBSYSTEMS for c in CHANNELS)
 LABEL_CANDIDATES = ("Labels", "label", "Label", "class", "target", "y")
 
 
-def _struct(**fields: str) -> T.StructType:
-    return T.StructType([T.StructField(n, T._parse_datatype_string(t)) for n, t in fields.items()])
-
-
 def sensor_schema(features=FEATURES) -> T.StructType:
     return T.StructType([T.StructField(TIMESTAMP, T.DoubleType()), T.StructField(LABEL, T.IntegerType()),
                          *[T.StructField(f, T.DoubleType()) for f in features]])
