@@ -24,10 +24,14 @@ ROUTED = ("message_id", "event_ts_ms", "processed_ts_ms", "e2e_latency_ms", "pre
 
 
 def decode(messages: DataFrame, schema: T.StructType | str, value: str = "value") -> DataFrame:
-    """Message text to columns; the envelope (topic, partition, offset) is kept, bad JSON gives nulls."""
-    parsed = messages.withColumn("_body", F.from_json(value, schema))
-    names = schema.fieldNames() if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema).fieldNames()
-    return parsed.select(*[c for c in messages.columns if c not in names], *[F.col("_body")[n].alias(n) for n in names])
+    """Message text to columns; the envelope (topic, partition, offset) is kept, bad JSON gives nulls.
+
+    The parsed struct is expanded by a generator, which keeps later filters
+    above it: each message is parsed once, not once per field and condition.
+    """
+    names = (schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)).fieldNames()
+    envelope = [c for c in messages.columns if c not in names]
+    return messages.select(*envelope, F.inline(F.array(F.from_json(value, schema))))
 
 
 def with_reason(records: DataFrame, required: list[str]) -> DataFrame:
