@@ -29,3 +29,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neardup import near_duplicates
     return near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
+@query()
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeats import remove_repeats
+    return remove_repeats(table(spark, sf_dir, "documents"), length=200).drop("spans")
+
+
+@query()
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .tokencount import count_tokens
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
