@@ -43,3 +43,24 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from .tokencount import count_tokens
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query()
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .maintext import extract_main_text
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
+@query()
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chatformat import format_conversations, read_conversations
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return read_conversations(format_conversations(rows.unionByName(extra)))
+
+
+@query()
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive_pages
+    return archive_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
