@@ -71,3 +71,9 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .qualityrules import quality_rules
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query()
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .maxent import score_documents
+    return score_documents(table(spark, sf_dir, "documents"))
