@@ -23,6 +23,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import lookup, mix, prefix_hash, range_hash, slices, written
 
@@ -266,3 +267,27 @@ def remove_repeats(docs: DataFrame, length: int = 200, group_passages: int = GRO
     spans = whole.unionByName(ordered).unionByName(single).distinct().groupBy("uid").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<s:long,e:long>>"
     return texts.join(spans, "uid", "left").mapInArrow(_finished(with_text), schema + (", uid long, kept_text string" if with_text else ""))
+
+
+def cut_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
+    """``docs`` with repeated strings cut out of ``text`` (and n_chars, if there is one, counted anew), all other columns as they were.
+
+    A text of which nothing but white space is left goes, unless nothing was cut from it.
+    """
+    key = "_repeats_uid"
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("doc_id").cast(pa.int64())
+            uid = np.zeros(batch.num_rows, np.int64)
+            for first, last, data, offsets in slices(batch, "text"):
+                uid[first:last] = _text_keys(ids.slice(first, last - first), data, offsets)
+            kept = [c for c in batch.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(uid)], names=[*kept, key])
+
+    others = T.StructType([f for f in docs.schema if f.name != "text"]).add(key, T.LongType())
+    cut = remove_repeats(docs, length, with_text=True).select(F.col("uid").alias(key), "n_removed", "kept_text").dropDuplicates([key])
+    out = docs.mapInArrow(keyed, others).join(cut, key).filter(~((F.col("n_removed") > 0) & (F.trim("kept_text") == ""))).withColumn("text", F.col("kept_text"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
