@@ -29,7 +29,6 @@ RAW = frozenset("script style title textarea noscript iframe template xmp noembe
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr tbody thead tfoot blockquote pre ul ol dl table figure figcaption caption".split())
 GONE = frozenset("head script style title noscript iframe template nav footer aside form button select option input textarea label fieldset dialog menu svg canvas object audio video map".split())
-CELLS = frozenset(("td", "th"))
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
@@ -134,8 +133,6 @@ def parse(page: str) -> tuple[list[Block], list[Subtree]]:
             else:
                 flush()
                 close_to((tag,))
-            if tag in CELLS:
-                text.append(" ")
             continue
         if tag == "br" or tag == "wbr":
             text.append(" " if tag == "br" else "")
