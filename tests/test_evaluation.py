@@ -118,14 +118,14 @@ def test_exact_p_equals_listing_all_sign_patterns(spark):
     table = {(r["size"]): r["rank"] for r in average_ranks(differences(df, "x", "y"), []).collect()}
     assert close(table[0.2], 4.0)
     counts = spark.range(1).select(null_distribution(F.array(F.lit(2), F.lit(3), F.lit(3))).alias("c")).first()["c"]
-    assert counts == [1.0, 0.0, 1.0, 2.0, 0.0, 2.0, 1.0, 0.0, 1.0]
+    assert counts == [0.125, 0.0, 0.125, 0.25, 0.0, 0.25, 0.125, 0.0, 0.125]
 
 
 def test_normal_approximation_is_close_to_exact(spark):
     rng = np.random.default_rng(8)
     df = spark.createDataFrame([(float(x), 0.0) for x in rng.normal(0.25, 1, 25)], "x double, y double")
-    exact = signed_rank_test(df, [], "x", "y", exact_up_to=25).first()["p_value"]
-    assert abs(exact - signed_rank_test(df, [], "x", "y", exact_up_to=5).first()["p_value"]) < 0.02
+    exact = signed_rank_test(df, [], "x", "y").first()["p_value"]
+    assert abs(exact - signed_rank_test(df, [], "x", "y", method="normal").first()["p_value"]) < 0.02
 
 
 def test_published_review_reduction(spark):
@@ -257,3 +257,31 @@ def test_reconstruction_detector_finds_shifted_rows(spark):
     frame = pd.DataFrame({"id": np.arange(600), "label": y, "a": a, "b": 2 * a + rng.normal(scale=0.05, size=600) + 4 * y})
     r = evaluate.reconstruction_holdout(spark.createDataFrame(frame), ["a", "b"], "label", "id", components=1).first()
     assert r["f1"] > 0.9
+
+
+def test_exact_ranks_for_groups_of_every_size(spark):
+    """All differences positive: p = 2 / 2^n, whatever n."""
+    rows = [(n, float(i + 1), 0.0) for n in (3, 5, 10, 12, 13, 26, 60) for i in range(n)]
+    got = signed_rank_test(spark.createDataFrame(rows, "n int, x double, y double").withColumnRenamed("n", "g"), ["g"], "x", "y").collect()
+    assert {r["g"]: r["p_value"] for r in got} == {n: 2.0 ** (1 - n) for n in (3, 5, 10, 12, 13, 26, 60)}
+
+
+def test_nan_readings(spark):
+    from tidewatch.functions.scalar import route
+    from tidewatch.operators import cleaning, profile, scaling
+
+    nan = float("nan")
+    df = spark.createDataFrame([(1, 1.0, 0), (2, 2.0, 0), (3, nan, 0), (4, 3.0, 1), (5, None, 0)], "id int, x double, label int")
+    assert [r["label"] for r in cleaning.wavelet_label(df, ["x"], "label", 2.0).orderBy("id").collect()] == [0, 0, 0, 1, 0]
+    assert cleaning.remove_outliers(df, ["x"]).count() == cleaning.remove_outliers_at_once(df, ["x"]).count() == 5
+    assert {r["bin"]: r["n"] for r in profile.histogram(df, ["x"], 2).collect()} == {0: 1, 1: 2}
+    assert [r["x"] for r in scaling.min_max(df, ["x"]).orderBy("id").collect()] == [0.0, 0.5, None, 1.0, None]
+    assert [r["r"] for r in df.select(route("x").alias("r"), "id").orderBy("id").collect()] == ["anomaly", "anomaly", "uncertain", "anomaly", None]
+
+
+def test_class_weights_of_three_classes(spark):
+    from tidewatch.operators.models import with_class_weights
+
+    rows = spark.createDataFrame([(1,), (2,), (2,), (2,), (3,), (3,)], "label int")
+    got = {r["label"]: round(r["class_weight"], 3) for r in with_class_weights(rows, "label").collect()}
+    assert got == {1: 2.0, 2: 0.667, 3: 1.0}

@@ -9,7 +9,7 @@ from tidewatch.operators import joins
 from tidewatch.operators.profile import channel_of, same_schema
 from tidewatch.operators.routing import Policy
 from tidewatch.schema import FEATURES, SUMMARY_COLUMNS, message_schema, sensor_schema
-from tidewatch.shared import broadcast_if_small, fits, run_dir, shared_dir
+from tidewatch.shared import run_dir, shared_dir
 from tidewatch.sources import kafka, readers, writers
 from tidewatch.sources.replay import interleave, replay_messages
 from tidewatch.streaming import live
@@ -39,13 +39,6 @@ def test_shared_folder_comes_from_the_session(spark):
     assert run_dir(spark, "x") != run_dir(spark, "x")
 
 
-def test_size_check(spark):
-    df = spark.range(10)
-    assert fits(df, 10) and not fits(df, 9)
-    plan = lambda d: spark.range(100).join(d, "id")._jdf.queryExecution().optimizedPlan().toString()
-    assert "broadcast" in plan(broadcast_if_small(df, 10)) and "broadcast" not in plan(broadcast_if_small(df, 9))
-
-
 def test_loader_needs_a_label(spark):
     path = run_dir(spark, "nolabel")
     spark.range(3).write.option("header", True).csv(path)
@@ -192,3 +185,31 @@ def test_hot_keys_are_salted_without_changing_the_join(spark, monkeypatch, how):
     side = spark.createDataFrame([("hot", 1), ("k1", 2), ("k2", 3), ("unused", 4)], "k string, x int")
     seen = lambda df: sorted(map(str, df.select(*sorted(df.columns)).collect()))
     assert seen(joins.spread_join(rows, side, "k", how)) == seen(rows.join(side, "k", how))
+
+
+def test_copies_of_a_hot_key_get_several_salts(spark):
+    rows = spark.createDataFrame([("hot",)] * 400 + [("cold",)] * 5, "k string")
+    hot = spark.createDataFrame([("hot", 14)], "k string, _salts int")
+    salts = {k: {r["_salt"] for r in joins.salted(rows, hot, "k").where(F.col("k") == k).collect()} for k in ("hot", "cold")}
+    assert len(salts["hot"]) == 14 and salts["cold"] == {0}
+
+
+def test_text_numbers_and_broken_messages(spark):
+    texts = ['{"message_id":"a","event_ts_ms":"17","label":"1.0","x":2.0}', "not json", '{"message_id":"b","label":null}']
+    rows = live.decode(spark.createDataFrame([(t, i) for i, t in enumerate(texts)], "value string, offset bigint"),
+                       "message_id STRING, event_ts_ms BIGINT, label INT, x DOUBLE, value DOUBLE").orderBy("offset").collect()
+    assert (rows[0]["event_ts_ms"], rows[0]["label"]) == (17, 1) and [r["raw_value"] for r in rows] == texts
+    assert rows[1]["label"] is None and rows[2]["label"] is None and rows[0]["value"] is None
+
+
+def test_a_sink_and_a_lag_by_batch(spark):
+    batch = live.decode(spark.createDataFrame(envelope(ROWS), "topic string, partition int, offset bigint, value string"), SCHEMA)
+    got = {}
+    lag = lambda n: spark.createDataFrame([("in", p, 5 + n) for p in range(3)], "topic string, partition int, consumer_lag bigint")
+    out = run_dir(spark, "sink")
+    write = live.batch_writer(out, F.col("score"), ["x"], lag=lag, sink=lambda rows, n: got.update({n: rows.collect()}))
+    write(batch, 0)
+    write(batch, 1)
+    assert {r["key"] for r in got[0]} == {r["key"] for r in got[1]} and len(got[0]) == 4
+    first, second = ({json.loads(r["value"])["consumer_lag"] for r in got[n]} for n in (0, 1))
+    assert first in ({5}, {0}) and (first == {0} or second == {6})

@@ -19,9 +19,9 @@ def uniform(seed: int | str, *ids) -> Column:
 
 def key_bucket(key: Column | str, bits: int = 16) -> Column:
     """Range bucket of an order key: its first ``bits`` bits. Monotone in the key, evenly filled."""
-    head = F.conv(F.substring(_c(key), 1, 4), 16, 10).cast("int")
+    head = F.conv(F.substring(_c(key), 1, 8), 16, 10).cast("bigint")
     # Never null, so that joins on the bucket need no null filter that would hash every row twice.
-    return F.coalesce(F.shiftright(head, 16 - bits), F.lit(0))
+    return F.coalesce(F.shiftright(head, 32 - bits).cast("int"), F.lit(0))
 
 
 def ratio(numerator, denominator) -> Column:
@@ -29,6 +29,11 @@ def ratio(numerator, denominator) -> Column:
     return F.coalesce(F.try_divide(_n(numerator), _n(denominator)), F.lit(0.0))
 
 
+def reading(value) -> Column:
+    """A number as DOUBLE, NaN as null: Spark holds NaN for larger than any number."""
+    return F.nanvl(_n(value), F.lit(None).cast("double"))
+
+
 def clip01(value) -> Column:
     return F.least(F.greatest(_n(value), F.lit(0.0)), F.lit(1.0))
 

@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import Column, functions as F
 
-from .portable import _c, _n
+from .portable import _c, _n, reading
 
 # Fixed values of the wavelet: prefactor 1 / (sqrt(3) * pi^(1/4)), flag level, unit width.
 WAVELET_PREFACTOR = 1.0 / (math.sqrt(3.0) * math.pi**0.25)
@@ -20,8 +20,8 @@ def wavelet(value, amplitude: float = 1.0) -> Column:
 
 
 def z_score(value, mean, std) -> Column:
-    """Standard score; null when the spread is zero or unknown."""
-    return F.try_divide(_n(value) - _n(mean), _n(std))
+    """Standard score; null when the spread is zero or unknown, or the reading is NaN."""
+    return F.try_divide(reading(value) - _n(mean), _n(std))
 
 
 def distance(a, b) -> Column:
@@ -46,9 +46,9 @@ def reconstruction_error(original, rebuilt) -> Column:
 
 def route(score, anomaly_above: float = 0.8, normal_up_to: float = 0.2,
           names: tuple[str, str, str] = ("anomaly", "normal", "uncertain")) -> Column:
-    """Three-way route of a score. Bounds are half open; a null score has no route."""
+    """Three-way route of a score. Bounds are half open; a null score has no route, NaN is uncertain."""
     s = _n(score)
-    return (F.when(s > anomaly_above, names[0]).when(s <= normal_up_to, names[1])
+    return (F.when(F.isnan(s), names[2]).when(s > anomaly_above, names[0]).when(s <= normal_up_to, names[1])
             .when(s.isNotNull(), names[2]))
 
 

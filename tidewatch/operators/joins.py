@@ -1,21 +1,19 @@
-"""Lookups and reconciliations. Small sides are broadcast only after their size was checked."""
+"""Lookups and reconciliations. Spark broadcasts a side by its bytes, known at run time; hot keys are salted."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.portable import ratio
-from ..shared import broadcast_if_small, written
+from ..shared import written
 
-# Largest lookup table that is broadcast; a bigger one is shuffled, with AQE splitting hot keys.
-LOOKUP_ROWS = 200_000
 # A key is hot above 1 / (HOT_SHARE x shuffle partitions) of all rows, and never below MIN_HOT rows.
 HOT_SHARE, MIN_HOT = 4, 10_000
 
 
 def lookup(df: DataFrame, dim: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
-    """Join with a lookup table: broadcast when it is proven small, shuffled otherwise."""
-    return df.join(broadcast_if_small(dim, LOOKUP_ROWS), keys, how)
+    """Join with a lookup table; Spark broadcasts it where its bytes are few, at run time, and shuffles otherwise."""
+    return df.join(dim, keys, how)
 
 
 def lookup_name(df: DataFrame, dim: DataFrame, code: str, name: str) -> DataFrame:
@@ -30,13 +28,21 @@ def last_per_key(df: DataFrame, keys: list[str], order: str | Column) -> DataFra
     return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), by).alias("_l")).select(*keys, "_l.*").select(*df.columns)
 
 
+def salted(df: DataFrame, hot: DataFrame, key: str) -> DataFrame:
+    """Column ``_salt``: 0 but for rows of a key in ``hot`` (key, _salts), which get a salt by their place in the input."""
+    place = F.xxhash64(F.monotonically_increasing_id())
+    placed = df.withColumn("_place", place).join(hot, key, "left")
+    return placed.withColumn("_salt", F.pmod("_place", F.coalesce("_salts", F.lit(1))).cast("int")).drop("_place", "_salts")
+
+
 def spread_join(df: DataFrame, side: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """Join many rows to one row per key, with hot keys salted.
 
     Keys that fill more than a fair share of a shuffle partition are counted
     first; there are at most ``HOT_SHARE`` x partitions of them, so their table
-    is small by construction. Rows of a hot key are spread by hash over salts
-    and the key's single side row is repeated once per salt.
+    is small by construction. Rows of a hot key are spread over salts by a hash
+    of their place in the input, so that copies and rows of nothing but the key
+    are spread too, and the key's single side row is repeated once per salt.
     """
     spark = df.sparkSession
     parts = HOT_SHARE * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -45,8 +51,7 @@ def spread_join(df: DataFrame, side: DataFrame, key: str, how: str = "inner") ->
     hot = counts.where(F.col(key).isNotNull()).withColumn("_fair", fair).where("_n > _fair").select(
         key, F.ceil(F.col("_n") / F.col("_fair")).cast("int").alias("_salts"))
     hot = F.broadcast(written(hot, "hotkeys"))
-    spread = F.pmod(F.xxhash64(*df.columns), F.coalesce("_salts", F.lit(1))).cast("int")
-    left = df.join(hot, key, "left").withColumn("_salt", spread).drop("_salts")
+    left = salted(df, hot, key)
     right = side.join(hot, key, "left").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
     return left.join(right, [key, "_salt"], how).drop("_salt")

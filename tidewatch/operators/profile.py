@@ -6,7 +6,7 @@ from itertools import combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions.portable import ratio
+from ..functions.portable import ratio, reading
 from ..schema import LABEL_CANDIDATES
 from .ordered import quantiles, range_cuts, with_previous, with_range_bucket
 
@@ -90,8 +90,8 @@ def null_counts(df: DataFrame, columns: list[str] | None = None, only_missing: b
 
 def moments(df: DataFrame, columns: list[str]) -> DataFrame:
     """Mean, sample deviation and minimum per column in one pass."""
-    stats = [F.struct(F.lit(c).alias("column_name"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
-                      F.min(F.col(c).cast("double")).alias("minimum")) for c in columns]
+    stats = [F.struct(F.lit(c).alias("column_name"), F.avg(reading(c)).alias("mean"), F.stddev_samp(reading(c)).alias("std"),
+                      F.min(reading(c)).alias("minimum")) for c in columns]
     return df.agg(F.array(*stats).alias("s")).select(F.inline("s"))
 
 
@@ -124,7 +124,7 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     """Pearson matrix in long form; every pair in one aggregate."""
     pairs = list(combinations_with_replacement(columns, 2))
     cells = [F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"),
-                      F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias("r")) for a, b in pairs]
+                      F.corr(reading(a), reading(b)).alias("r")) for a, b in pairs]
     half = df.agg(F.array(*cells).alias("s")).select(F.inline("s"))
     mirrored = F.when(F.col("column_a") == F.col("column_b"), F.array(F.struct("column_a", "column_b", "r"))).otherwise(
         F.array(F.struct("column_a", "column_b", "r"),
@@ -133,12 +133,12 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def histogram(df: DataFrame, columns: list[str], bins: int = 50, by: list[str] = ()) -> DataFrame:
-    """Equal-width bins per column (and group); the top edge falls into the last bin."""
-    edges = df.agg(F.struct(*[F.struct(F.min(F.col(c).cast("double")).alias("lo"),
-                                       F.max(F.col(c).cast("double")).alias("hi")).alias(c) for c in columns])
+    """Equal-width bins per column (and group); the top edge falls into the last bin, NaN and null into none."""
+    edges = df.agg(F.struct(*[F.struct(F.min(reading(c)).alias("lo"),
+                                       F.max(reading(c)).alias("hi")).alias(c) for c in columns])
                    .alias("e")).scalar()
-    bounded = df.select(*by, *columns).withColumn("_e", edges)
-    share = {c: F.try_divide(F.col(c).cast("double") - F.col("_e")[c]["lo"],
+    bounded = df.select(*by, *[reading(c).alias(c) for c in columns]).withColumn("_e", edges)
+    share = {c: F.try_divide(F.col(c) - F.col("_e")[c]["lo"],
                              F.col("_e")[c]["hi"] - F.col("_e")[c]["lo"]) for c in columns}
     binned = bounded.select(*by, *[F.when(F.col(c).isNotNull(), F.least(
         F.coalesce(F.floor(s * bins), F.lit(0)), F.lit(bins - 1)).cast("int")).alias(c) for c, s in share.items()])

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.portable import ratio
-from ..shared import broadcast_if_small, written
-from .joins import LOOKUP_ROWS
+from ..shared import written
 from .ordered import null_safe_join, quantiles, running, with_previous, with_range_bucket
 
 
@@ -45,7 +44,7 @@ def recovery_time(df: DataFrame, by: list[str], ts: str, is_fault: Column, is_ok
     """First fault per group, first good record at or after it, and the gap in seconds."""
     starts = df.where(is_fault).groupBy(*by).agg(F.min(ts).alias("fault_start"))
     starts = written(starts, "faults")
-    good = null_safe_join(df.where(is_ok), broadcast_if_small(starts, LOOKUP_ROWS), by).where(F.col(ts) >= F.col("fault_start"))
+    good = null_safe_join(df.where(is_ok), starts, by).where(F.col(ts) >= F.col("fault_start"))
     first = good.groupBy(*by).agg(F.min(ts).alias("first_ok"))
     return null_safe_join(starts, first, by, "left").withColumn(
         "recovery_seconds", (F.col("first_ok") - F.col("fault_start")).cast("double"))

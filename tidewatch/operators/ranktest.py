@@ -31,15 +31,16 @@ def average_ranks(diffs: DataFrame, by: list[str], cuts: list[float] | None = No
 
 
 def null_distribution(doubled_ranks: str | Column) -> Column:
-    """Number of sign patterns per doubled rank sum, index 0..2*sum, as an array of doubles.
+    """Share of all sign patterns per doubled rank sum, index 0..2*sum, as an array of doubles.
 
-    Equals listing all 2^n patterns, but folds one rank at a time.
+    Equals listing all 2^n patterns, but folds one rank at a time; shares halve
+    with each rank, so no group size overflows.
     """
     ranks = F.col(doubled_ranks) if isinstance(doubled_ranks, str) else doubled_ranks
     top = F.aggregate(ranks, F.lit(0), lambda a, r: a + r)
     start = F.transform(F.sequence(F.lit(0), top), lambda i: F.when(i == 0, 1.0).otherwise(0.0))
     return F.aggregate(ranks, start, lambda acc, r: F.transform(
-        acc, lambda v, i: v + F.when(i >= r, F.get(acc, i - r)).otherwise(0.0)))
+        acc, lambda v, i: (v + F.when(i >= r, F.get(acc, i - r)).otherwise(0.0)) / F.lit(2.0)))
 
 
 def _upper_normal_tail(z: Column) -> Column:
@@ -51,38 +52,39 @@ def _upper_normal_tail(z: Column) -> Column:
     return F.lit(0.3989422804014327) * F.exp(-z * z / F.lit(2.0)) * poly
 
 
-def signed_rank_test(df: DataFrame, by: list[str], x: str, y: str, exact_up_to: int = 25) -> DataFrame:
+def signed_rank_test(df: DataFrame, by: list[str], x: str, y: str, method: str = "exact") -> DataFrame:
     """w+, w-, statistic, p-value, significance, direction, mean and median difference per group.
 
-    Exact for groups of up to ``exact_up_to`` non-zero differences; above that
-    the normal approximation with tie-corrected variance. Groups without any
-    difference report n = 0 and p = 1.
+    ``method`` is ``exact``, for groups of every size (n steps over n * (n + 1)
+    sums for n non-zero differences), or ``normal``, the approximation with
+    tie-corrected variance. Groups without any difference report n = 0 and p = 1.
     """
+    if method not in ("exact", "normal"):
+        raise ValueError(f"unknown method {method!r}")
     diffs = differences(df, x, y, by)
     # Quantiles of the differences also cut their sizes well, so one pass finds both sets of range buckets.
     cuts = range_cuts(diffs, ["difference"])["difference"]
     ranks = average_ranks(diffs, by, sorted({abs(c) for c in cuts}))
     medians = quantiles(diffs, by, "difference", {"median_difference": 0.5}, cuts=cuts)
-    n = F.col("upto_whole")
-    small = F.when(n <= exact_up_to, F.struct((F.col("rank") * 2).cast("int").alias("r"), F.col("n").cast("int").alias("n")))
+    sized = F.struct((F.col("rank") * 2).cast("int").alias("r"), F.col("n").cast("int").alias("n"))
     sums = ranks.groupBy(*by).agg(
         F.sum("n").alias("n"), F.sum(F.col("rank") * F.col("n_plus")).alias("w_plus"),
         F.sum(F.col("rank") * (F.col("n") - F.col("n_plus"))).alias("w_minus"),
         F.sum("total").alias("_total"), F.sum(F.col("n") * F.col("n") * F.col("n") - F.col("n")).alias("_ties"),
-        F.collect_list(small).alias("_small"))
+        *([F.collect_list(sized).alias("_ranks")] if method == "exact" else []))
     sums = sums.withColumn("statistic", F.least("w_plus", "w_minus"))
-    expanded = F.flatten(F.transform("_small", lambda s: F.array_repeat(s["r"], s["n"])))
-    counts = sums.withColumn("_dist", F.when(F.col("n") <= exact_up_to, null_distribution(expanded)))
-    top = F.size("_dist") - 1
-    hit = F.aggregate(F.transform("_dist", lambda c, i: F.when(
-        F.least(i, top - i) <= F.col("statistic") * 2 + 1e-12, c).otherwise(0.0)), F.lit(0.0), lambda a, v: a + v)
-    exact = hit / F.pow(F.lit(2.0), F.col("n"))
-    m = F.col("n").cast("double")
-    spread = F.sqrt(m * (m + 1) * (2 * m + 1) / 24 - F.col("_ties") / 48.0)
-    z = F.abs(F.try_divide(F.col("statistic") - m * (m + 1) / 4, spread))
-    normal = F.least(F.lit(1.0), F.lit(2.0) * _upper_normal_tail(z))
-    tested = counts.withColumns({"p_value": F.when(F.col("n") <= exact_up_to, exact).otherwise(normal),
-                                 "mean_difference": F.col("_total") / F.col("n")})
+    if method == "exact":
+        expanded = F.flatten(F.transform("_ranks", lambda s: F.array_repeat(s["r"], s["n"])))
+        sums = sums.withColumn("_dist", null_distribution(expanded))
+        top = F.size("_dist") - 1
+        p_value = F.aggregate(F.transform("_dist", lambda c, i: F.when(
+            F.least(i, top - i) <= F.col("statistic") * 2 + 1e-12, c).otherwise(0.0)), F.lit(0.0), lambda a, v: a + v)
+    else:
+        m = F.col("n").cast("double")
+        spread = F.sqrt(m * (m + 1) * (2 * m + 1) / 24 - F.col("_ties") / 48.0)
+        z = F.abs(F.try_divide(F.col("statistic") - m * (m + 1) / 4, spread))
+        p_value = F.least(F.lit(1.0), F.lit(2.0) * _upper_normal_tail(z))
+    tested = sums.withColumns({"p_value": p_value, "mean_difference": F.col("_total") / F.col("n")})
     tested = (null_safe_join(tested, medians, by) if by
               else tested.withColumn("median_difference", medians.scalar()))
     kept = ["n", "w_plus", "w_minus", "statistic", "p_value", "mean_difference", "median_difference"]

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .ordered import quantiles
+from ..functions.portable import reading
 from .profile import long_form
 
 
 def _apply(df: DataFrame, fit: DataFrame, columns: list[str], stats, formula) -> DataFrame:
     packed = fit.agg(F.struct(*[F.struct(*stats(c)).alias(c) for c in columns]).alias("s")).scalar()
     held = df.withColumn("_s", packed)
-    return held.withColumns({c: formula(F.col(c).cast("double"), F.col("_s")[c]) for c in columns}).drop("_s")
+    return held.withColumns({c: formula(reading(c), F.col("_s")[c]) for c in columns}).drop("_s")
 
 
 def standard(df: DataFrame, columns: list[str], fit: DataFrame | None = None, population: bool = False) -> DataFrame:
@@ -21,7 +22,7 @@ def standard(df: DataFrame, columns: list[str], fit: DataFrame | None = None, po
     def formula(x: Column, s: Column) -> Column:
         return F.when(x.isNotNull(), F.coalesce(F.try_divide(x - s["m"], s["d"]), F.lit(0.0)))
 
-    return _apply(df, fit or df, columns, lambda c: [F.avg(c).alias("m"), dev(c).alias("d")], formula)
+    return _apply(df, fit or df, columns, lambda c: [F.avg(reading(c)).alias("m"), dev(reading(c)).alias("d")], formula)
 
 
 def min_max(df: DataFrame, columns: list[str], fit: DataFrame | None = None) -> DataFrame:
@@ -29,20 +30,20 @@ def min_max(df: DataFrame, columns: list[str], fit: DataFrame | None = None) ->
     def formula(x: Column, s: Column) -> Column:
         return F.when(x.isNotNull(), F.coalesce(F.try_divide(x - s["lo"], s["hi"] - s["lo"]), F.lit(0.0)))
 
-    return _apply(df, fit or df, columns, lambda c: [F.min(F.col(c).cast("double")).alias("lo"),
-                                                     F.max(F.col(c).cast("double")).alias("hi")], formula)
+    return _apply(df, fit or df, columns, lambda c: [F.min(reading(c)).alias("lo"),
+                                                     F.max(reading(c)).alias("hi")], formula)
 
 
 def min_shift(df: DataFrame, columns: list[str], fit: DataFrame | None = None) -> DataFrame:
     """x - min, so that no reading is below zero."""
-    return _apply(df, fit or df, columns, lambda c: [F.min(F.col(c).cast("double")).alias("lo")],
+    return _apply(df, fit or df, columns, lambda c: [F.min(reading(c)).alias("lo")],
                   lambda x, s: x - s["lo"])
 
 
 def robust(df: DataFrame, columns: list[str], fit: DataFrame | None = None,
            low: float = 0.1, high: float = 0.9) -> DataFrame:
     """(x - median) / (q_high - q_low) with interpolated quantiles; a zero range counts as 1."""
-    cuts = quantiles(long_form(fit or df, columns), ["column_name"], "reading", {"mid": 0.5, "lo": low, "hi": high})
+    cuts = quantiles(long_form((fit or df).withColumns({c: reading(c) for c in columns}), columns), ["column_name"], "reading", {"mid": 0.5, "lo": low, "hi": high})
     packed = cuts.agg(F.struct(*[F.max(F.when(F.col("column_name") == c, F.struct("mid", "lo", "hi"))).alias(c)
                                  for c in columns]).alias("q")).scalar()
     held = df.withColumn("_q", packed)
@@ -50,5 +51,5 @@ def robust(df: DataFrame, columns: list[str], fit: DataFrame | None = None,
     for c in columns:
         q = F.col("_q")[c]
         span = q["hi"] - q["lo"]
-        out[c] = (F.col(c).cast("double") - q["mid"]) / F.when(span == 0, F.lit(1.0)).otherwise(span)
+        out[c] = (reading(c) - q["mid"]) / F.when(span == 0, F.lit(1.0)).otherwise(span)
     return held.withColumns(out).drop("_q")

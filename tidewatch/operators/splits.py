@@ -5,14 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.portable import clip01, key_bucket, order_key, uniform
-from ..shared import broadcast_if_small, hash_bits, written
+from ..shared import hash_bits, written
 from .ordered import ranked
 
 
-# Largest table of per-bucket cut rows that is broadcast; beyond it the join shuffles.
-CUT_ROWS = 500_000
-
-
 def _ranked_by_hash(df: DataFrame, by: list[str], id_col: str, seed: int) -> DataFrame:
     """Rank rows per class along a seeded hash order; the hash prefix is the range bucket."""
     keyed = df.withColumn("_key", order_key(seed, id_col)).withColumn("_bucket", key_bucket("_key", hash_bits(df.sparkSession)))
@@ -26,8 +22,8 @@ def stratified_folds(df: DataFrame, label: str, id_col: str, k: int = 5, seed: i
 
 
 def rank_bands(df: DataFrame, label: str, id_col: str, seed: int, bands: dict[str, Column], rest: str,
-               name: str = "band") -> DataFrame:
-    """Cut every class at given ranks of its seeded hash order, without ranking every row.
+               name: str = "band", by: list[str] = ()) -> DataFrame:
+    """Cut every class (of each group) at given ranks of its seeded hash order, without ranking every row.
 
     ``bands`` gives, in order, the last rank of each band as an expression over
     ``_n`` (class size) and ``_least`` (size of the smallest class); what lies
@@ -44,18 +40,18 @@ def rank_bands(df: DataFrame, label: str, id_col: str, seed: int, bands: dict[st
             out = F.when(rank <= last, band).otherwise(out)
         return out
 
-    sizes = keyed.groupBy(F.col(label).alias("_class"), F.col("_bucket").alias("_cut")).agg(
-        F.count(F.lit(1)).alias("_size"))
+    mine = F.struct(*by, label)
+    sizes = keyed.groupBy(mine.alias("_class"), F.col("_bucket").alias("_cut")).agg(F.count(F.lit(1)).alias("_size"))
     per_class = Window.partitionBy("_class")
     ahead = per_class.orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)
-    least = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n").alias("n")).scalar()
-    cuts = sizes.withColumns({"_ahead": F.coalesce(F.sum("_size").over(ahead), F.lit(0)),
-                              "_n": F.sum("_size").over(per_class), "_least": least})
+    per_group = Window.partitionBy(*[F.col("_class")[c] for c in by]) if by else Window.partitionBy(F.lit(0))
+    cuts = sizes.withColumns({"_ahead": F.coalesce(F.sum("_size").over(ahead), F.lit(0)), "_n": F.sum("_size").over(per_class)})
+    cuts = cuts.withColumn("_least", F.min("_n").over(per_group))
     first, last = band_of(F.col("_ahead") + 1), band_of(F.col("_ahead") + F.col("_size"))
     cuts = written(cuts.withColumns({"_band": first, "_settled": first == last}), "cuts")
 
-    marked = keyed.join(broadcast_if_small(cuts, CUT_ROWS),
-                        F.col(label).eqNullSafe(F.col("_class")) & (F.col("_bucket") == F.col("_cut")))
+    marked = keyed.join(cuts,
+                        mine.eqNullSafe(F.col("_class")) & (F.col("_bucket") == F.col("_cut")))
     kept = [*df.columns, name]
     whole = marked.where("_settled").withColumn(name, F.col("_band")).select(*kept)
     place = F.row_number().over(Window.partitionBy("_class", "_cut").orderBy("_key", id_col))

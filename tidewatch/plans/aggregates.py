@@ -350,40 +350,49 @@ rk AS (SELECT *, rank() OVER (PARTITION BY user_id, event_type ORDER BY sz) + (c
  row_number() OVER (PARTITION BY user_id, event_type ORDER BY sz) - 1 AS i, count(*) OVER (PARTITION BY user_id, event_type) AS n FROM s)"""
 
 
-@query("ag31_exact_null_distribution", with_events("""
-SELECT user_id, event_type, doubled, count(*) AS patterns FROM (SELECT user_id, event_type, mask,
- CAST(coalesce(sum(2 * r) FILTER ((mask >> i) & 1 = 1), 0) AS BIGINT) AS doubled
- FROM rk, (SELECT unnest(range(4096)) AS mask) WHERE n <= 12 AND mask < (1 << n) GROUP BY 1, 2, 3) GROUP BY 1, 2, 3""", PAIRS, RANKS))
+FOLD = """steps AS (SELECT user_id, event_type, CAST(2 * r AS BIGINT) AS x, row_number() OVER (PARTITION BY user_id, event_type ORDER BY sz) AS i, n FROM rk),
+fold AS (SELECT DISTINCT user_id, event_type, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS doubled, 1.0::DOUBLE AS share FROM rk UNION ALL
+ SELECT fold.user_id, fold.event_type, fold.i + 1, doubled + b * x, sum(share) / 2 FROM fold JOIN steps s ON s.user_id = fold.user_id
+  AND s.event_type = fold.event_type AND s.i = fold.i + 1, (VALUES (0), (1)) t(b) GROUP BY 1, 2, 3, 4),
+nulls AS (SELECT user_id, event_type, doubled, share, n FROM fold JOIN (SELECT DISTINCT user_id, event_type, n FROM steps) USING (user_id, event_type) WHERE i = n)"""
+
+
+def with_fold(body: str, *ctes: str) -> str:
+    return with_events(body, PAIRS, RANKS, FOLD, *ctes).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("ag31_exact_null_distribution", with_fold("SELECT user_id, event_type, doubled, share FROM nulls"))
 def null_distributions(spark, sf):
     by = ["user_id", "event_type"]
-    ranks = average_ranks(differences(events(spark, sf), "value", "k", by), by).where("upto_whole <= 12")
+    ranks = average_ranks(differences(events(spark, sf), "value", "k", by), by)
     doubled = F.flatten(F.collect_list(F.array_repeat((F.col("rank") * 2).cast("int"), F.col("n").cast("int"))))
-    spread = ranks.groupBy(*by).agg(doubled.alias("r")).select(*by, F.posexplode(null_distribution("r")).alias("doubled", "patterns"))
-    return spread.where("patterns > 0").select(*by, F.col("doubled").cast("bigint").alias("doubled"),
-                                               F.col("patterns").cast("bigint").alias("patterns"))
+    spread = ranks.groupBy(*by).agg(doubled.alias("r")).select(*by, F.posexplode(null_distribution("r")).alias("doubled", "share"))
+    return spread.where("share > 0").select(*by, F.col("doubled").cast("bigint").alias("doubled"), "share")
 
 
 TEST = """w AS (SELECT user_id, event_type, count(*) AS n, coalesce(sum(r) FILTER (d > 0), 0) AS w_plus, coalesce(sum(r) FILTER (d < 0), 0) AS w_minus,
  avg(d) AS mean_difference, quantile_cont(d, 0.5) AS median_difference FROM rk GROUP BY 1, 2),
 ties AS (SELECT user_id, event_type, sum(c * c * c - c) AS ties FROM (SELECT user_id, event_type, sz, count(*) AS c FROM rk GROUP BY 1, 2, 3) GROUP BY 1, 2),
-masks AS (SELECT user_id, event_type, mask, any_value(n) AS n, coalesce(sum(r) FILTER ((mask >> i) & 1 = 1), 0) AS plus, sum(r) AS total
- FROM rk, (SELECT unnest(range(4096)) AS mask) WHERE n <= 12 AND mask < (1 << n) GROUP BY 1, 2, 3),
-ex AS (SELECT m.user_id, m.event_type, avg(CAST(least(plus, total - plus) <= least(w_plus, w_minus) + 1e-12 AS INTEGER)) AS p
- FROM masks m JOIN w USING (user_id, event_type) GROUP BY 1, 2),
+ex AS (SELECT user_id, event_type, sum(share) FILTER (least(doubled, nulls.n * (nulls.n + 1) - doubled) <= 2 * least(w_plus, w_minus) + 1e-12) AS pv
+ FROM nulls JOIN w USING (user_id, event_type) GROUP BY 1, 2),
 zz AS (SELECT w.*, abs((least(w_plus, w_minus) - n * (n + 1) / 4.0::DOUBLE) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0::DOUBLE - ties / 48.0::DOUBLE)) AS z
  FROM w JOIN ties USING (user_id, event_type)),
 np AS (SELECT *, 1.0::DOUBLE / (1 + 0.2316419::DOUBLE * z) AS t FROM zz)"""
-
-
-@query("ag32_signed_rank_test", with_events("""
-SELECT user_id, event_type, n, w_plus, w_minus, least(w_plus, w_minus) AS statistic, round(pv, 6) AS p_value,
+TESTED = """SELECT user_id, event_type, n, w_plus, w_minus, least(w_plus, w_minus) AS statistic, round(pv, 6) AS p_value,
  round(mean_difference, 6) AS mean_difference, round(median_difference, 6) AS median_difference, pv < 0.05 AS significant,
  CASE WHEN mean_difference > 0 THEN 'better_than_random' WHEN mean_difference < 0 THEN 'worse_than_random' ELSE 'no_difference' END AS direction
-FROM (SELECT np.*, CASE WHEN n <= 12 THEN ex.p ELSE least(1, 2 * 0.3989422804014327::DOUBLE * exp(-z * z / 2) * t * (0.319381530::DOUBLE + t * (-0.356563782::DOUBLE
- + t * (1.781477937::DOUBLE + t * (-1.821255978::DOUBLE + t * 1.330274429::DOUBLE))))) END AS pv FROM np LEFT JOIN ex USING (user_id, event_type))""",
-    PAIRS, RANKS, TEST))
+FROM """
+
+
+@query("ag32_signed_rank_test", with_fold(TESTED + "w JOIN ex USING (user_id, event_type)", TEST))
 def rank_test(spark, sf):
-    return rounded(signed_rank_test(events(spark, sf), ["user_id", "event_type"], "value", "k", exact_up_to=12))
+    return rounded(signed_rank_test(events(spark, sf), ["user_id", "event_type"], "value", "k"))
+
+
+@query("ag32_signed_rank_test_normal", with_fold(TESTED + """(SELECT *, least(1, 2 * 0.3989422804014327::DOUBLE * exp(-z * z / 2) * t * (0.319381530::DOUBLE
+ + t * (-0.356563782::DOUBLE + t * (1.781477937::DOUBLE + t * (-1.821255978::DOUBLE + t * 1.330274429::DOUBLE))))) AS pv FROM np)""", TEST))
+def rank_test_normal(spark, sf):
+    return rounded(signed_rank_test(events(spark, sf), ["user_id", "event_type"], "value", "k", method="normal"))
 
 
 @query("ag33_delay_matrix", with_events("""

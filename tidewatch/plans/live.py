@@ -34,12 +34,27 @@ def _stream(spark, sf):
     return spark.readStream.schema(EVENT_DDL).option("pathGlobFilter", "events.parquet").parquet(sf)
 
 
-def _drain(spark, sf, name, rounds=1):
+FILES = 4
+
+
+def _filed(spark, sf, last=None):
+    """The events as a stream of several files, each a micro-batch; ``last`` is a final file of its own."""
+    path = run_dir(spark, "arriving")
+    rows = table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
+    for k in range(FILES):
+        rows.where(F.pmod(F.floor(F.col("event_id") / 4), F.lit(FILES)) == k).coalesce(1).write.mode("append").parquet(path)
+    if last is not None:
+        last.select(*rows.columns).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(EVENT_DDL).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _drain(spark, sf, name, rounds=1, stream=None, score=None, **more):
     """Run the live job over everything there is, a number of times on one progress folder; returns the output folder."""
     out = run_dir(spark, name)
-    write = live.batch_writer(out, F.col("score"), ["value"], processed_ms=F.lit(DONE_MS).cast("bigint"))
+    write = live.batch_writer(out, F.col("score") if score is None else score, ["value"], processed_ms=F.lit(DONE_MS).cast("bigint"), **more)
+    stream = _stream(spark, sf) if stream is None else stream
     for _ in range(rounds):
-        live.start(live.decode(_as_messages(_stream(spark, sf)), MESSAGE), write, f"{out}/progress", interval=None).awaitTermination()
+        live.start(live.decode(_as_messages(stream), MESSAGE), write, f"{out}/progress", interval=None).awaitTermination()
     return out
 
 
@@ -64,10 +79,10 @@ def live_routed(spark, sf):
     return rounded(spark.read.schema(ROUTED_DDL).json(f"{out}/routed").select(*live.ROUTED))
 
 
-@query("st01_micro_batch_loop", with_events("SELECT 1::BIGINT AS batches, count(*) AS records FROM ok", VALID))
+@query("st01_micro_batch_loop", with_events(f"SELECT {FILES}::BIGINT AS batches, count(*) AS records FROM ok", VALID))
 def micro_batch_loop(spark, sf):
-    """Drain the stream, then trigger once more: an empty round leaves no batch behind."""
-    out = _drain(spark, sf, "loop", rounds=2)
+    """Drain a stream of several micro-batches, then trigger once more: an empty round leaves no batch behind."""
+    out = _drain(spark, sf, "loop", rounds=2, stream=_filed(spark, sf))
     return spark.read.schema("records_processed BIGINT").json(f"{out}/metrics").agg(
         F.count(F.lit(1)).alias("batches"), F.sum("records_processed").alias("records"))
 
@@ -87,24 +102,29 @@ def streaming_topic_sink(spark, sf):
 
 
 @query("st04_live_batch_metrics", with_events(f"""
-SELECT count(*) AS records_processed, count(*) FILTER (route = 'anomaly') AS anomaly_count, count(*) FILTER (route = 'normal') AS normal_count,
+SELECT event_id // 4 % {FILES} AS batch, count(*) AS records_processed, count(*) FILTER (route = 'anomaly') AS anomaly_count, count(*) FILTER (route = 'normal') AS normal_count,
  count(*) FILTER (route = 'uncertain') AS uncertain_count, round(avg({DONE_MS} - ms), 2) AS mean_e2e_latency_ms,
- CAST(quantile_disc({DONE_MS} - ms, 0.95) AS BIGINT) AS p95_e2e_latency_ms, 0::BIGINT AS total_consumer_lag, 'route_uncertain' AS routing_policy FROM ok""", VALID))
+ CAST(quantile_disc({DONE_MS} - ms, 0.95) AS BIGINT) AS p95_e2e_latency_ms, (6 + 40 * ({FILES} - 1 - event_id // 4 % {FILES}))::BIGINT AS total_consumer_lag, 'route_uncertain' AS routing_policy FROM ok GROUP BY event_id // 4 % {FILES}""", VALID))
 def live_metrics(spark, sf):
     from ..schema import BATCH_METRICS_DDL
 
-    log = spark.read.schema(BATCH_METRICS_DDL).json(f"{_drain(spark, sf, 'metrics')}/metrics")
-    return log.select("records_processed", "anomaly_count", "normal_count", "uncertain_count", F.round("mean_e2e_latency_ms", 2).alias("mean_e2e_latency_ms"),
+    def lag(batch):
+        return spark.range(4).select(F.lit("input").alias("topic"), F.col("id").cast("int").alias("partition"),
+                                     (F.col("id") + 10 * (FILES - 1 - batch)).alias("consumer_lag"))
+
+    out = _drain(spark, sf, "metrics", stream=_filed(spark, sf), lag=lag)
+    log = spark.read.schema(BATCH_METRICS_DDL + ", batch_id BIGINT").json(f"{out}/metrics")
+    return log.select(F.col("batch_id").alias("batch"), "records_processed", "anomaly_count", "normal_count", "uncertain_count", F.round("mean_e2e_latency_ms", 2).alias("mean_e2e_latency_ms"),
                       "p95_e2e_latency_ms", "total_consumer_lag", "routing_policy")
 
 
 @query("st10_quarantine", with_events(f"""
-SELECT event_id AS source_offset, CASE WHEN {u_sql('97', 'event_id')} < 0.01 THEN 'no_id' ELSE 'missing_feature' END AS reject_reason
+SELECT event_id AS source_offset, CASE WHEN hr <> 0 THEN value END IS NULL AS value_missing_in_text, CASE WHEN {u_sql('97', 'event_id')} < 0.01 THEN 'no_id' ELSE 'missing_feature' END AS reject_reason
 FROM e WHERE {u_sql('97', 'event_id')} < 0.01 OR hr = 0"""))
 def quarantine(spark, sf):
     out = _drain(spark, sf, "quarantine")
-    return spark.read.schema("offset BIGINT, reject_reason STRING").json(f"{out}/quarantine").select(
-        F.col("offset").alias("source_offset"), "reject_reason")
+    return spark.read.schema("offset BIGINT, reject_reason STRING, raw_value STRING").json(f"{out}/quarantine").select(
+        F.col("offset").alias("source_offset"), F.col("raw_value").contains('"value":null').alias("value_missing_in_text"), "reject_reason")
 
 
 @query("st05_restart_from_progress", with_events("SELECT count(*) AS n, count(DISTINCT event_id) AS ids FROM ok", VALID))
@@ -128,15 +148,23 @@ def event_time_windows(spark, sf):
 
 @query("st_event_time_windows_streamed", with_events(f"""
 SELECT count(*) AS windows, CAST(sum(n) AS BIGINT) AS records FROM (SELECT ms // 10000 AS w, count(*) AS n FROM
- (SELECT ts_us // 1000 AS ms FROM e WHERE {u_sql('97', 'event_id')} >= 0.01) GROUP BY 1), (SELECT max(ts_us // 1000) - 600000 AS mark FROM e WHERE {u_sql('97', 'event_id')} >= 0.01)
-WHERE (w + 1) * 10000 <= mark"""))
+ (SELECT ts_us // 1000 AS ms FROM e WHERE {u_sql('97', 'event_id')} >= 0.01) GROUP BY 1)"""))
 def event_time_windows_streamed(spark, sf):
-    """Streaming run of the windowed counts over deduplicated ids; windows behind the watermark are final."""
+    """Streaming run of the windowed counts over deduplicated ids. A last record two days later moves the watermark past
+    every window, so all are final; its own window stays open."""
     from ..functions.scalar import route
 
     out = run_dir(spark, "windows")
-    records = live.decode(_as_messages(_stream(spark, sf)), MESSAGE).where(F.col("message_id").isNotNull()).withColumn(
-        "at", F.timestamp_millis("event_ts_ms"))
+    e = table(spark, sf, "events")
+    last = e.agg((F.max("ts") + F.expr("INTERVAL 2 DAYS")).alias("ts"), (F.max("event_id") + 1).alias("event_id")).select(
+        "event_id", "ts", F.lit(0).cast("bigint").alias("user_id"), F.lit("view").alias("event_type"), F.lit(0.0).alias("value"), F.lit("end").alias("props"))
+    # All events are one arrival: in several, those behind the watermark of the earlier ones would be late.
+    path = run_dir(spark, "ending")
+    for part in (e.select(*last.columns), last):
+        part.coalesce(1).write.mode("append").parquet(path)
+    arriving = spark.readStream.schema(EVENT_DDL).option("maxFilesPerTrigger", 1).parquet(path)
+    stamped = live.decode(_as_messages(arriving), MESSAGE)
+    records = stamped.where(F.col("message_id").isNotNull()).withColumn("at", F.timestamp_millis("event_ts_ms"))
     rows = live.deduplicated(records, "at").withColumns({"e2e_latency_ms": F.lit(0), "route": route("score")})
     counted = live.windowed_counts(rows, "at").drop("w")
     run = (counted.writeStream.outputMode("append").format("parquet").option("path", f"{out}/rows")
@@ -146,6 +174,23 @@ def event_time_windows_streamed(spark, sf):
         F.count(F.lit(1)).alias("windows"), F.sum("records_processed").alias("records"))
 
 
+@query("st03_live_saved_model", with_events("SELECT count(*) AS records, 0::BIGINT AS routed_otherwise FROM ok", VALID))
+def live_saved_model(spark, sf):
+    """The stream scored by a saved pipeline, beside the same pipeline on the static table."""
+    from ..operators import models
+    from ..schema import ROUTED_DDL
+
+    path = run_dir(spark, "scorer")
+    models.save(models.fit("decision_tree", events(spark, sf).select("label", "value"), ["value"], "label"), path, ["value"], "label")
+    fitted = models.load(path)
+    out = _drain(spark, sf, "scored", stream=_filed(spark, sf), score=lambda df: models.with_scores(fitted, df.drop("score")))
+    flowed = spark.read.schema(ROUTED_DDL).json(f"{out}/routed").select("message_id", "route")
+    records = live.with_reason(live.decode(_as_messages(table(spark, sf, "events")), MESSAGE), ["value"]).where("reject_reason IS NULL")
+    still = live.routed(models.with_scores(fitted, records.drop("score")), F.col("score"), processed_ms=F.lit(DONE_MS))
+    both = flowed.join(still.select("message_id", F.col("route").alias("expected")), "message_id", "full")
+    return both.agg(F.count("route").alias("records"), F.count_if(~F.col("route").eqNullSafe(F.col("expected"))).alias("routed_otherwise"))
+
+
 @query("snk06_metrics_append", with_events("SELECT count(*) AS batches, CAST(sum(n) AS BIGINT) AS records FROM (SELECT count(*) AS n FROM e GROUP BY ts_us // 3600000000)"))
 def metrics_append(spark, sf):
     """Metrics records of hourly batches, appended as JSON lines in two writes."""

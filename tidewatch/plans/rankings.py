@@ -282,11 +282,15 @@ def ragged_union(spark, sf):
 
 
 @query("set03_schema_equality", """
-SELECT 'events' AS left_table, count(*) AS rows, true AS same FROM events""")
+SELECT 'as is' AS against, count(*) AS rows, true AS same FROM events UNION ALL SELECT 'other order', count(*), false FROM events
+UNION ALL SELECT 'fewer columns', count(*), false FROM events""")
 def schema_equality(spark, sf):
     e = table(spark, sf, "events")
-    same = profile.same_schema(e.where("event_type = 'error'"), e.where("event_type <> 'error'"))
-    return e.agg(F.count(F.lit(1)).alias("rows")).select(F.lit("events").alias("left_table"), "rows", F.lit(same).alias("same"))
+    others = {"as is": e.where("event_type = 'error'"), "other order": e.select(*reversed(e.columns)),
+              "fewer columns": e.drop("props")}
+    out = [e.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("against"), "rows", F.lit(profile.same_schema(e, other)).alias("same"))
+           for name, other in others.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 @query("set04_distinct_labels", "SELECT DISTINCT label FROM embeddings")

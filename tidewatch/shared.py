@@ -1,22 +1,29 @@
-"""Where jobs may write, and how much they may bring to the driver."""
+"""Where jobs may write, and how finely they cut."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by the session; a fresh /tmp one only where none is named."""
+    """The shared folder named by the session.
+
+    Where none is named, a fresh local one on a local master, and one beside the warehouse on a cluster, whose
+    executors would not see the driver's disk.
+    """
     named = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
-        named = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+        if spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master:
+            named = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+        else:
+            named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_runs"
         spark.sparkContext.setCheckpointDir(named)
     return named
 
@@ -26,16 +33,6 @@ def run_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/tidewatch/{name}-{uuid.uuid4().hex}"
 
 
-def fits(df: DataFrame, limit: int) -> bool:
-    """Whether ``df`` has at most ``limit`` rows; counting stops one row above."""
-    return df.limit(limit + 1).count() <= limit
-
-
-def broadcast_if_small(df: DataFrame, limit: int) -> DataFrame:
-    """``df`` marked for broadcast when it was counted to be small; otherwise as it is, to be shuffled."""
-    return F.broadcast(df) if fits(df, limit) else df
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back: cuts lineage, survives lost executors.
 
@@ -53,5 +50,5 @@ def default_buckets(spark: SparkSession) -> int:
 
 
 def hash_bits(spark: SparkSession) -> int:
-    """How many leading hash bits make a range bucket: about four buckets per shuffle partition, at most 65536."""
-    return min(16, max(5, (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()))
+    """How many leading hash bits make a range bucket: about four buckets per shuffle partition."""
+    return min(30, max(5, (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()))

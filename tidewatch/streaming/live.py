@@ -28,10 +28,16 @@ def decode(messages: DataFrame, schema: T.StructType | str, value: str = "value"
 
     The parsed struct is expanded by a generator, which keeps later filters
     above it: each message is parsed once, not once per field and condition.
+    Time and label are read as text first, so "17" and "1.0" count as numbers.
+    The message's own text stays as ``raw_value``.
     """
-    names = (schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)).fieldNames()
-    envelope = [c for c in messages.columns if c not in names]
-    return messages.select(*envelope, F.inline(F.array(F.from_json(value, schema))))
+    kind = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+    lenient = {"event_ts_ms": lenient_long, "label": lenient_int}
+    read = T.StructType([T.StructField(f.name, T.StringType() if f.name in lenient else f.dataType) for f in kind.fields])
+    envelope = [c for c in messages.columns if c not in (*kind.fieldNames(), value)]
+    rows = messages.select(*envelope, F.col(value).alias("raw_value"), F.inline(F.array(F.from_json(value, read))))
+    return rows.withColumns({f.name: F.when(F.col(f.name).isNotNull(), lenient[f.name](f.name).cast(f.dataType))
+                             for f in kind.fields if f.name in lenient})
 
 
 def with_reason(records: DataFrame, required: list[str]) -> DataFrame:
@@ -83,12 +89,19 @@ def metrics_row(batch: DataFrame, started_ms: int, policy: Policy, model_name: s
 
 def batch_writer(out: str, score: Column | Callable[[DataFrame], DataFrame], required: list[str],
                  policy: Policy = Policy(), model_name: str = "random_forest_probability",
-                 processed_ms: Column | None = None, lag: DataFrame | None = None) -> Callable[[DataFrame, int], None]:
-    """What to do with one micro-batch: quarantine, route, publish to files, log. Empty batches are skipped.
+                 processed_ms: Column | None = None, lag: DataFrame | Callable[[int], DataFrame] | None = None,
+                 sink: Callable[[DataFrame, int], None] | None = None) -> Callable[[DataFrame, int], None]:
+    """What to do with one micro-batch: quarantine, route, publish, log. Empty batches are skipped.
 
     ``score`` is a column, or a function that adds a ``score`` column (a fitted
-    pipeline's transform).
+    pipeline's transform). ``lag`` is a table, or a function that gives the
+    table of a batch. ``sink`` gets ``topic, key, value`` messages and the
+    batch's number, such as ``kafka.publish``; by default routed records go to
+    JSON files.
     """
+    def to_files(rows: DataFrame, batch_id: int) -> None:
+        rows.write.mode("overwrite").partitionBy("route").json(f"{out}/routed/batch_id={batch_id}")
+
 
     def write(batch: DataFrame, batch_id: int) -> None:
         started = int(time.time() * 1000)
@@ -99,13 +112,17 @@ def batch_writer(out: str, score: Column | Callable[[DataFrame], DataFrame], req
             held.where(F.col("reject_reason").isNotNull()).write.mode("overwrite").json(
                 f"{out}/quarantine/batch_id={batch_id}")
             valid = held.where(F.col("reject_reason").isNull())
+            behind = lag(batch_id) if callable(lag) else lag
             if not isinstance(score, Column):
-                rows = routed(score(valid), F.col("score"), policy, processed_ms, lag)
+                rows = routed(score(valid), F.col("score"), policy, processed_ms, behind)
             else:
-                rows = routed(valid, score, policy, processed_ms, lag)
+                rows = routed(valid, score, policy, processed_ms, behind)
             rows = rows.persist()
             try:
-                rows.write.mode("overwrite").partitionBy("route").json(f"{out}/routed/batch_id={batch_id}")
+                if sink:
+                    sink(as_messages(rows), batch_id)
+                else:
+                    to_files(rows, batch_id)
                 metrics_row(rows, started, policy, model_name).write.mode("overwrite").json(
                     f"{out}/metrics/batch_id={batch_id}")
             finally:
