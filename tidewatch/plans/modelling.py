@@ -1,4 +1,9 @@
-"""Fit, score and evaluate jobs. Trees are kept few here; the count is a parameter."""
+"""Fit, score and evaluate jobs.
+
+What a fit finds isn't portable, so each query returns what must hold whatever it finds: rows tested by class, the random
+baseline, shares and counts along the protocol, and whether the measures agree with their counts. Features hold
+nothing of the label. A forest's tree count is a parameter; here it is a hundred.
+"""
 
 from __future__ import annotations
 
@@ -13,39 +18,67 @@ from ..shared import run_dir
 from ..sources.writers import write_scores
 from .lookups import KNN
 from .registry import query
-from .views import events, regime, rounded, summaries, u_sql, vectors, with_events, with_summary, with_vectors
+from .views import REGIME, events, regime, rounded, summaries, u_sql, vectors, with_events, with_summary, with_vectors
 
 FEATURES = ["value", "k", "hr"]
-FOREST = {"numTrees": 10}
+FOREST = {"numTrees": 100}
 
 
 def labelled(spark, sf):
-    return events(spark, sf).select("event_id", "label", "value", "k", "hr", "score", "ts")
+    return events(spark, sf).select("event_id", "label", "value", "k", "hr", "ts")
+
+
+def portable(runs, *keys):
+    """Of run metrics what doesn't depend on the fit, and whether every measure follows from its counts."""
+    n = F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")
+    f1 = F.coalesce(F.try_divide(F.lit(2.0) * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), F.lit(0.0))
+    fits = (F.abs(F.col("accuracy") - (F.col("tp") + F.col("tn")) / n) < 1e-9) & (F.abs(F.col("f1") - f1) < 1e-9)
+    if "threshold" in runs.columns:
+        fits = fits & F.col("threshold").isNotNull() & F.col("validation_f1").between(0, 1)
+    return runs.select(*keys, (F.col("tp") + F.col("fn")).alias("positives"), (F.col("tn") + F.col("fp")).alias("negatives"),
+                       F.round("baseline_f1", 6).alias("baseline_f1"), fits.alias("consistent"))
+
+
+#: Rows by seeded order within their class, for folds and hold-outs.
+ORDERED = """o AS (SELECT *, row_number() OVER (PARTITION BY sd, label ORDER BY md5(sd || ':' || event_id), event_id) AS rn,
+ count(*) OVER (PARTITION BY sd, label) AS nc FROM {rows})"""
+HELD = """c AS (SELECT *, floor(nc * {test} + 0.5) AS nt FROM o),
+s AS (SELECT *, CASE WHEN rn <= nt THEN 'test' WHEN rn <= nt + floor((nc - nt) * {validation} + 0.5) THEN 'validation' ELSE 'train' END AS split FROM c)"""
+SPLIT = f"h AS (SELECT *, {u_sql('1234', 'event_id')} < 0.8 AS train FROM e)"
+
+
+def baseline(keys: str, rows: str) -> str:
+    """Rows by class and F1 of a random guess: ``rows`` gives the keys, event_id, label, p (its rate) and bs (its seed)."""
+    return f"""SELECT {keys}, CAST(sum(label) AS BIGINT) AS positives, CAST(sum(1 - label) AS BIGINT) AS negatives,
+ round(coalesce(2.0::DOUBLE * sum(label * g) / nullif(sum(label) + sum(g), 0), 0.0::DOUBLE), 6) AS baseline_f1, true AS consistent
+ FROM (SELECT *, CAST((CAST('0x' || substr(md5(bs || ':' || event_id), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE) < p AS INTEGER) AS g FROM ({rows})) GROUP BY {keys}"""
+
+
+FIXED = with_events(baseline("run, seed", "SELECT 1 AS run, 42 AS seed, event_id, label, (SELECT avg(label) FROM h WHERE train) AS p, 20043 AS bs FROM h WHERE NOT train"), SPLIT)
 
 
 def _fit_and_measure(spark, sf, model, **settings):
     split = hash_split(labelled(spark, sf), "event_id")
-    run = evaluate.fixed_split(split.where("split = 'train'"), split.where("split = 'test'"), model, [*FEATURES, "score"],
-                               "label", "event_id", **settings)
-    return rounded(run)
+    run = evaluate.fixed_split(split.where("split = 'train'"), split.where("split = 'test'"), model, FEATURES, "label", "event_id", **settings)
+    return portable(run, "run", "seed")
 
 
-@query("ml01_logistic_regression")
+@query("ml01_logistic_regression", FIXED)
 def logistic_regression(spark, sf):
     return _fit_and_measure(spark, sf, "logistic_regression")
 
 
-@query("ml02_random_forest")
+@query("ml02_random_forest", FIXED)
 def random_forest(spark, sf):
     return _fit_and_measure(spark, sf, "random_forest", **FOREST)
 
 
-@query("ml03_linear_svm")
+@query("ml03_linear_svm", FIXED)
 def linear_svm(spark, sf):
-    return _fit_and_measure(spark, sf, "svm", maxIter=20)
+    return _fit_and_measure(spark, sf, "svm")
 
 
-@query("ml04_decision_tree")
+@query("ml04_decision_tree", FIXED)
 def decision_tree(spark, sf):
     return _fit_and_measure(spark, sf, "decision_tree")
 
@@ -59,12 +92,12 @@ def nearest_neighbour(spark, sf):
     return knn_classify(h.where("split = 'test'"), h.where("split = 'train'"), 5, "vec_id", "vec_id", "v", "y")
 
 
-@query("ml06_multinomial_naive_bayes")
+@query("ml06_multinomial_naive_bayes", FIXED)
 def naive_bayes(spark, sf):
     return _fit_and_measure(spark, sf, "naive_bayes")
 
 
-@query("ml06_gaussian_naive_bayes")
+@query("ml06_gaussian_naive_bayes", FIXED)
 def gaussian_naive_bayes(spark, sf):
     return _fit_and_measure(spark, sf, "gaussian_naive_bayes")
 
@@ -86,72 +119,97 @@ def gaussian_bayes_sql(spark, sf):
     return out.select("event_id", "prediction")
 
 
-@query("ml07_model_saved_and_reloaded")
+@query("ml07_model_saved_and_reloaded", with_events("""
+SELECT CAST(sum(label) AS BIGINT) AS positives, CAST(sum(1 - label) AS BIGINT) AS negatives, 0::BIGINT AS scored_otherwise FROM h WHERE NOT train""", SPLIT))
 def pipeline_round_trip(spark, sf):
     split = hash_split(labelled(spark, sf), "event_id")
-    used = [*FEATURES, "score"]
+    test = split.where("split = 'test'")
     path = run_dir(spark, "model")
-    models.save(models.fit("random_forest", split.where("split = 'train'"), used, "label", **FOREST), path, used, "label")
-    scored = models.with_scores(models.load(path), split.where("split = 'test'"), "p1")
-    return rounded(metrics.evaluate(scored, "label", "prediction"))
+    fitted = models.fit("random_forest", split.where("split = 'train'"), FEATURES, "label", **FOREST)
+    models.save(fitted, path, FEATURES, "label")
+    both = models.with_scores(models.load(path), test, "p1").join(
+        models.with_scores(fitted, test, "p2").select("event_id", "p2", F.col("prediction").alias("before")), "event_id")
+    return both.agg(F.sum("label").cast("bigint").alias("positives"), F.sum(1 - F.col("label")).cast("bigint").alias("negatives"),
+                    F.count_if((F.col("p1") != F.col("p2")) | (F.col("prediction") != F.col("before"))).alias("scored_otherwise"))
 
 
-@query("src08_saved_model_load")
+@query("src08_saved_model_load", with_events("SELECT label, count(*) AS n, count(*) AS scored FROM e GROUP BY label"))
 def saved_pipeline(spark, sf):
     e = labelled(spark, sf)
     path = run_dir(spark, "pipeline")
     models.save(models.fit("decision_tree", hash_split(e, "event_id").where("split = 'train'"), FEATURES, "label"), path, FEATURES, "label")
-    return models.with_scores(models.load(path), e, "p1").groupBy("prediction").agg(F.count(F.lit(1)).alias("n"))
+    scored = models.with_scores(models.load(path), e, "p1")
+    return scored.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("p1").between(0, 1) & F.col("prediction").isin(0.0, 1.0)).alias("scored"))
 
 
-@query("prj11_positive_probability")
+@query("prj11_positive_probability", with_events("SELECT event_id, true AS in_range, true AS agrees FROM h WHERE NOT train", SPLIT))
 def probability_of_one(spark, sf):
     split = hash_split(labelled(spark, sf), "event_id")
-    used = [*FEATURES, "score"]
-    fitted = models.fit("logistic_regression", split.where("split = 'train'"), used, "label")
-    return fitted.transform(split.where("split = 'test'")).select("event_id", F.round(positive_probability("probability"), 4).alias("p1"))
+    fitted = models.fit("logistic_regression", split.where("split = 'train'"), FEATURES, "label")
+    p = positive_probability("probability")
+    return fitted.transform(split.where("split = 'test'")).select("event_id", p.between(0, 1).alias("in_range"), ((p > 0.5) == (F.col("prediction") == 1)).alias("agrees"))
 
 
-@query("ml08_cross_validation")
+@query("ml08_cross_validation", with_events(baseline("run, seed", """
+SELECT f + 1 AS run, 42 AS seed, event_id, label, CAST(10043 + f AS VARCHAR) AS bs, (sum(label) OVER () - sum(label) OVER (PARTITION BY f)) / (count(*) OVER () - count(*) OVER (PARTITION BY f))::DOUBLE AS p
+FROM (SELECT *, CAST((rn - 1) % 5 AS INTEGER) AS f FROM o)"""), ORDERED.format(rows="(SELECT *, '42' AS sd FROM e)")))
 def cross_validation(spark, sf):
-    return rounded(evaluate.cross_validate(labelled(spark, sf), "logistic_regression", [*FEATURES, "score"], "label", "event_id", k=5, maxIter=10))
+    return portable(evaluate.cross_validate(labelled(spark, sf), "logistic_regression", FEATURES, "label", "event_id", k=5), "run", "seed")
 
 
-@query("ml09_repeated_holdout")
+def holdout_sql(seeds: str, rate: str = "avg(label) FILTER (split = 'train') OVER (PARTITION BY sd)") -> str:
+    return with_events(baseline("run, seed", f"SELECT * FROM (SELECT run, CAST(sd AS INTEGER) AS seed, event_id, label, split, CAST(CAST(sd AS INTEGER) + 20000 + run AS VARCHAR) AS bs, {rate} AS p FROM s) WHERE split = 'test'"),
+                       ORDERED.format(rows=f"(SELECT e.*, sd, run FROM e, (VALUES {seeds}) t(sd, run))"), HELD.format(test=0.2, validation=0.2))
+
+
+@query("ml09_repeated_holdout", holdout_sql("('42', 1), ('52', 2), ('62', 3)"))
 def repeated_holdout(spark, sf):
-    return rounded(evaluate.repeated_holdout(labelled(spark, sf), "logistic_regression", [*FEATURES, "score"], "label", "event_id",
-                                             seeds=[42, 52], weighted=True, maxIter=10))
+    return portable(evaluate.repeated_holdout(labelled(spark, sf), "logistic_regression", FEATURES, "label", "event_id", weighted=True), "run", "seed")
+
+
+SHARES = f"""r AS (SELECT *, {REGIME} AS regime FROM e), d AS (SELECT * FROM (VALUES ('standard', 'optimized'), ('optimized', 'standard')) t(train_source, test_source)),
+sh AS (SELECT regime, avg(label) AS share FROM r GROUP BY regime)"""
 
 
-@query("ml10_generalization")
+@query("ml10_generalization", with_events("SELECT * FROM (" + baseline(
+    "train_source, test_source, positive_rate_train_raw, positive_rate_train_after_smote, positive_rate_test", """
+SELECT train_source, test_source, round(a.share, 6) AS positive_rate_train_raw, 0.5::DOUBLE AS positive_rate_train_after_smote, round(b.share, 6) AS positive_rate_test,
+ event_id, label, 0.5::DOUBLE AS p, '20043' AS bs FROM d JOIN sh a ON a.regime = train_source JOIN sh b ON b.regime = test_source JOIN r ON r.regime = test_source""") + ")", SHARES))
 def generalization(spark, sf):
     e = labelled(spark, sf).withColumn("regime", regime())
     a, b = e.where("regime = 'standard'").drop("regime"), e.where("regime = 'optimized'").drop("regime")
-    return rounded(evaluate.generalize(a, b, "logistic_regression", [*FEATURES, "score"], "label", "event_id", ("standard", "optimized"), maxIter=10))
+    runs = evaluate.generalize(a, b, "logistic_regression", FEATURES, "label", "event_id", ("standard", "optimized"))
+    rates = ("positive_rate_train_raw", "positive_rate_train_after_smote", "positive_rate_test")
+    return portable(runs, "train_source", "test_source", *[F.round(c, 6).alias(c) for c in rates])
 
 
-@query("ml11_fixed_split")
+@query("ml11_fixed_split", FIXED)
 def fixed_split(spark, sf):
-    return _fit_and_measure(spark, sf, "logistic_regression", maxIter=10)
+    return _fit_and_measure(spark, sf, "logistic_regression")
 
 
-@query("ml12_reconstruction_detector")
+@query("ml12_reconstruction_detector", holdout_sql("('42', 1)"))
 def reconstruction(spark, sf):
-    return rounded(evaluate.reconstruction_holdout(labelled(spark, sf), [*FEATURES, "score"], "label", "event_id", components=2))
+    return portable(evaluate.reconstruction_holdout(labelled(spark, sf), FEATURES, "label", "event_id", components=2), "run", "seed")
 
 
-@query("ml13_neural_network")
+@query("ml13_neural_network", holdout_sql("('42', 1)", "0.5::DOUBLE"))
 def neural_network(spark, sf):
-    return rounded(evaluate.balanced_network(labelled(spark, sf), [*FEATURES, "score"], "label", "event_id", maxIter=20))
+    return portable(evaluate.balanced_network(labelled(spark, sf), FEATURES, "label", "event_id"), "run", "seed")
 
 
-@query("ml14_candidate_search")
+@query("ml14_candidate_search", "SELECT 'logistic_regression' AS model, 3::BIGINT AS candidates, true AS best_by_validation")
 def candidate_search(spark, sf):
     e = labelled(spark, sf).withColumn("regime", regime())
     data = {r: e.where(F.col("regime") == r).drop("regime") for r in ("standard", "optimized")}
-    tried = {"plain": ("logistic_regression", {"maxIter": 10}), "ridge": ("logistic_regression", {"maxIter": 10, "regParam": 0.1})}
-    scored = evaluate.search_candidates(data, tried, [*FEATURES, "score"], "label", "event_id")
-    return rounded(pick_candidate(tuning_scores(scored, ["model", "tuning_profile", "place"]), "model", "place"))
+    tried = {"plain": ("logistic_regression", {}), "ridge": ("logistic_regression", {"regParam": 0.1}), "strong ridge": ("logistic_regression", {"regParam": 1.0})}
+    scores = tuning_scores(evaluate.search_candidates(data, tried, FEATURES, "label", "event_id"), ["model", "tuning_profile", "place"])
+    path = run_dir(spark, "candidates")
+    scores.write.parquet(path)
+    scores = spark.read.parquet(path)
+    best = scores.groupBy("model").agg(F.count(F.lit(1)).alias("candidates"), F.max("mean_validation_f1").alias("highest"))
+    return pick_candidate(scores, "model", "place").join(best, "model").select(
+        "model", "candidates", (F.col("mean_validation_f1") == F.col("highest")).alias("best_by_validation"))
 
 
 FLAT = """SELECT dataset, model, family, 'stratified' AS evaluation_strategy, accuracy_mean, accuracy_std, precision_mean, precision_std, recall_mean, recall_std,
@@ -176,47 +234,55 @@ def flat(spark, sf):
     return flat_summary(payload)
 
 
-@query("ml17_batch_scoring")
+@query("ml17_batch_scoring", with_events("SELECT label, count(*) AS n, count(*) AS scored FROM e GROUP BY label"))
 def batch_scoring(spark, sf):
     e = labelled(spark, sf).drop("ts")
-    used = [*FEATURES, "score"]
-    fitted = models.fit("decision_tree", hash_split(e, "event_id").where("split = 'train'"), used, "label")
-    scored = evaluate.batch_score(fitted, [e.where("label = 0"), e.where("label = 1")], "p1")
-    return scored.groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("n"))
+    fitted = models.fit("decision_tree", hash_split(e, "event_id").where("split = 'train'"), FEATURES, "label")
+    scored = evaluate.batch_score(fitted, [e.where("label = 0"), e.where("label = 1").select(*reversed(e.columns))], "p1")
+    return scored.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count("p1").alias("scored"))
 
 
-@query("snk09_score_export")
+@query("snk09_score_export", with_events("SELECT CAST(sum(label) AS BIGINT) AS positives, CAST(sum(1 - label) AS BIGINT) AS negatives FROM h WHERE NOT train", SPLIT))
 def score_export(spark, sf):
     split = hash_split(labelled(spark, sf), "event_id")
-    fitted = models.fit("decision_tree", split.where("split = 'train'"), [*FEATURES, "score"], "label")
+    fitted = models.fit("decision_tree", split.where("split = 'train'"), FEATURES, "label")
     path = run_dir(spark, "scores")
     write_scores(models.with_scores(fitted, split.where("split = 'test'"), "p1"), path)
-    return metrics.confusion(spark.read.schema("label INT, prediction DOUBLE").json(path), "label", "prediction")
+    back = metrics.confusion(spark.read.schema("label INT, prediction DOUBLE").json(path), "label", "prediction")
+    return back.select((F.col("tp") + F.col("fn")).alias("positives"), (F.col("tn") + F.col("fp")).alias("negatives"))
 
 
-@query("snk08_model_artifact")
+@query("snk08_model_artifact", "SELECT 3::BIGINT AS n_features, 'label' AS label_col, true AS named")
 def model_artifact(spark, sf):
     path = run_dir(spark, "artifact")
-    e = labelled(spark, sf)
-    models.save(models.fit("decision_tree", e, FEATURES, "label"), path, FEATURES, "label")
-    note = spark.read.schema("features ARRAY<STRING>, label_col STRING, features_col STRING").json(path + "_metadata")
-    return note.select(F.size("features").cast("bigint").alias("n_features"), "label_col", "features_col")
-
-
-@query("ml18_experiment_suite")
+    models.save(models.fit("decision_tree", labelled(spark, sf), FEATURES, "label"), path, FEATURES, "label")
+    note = spark.read.schema("model_path STRING, features ARRAY<STRING>, label_col STRING, features_col STRING").json(path + "_metadata")
+    return note.select(F.size("features").cast("bigint").alias("n_features"), "label_col",
+                       ((F.col("model_path") == path) & F.col("features_col").isNotNull()).alias("named"))
+
+
+@query("ml18_experiment_suite", with_events("""SELECT dataset, model, CAST(count(*) AS BIGINT) AS runs, CAST(sum(positives) AS BIGINT) AS positives, CAST(sum(negatives) AS BIGINT) AS negatives,
+ round(avg(baseline_f1), 5) AS baseline_f1_mean, round(stddev_pop(baseline_f1), 5) AS baseline_f1_std FROM (""" + baseline("dataset, run", """
+SELECT sd0 AS dataset, f + 1 AS run, event_id, label, CAST(10043 + f AS VARCHAR) AS bs,
+ (sum(label) OVER (PARTITION BY sd0) - sum(label) OVER (PARTITION BY sd0, f)) / (count(*) OVER (PARTITION BY sd0) - count(*) OVER (PARTITION BY sd0, f))::DOUBLE AS p
+FROM (SELECT *, CAST((rn - 1) % 5 AS INTEGER) AS f FROM (SELECT *, row_number() OVER (PARTITION BY sd0, label ORDER BY md5('42:' || event_id), event_id) AS rn
+ FROM (SELECT *, """ + REGIME + """ AS sd0 FROM e)))""") + "), (VALUES ('decision_tree'), ('logistic_regression')) m(model) GROUP BY dataset, model"))
 def experiment_suite(spark, sf):
     e = labelled(spark, sf).withColumn("regime", regime())
     data = {r: e.where(F.col("regime") == r).drop("regime", "ts") for r in ("standard", "optimized")}
-    tried = {"decision_tree": {"maxDepth": 3}, "logistic_regression": {"maxIter": 5}}
-    done = evaluate.suite(data, tried, [*FEATURES, "score"], "label", "event_id", k=3)
+    done = evaluate.suite(data, {"decision_tree": {}, "logistic_regression": {}}, FEATURES, "label", "event_id")
     # Fold metrics are a small results table; it is written once and summarised from there.
     path = run_dir(spark, "suite")
     done.write.parquet(path)
-    return rounded(evaluate.summarize(spark.read.parquet(path), ["dataset", "model", "family"]))
+    s = evaluate.summarize(spark.read.parquet(path), ["dataset", "model", "family"])
+    return s.select("dataset", "model", "runs", (F.col("tp_total") + F.col("fn_total")).alias("positives"), (F.col("tn_total") + F.col("fp_total")).alias("negatives"),
+                    F.round("baseline_f1_mean", 5).alias("baseline_f1_mean"), F.round("baseline_f1_std", 5).alias("baseline_f1_std"))
 
 
-@query("ml19_pooled_holdout")
+@query("ml19_pooled_holdout", with_events("SELECT * FROM (" + baseline("feature_count", """
+SELECT feature_count, event_id, label, 0.5::DOUBLE AS p, '20043' AS bs FROM s, (VALUES (3), (4)) n(feature_count) WHERE split = 'test'""") + ")",
+    ORDERED.format(rows="(SELECT *, '42' AS sd FROM e)"), HELD.format(test=0.3, validation=0.0)))
 def pooled_holdout(spark, sf):
     e = labelled(spark, sf).withColumn("regime", regime())
     a, b = (e.where(F.col("regime") == r).drop("regime", "ts") for r in ("standard", "optimized"))
-    return rounded(evaluate.pooled_holdout(a, b, "logistic_regression", [*FEATURES, "score"], "label", "event_id", maxIter=10))
+    return portable(evaluate.pooled_holdout(a, b, "logistic_regression", FEATURES, "label", "event_id"), "feature_count")
