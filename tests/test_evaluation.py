@@ -285,3 +285,15 @@ def test_class_weights_of_three_classes(spark):
     rows = spark.createDataFrame([(1,), (2,), (2,), (2,), (3,), (3,)], "label int")
     got = {r["label"]: round(r["class_weight"], 3) for r in with_class_weights(rows, "label").collect()}
     assert got == {1: 2.0, 2: 0.667, 3: 1.0}
+
+
+def test_text_ids_oversample(spark):
+    from tidewatch.operators.balance import smote
+    from tidewatch.operators.neighbors import nearest
+
+    rows = [(f"id-{i:03}", [float(i), 1.0], int(i < 4)) for i in range(20)] + [("id-none", None, 0), ("id-nan", [float("nan"), 1.0], 0)]
+    df = spark.createDataFrame(rows, "id string, v array<double>, label int")
+    made = smote(df.where("id not in ('id-none', 'id-nan')"), "label", "id", "v", k=2).where("synthetic").collect()
+    assert len(made) == 12 and all(isinstance(r["id"], str) and 0 <= r["v"][0] <= 3 for r in made)
+    near = nearest(df, df, 1, "id", "id", "v", exclude_self=True).collect()
+    assert len(near) == 20 and not {"id-none", "id-nan"} & {r["query_id"] for r in near}

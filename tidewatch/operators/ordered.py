@@ -23,12 +23,15 @@ _AGG = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
 def _as_number(df: DataFrame, column: str) -> Column:
-    """A DOUBLE that grows with a numeric, date or timestamp column."""
+    """A DOUBLE that grows with a numeric, date, timestamp or text column; of a text its first six bytes."""
     kind = df.schema[column].dataType
     if isinstance(kind, T.TimestampNTZType):
         return epoch_micros(column).cast("double")
     if isinstance(kind, T.DateType):
         return F.unix_date(column).cast("double")
+    if isinstance(kind, T.StringType):
+        head = F.rpad(F.substring(F.hex(F.encode(column, "UTF-8")), 1, 12), 12, "0")
+        return F.conv(head, 16, 10).cast("double")
     return F.col(column).cast("double")
 
 

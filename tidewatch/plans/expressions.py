@@ -31,7 +31,9 @@ def wavelet_label(spark, sf):
     return out.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("wave").alias("flagged"))
 
 
-@query("sc02_wavelet_label_default", with_sensors("SELECT label, count(*) AS n FROM s GROUP BY label"))
+@query("sc02_wavelet_label_default", with_sensors(f"""
+SELECT CASE WHEN greatest(abs({psi('"I_w_BLO_Weg"')}), abs({psi('"O_w_BLO_power"')}), abs({psi('"O_w_BHL_power"')})) > 0.6::DOUBLE THEN 1 ELSE label END AS label,
+ count(*) AS n FROM s GROUP BY 1"""))
 def wavelet_label_default(spark, sf):
     out = cleaning.wavelet_label(sensors(spark, sf), ["I_w_BLO_Weg", "O_w_BLO_power", "O_w_BHL_power"], "label")
     return out.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
