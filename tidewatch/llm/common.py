@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidewatch.shared import run_dir
 
 #: Bytes of text that a task hashes at once. It bounds a task's memory; results don't depend on it.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 
 # ---------------------------------------------------------------- tables in the shared folder
@@ -32,7 +32,9 @@ def column_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a text or binary column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_binary()).fill_null(b"")
+    column = column.cast(pa.large_binary())
+    if column.null_count:
+        column = column.fill_null(b"")
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
     data = column.buffers()[2]
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), offsets
