@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import logging
+
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
+log = logging.getLogger(__name__)
+
 
 def read_options(servers: str, topic: str, starting: str = "latest", max_per_trigger: int | None = None,
                  fail_on_data_loss: bool = True) -> dict[str, str]:
@@ -26,12 +31,14 @@ def subscribe(spark: SparkSession, servers: str, topic: str, **kwargs) -> DataFr
 
 
 def publish(messages: DataFrame, servers: str, enabled: bool = True) -> bool:
-    """Send a ``topic, key, value`` frame in one job; a failure is reported, not raised."""
+    """Send a ``topic, key, value`` frame in one job; what the bus or its connector refuses is logged, not raised."""
     if not enabled:
         return False
+    if missing := {"topic", "key", "value"} - set(messages.columns):
+        raise ValueError(f"messages lack {sorted(missing)}")
     try:
         messages.write.format("kafka").options(**write_options(servers)).save()
-    except Exception as error:  # noqa: BLE001 - the batch path tolerates an absent broker
-        print(f"publish failed: {error}")
+    except PySparkException:
+        log.exception("publishing to %s failed", servers)
         return False
     return True
