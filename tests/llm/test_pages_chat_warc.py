@@ -35,7 +35,7 @@ def test_template_is_removed_by_count(spark):
     rows += [(20 + k, "https://a.example/same", "<article><div><p>A copy</p></div></article>") for k in range(8)] + [(None, None, None), (30, "::bad[", "")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "page_id as key", "url as page")
     expected = {k: f"Text number {k}" for k in range(6)} | {10 + k: f"Welcome to the site\n\nOther {k}" for k in range(3)} | {20 + k: "A copy" for k in range(8)} | {None: "", 30: ""}
-    for keys in (1_000_000, 0):
+    for keys in (250_000, 0):
         got = maintext.extract_main_text(df, broadcast_keys=keys).collect()
         assert len(got) == len(rows) and {r.page_id: r.text for r in got} == expected
         assert all(r.n_chars == len(r.text) for r in got)

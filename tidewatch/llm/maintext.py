@@ -218,7 +218,7 @@ def _extracted(batches: Iterator[pa.RecordBatch], template_of) -> Iterator[pa.Re
                                           pa.array([len(t) for t in texts], pa.int64())], schema=schema)
 
 
-def extract_main_text(pages: DataFrame, least_pages: int = 5, broadcast_keys: int = 1_000_000) -> DataFrame:
+def extract_main_text(pages: DataFrame, least_pages: int = 5, broadcast_keys: int = 250_000) -> DataFrame:
     """(page_id, url, text, n_chars) for each row of (page_id, url, html).
 
     A subtree is template if it occurs in ``least_pages`` pages of its host that differ in what they say. Null or empty html gives an
