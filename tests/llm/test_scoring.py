@@ -105,7 +105,7 @@ def test_planted_edits():
     item = "The quick onthe thean brown fox jumps stonly over erthe lazy dog while reading a very long ingtion of text"
     built = decontaminate.build_items([(1, item), (2, "short"), (3, None), (4, "")])
     budget = decontaminate.edit_budget(len(item))
-    fold = lambda b: bytes(decontaminate._FOLD[np.frombuffer(b, np.uint8)])
+    fold = lambda b: bytes(decontaminate.fold(np.frombuffer(b, np.uint8)))
     for _ in range(150):
         s = list(item)
         for _ in range(random.randint(0, budget + 3)):
@@ -122,7 +122,7 @@ def test_planted_edits():
 def test_decontamination_rows(spark, sf, documents, odd):
     from tidewatch.llm.queries import op9_benchmark_decontamination
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
-    fold = lambda t: re.sub(r"[\x09-\x0d]", " ", plain.lower(t))
+    fold = lambda t: re.sub(r"[A-ZÀ-ÖØ-Þ]", lambda m: m[0].lower(), re.sub(r"[\x09-\x0d]", " ", t))
     verbatim = {(r.doc_id, i) for r in documents.collect() for i, t in items if fold(t) in fold(r.text)}
     got = op9_benchmark_decontamination(spark, sf).collect()
     assert verbatim and verbatim == {(r.doc_id, r.item_id) for r in got if r.n_edits == 0}

@@ -26,12 +26,20 @@ ERROR_RATE = 0.05
 PASS_BYTES = 16 << 20
 FILTER_BITS = 24
 
-#: Compared bytes: A-Z as a-z, all ASCII white space as a space. One for one, so places hold.
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _FOLD[SPACE] = 32
 
 
+def fold(data: np.ndarray) -> np.ndarray:
+    """Compared bytes: A-Z and the capitals of Latin-1 (in UTF-8) as small letters, all ASCII white space as a space. One for
+    one, so places hold."""
+    out = _FOLD[data]
+    after, lead = out[1:], data[:-1]
+    after[(lead == 0xC3) & (after >= 0x80) & (after <= 0x9E) & (after != 0x97)] += 32
+    return out
+
+
 def edit_budget(n: int, error_rate: float = ERROR_RATE, q: int = Q) -> int:
     """Edits allowed in n bytes: the rate's share, and few enough for the lemma to ask for one q-gram at least."""
     return max(0, min(int(np.ceil(n * error_rate)), (n - q) // q))
@@ -52,7 +60,7 @@ class Items:
 
 def build_items(rows: list[tuple], error_rate: float = ERROR_RATE, q: int = Q) -> Items:
     """Postings of all q-grams of (item_id, text) rows; items shorter than q bytes have none and are never found."""
-    kept = [(i, _FOLD[np.frombuffer(t.encode(), np.uint8)]) for i, t in rows if t and len(t.encode()) >= q]
+    kept = [(i, fold(np.frombuffer(t.encode(), np.uint8))) for i, t in rows if t and len(t.encode()) >= q]
     sizes = np.array([len(t) for _, t in kept], np.int64)
     budget = np.array([edit_budget(int(n), error_rate, q) for n in sizes], np.int64)
     grams, item, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -103,7 +111,7 @@ def find_items(items: Items, data: np.ndarray, offsets: np.ndarray, q: int = Q)
     """(row, item number, edits, start, end) for each row of a slice and item found in it; the best place of each."""
     if len(data) < q or not len(items.grams):
         return []
-    folded = _FOLD[data]
+    folded = fold(data)
     start = np.arange(len(folded) - q + 1)
     grams = range_hash(prefix_hash(folded), start, start + q)
     hit = np.flatnonzero(items.present[(grams >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
@@ -161,7 +169,7 @@ def item_passes(benchmark: DataFrame, pass_bytes: int = PASS_BYTES) -> Iterator[
 def contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """(doc_id, item_id, n_edits, start, end, item_bytes) for each row and item it contains with at most ``edit_budget`` edits.
 
-    Bytes are compared without ASCII case, white space being all alike; start and end count bytes of the text. Null and empty
+    Bytes are compared without the case of Latin letters, white space being all alike; start and end count bytes of the text. Null and empty
     texts on either side find nothing; repeated rows are rows like others; a null id is kept as it is. Items are sent to the
     tasks in lots of a bounded size, each lot being one pass over the documents. Columns other than the ids and texts aren't read.
     """
