@@ -119,11 +119,12 @@ def load(path: str) -> PipelineModel:
 
 def with_class_weights(df: DataFrame, label: str, name: str = "class_weight") -> DataFrame:
     """Weight total / (classes x count) on every row; 1.0 when the classes are close to even."""
-    per = class_counts(df, label)
-    facts = per.agg(F.sum("rows").alias("t"), F.count(F.lit(1)).alias("k"), ratio(F.max("rows"), F.min("rows")).alias("skew"))
-    even = F.when(F.col("skew") >= 1.2, F.col("t") / (F.col("k") * F.col("rows").cast("double"))).otherwise(1.0)
-    weights = per.crossJoin(facts).select(F.col(label).alias("_class"), even.alias(name))  # one row of facts beside one for each class
-    return df.join(weights, F.col(label).eqNullSafe(F.col("_class"))).drop("_class")
+    per = class_counts(df, label).where(F.col(label).isNotNull())
+    facts = per.agg(F.struct(F.sum("rows").alias("t"), F.count(F.lit(1)).alias("k"), ratio(F.max("rows"), F.min("rows")).alias("skew"),
+                             F.map_from_entries(F.collect_list(F.struct(label, "rows"))).alias("of")).alias("s")).scalar()
+    held = df.withColumn("_s", facts)
+    even = F.col("_s.t") / (F.col("_s.k") * F.try_element_at(F.col("_s.of"), F.col(label)).cast("double"))
+    return held.withColumn(name, F.when((F.col("_s.skew") >= 1.2) & F.col(label).isNotNull(), even).otherwise(1.0)).drop("_s")
 
 
 def reconstruct(train_normal: DataFrame, df: DataFrame, features: list[str], components: int) -> DataFrame:
