@@ -31,7 +31,7 @@ GRAM = 32
 #: Never a byte of UTF-8.
 PAD = 255
 #: Passages of one anchor above which its windows are counted in Spark, and passages ordered by one task.
-GROUP_PASSAGES, TASK_PASSAGES = 20_000, 20_000
+GROUP_PASSAGES, TASK_PASSAGES = 20_000, 5_000
 
 
 # ---------------------------------------------------------------- anchors
