@@ -29,7 +29,10 @@ def last_per_key(df: DataFrame, keys: list[str], order: str | Column) -> DataFra
 
 
 def salted(df: DataFrame, hot: DataFrame, key: str) -> DataFrame:
-    """Column ``_salt``: 0 but for rows of a key in ``hot`` (key, _salts), which get a salt by their place in the input."""
+    """Column ``_salt``: 0 but for rows of a key in ``hot`` (key, _salts), which get a salt by their place in the input.
+
+    A task that runs again must meet its rows in the same order, as over a scan or a written table.
+    """
     place = F.xxhash64(F.monotonically_increasing_id())
     placed = df.withColumn("_place", place).join(hot, key, "left")
     return placed.withColumn("_salt", F.pmod("_place", F.coalesce("_salts", F.lit(1))).cast("int")).drop("_place", "_salts")
