@@ -29,6 +29,18 @@ def test_without_article_and_broken_markup():
         assert isinstance(maintext.main_text(page, "h", ()), str)
 
 
+def test_wrappers_that_only_look_unwanted():
+    story = "<article><h1>Head</h1><p>Text</p></article>"
+    for wrapper in ('class="content has-sidebar"', 'id="no-comments-main"', 'style="overflow:hidden"', 'title="a hidden role=menu"', 'data-id="sidebar"', "data-role=banner",
+                    'class="menu-open with_banner"', 'data-hidden="1"', 'class="widget"', "id=sidebar", 'role="form"', 'aria-hidden="true"'):
+        assert maintext.main_text(f'<nav>Menu</nav><div {wrapper}><div class="ad">Buy</div>{story}</div>', "h", ()) == "Head\n\nText", wrapper
+        assert maintext.main_text(f"<div {wrapper}><main>{story}</main></div>", "h", ()) == "Head\n\nText", wrapper
+    assert maintext.main_text(f"<form action=x><aside><article>Card</article></aside>{story}</form>", "h", ()) == "Head\n\nText"
+    for wrapper in ('class="a sidebar"', "hidden", 'HIDDEN=""', 'class="site-nav"', 'id="comments_area"', "role=menu", 'style="x" aria-hidden="true"'):
+        assert maintext.main_text(f"<div {wrapper}><p>no</p></div>{story}", "h", ()) == "Head\n\nText", wrapper
+        assert maintext.main_text(f"<div {wrapper}><article><p>no</p></article></div>{story}", "h", ()) == "Head\n\nText", wrapper
+
+
 def test_template_is_removed_by_count(spark):
     rows = [(k, f"https://a.example/{k}", f"<body><div>Welcome to the site</div><div><p>Text number {k}</p></div></body>") for k in range(6)]
     rows += [(10 + k, f"https://b.example/{k}", f"<body><div>Welcome to the site</div><p>Other {k}</p></body>") for k in range(3)]

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import written
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+|[^>]*)(?:>|\Z)""", re.S)
-MARK = re.compile(r"""(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=][^\s>/=]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 # Kinds of elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea noscript iframe template xmp noembed noframes".split())
@@ -37,6 +37,9 @@ NOT_ARTICLE = frozenset("""nav navbar navigation menu breadcrumb breadcrumbs sid
     promotion sponsor sponsored cookie cookies consent gdpr notice notices notification alert newsletter subscribe subscription signup login share sharing
     social related recommended recommendations pagination pager comment comments disqus respond reply replies discussion footer masthead topbar toolbar popup
     modal overlay widget widgets skip copyright legal outbrain taboola""".split())
+# Parts of a compound name that leave its meaning as it is ("site-nav", "share-box"); all other compounds are names of their own ("has-sidebar").
+BEFORE = frozenset("site page main primary secondary top bottom global".split())
+AFTER = frozenset("area bar block box buttons container content items links list section slot widget wrap wrapper".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 
 
@@ -55,34 +58,53 @@ class Subtree(NamedTuple):
     article: bool
 
 
+def _names_other(name: str) -> bool:
+    """Whether a class or id names what isn't article: a listed word as a whole, or in a compound with BEFORE and AFTER alone."""
+    if name in NOT_ARTICLE:
+        return True
+    parts = [x for x in re.split(r"[-_]+", name) if x]
+    while len(parts) > 1 and parts[0] in BEFORE:
+        del parts[0]
+    while len(parts) > 1 and parts[-1] in AFTER:
+        del parts[-1]
+    return len(parts) == 1 and parts[0] in NOT_ARTICLE
+
+
 def _unwanted(tag: str, attributes: str, in_article: bool) -> bool:
     if tag in GONE or (tag == "header" and not in_article):
         return True
     if not attributes or tag in ("html", "body", "main") or (len(tag) == 2 and tag[0] == "h"):
         return False
-    for name, value in MARK.findall(attributes):
+    for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value in ROLES):
             return True
-        if name in ("class", "id") and not NOT_ARTICLE.isdisjoint(re.split(r"[^a-z0-9]+", value)):
+        if name in ("class", "id") and any(map(_names_other, value.split())):
             return True
     return False
 
 
 def parse(page: str) -> tuple[list[Block], list[Subtree]]:
-    """Blocks of text in page order, and the subtrees of all elements but inline ones, the root and the containers of the article."""
+    """Blocks of text in page order, and the subtrees of all elements but inline ones, the root and the containers of the article.
+
+    An unwanted element that holds an article or main (outside any article) is unwanted only if the page has another one inside
+    of fewer unwanted elements.
+    """
     blocks: list[Block] = []
     subtrees: list[Subtree] = []
     text: list[str] = []
-    # Open elements: tag, first block, parts of the digest, gone, in an article, in main.
-    stack: list[tuple] = [("", 0, [], False, False, False)]
+    # Open elements: tag, first block, parts of the digest, numbers of the unwanted elements around, in an article, in main.
+    stack: list[tuple] = [("", 0, [], (), False, False)]
+    around: list[tuple] = []
+    unwanted, holders = 0, []
 
     def flush() -> None:
         if text:
             joined = " ".join("".join(text).split())
             if joined:
                 _, _, parts, gone, article, main = stack[-1]
-                blocks.append(Block(joined, article, main, gone))
+                blocks.append(Block(joined, article, main, bool(gone)))
+                around.append(gone)
                 parts.append(joined.encode("utf-8", "surrogatepass"))
             text.clear()
 
@@ -150,8 +172,12 @@ def parse(page: str) -> tuple[list[Block], list[Subtree]]:
         if tag not in INLINE:
             flush()
         _, _, _, gone, article, main = stack[-1]
-        gone = gone or _unwanted(tag, m[3], article)
-        stack.append((tag, len(blocks), [], gone, article or (tag == "article" and not gone), main or tag == "main"))
+        if _unwanted(tag, m[3], article):
+            unwanted += 1
+            gone = (*gone, unwanted)
+        if tag in ("article", "main") and not article:
+            holders.append(gone)
+        stack.append((tag, len(blocks), [], gone, article or tag == "article", main or tag == "main"))
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
             body = page[at:end.start()] if end else page[at:]
@@ -161,6 +187,10 @@ def parse(page: str) -> tuple[list[Block], list[Subtree]]:
     while len(stack) > 1:
         close()
     flush()
+    least = min(map(len, holders), default=0)
+    if least:
+        spared = {x for g in holders if len(g) == least for x in g}
+        blocks = [b._replace(gone=not spared.issuperset(g)) for b, g in zip(blocks, around, strict=True)]
     return blocks, subtrees
 
 
