@@ -54,6 +54,30 @@ def test_template_is_removed_by_count(spark):
     assert maintext.extract_main_text(df.filter("false")).count() == 0
 
 
+def test_host_counts_decide_before_roles(spark):
+    story = lambda k: f"<div><p>Story number {k} told at some length, with words enough</p></div>"
+    rows, expected = [], {}
+
+    def add(host, k, page, text):
+        expected[len(rows)] = text
+        rows.append((len(rows), f"https://{host}/{k}", page))
+
+    for k in range(12):
+        told = story(k)[8:-10]
+        # The same teaser card as the only article; one paragraph inside each article; a card of its own on each page.
+        add("card.example", k, f"<div>Menu</div>{story(k)}<article><p>Card</p></article>", told)
+        add("plea.example", k, f"<div>Menu</div><article>{story(k)}<p>Please give</p></article>", told)
+        add("own.example", k, f"<div>Menu</div>{story(k)}<article><p>Card {k}</p></article>", f"{told}\n\nCard {k}")
+    for k in range(200):
+        # No article: a paragraph met six times by chance among two hundred pages stays, and what one page in five has goes.
+        add("large.example", k, f"<div>Menu</div>{story(k)}{'<p>Chance</p>' if k < 6 else ''}{'<div>Section</div>' if k % 5 == 0 else ''}", story(k)[8:-10] + ("\n\nChance" if k < 6 else ""))
+    for k in range(4):
+        add("four.example", k, f"<div>Menu</div>{story(k)}", story(k)[8:-10])
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for keys in (250_000, 0):
+        assert {r.page_id: r.text for r in maintext.extract_main_text(df, broadcast_keys=keys).collect()} == expected
+
+
 def test_pages_query(spark, sf):
     from tidewatch.llm.queries import op3_html_extraction
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}

@@ -1,9 +1,10 @@
 """Main text of web pages: site templates found by counting element subtrees per host, and roles of elements.
 
 Every page is parsed once into blocks of text and element subtrees, each with a hash over its tags and text. Spark counts in
-how many different pages of a host a subtree occurs; subtrees that recur are template and are deleted, prose inside an
-article excepted (a quoted or copied paragraph is still the article's). What markup says outright (navigation, forms,
-scripts, comments of readers and the like) goes as well, so that hosts with few pages are cleaned too.
+how many different pages of a host a subtree occurs; subtrees that recur on a share of the host's pages are template and are
+deleted, prose inside an article from a larger share on (a quoted or copied paragraph is still the article's). Roles choose among
+what is left: what markup says outright (navigation, forms, scripts, comments of readers and the like) goes, so that hosts with
+few pages are cleaned too, and main or article are taken alone if they hold at least half of the rest.
 """
 
 from __future__ import annotations
@@ -205,35 +206,60 @@ def site_key(host: str, digest: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(digest + host.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
+def subtree_key(host: str, s: Subtree) -> int:
+    """Prose inside an article is counted by itself."""
+    return site_key(host, s.digest + b"\1" if s.article and s.prose else s.digest)
+
+
 def main_text(page: str | None, host: str, template) -> str:
-    """Blocks of the article (of main, of the page, if there is none) outside subtrees whose key is in ``template``."""
+    """Blocks outside subtrees whose key is in ``template`` and outside unwanted elements; of these the ones in main, and the ones in
+    an article, if they hold at least half of the characters."""
     blocks, subtrees = parse(page or "")
     gone = [b.gone for b in blocks]
     for s in subtrees:
-        if not (s.article and s.prose) and not all(gone[s.first:s.end]) and site_key(host, s.digest) in template:
+        if not all(gone[s.first:s.end]) and subtree_key(host, s) in template:
             gone[s.first:s.end] = [True] * (s.end - s.first)
     kept = [b for b, out in zip(blocks, gone, strict=True) if not out]
-    if any(b.article for b in blocks if not b.gone):
-        kept = [b for b in kept if b.article]
-    elif any(b.main for b in blocks if not b.gone):
-        kept = [b for b in kept if b.main]
+    for role in ("main", "article"):
+        inside = [b for b in kept if getattr(b, role)]
+        if inside and 2 * sum(len(b.text) for b in inside) >= sum(len(b.text) for b in kept):
+            kept = inside
     return "\n\n".join(b.text for b in kept)
 
 
+FOUND = pa.schema([("host", pa.int64()), ("key", pa.int64()), ("inner", pa.bool_()), ("page", pa.int64())])
+
+
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, page): a row for each different subtree of a page; page is a hash of what the page says."""
-    schema = pa.schema([("key", pa.int64()), ("page", pa.int64())])
+    """(host, key, inner, page): a row for each different subtree of a page, and one whose key is the host's; inner tells prose inside
+    an article; page is a hash of what the page says outside unwanted elements."""
     for batch in batches:
+        hosts: list[int] = []
         keys: list[int] = []
+        inner: list[bool] = []
         pages: list[int] = []
         for url, page in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
             blocks, subtrees = parse(page or "")
-            article = [b.text for b in blocks if b.article] or [b.text for b in blocks]
-            digest = hashlib.blake2b("\n".join(article).encode("utf-8", "surrogatepass"), digest_size=8).digest()
-            own = {site_key(host_of(url), s.digest) for s in subtrees if not (s.article and s.prose)}
-            keys += own
-            pages += [int.from_bytes(digest, "little", signed=True)] * len(own)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(pages, pa.int64())], schema=schema)
+            said = "\n".join(b.text for b in blocks if not b.gone)
+            digest = hashlib.blake2b(said.encode("utf-8", "surrogatepass"), digest_size=8).digest()
+            host = host_of(url)
+            own = {subtree_key(host, s): s.article and s.prose for s in subtrees}
+            hosts += [site_key(host, b"")] * (len(own) + 1)
+            keys += [*own, site_key(host, b"")]
+            inner += [*own.values(), False]
+            pages += [int.from_bytes(digest, "little", signed=True)] * (len(own) + 1)
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.int64()), pa.array(keys, pa.int64()), pa.array(inner, pa.bool_()), pa.array(pages, pa.int64())], schema=FOUND)
+
+
+def template_keys(source: DataFrame, least_pages: int, share: float, inner_share: float) -> DataFrame:
+    """Keys of subtrees that reach the cutoff of their host."""
+    found = source.mapInArrow(_subtrees, "host long, key long, inner boolean, page long").distinct()
+    # On a host of four pages, what all four have is template; three pages tell too little.
+    counted = written(found.groupBy("host", "key", "inner").agg(F.count("*").alias("n")).filter(F.col("n") >= min(4, least_pages)), "subtrees")
+    hosts = counted.filter("key = host").select("host", F.col("n").alias("pages"))
+    part = F.when(F.col("inner"), F.lit(inner_share)).otherwise(F.lit(share))
+    cutoff = F.greatest(F.ceil(F.col("pages") * part), F.least(F.lit(least_pages), F.greatest(F.lit(4), F.col("pages"))))
+    return counted.filter("key != host").join(hosts, "host").filter(F.col("n") >= cutoff).select("key")
 
 
 OUT = "page_id long, url string, text string, n_chars long"
@@ -248,16 +274,16 @@ def _extracted(batches: Iterator[pa.RecordBatch], template_of) -> Iterator[pa.Re
                                           pa.array([len(t) for t in texts], pa.int64())], schema=schema)
 
 
-def extract_main_text(pages: DataFrame, least_pages: int = 5, broadcast_keys: int = 250_000) -> DataFrame:
+def extract_main_text(pages: DataFrame, least_pages: int = 5, broadcast_keys: int = 250_000, share: float = 0.1, inner_share: float = 0.5) -> DataFrame:
     """(page_id, url, text, n_chars) for each row of (page_id, url, html).
 
-    A subtree is template if it occurs in ``least_pages`` pages of its host that differ in what they say. Null or empty html gives an
+    A subtree is template if it occurs in ``share`` of the pages of its host that differ in what they say (``inner_share`` for prose
+    inside an article), in ``least_pages`` of them at least, on a host of four pages in all of them. Null or empty html gives an
     empty text; a null url is a host of its own; repeated rows are pages like others. Other columns are not read. Template keys
     (8 bytes each) are broadcast if they are counted to be ``broadcast_keys`` at most; otherwise they are joined to the pages.
     """
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    found = source.mapInArrow(_subtrees, "key long, page long").distinct()
-    template = written(found.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= least_pages).select("key"), "template")
+    template = written(template_keys(source, least_pages, share, inner_share), "template")
     if template.count() <= broadcast_keys:
         keys = source.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in template.collect()))
         return source.mapInArrow(lambda batches: _extracted(batches, lambda k, batch: keys.value), OUT)
@@ -267,7 +293,7 @@ def extract_main_text(pages: DataFrame, least_pages: int = 5, broadcast_keys: in
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("uid", pa.int64()), ("key", pa.int64())])
         for batch in batches:
-            pairs = [(uid, site_key(host_of(url), s.digest)) for uid, url, page in
+            pairs = [(uid, subtree_key(host_of(url), s)) for uid, url, page in
                      zip(batch.column("uid").to_pylist(), batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True)
                      for s in parse(page or "")[1]]
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], schema=schema)
