@@ -135,6 +135,64 @@ def test_decontamination_rows(spark, sf, documents, odd):
     assert decontaminate.contaminated(odd.filter("false"), bench).count() == decontaminate.contaminated(odd, bench.filter("false")).count() == 0
 
 
+def test_copies_in_other_case_and_layout():
+    import textwrap
+    import unicodedata
+    items = ["Съешь ещё этих мягких французских булок, да выпей же чаю, сказал ему старый друг",
+             "Ξεσκεπάζω την ψυχοφθόρα βδελυγμία, είπε ο σοφός δάσκαλος στους μαθητές του",
+             "Zażółć gęślą jaźń, powiedział źle wyspany królewicz, i poszedł żąć łąkę",
+             "Pijamalı hasta yağız şoföre çabucak güvendi, ışıklı sokaktan içeri girdi",
+             "Le cœur de l'œuvre où naît une sœur, un bœuf et des œufs, voilà le nœud",
+             "Die Straße ist groß und heiß, außen weiß, und süßer Spaß fließt durch Gießen",
+             "私は毎朝六時に起きて、近くの公園まで歩いて行きます。",
+             "The quick brown fox jumps over the lazy dog while it reads a very long text of many words in the shade"]
+    built = decontaminate.build_items(list(enumerate(items)))
+
+    def turkish(t):
+        return t.replace("i", "İ").replace("ı", "I").upper()
+
+    for k, item in enumerate(items):
+        wrapped = textwrap.fill(item, 30, subsequent_indent=" " * 8) if " " in item else item
+        for copy in (item, item.upper(), item.title() if k != 5 else item, turkish(item) if k == 3 else item, unicodedata.normalize("NFD", item), wrapped, wrapped.upper(),
+                     unicodedata.normalize("NFD", wrapped.upper()), item.replace(" ", "\u00a0"), item.replace(" ", " \r\n\t")):
+            for before, after in (("", ""), ("é\u0301 ß  ", "\n\n後")):
+                parts = [b"x  y", (before + copy + after).encode(), "ﬁ".encode()]
+                data, offsets = np.frombuffer(b"".join(parts), np.uint8), np.cumsum([0, *map(len, parts)])
+                start = len(before.encode())
+                (got,) = decontaminate.find_items(built, data, offsets)
+                # Few added blanks are edits.
+                added = len(re.sub(r"(?<=\s)\s", "", copy)) < len(copy)
+                assert (got[:2], got[3:]) == ((1, k), (start, start + len(copy.encode()))) and (added or got[2] == 0), (copy, before)
+        changed = item[:10] + "§" + item[11:]
+        got = decontaminate.find_items(built, np.frombuffer(changed.encode(), np.uint8), np.array([0, len(changed.encode())]))
+        assert [g[1:3] for g in got] == [(k, 1)]
+    long = " ".join(items[:3])
+    built = decontaminate.build_items([(1, long)])
+    laid = textwrap.fill(long.swapcase(), 60, subsequent_indent=" " * 8)
+    for n in range(decontaminate.edit_budget(len(long)) + 3):
+        # The whole budget is left for letters in a text laid out anew.
+        copy = laid
+        for at in [i for i, c in enumerate(laid) if c.isalpha()][5:200:15][:n]:
+            copy = copy[:at] + "§" + copy[at + 1:]
+        got = decontaminate.find_items(built, np.frombuffer(copy.encode(), np.uint8), np.array([0, len(copy.encode())]))
+        assert [g[2] for g in got] == ([n] if n <= decontaminate.edit_budget(len(long)) else [])
+
+
+def test_folded_places_of_odd_texts():
+    random.seed(8)
+    bits = ["a", "É", "e\u0301", "\u0301", "ß", "İ", "ﬃ", "한", "\u1112\u1161\u11ab", "\u0344", "🙂", " ", "\u2003", "\n", "ǰ", "\u0958", "Ω", "Å"]
+    for _ in range(300):
+        rows = ["".join(random.choice(bits) for _ in range(random.randint(0, 9))) for _ in range(4)]
+        parts = [r.encode() for r in rows]
+        text = decontaminate.folded(np.frombuffer(b"".join(parts), np.uint8), np.cumsum([0, *map(len, parts)]))
+        for r, whole in enumerate(rows):
+            own = slice(text.offsets[r], text.offsets[r + 1])
+            assert "".join(map(chr, text.chars[own])) == decontaminate.fold_text(whole)
+            assert all(text.first[own] < text.last[own])
+    broken = np.array([0x61, 0xC3, 0x28, 0xFF, 0x80, 0xE2, 0x82], np.uint8)
+    assert decontaminate.folded(broken, np.array([0, 3, 7])).chars.tolist() == [0x61, 0xFFFD, 0x28, 0xFFFD, 0xFFFD]
+
+
 # ---------------------------------------------------------------- mixing
 
 def test_mixture(spark, odd):

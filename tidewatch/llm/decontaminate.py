@@ -1,95 +1,268 @@
 """Benchmark passages in documents, by the q-gram lemma in diagonal bands and banded alignment.
 
-An alignment of an item of n bytes with at most e edits leaves at least n - q + 1 - q * e of its q-grams untouched, and these lie
+An alignment of an item of n characters with at most e edits leaves at least n - q + 1 - q * e of its q-grams untouched, and these lie
 on at most e + 1 neighbouring diagonals (place in the document minus place in the item). Bands of 2 * (e + 1) diagonals that
 overlap by half therefore hold all of them in one band. Documents are read once: rolling hashes find the q-grams that
 any item has, their diagonals are counted by item and band, bands that meet the bound are aligned inside the band, and only
-alignments within the edit budget are returned.
+alignments within the edit budget are returned. Characters are compared after Unicode normalisation and full case folding, with an
+array of places back to the bytes of the text; white space is compared one for one, then with each run of it as one space: see ``find_items``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from typing import NamedTuple
+from unicodedata import combining, decomposition, normalize
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, prefix_hash, range_hash, slices
+from .common import SPACE, mix, powers, range_hash, slices
 
-Q = 12
-#: Edits allowed by byte of an item, rounded up.
+#: Length of the q-grams, and of those of items too short for Q to leave the whole edit budget.
+Q, SHORT_Q = 12, 6
+#: Edits allowed by character of an item, rounded up.
 ERROR_RATE = 0.05
 #: Bytes of items in one pass over the documents; more items take more passes.
-PASS_BYTES = 16 << 20
-FILTER_BITS = 24
+PASS_BYTES = 8 << 20
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _FOLD[SPACE] = 32
+_FOLD[28:32] = 32
+_CODES = 0x110000
 
 
 def fold(data: np.ndarray) -> np.ndarray:
-    """Compared bytes: A-Z and the capitals of Latin-1 (in UTF-8) as small letters, all ASCII white space as a space. One for
-    one, so places hold."""
-    out = _FOLD[data]
-    after, lead = out[1:], data[:-1]
-    after[(lead == 0xC3) & (after >= 0x80) & (after <= 0x9E) & (after != 0x97)] += 32
+    """Compared bytes of ASCII: A-Z as small letters, white space as a space, one for one."""
+    return _FOLD[data]
+
+
+def fold_text(text: str) -> str:
+    """NFC of the full case folding, dotted and dotless i alike, each white space a space."""
+    out = normalize("NFC", normalize("NFC", text).casefold()).replace("i\u0307", "i").replace("\u0131", "i")
+    return "".join(" " if c.isspace() else c for c in out)
+
+
+@lru_cache(1)
+def _second() -> frozenset:
+    """Characters that compose with the one before."""
+    pairs = (decomposition(chr(c)).split() for c in range(0x30000))
+    return frozenset(int(p[1], 16) for p in pairs if len(p) == 2 and p[0][0] != "<") | frozenset(range(0x1161, 0x1176)) | frozenset(range(0x11A8, 0x11C3))
+
+
+class _Table:
+    """Foldings of single characters, worked out when first met."""
+
+    def __init__(self):
+        self.known, self.loose = np.zeros(_CODES, bool), np.zeros(_CODES, bool)
+        self.length = np.ones(_CODES, np.int8)
+        self.parts = np.zeros((3, _CODES), np.uint32)
+
+    def learn(self, codes: np.ndarray) -> None:
+        new = codes[~self.known[codes]]
+        for c in np.unique(new).tolist():
+            out = [ord(x) for x in fold_text(chr(c))]
+            self.length[c] = len(out)
+            self.parts[:len(out), c] = out
+            self.loose[c] = combining(chr(c)) > 0 or c in _second()
+            self.known[c] = True
+
+
+@lru_cache(1)
+def _table() -> _Table:
+    return _Table()
+
+
+class Folded(NamedTuple):
+    """Compared characters of a slice, the bytes where each begins and ends, and where rows begin among the characters."""
+    chars: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    offsets: np.ndarray
+
+
+def _decoded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code points, first bytes, ends) of UTF-8; a malformed sequence is one replacement character."""
+    head = (data & 0xC0) != 0x80
+    inner = offsets[offsets < len(data)]
+    head[inner] = True
+    first = np.flatnonzero(head)
+    last = np.append(first[1:], len(data))
+    lead = data[first].astype(np.uint32)
+    n = last - first
+    codes = np.where(lead < 0x80, lead, np.where(lead < 0xE0, lead & 0x1F, np.where(lead < 0xF0, lead & 0x0F, lead & 0x07)))
+    for k in (1, 2, 3):
+        more = np.flatnonzero(n > k)
+        codes[more] = (codes[more] << np.uint32(6)) | (data[first[more] + k] & 0x3F)
+    expected = np.where(lead < 0x80, 1, np.where(lead < 0xC2, 0, np.where(lead < 0xE0, 2, np.where(lead < 0xF0, 3, np.where(lead < 0xF5, 4, 0)))))
+    codes[(n != expected) | (codes >= _CODES)] = 0xFFFD
+    return codes, first, last
+
+
+def folded(data: np.ndarray, offsets: np.ndarray) -> Folded:
+    offsets = np.asarray(offsets, np.int64)
+    if not len(data) or data.max() < 0x80:
+        at = np.arange(len(data))
+        return Folded(fold(data).astype(np.uint32), at, at + 1, offsets)
+    codes, first, last = _decoded(data, offsets)
+    table = _table()
+    table.learn(codes)
+    row_at = np.searchsorted(first, offsets)
+    length = table.length[codes].astype(np.int64)
+    joined = table.loose[codes]
+    joined[row_at[:-1][row_at[:-1] < len(codes)]] = False
+    replaced: list[tuple[int, list[int]]] = []
+    if joined.any():
+        # A character and those that may compose with it are folded together; all its bytes are one place.
+        begins = np.flatnonzero(joined & ~np.append(False, joined[:-1])) - 1
+        ends = np.flatnonzero(joined & ~np.append(joined[1:], False)) + 1
+        last = last.copy()
+        for a, b in zip(begins.tolist(), ends.tolist(), strict=True):
+            out = [ord(c) for c in fold_text("".join(map(chr, codes[a:b].tolist())))]
+            replaced.append((a, out))
+            length[a:b] = 0
+            length[a], last[a] = len(out), last[b - 1]
+    ahead = np.concatenate([[0], np.cumsum(length)])
+    origin = np.repeat(np.arange(len(codes)), length)
+    chars = table.parts[np.minimum(np.arange(len(origin)) - ahead[origin], 2), codes[origin]]
+    for a, out in replaced:
+        chars[ahead[a]:ahead[a] + len(out)] = out
+    return Folded(chars, first[origin], last[origin], ahead[row_at])
+
+
+def one_space(text: Folded) -> tuple[Folded, np.ndarray]:
+    """Each run of spaces of a row as its first one; and where the characters kept were."""
+    space = text.chars == 32
+    again = space & np.append(False, space[:-1])
+    again[text.offsets[text.offsets < len(space)]] = False
+    keep = ~again
+    return Folded(text.chars[keep], text.first[keep], text.last[keep], np.concatenate([[0], np.cumsum(keep)])[text.offsets]), np.flatnonzero(keep)
+
+
+def char_hash(chars: np.ndarray) -> np.ndarray:
+    """Prefix hashes of characters, for ``range_hash``."""
+    out = np.zeros(len(chars) + 1, np.uint64)
+    np.cumsum((mix(chars.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)) * powers(len(chars))[0], out=out[1:])
     return out
 
 
 def edit_budget(n: int, error_rate: float = ERROR_RATE, q: int = Q) -> int:
-    """Edits allowed in n bytes: the rate's share, and few enough for the lemma to ask for one q-gram at least."""
+    """Edits allowed in n characters: the rate's share, and few enough for the lemma to ask for one q-gram at least."""
     return max(0, min(int(np.ceil(n * error_rate)), (n - q) // q))
 
 
 @dataclass
-class Items:
-    ids: list
-    texts: list[bytes]
+class Index:
+    """Postings of all q-grams of items; ``number`` is an item's place among all of them."""
+    q: int
+    number: np.ndarray
+    texts: list[np.ndarray]
     budget: np.ndarray
     needed: np.ndarray
     grams: np.ndarray
     first: np.ndarray
     posting_item: np.ndarray
     posting_at: np.ndarray
+    filter_bits: int
     present: np.ndarray
 
 
-def build_items(rows: list[tuple], error_rate: float = ERROR_RATE, q: int = Q) -> Items:
-    """Postings of all q-grams of (item_id, text) rows; items shorter than q bytes have none and are never found."""
-    kept = [(i, fold(np.frombuffer(t.encode(), np.uint8))) for i, t in rows if t and len(t.encode()) >= q]
-    sizes = np.array([len(t) for _, t in kept], np.int64)
+@dataclass
+class Exact:
+    """Items of one length that are too short for q-grams, in the order of their hashes."""
+    length: int
+    number: np.ndarray
+    texts: list[np.ndarray]
+    hashes: np.ndarray
+
+
+@dataclass
+class Items:
+    ids: list
+    sizes: list[int]
+    #: Edits allowed by item when runs of white space are joined.
+    budget: list[int]
+    #: Indexes with white space one for one, and with each run as one space and none at the ends.
+    plain: list
+    joined: list
+
+
+def _index(numbers: list[int], texts: list[np.ndarray], error_rate: float, q: int) -> Index:
+    sizes = np.array([len(t) for t in texts], np.int64)
     budget = np.array([edit_budget(int(n), error_rate, q) for n in sizes], np.int64)
-    grams, item, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for k, (_, t) in enumerate(kept):
+    grams, item, at = [], [], []
+    for k, t in enumerate(texts):
         start = np.arange(len(t) - q + 1)
-        grams.append(range_hash(prefix_hash(t), start, start + q))
-        item.append(np.full(len(start), k))
-        at.append(start)
+        grams.append(range_hash(char_hash(t), start, start + q))
+        item.append(np.full(len(start), k, np.int32))
+        at.append(start.astype(np.int32))
     g, item_, at_ = np.concatenate(grams), np.concatenate(item), np.concatenate(at)
     order = np.argsort(g, kind="stable")
     distinct, first = np.unique(g[order], return_index=True)
-    present = np.zeros(1 << FILTER_BITS, bool)
-    present[(distinct >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
-    return Items([i for i, _ in kept], [t.tobytes() for _, t in kept], budget, sizes - q + 1 - q * budget, distinct,
-                 np.append(first, len(g)), item_[order], at_[order], present)
+    bits = min(24, len(distinct).bit_length() + 6)
+    present = np.zeros(1 << bits, bool)
+    present[(distinct >> np.uint64(64 - bits)).astype(np.int64)] = True
+    return Index(q, np.array(numbers), texts, budget, sizes - q + 1 - q * budget, distinct, np.append(first, len(g)), item_[order], at_[order], bits, present)
+
+
+def _gram(n: int, error_rate: float) -> int:
+    """The q-grams' length for an item of n characters."""
+    return Q if edit_budget(n, error_rate, Q) >= np.ceil(n * error_rate) else SHORT_Q
+
+
+def _indexes(texts: list[np.ndarray], error_rate: float) -> list:
+    lots: dict[tuple[int, int], list[int]] = {}
+    for k, t in enumerate(texts):
+        n = len(t)
+        if n < Q:
+            # Less than Q characters in fewer than Q bytes are not searched.
+            key = (0, n) if n and len(t.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")) >= Q else None
+        else:
+            key = (_gram(n, error_rate), 0)
+        if key:
+            lots.setdefault(key, []).append(k)
+    out: list = []
+    for (q, n), own in sorted(lots.items()):
+        if q:
+            out.append(_index(own, [texts[k] for k in own], error_rate, q))
+        else:
+            hashes = np.array([range_hash(char_hash(texts[k]), np.array([0]), np.array([n]))[0] for k in own], np.uint64)
+            order = np.argsort(hashes, kind="stable")
+            out.append(Exact(n, np.array(own)[order], [texts[own[k]] for k in order], hashes[order]))
+    return out
+
 
+def build_items(rows: list[tuple], error_rate: float = ERROR_RATE) -> Items:
+    """Indexes of (item_id, text) rows; null and empty texts, and white space alone, are never found."""
+    kept = [(i, t.encode("utf-8", "surrogatepass")) for i, t in rows if t and not t.isspace()]
+    plain = [folded(np.frombuffer(t, np.uint8), np.array([0, len(t)])) for _, t in kept]
+    joined = []
+    for x, _ in map(one_space, plain):
+        solid = np.flatnonzero(x.chars != 32)
+        joined.append(x.chars[solid[0]:solid[-1] + 1])
+    chars = [x.chars for x in plain]
+    one = _indexes(chars, error_rate)
+    same = all(len(a) == len(b) for a, b in zip(chars, joined, strict=True))
+    budget = [edit_budget(len(t), error_rate, _gram(len(t), error_rate)) for t in joined]
+    return Items([i for i, _ in kept], [len(t) for _, t in kept], budget, one, one if same else _indexes(joined, error_rate))
 
-def align(item: bytes, text: bytes, low: int, high: int, budget: int) -> tuple[int, int, int] | None:
+
+def align(pattern: np.ndarray, body: np.ndarray, low: int, high: int, budget: int) -> tuple[int, int, int] | None:
     """(edits, start, end) of the best alignment of the whole item with a part of the text on diagonals low..high; None above the budget.
 
     Of equal edits the earliest end, then the earliest start is taken. Costs hold the start in their low bits.
     """
-    pattern, body = np.frombuffer(item, np.uint8), np.frombuffer(text, np.uint8)
     n, m = len(pattern), len(body)
     one, far = np.int64(1) << 40, np.int64(1) << 60
     diagonal = np.arange(low, high + 1)
     cost = np.where((diagonal >= 0) & (diagonal <= m), diagonal, far).astype(np.int64)
     slope = np.arange(len(diagonal), dtype=np.int64) * one
-    padded = np.full(len(diagonal) + n + 1, 256, np.int16)
+    padded = np.full(len(diagonal) + n + 1, -1, np.int64)
     a, b = max(0, low), min(m, high + n)
     if b > a:
         padded[a - low:b - low] = body[a:b]
@@ -107,14 +280,42 @@ def align(item: bytes, text: bytes, low: int, high: int, budget: int) -> tuple[i
     return int(edits[best]), int(cost[best] & (one - 1)), int(diagonal[best]) + n
 
 
-def find_items(items: Items, data: np.ndarray, offsets: np.ndarray, q: int = Q) -> list[tuple[int, int, int, int, int]]:
-    """(row, item number, edits, start, end) for each row of a slice and item found in it; the best place of each."""
-    if len(data) < q or not len(items.grams):
-        return []
-    folded = fold(data)
-    start = np.arange(len(folded) - q + 1)
-    grams = range_hash(prefix_hash(folded), start, start + q)
-    hit = np.flatnonzero(items.present[(grams >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
+def _place(item: np.ndarray, text: np.ndarray) -> int:
+    """Where the text first holds the item as it is, or -1."""
+    needle, hay = item.tobytes(), text.tobytes()
+    at = hay.find(needle)
+    while at % 4 and at >= 0:
+        at = hay.find(needle, at + 1)
+    return at // 4 if at >= 0 else -1
+
+
+def _find_exact(index: Exact, text: Folded, prefix: np.ndarray) -> dict[tuple[int, int], tuple[int, int, int]]:
+    start = np.arange(max(0, len(text.chars) - index.length + 1))
+    hashes = range_hash(prefix, start, start + index.length)
+    at = np.minimum(np.searchsorted(index.hashes, hashes), len(index.hashes) - 1)
+    hit = np.flatnonzero(index.hashes[at] == hashes)
+    row = np.searchsorted(text.offsets, hit, "right") - 1
+    inside = hit + index.length <= text.offsets[row + 1]
+    hit, row = hit[inside], row[inside]
+    _, once = np.unique(row * len(index.hashes) + at[hit], return_index=True)
+    found = {}
+    for r, place in zip(row[once].tolist(), hit[once].tolist(), strict=True):
+        k = int(at[place])
+        while k < len(index.hashes) and index.hashes[k] == hashes[place]:
+            if np.array_equal(index.texts[k], text.chars[place:place + index.length]):
+                found[r, int(index.number[k])] = (0, place - int(text.offsets[r]), place - int(text.offsets[r]) + index.length)
+            k += 1
+    return found
+
+
+def _find(items: Index, text: Folded, prefix: np.ndarray) -> dict[tuple[int, int], tuple[int, int, int]]:
+    """(row, item number) -> (edits, start, end) in characters of the row."""
+    chars, offsets, q = text.chars, text.offsets, items.q
+    if len(chars) < q:
+        return {}
+    start = np.arange(len(chars) - q + 1)
+    grams = range_hash(prefix, start, start + q)
+    hit = np.flatnonzero(items.present[(grams >> np.uint64(64 - items.filter_bits)).astype(np.int64)])
     at = np.minimum(np.searchsorted(items.grams, grams[hit]), len(items.grams) - 1)
     same = items.grams[at] == grams[hit]
     hit, at = hit[same], at[same]
@@ -122,36 +323,67 @@ def find_items(items: Items, data: np.ndarray, offsets: np.ndarray, q: int = Q)
     inside = hit + q <= offsets[row + 1]
     hit, at, row = hit[inside], at[inside], row[inside]
     if not len(hit):
-        return []
+        return {}
     count = items.first[at + 1] - items.first[at]
     each = np.repeat(np.arange(len(hit)), count)
     posting = np.repeat(items.first[at] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(len(each))
-    item, place, row = items.posting_item[posting], items.posting_at[posting], row[each]
+    item, place, row = items.posting_item[posting].astype(np.int64), items.posting_at[posting], row[each]
     width = items.budget[item] + 1
     longest = max(map(len, items.texts))
     band = (hit[each] - offsets[row] - place + 2 * longest) // width
     found: dict[tuple[int, int], tuple[int, int, int]] = {}
     # Band b holds diagonals [b * width, (b + 2) * width), shifted by 2 * longest to stay above zero.
     reach = int(band.max()) + 2
-    pair = row * len(items.ids) + item
+    pair = row * len(items.texts) + item
     key, counted = np.unique(np.concatenate([pair * reach + band, pair * reach + np.maximum(band - 1, 0)]), return_counts=True)
     owner, band = key // reach, key % reach
-    of = owner % len(items.ids)
+    of = owner % len(items.texts)
     met = counted >= items.needed[of]
-    for r, k, b in zip((owner[met] // len(items.ids)).tolist(), of[met].tolist(), band[met].tolist(), strict=True):
-        text, e = folded[offsets[r]:offsets[r + 1]], int(items.budget[k])
+    for r, k, b in zip((owner[met] // len(items.texts)).tolist(), of[met].tolist(), band[met].tolist(), strict=True):
+        own, e, pattern = chars[offsets[r]:offsets[r + 1]], int(items.budget[k]), items.texts[k]
         low, high = b * (e + 1) - 2 * longest, (b + 2) * (e + 1) - 1 - 2 * longest
         region = max(0, low - e)
-        stop = max(region, min(len(text), high + len(items.texts[k]) + e))
-        exact = text[region:stop].tobytes().find(items.texts[k])
+        stop = max(region, min(len(own), high + len(pattern) + e))
+        exact = _place(pattern, own[region:stop])
         if exact >= 0:
-            got = (0, region + exact, region + exact + len(items.texts[k]))
+            got = (0, region + exact, region + exact + len(pattern))
         else:
-            got = align(items.texts[k], text[region:stop].tobytes(), low - region, high - region, e)
+            got = align(pattern, own[region:stop], low - region, high - region, e)
             got = got and (got[0], got[1] + region, got[2] + region)
-        if got and ((r, k) not in found or got < found[r, k]):
-            found[r, k] = got
-    return [(r, k, *got) for (r, k), got in sorted(found.items())]
+        number = int(items.number[k])
+        if got and ((r, number) not in found or got < found[r, number]):
+            found[r, number] = got
+    return found
+
+
+def _search(indexes: list, text: Folded) -> dict[tuple[int, int], tuple[int, int, int]]:
+    """(row, item number) -> (edits, start, end) in characters of the slice."""
+    found, prefix = {}, char_hash(text.chars)
+    for index in indexes:
+        for (r, k), (edits, start, end) in (_find_exact if isinstance(index, Exact) else _find)(index, text, prefix).items():
+            found[r, k] = (edits, int(text.offsets[r]) + start, int(text.offsets[r]) + end)
+    return found
+
+
+def find_items(items: Items, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    """(row, item number, edits, start, end) for each row of a slice and item found in it; the best place of each.
+
+    White space counts one for one where that is within the budget. Else each run of it in the row and the item is one space; a
+    doubled one in the row is still an edit, unless all that were joined exceed the budget by themselves.
+    """
+    if not len(data) or not items.ids:
+        return []
+    text = folded(data, offsets)
+    out = {at: (edits, text.first[start], text.last[end - 1]) for at, (edits, start, end) in _search(items.plain, text).items()}
+    joined, origin = one_space(text)
+    if items.joined is not items.plain or len(joined.chars) < len(text.chars):
+        for (r, k), (edits, start, end) in _search(items.joined, joined).items():
+            steps = np.diff(origin[start:end])
+            if (steps - 1).sum() <= items.budget[k]:
+                edits += int((steps == 2).sum())
+            if (r, k) not in out and edits <= items.budget[k]:
+                out[r, k] = (edits, joined.first[start], joined.last[end - 1])
+    return [(r, k, edits, int(start - offsets[r]), int(end - offsets[r])) for (r, k), (edits, start, end) in sorted(out.items())]
 
 
 FOUND = "doc_id long, item_id long, n_edits long, start long, end long, item_bytes long"
@@ -169,7 +401,8 @@ def item_passes(benchmark: DataFrame, pass_bytes: int = PASS_BYTES) -> Iterator[
 def contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """(doc_id, item_id, n_edits, start, end, item_bytes) for each row and item it contains with at most ``edit_budget`` edits.
 
-    Bytes are compared without the case of Latin letters, white space being all alike; start and end count bytes of the text. Null and empty
+    Characters are compared in NFC and by full case folding, white space being all alike and laid out in any way (see
+    ``find_items``). Edits count characters; start and end count bytes of the text, item_bytes those of the item. Null and empty
     texts on either side find nothing; repeated rows are rows like others; a null id is kept as it is. Items are sent to the
     tasks in lots of a bounded size, each lot being one pass over the documents. Columns other than the ids and texts aren't read.
     """
@@ -186,7 +419,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERRO
                 for first, _, data, offsets in slices(batch, "text"):
                     got = find_items(items, data, offsets)
                     columns = [pa.array([ids[first + g[0]].as_py() for g in got], pa.int64()), pa.array([items.ids[g[1]] for g in got], pa.int64()),
-                               *(pa.array([g[k] for g in got], pa.int64()) for k in (2, 3, 4)), pa.array([len(items.texts[g[1]]) for g in got], pa.int64())]
+                               *(pa.array([g[k] for g in got], pa.int64()) for k in (2, 3, 4)), pa.array([items.sizes[g[1]] for g in got], pa.int64())]
                     yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
         found = source.mapInArrow(run, FOUND)
