@@ -178,6 +178,21 @@ def test_copies_in_other_case_and_layout():
         assert [g[2] for g in got] == ([n] if n <= decontaminate.edit_budget(len(long)) else [])
 
 
+def test_short_items_are_found_verbatim(spark):
+    items = ["a b", "東京", "Ça va  ?", "x", "eleven char", "Привет", "東京", " \n"]
+    texts = ["so A\tB it is", "私は東京に住む", "oui, ÇA VA ?", "ELEVEN   chars, xylophone", "ПРИВЕТ, мир", "東 京", "", "ab", "elevenchar"]
+    fold = lambda t: " ".join(decontaminate.fold_text(t).split())
+    expected = {(d, i) for d, t in enumerate(texts) for i, x in enumerate(items) if x.strip() and fold(x) in fold(t)}
+    assert {i for _, i in expected} == set(range(7))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    for size in (1 << 20, 10):
+        got = decontaminate.contaminated(docs, bench, pass_bytes=size).collect()
+        assert {(r.doc_id, r.item_id) for r in got} == expected and len(got) == len(expected)
+        assert all(r.n_edits == 0 and fold(texts[r.doc_id].encode()[r.start:r.end].decode()) == fold(items[r.item_id]) for r in got)
+        assert {r.doc_id for r in decontaminate.drop_contaminated(docs, bench, pass_bytes=size).collect()} == set(range(len(texts))) - {d for d, _ in expected}
+
+
 def test_folded_places_of_odd_texts():
     random.seed(8)
     bits = ["a", "É", "e\u0301", "\u0301", "ß", "İ", "ﬃ", "한", "\u1112\u1161\u11ab", "\u0344", "🙂", " ", "\u2003", "\n", "ǰ", "\u0958", "Ω", "Å"]

@@ -219,13 +219,7 @@ def _indexes(texts: list[np.ndarray], error_rate: float) -> list:
     lots: dict[tuple[int, int], list[int]] = {}
     for k, t in enumerate(texts):
         n = len(t)
-        if n < Q:
-            # Less than Q characters in fewer than Q bytes are not searched.
-            key = (0, n) if n and len(t.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")) >= Q else None
-        else:
-            key = (_gram(n, error_rate), 0)
-        if key:
-            lots.setdefault(key, []).append(k)
+        lots.setdefault((_gram(n, error_rate), 0) if n >= Q else (0, n), []).append(k)
     out: list = []
     for (q, n), own in sorted(lots.items()):
         if q:
@@ -238,7 +232,10 @@ def _indexes(texts: list[np.ndarray], error_rate: float) -> list:
 
 
 def build_items(rows: list[tuple], error_rate: float = ERROR_RATE) -> Items:
-    """Indexes of (item_id, text) rows; null and empty texts, and white space alone, are never found."""
+    """Indexes of (item_id, text) rows; null and empty texts, and white space alone, are never found.
+
+    Items shorter than Q characters are found as a whole, without edits.
+    """
     kept = [(i, t.encode("utf-8", "surrogatepass")) for i, t in rows if t and not t.isspace()]
     plain = [folded(np.frombuffer(t, np.uint8), np.array([0, len(t)])) for _, t in kept]
     joined = []
@@ -401,7 +398,7 @@ def item_passes(benchmark: DataFrame, pass_bytes: int = PASS_BYTES) -> Iterator[
 def contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """(doc_id, item_id, n_edits, start, end, item_bytes) for each row and item it contains with at most ``edit_budget`` edits.
 
-    Characters are compared in NFC and by full case folding, white space being all alike and laid out in any way (see
+    Items shorter than Q characters are found without edits only. Characters are compared in NFC and by full case folding, white space being all alike and laid out in any way (see
     ``find_items``). Edits count characters; start and end count bytes of the text, item_bytes those of the item. Null and empty
     texts on either side find nothing; repeated rows are rows like others; a null id is kept as it is. Items are sent to the
     tasks in lots of a bounded size, each lot being one pass over the documents. Columns other than the ids and texts aren't read.
