@@ -213,3 +213,23 @@ def test_a_sink_and_a_lag_by_batch(spark):
     assert {r["key"] for r in got[0]} == {r["key"] for r in got[1]} and len(got[0]) == 4
     first, second = ({json.loads(r["value"])["consumer_lag"] for r in got[n]} for n in (0, 1))
     assert first in ({5}, {0}) and (first == {0} or second == {6})
+
+
+@pytest.mark.parametrize("name", ["st01_micro_batch_loop", "st04_live_batch_metrics", "st03_live_saved_model", "st_event_time_windows_streamed"])
+def test_arrivals_are_written_by_many_tasks(spark, sf, tmp_path, monkeypatch, name):
+    from __spark_entry__ import queries
+    from tidewatch.plans import live as plans
+
+    wide = str(tmp_path)
+    spark.read.parquet(f"{sf}/events.parquet").repartition(3).write.parquet(f"{wide}/events.parquet")
+    paths = {}
+
+    def noted(session, kind):
+        paths[kind] = run_dir(session, kind)
+        return paths[kind]
+
+    monkeypatch.setattr(plans, "run_dir", noted)
+    want, got = (sorted(map(str, queries()[name](spark, d).collect())) for d in (sf, wide))
+    assert got == want
+    path = paths.get("arriving") or paths["ending"]
+    assert spark.read.parquet(path).select(F.input_file_name()).distinct().count() >= (12 if "arriving" in paths else 4)

@@ -34,27 +34,42 @@ def _stream(spark, sf):
     return spark.readStream.schema(EVENT_DDL).option("pathGlobFilter", "events.parquet").parquet(sf)
 
 
+#: Arrivals, each a micro-batch.
 FILES = 4
 
 
-def _filed(spark, sf, last=None):
-    """The events as a stream of several files, each a micro-batch; ``last`` is a final file of its own."""
-    path = run_dir(spark, "arriving")
+def _arrivals(spark, sf):
+    """The events in several parts, each to be a micro-batch."""
     rows = table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
-    for k in range(FILES):
-        rows.where(F.pmod(F.floor(F.col("event_id") / 4), F.lit(FILES)) == k).coalesce(1).write.mode("append").parquet(path)
-    if last is not None:
-        last.select(*rows.columns).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(EVENT_DDL).option("maxFilesPerTrigger", 1).parquet(path)
+    return [rows.where(F.pmod(F.floor(F.col("event_id") / 4), F.lit(FILES)) == k) for k in range(FILES)]
 
 
-def _drain(spark, sf, name, rounds=1, stream=None, score=None, **more):
-    """Run the live job over everything there is, a number of times on one progress folder; returns the output folder."""
+def _arriving(spark, path, part):
+    """The stream of a folder after a part has arrived there, in as many files as it has tasks. A run over all there is takes what
+    is new as one micro-batch."""
+    part.write.mode("append").parquet(path)
+    return spark.readStream.schema(EVENT_DDL).parquet(path)
+
+
+def _drain(spark, sf, name, rounds=1, arrivals=None, score=None, **more):
+    """Run the live job over everything there is, a number of times on one progress folder; returns the output folder. With
+    ``arrivals`` the first of these times is a run after each of them."""
     out = run_dir(spark, name)
     write = live.batch_writer(out, F.col("score") if score is None else score, ["value"], processed_ms=F.lit(DONE_MS).cast("bigint"), **more)
-    stream = _stream(spark, sf) if stream is None else stream
-    for _ in range(rounds):
+
+    def run(stream):
         live.start(live.decode(_as_messages(stream), MESSAGE), write, f"{out}/progress", interval=None).awaitTermination()
+
+    if arrivals is None:
+        stream = _stream(spark, sf)
+        run(stream)
+    else:
+        path = run_dir(spark, "arriving")
+        for part in arrivals:
+            stream = _arriving(spark, path, part)
+            run(stream)
+    for _ in range(rounds - 1):
+        run(stream)
     return out
 
 
@@ -82,7 +97,7 @@ def live_routed(spark, sf):
 @query("st01_micro_batch_loop", with_events(f"SELECT {FILES}::BIGINT AS batches, count(*) AS records FROM ok", VALID))
 def micro_batch_loop(spark, sf):
     """Drain a stream of several micro-batches, then trigger once more: an empty round leaves no batch behind."""
-    out = _drain(spark, sf, "loop", rounds=2, stream=_filed(spark, sf))
+    out = _drain(spark, sf, "loop", rounds=2, arrivals=_arrivals(spark, sf))
     return spark.read.schema("records_processed BIGINT").json(f"{out}/metrics").agg(
         F.count(F.lit(1)).alias("batches"), F.sum("records_processed").alias("records"))
 
@@ -112,7 +127,7 @@ def live_metrics(spark, sf):
         return spark.range(4).select(F.lit("input").alias("topic"), F.col("id").cast("int").alias("partition"),
                                      (F.col("id") + 10 * (FILES - 1 - batch)).alias("consumer_lag"))
 
-    out = _drain(spark, sf, "metrics", stream=_filed(spark, sf), lag=lag)
+    out = _drain(spark, sf, "metrics", arrivals=_arrivals(spark, sf), lag=lag)
     log = spark.read.schema(BATCH_METRICS_DDL + ", batch_id BIGINT").json(f"{out}/metrics")
     return log.select(F.col("batch_id").alias("batch"), "records_processed", "anomaly_count", "normal_count", "uncertain_count", F.round("mean_e2e_latency_ms", 2).alias("mean_e2e_latency_ms"),
                       "p95_e2e_latency_ms", "total_consumer_lag", "routing_policy")
@@ -161,15 +176,13 @@ def event_time_windows_streamed(spark, sf):
     # All events are one arrival: in several, those behind the watermark of the earlier ones would be late.
     path = run_dir(spark, "ending")
     for part in (e.select(*last.columns), last):
-        part.coalesce(1).write.mode("append").parquet(path)
-    arriving = spark.readStream.schema(EVENT_DDL).option("maxFilesPerTrigger", 1).parquet(path)
-    stamped = live.decode(_as_messages(arriving), MESSAGE)
-    records = stamped.where(F.col("message_id").isNotNull()).withColumn("at", F.timestamp_millis("event_ts_ms"))
-    rows = live.deduplicated(records, "at").withColumns({"e2e_latency_ms": F.lit(0), "route": route("score")})
-    counted = live.windowed_counts(rows, "at").drop("w")
-    run = (counted.writeStream.outputMode("append").format("parquet").option("path", f"{out}/rows")
-           .option("checkpointLocation", f"{out}/progress").trigger(availableNow=True).start())
-    run.awaitTermination()
+        stamped = live.decode(_as_messages(_arriving(spark, path, part)), MESSAGE)
+        records = stamped.where(F.col("message_id").isNotNull()).withColumn("at", F.timestamp_millis("event_ts_ms"))
+        rows = live.deduplicated(records, "at").withColumns({"e2e_latency_ms": F.lit(0), "route": route("score")})
+        counted = live.windowed_counts(rows, "at").drop("w")
+        run = (counted.writeStream.outputMode("append").format("parquet").option("path", f"{out}/rows")
+               .option("checkpointLocation", f"{out}/progress").trigger(availableNow=True).start())
+        run.awaitTermination()
     return spark.read.schema("records_processed BIGINT").parquet(f"{out}/rows").agg(
         F.count(F.lit(1)).alias("windows"), F.sum("records_processed").alias("records"))
 
@@ -183,7 +196,7 @@ def live_saved_model(spark, sf):
     path = run_dir(spark, "scorer")
     models.save(models.fit("decision_tree", events(spark, sf).select("label", "value"), ["value"], "label"), path, ["value"], "label")
     fitted = models.load(path)
-    out = _drain(spark, sf, "scored", stream=_filed(spark, sf), score=lambda df: models.with_scores(fitted, df.drop("score")))
+    out = _drain(spark, sf, "scored", arrivals=_arrivals(spark, sf), score=lambda df: models.with_scores(fitted, df.drop("score")))
     flowed = spark.read.schema(ROUTED_DDL).json(f"{out}/routed").select("message_id", "route")
     records = live.with_reason(live.decode(_as_messages(table(spark, sf, "events")), MESSAGE), ["value"]).where("reject_reason IS NULL")
     still = live.routed(models.with_scores(fitted, records.drop("score")), F.col("score"), processed_ms=F.lit(DONE_MS))
