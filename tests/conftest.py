@@ -24,7 +24,3 @@ def spark():
 @pytest.fixture(scope="session")
 def sf():
     return SF
-
-
-def close(a, b, tol=1e-6):
-    return abs(a - b) <= tol * max(1.0, abs(a), abs(b))

@@ -5,7 +5,7 @@ import itertools
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import close
+from helpers import close
 from pyspark.sql import functions as F
 
 from tidewatch.operators import evaluate, metrics, models, profile, quality, reports, scaling

@@ -1,7 +1,7 @@
 """Hand-computed values of column expressions."""
 
 import pytest
-from conftest import close
+from helpers import close
 from pyspark.sql import functions as F
 
 from tidewatch.functions import portable, scalar

@@ -3,7 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import close
+from helpers import close
 from pyspark.sql import functions as F
 
 from tidewatch.operators.ordered import quantiles, ranked, running, with_previous, with_range_bucket
