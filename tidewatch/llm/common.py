@@ -60,6 +60,8 @@ _LOWER[65:91] += 32
 _BYTE_LOWER = _BYTE[_LOWER]
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: ASCII bytes other than letters and digits.
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -101,11 +103,11 @@ def range_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     return mix((prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, row) of each run of bytes other than white space; none crosses a row."""
+def words(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, row) of each run of bytes other than white space, or than ``gap``; none crosses a row."""
     if not len(data):
         return (np.zeros(0, np.int64),) * 3
-    solid = ~SPACE[data]
+    solid = ~gap[data]
     starts, ends = solid.copy(), solid.copy()
     starts[1:] &= ~solid[:-1]
     ends[:-1] &= ~solid[1:]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -109,3 +110,44 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 def op7_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_sources
     return mix_sources(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op11_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan_licenses
+    return scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+
+
+@query(r"""WITH RECURSIVE bits AS (SELECT i, 0 AS k, i AS c FROM range(256) r(i)
+ UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS tab FROM bits WHERE k = 8),
+w AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word
+ FROM (SELECT doc_id, text FROM documents UNION ALL SELECT -1, text FROM benchmark)),
+v AS (SELECT word, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, len(hex) // 2 + 1), lambda i: CAST('0x' || substr(hex, 2 * i - 1, 2) AS BIGINT))),
+ lambda c, b: xor(tab[1 + (xor(c, b) & 255)], c >> 8)), 4294967295) % 10000 AS bucket FROM (SELECT DISTINCT word, hex(encode(word)) AS hex FROM w), crc),
+f AS (SELECT doc_id, bucket, count(*) AS n FROM w JOIN v USING (word) GROUP BY ALL),
+b AS (SELECT bucket, coalesce(sum(n) FILTER (doc_id <> -1), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (doc_id = -1), 0)::DOUBLE AS t FROM f GROUP BY bucket),
+g AS (SELECT bucket, floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM b) + 10000) / ((s + 1) * ((SELECT sum(t) FROM b) + 10000))))::BIGINT AS gain FROM b),
+d AS (SELECT doc_id, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM f JOIN g USING (bucket) GROUP BY doc_id),
+e AS (SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln(
+ (CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score FROM documents LEFT JOIN d USING (doc_id)),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM e WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= n * 10 // 100 THEN rank END AS rank FROM e LEFT JOIN r USING (doc_id)""")
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .importance import resample
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
+
+
+@query(r"""WITH u AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS units, sha256('7:' || doc_id) AS hex FROM documents),
+h AS (SELECT *, len(units) AS n, CAST('0x' || substr(hex, 1, 8) AS BIGINT) % (len(units) + 1) AS x, CAST('0x' || substr(hex, 9, 8) AS BIGINT) % (len(units) + 1) AS y,
+ CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR CAST('0x' || substr(hex, 17, 8) AS BIGINT) % 100 >= 100 THEN 'plain'
+ WHEN CAST('0x' || substr(hex, 25, 8) AS BIGINT) % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT doc_id, n, form, text, array_to_string(units[1:least(x, y)], '') AS pre, array_to_string(units[least(x, y) + 1:greatest(x, y)], '') AS mid,
+ array_to_string(units[greatest(x, y) + 1:], '') AS suf FROM h)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+ sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+ sha256(text) AS restored_sha256 FROM p""")
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fillmiddle import fill_in_middle, restored
+    rows = fill_in_middle(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(), 256).alias("restored_sha256"))
