@@ -122,9 +122,9 @@ def bucket_gains(corpus: DataFrame, target: DataFrame, buckets: int = 10_000) ->
     both = (corpus.sparkSession.range(buckets).select(F.col("id").alias("bucket"))
             .join(corpus.select("bucket", F.col("n").alias("s")), "bucket", "left").join(target.select("bucket", F.col("n").alias("t")), "bucket", "left")
             .select("bucket", *(F.coalesce(c, F.lit(0)).cast("double").alias(c) for c in "st")))
-    sums = both.agg(F.sum("s").alias("all_s"), F.sum("t").alias("all_t"))
-    ratio = (F.col("t") + 1) * (F.col("all_s") + buckets) / ((F.col("s") + 1) * (F.col("all_t") + buckets))
-    return both.join(F.broadcast(sums)).select("bucket", F.floor(1000 * F.log(ratio)).alias("gain"))
+    all_s, all_t = (both.agg(F.sum(c).alias("n")).scalar() for c in "st")
+    ratio = (F.col("t") + 1) * (all_s + buckets) / ((F.col("s") + 1) * (all_t + buckets))
+    return both.select("bucket", F.floor(1000 * F.log(ratio)).alias("gain"))
 
 
 WEIGHED = "doc_id long, n_words long, n_features long, weight long"
