@@ -266,6 +266,60 @@ def test_exact_ranks_for_groups_of_every_size(spark):
     assert {r["g"]: r["p_value"] for r in got} == {n: 2.0 ** (1 - n) for n in (3, 5, 10, 12, 13, 26, 60)}
 
 
+def folded(doubled):
+    """Share of all sign patterns per doubled rank sum, by plain numpy."""
+    shares = np.ones(1)
+    for r in doubled:
+        wide = np.zeros(len(shares) + r)
+        wide[:len(shares)] += shares / 2
+        wide[r:] += shares / 2
+        shares = wide
+    return shares
+
+
+@pytest.mark.parametrize("seed, n, digits", [(1, 66, 9), (3, 120, 1), (4, 500, 2), (6, 90, 0)])
+def test_large_groups_equal_the_folded_distribution(spark, seed, n, digits):
+    """With and without ties, one group beside small ones, and both the tails and the whole distribution."""
+    from tidewatch.operators.ranktest import null_shares
+
+    rng = np.random.default_rng(seed)
+    d = np.round(rng.normal(0.1, 1, n), digits)
+    rows = [("large", float(x), 0.0) for x in d] + [("small", float(i + 1), 0.0) for i in range(6)] + [(None, 1.0, 2.0)]
+    df = spark.createDataFrame(rows, "g string, x double, y double")
+    d = d[np.abs(d) > 1e-8]
+    ranks = pd.Series(np.abs(d)).rank().to_numpy()
+    shares = folded((2 * ranks).astype(int))
+    w = min(ranks[d > 0].sum(), ranks[d < 0].sum())
+    at = np.arange(len(shares))
+    p = shares[np.minimum(at, len(shares) - 1 - at) <= 2 * w].sum()
+    got = {r["g"]: r for r in signed_rank_test(df, ["g"], "x", "y").collect()}
+    assert got["large"]["n"] == len(d) and got["large"]["statistic"] == w and abs(got["large"]["p_value"] - p) < 1e-11
+    assert got["small"]["p_value"] == 2 ** -5 and got[None]["p_value"] == 1.0
+    alone = signed_rank_test(df.where("g = 'large'"), [], "x", "y").first()
+    assert abs(alone["p_value"] - p) < 1e-11
+    if n <= 120:
+        table = null_shares(average_ranks(differences(df, "x", "y", ["g"]), ["g"]), ["g"]).where("g = 'large'").collect()
+        assert max(abs(r["share"] - shares[r["doubled"]]) for r in table) < 1e-14
+        assert {r["doubled"] for r in table} >= set(np.flatnonzero(shares > 1e-13).tolist()) and len({r["doubled"] for r in table}) == len(table)
+
+
+def test_one_group_with_a_third_of_all_pairs(spark):
+    """50,000 pairs of one group: exact, without a row or task that holds them."""
+    n = 50_000
+    df = spark.range(3 * n).select(F.when(F.col("id") < n, 0).otherwise(F.col("id") % 49_999 + 1).alias("g"),
+                                   (F.sin(F.col("id") * 12.9898) * 43758.5453 % 1 + F.lit(0.003)).alias("x"), F.lit(0.0).alias("y"))
+    exact = signed_rank_test(df, ["g"], "x", "y").where("g = 0").first()
+    normal = signed_rank_test(df, ["g"], "x", "y", method="normal").where("g = 0").first()
+    assert exact["n"] == n and abs(exact["p_value"] - normal["p_value"]) < 1e-5 and 0 < exact["p_value"] < 1
+
+
+def test_nan_differences_are_no_pairs(spark):
+    nan = float("nan")
+    rows = [(float(i), 0.0) for i in range(1, 9)] + [(nan, 0.0), (1.0, nan), (None, 1.0)]
+    r = signed_rank_test(spark.createDataFrame(rows, "x double, y double"), [], "x", "y").first()
+    assert (r["n"], r["w_plus"], r["p_value"], r["mean_difference"]) == (8, 36.0, 0.0078125, 4.5)
+
+
 def test_nan_readings(spark):
     from tidewatch.functions.scalar import route
     from tidewatch.operators import cleaning, profile, scaling

@@ -6,8 +6,8 @@ import pytest
 from helpers import close
 from pyspark.sql import functions as F
 
-from tidewatch.operators.ordered import quantiles, ranked, running, with_previous, with_range_bucket
-from tidewatch.operators.profile import histogram, null_counts, process_indicators, time_profile
+from tidewatch.operators.ordered import bracket_counts, quantiles, ranked, running, with_previous, with_range_bucket
+from tidewatch.operators.profile import distribution_by_label, histogram, null_counts, process_indicators, time_profile
 
 
 @pytest.fixture(scope="module")
@@ -50,6 +50,37 @@ def test_quantiles(spark, rows, buckets):
             assert close(got.loc[g, name], np.quantile(part["v"], q))
 
 
+@pytest.mark.parametrize("shape", ["sorted", "equal", "skewed", "few values", "reversed"])
+def test_brackets_of_large_groups(spark, shape):
+    """Exact whatever the order and repeats; under 5 % of the readings are counted one by one."""
+    n = 60_000
+    rng = np.random.default_rng(4)
+    v = {"sorted": np.arange(n) / 7, "reversed": -np.arange(n) / 3, "equal": np.full(n, 2.5), "skewed": rng.pareto(0.3, n),
+         "few values": rng.integers(0, 9, n).astype(float)}[shape]
+    rows = pd.DataFrame({"g": np.where(np.arange(n) % 3 == 0, "hot", np.where(np.arange(n) % 3 == 1, "b", "c")), "v": v})
+    probs = {"least": 0.0, "q25": 0.25, "q26": 0.26, "q50": 0.5, "q95": 0.95, "most": 1.0}
+    df = spark.createDataFrame(rows).repartition(5)
+    got = quantiles(df, ["g"], "v", probs).toPandas().set_index("g")
+    ranked_ = quantiles(df, ["g"], "v", probs, nearest_rank=True).toPandas().set_index("g")
+    for g, part in rows.groupby("g"):
+        for name, q in probs.items():
+            assert close(got.loc[g, name], np.quantile(part["v"], q))
+            assert ranked_.loc[g, name] == np.sort(part["v"])[max(0, int(np.ceil(q * len(part))) - 1)]
+    if shape in ("sorted", "skewed", "reversed"):
+        counts = bracket_counts(df, ["g"], "v", {"q50": 0.5, "q95": 0.95})
+        assert counts.where("_v is not null").agg(F.sum("_c")).first()[0] < 0.05 * n and counts.agg(F.sum("_c")).first()[0] == n
+
+
+def test_quantiles_leave_nan_and_empty_groups_out(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([("a", float(i)) for i in range(1, 9)] + [("a", nan), ("a", None), ("b", nan)], "g string, v double")
+    assert [(r["g"], r["m"]) for r in quantiles(df, ["g"], "v", {"m": 0.5}).collect()] == [("a", 4.5)]
+    assert quantiles(df.where("g = 'b'"), [], "v", {"m": 0.5}).collect()[0]["m"] is None if quantiles(df.where("g = 'b'"), [], "v", {"m": 0.5}).count() else True
+    box = {r["label"]: r for r in distribution_by_label(df.withColumnRenamed("g", "label"), "label", "v").collect()}
+    assert (box["a"]["n"], box["a"]["highest"], box["a"]["median"], box["b"]["n"], box["b"]["median"]) == (8, 8.0, 4.5, 0, None)
+    assert {r["column_name"]: r["missing"] for r in null_counts(df, ["v"]).collect()} == {"v": 3}
+
+
 def test_both_p95_definitions(spark):
     df = spark.range(1, 31).select(F.col("id").cast("double").alias("x"))
     assert quantiles(df, [], "x", {"p": 0.95}, nearest_rank=True).first()["p"] == 29.0

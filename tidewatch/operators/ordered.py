@@ -15,8 +15,11 @@ from collections.abc import Sequence
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from ..functions.portable import epoch_micros
-from ..shared import default_buckets
+from ..functions.portable import epoch_micros, reading
+from ..shared import default_buckets, written
+
+#: A sketch's ranks are right within 1 / ACCURACY of a group.
+ACCURACY = 1000
 
 _B = "_bucket"
 _AGG = {"sum": F.sum, "max": F.max, "min": F.min}
@@ -150,32 +153,72 @@ def with_previous(df: DataFrame, by: Sequence[str], order: str, columns: dict[st
             .drop("_prev", "_first", "_carry", "_chosen"))
 
 
-def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float],
-              nearest_rank: bool = False, buckets: int | None = None,
-              cuts: Sequence[float] | None = None) -> DataFrame:
-    """Exact quantiles per group, interpolated or by nearest rank.
-
-    Equal readings are counted first, so a hot group or a hot value is merged
-    map-side; positions are then found with two-level running counts. No group
-    is ever gathered in one task.
-    """
-    present = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
-    counts = with_range_bucket(present, "_v", buckets=buckets, cuts=cuts).groupBy(*by, _B, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    placed = running(counts, by, ["_v"], {"_upto": ("sum", F.col("_c"))}, whole=True)
+def _picks(placed: DataFrame, by: Sequence[str], probs: dict[str, float], nearest_rank: bool) -> DataFrame:
+    """Quantiles from rows (_v, _c) with running counts ``_upto`` and whole counts; a position always lies in a row with a value."""
     n, end, start = F.col("_upto_whole"), F.col("_upto"), F.col("_upto") - F.col("_c")
 
+    def at(position: Column) -> Column:
+        return F.max(F.when((start <= position) & (position < end), F.col("_v")))
+
     picks, finals = [], []
     for name, q in probs.items():
         if nearest_rank:
-            at = F.greatest(F.ceil(F.lit(q) * n) - 1, F.lit(0))
-            picks.append(F.max(F.when((start <= at) & (at < end), F.col("_v"))).alias(name))
-            finals.append(F.col(name))
+            picks.append(at(F.greatest(F.ceil(F.lit(q) * n) - 1, F.lit(0))).alias(name))
+            finals.append(_found(F.col(name)))
             continue
         spot = F.lit(q) * (n - 1)
         lo, hi = F.floor(spot), F.ceil(spot)
-        picks += [F.max(F.when((start <= lo) & (lo < end), F.col("_v"))).alias(f"_lo_{name}"),
-                  F.max(F.when((start <= hi) & (hi < end), F.col("_v"))).alias(f"_hi_{name}"),
-                  F.max(spot - lo).alias(f"_w_{name}")]
-        lo_v, hi_v, w = F.col(f"_lo_{name}"), F.col(f"_hi_{name}"), F.col(f"_w_{name}")
-        finals.append((lo_v * (F.lit(1.0) - w) + hi_v * w).alias(name))
-    return placed.groupBy(*by).agg(*picks).select(*by, *finals)
+        picks += [at(lo).alias(f"_lo_{name}"), at(hi).alias(f"_hi_{name}"), F.max(spot - lo).alias(f"_w_{name}")]
+        lo_v, hi_v, w = _found(F.col(f"_lo_{name}")), _found(F.col(f"_hi_{name}")), F.col(f"_w_{name}")
+        finals.append(lo_v * (F.lit(1.0) - w) + hi_v * w)
+    rows = placed.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"), *picks)
+    return rows.select(*by, *[F.when(F.col("_rows") > 0, f).alias(name) for f, name in zip(finals, probs)])
+
+
+def _found(pick: Column) -> Column:
+    """The value at a position; a sketch that broke its error bound must not pass for a result."""
+    return F.coalesce(pick, F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double"))
+
+
+def counted_quantiles(counts: DataFrame, by: Sequence[str], value: str, n: str, probs: dict[str, float], nearest_rank: bool = False,
+                      buckets: int | None = None, cuts: Sequence[float] | None = None) -> DataFrame:
+    """Exact quantiles per group of a table of (value, number of readings), one row per group and value."""
+    rows = counts.select(*by, reading(value).alias("_v"), F.col(n).alias("_c")).where(F.col("_v").isNotNull())
+    placed = running(with_range_bucket(rows, "_v", buckets=buckets, cuts=cuts), by, ["_v"], {"_upto": ("sum", F.col("_c"))}, whole=True)
+    return _picks(placed, by, probs, nearest_rank)
+
+
+def bracket_counts(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """Readings counted by value inside the brackets of the wanted quantiles, and by gap between them (value null).
+
+    A mergeable sketch per group tells each quantile's rank within 1 / ACCURACY of the group, so a bracket of three times that width
+    on both sides holds the exact answer and its neighbours. Groups of up to 4 * ACCURACY readings are counted whole. Rows of a
+    group are ordered by (_slot, _v), nulls first; ``_at`` grows with that order.
+    """
+    present = df.select(*by, reading(value).alias("_v")).where(F.col("_v").isNotNull())
+    ends = [min(1.0, max(0.0, q + side * 3 / ACCURACY)) for q in sorted(set(probs.values())) for side in (-1, 1)]
+    sketch = present.groupBy(*by).agg(F.when(F.count(F.lit(1)) > 4 * ACCURACY, F.percentile_approx("_v", ends, ACCURACY)).alias("_q"))
+    held = (null_safe_join(present, sketch, by) if by else present.withColumn("_q", sketch.scalar()))
+    v, q = F.col("_v"), F.col("_q")
+    low = [F.lit(float("-inf")) if e == 0 else F.coalesce(F.get(q, F.lit(i)), F.lit(float("-inf"))) for i, e in enumerate(ends)][::2]
+    high = [F.lit(float("inf")) if e == 1 else F.coalesce(F.get(q, F.lit(i)), F.lit(float("inf"))) for i, e in enumerate(ends)][1::2]
+    slot, inside, next_low = F.lit(0), F.lit(False), F.lit(float("inf"))
+    for lo, hi in zip(low, high):
+        slot, inside = slot + (v > hi).cast("int"), inside | ((v >= lo) & (v <= hi))
+    for lo in reversed(low):
+        next_low = F.when(v < lo, lo).otherwise(next_low)
+    keyed = held.select(*by, slot.alias("_slot"), F.when(inside, v).alias("_v"), F.when(inside, v).otherwise(next_low).alias("_at"))
+    return keyed.groupBy(*by, "_slot", "_v").agg(F.min("_at").alias("_at"), F.count(F.lit(1)).alias("_c"))
+
+
+def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float],
+              nearest_rank: bool = False, buckets: int | None = None) -> DataFrame:
+    """Exact quantiles per group, interpolated or by nearest rank; null and NaN readings don't count.
+
+    Two passes over the readings: a sketch brackets each quantile, then readings are counted, one by one inside the brackets (under
+    1 % of a large group for each quantile) and as one number per gap outside. Only those counts are shuffled; positions are found
+    among them with two-level running counts, so no group is gathered in one task.
+    """
+    counts = written(bracket_counts(df, by, value, probs), "brackets")
+    placed = running(with_range_bucket(counts, "_at", buckets=buckets), by, ["_slot", F.asc_nulls_first("_v")], {"_upto": ("sum", F.col("_c"))}, whole=True)
+    return _picks(placed, by, probs, nearest_rank)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.portable import ratio, reading
 from ..schema import LABEL_CANDIDATES
-from .ordered import quantiles, range_cuts, with_previous, with_range_bucket
+from .ordered import null_safe_join, quantiles, with_previous, with_range_bucket
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -81,9 +81,10 @@ def class_roles(df: DataFrame, label: str) -> DataFrame:
 
 
 def null_counts(df: DataFrame, columns: list[str] | None = None, only_missing: bool = False) -> DataFrame:
-    """Null count per column in one pass."""
+    """Missing readings per column in one pass; NaN is missing too."""
     names = columns or df.columns
-    wide = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in names])
+    float_like = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
+    wide = df.agg(*[F.count_if((reading(c) if c in float_like else F.col(c)).isNull()).alias(c) for c in names])
     out = wide.unpivot([], names, "column_name", "missing")
     return out.where("missing > 0") if only_missing else out
 
@@ -152,17 +153,17 @@ def value_counts(df: DataFrame, column: str, by_count: bool = False) -> DataFram
 
 
 def distribution_by_label(df: DataFrame, label: str, column: str) -> DataFrame:
-    """Count, minimum, quartiles and maximum per class."""
+    """Count, minimum, quartiles and maximum per class; NaN readings are missing. Classes without a reading have n = 0."""
     box = quantiles(df, [label], column, {"q1": 0.25, "median": 0.5, "q3": 0.75})
-    ends = df.groupBy(label).agg(F.count(column).alias("n"), F.min(column).alias("lowest"),
-                                 F.max(column).alias("highest"))
-    return ends.join(box, label)
+    v = reading(column)
+    ends = df.groupBy(label).agg(F.count(v).alias("n"), F.min(v).alias("lowest"), F.max(v).alias("highest"))
+    return null_safe_join(ends, box, [label], "left")
 
 
 def trend(df: DataFrame, ts: str, column: str, unit: str = "day") -> DataFrame:
-    """Mean of a reading per time unit."""
+    """Mean of a reading per time unit over all rows that have one; ``n`` counts rows."""
     return df.groupBy(F.date_trunc(unit, ts).cast("timestamp_ntz").alias("period")).agg(
-        F.avg(column).alias("mean_value"), F.count(F.lit(1)).alias("n"))
+        F.avg(reading(column)).alias("mean_value"), F.count(F.lit(1)).alias("n"))
 
 
 def time_profile(df: DataFrame, order: str, ts: str, label: str) -> DataFrame:
@@ -178,22 +179,26 @@ def time_profile(df: DataFrame, order: str, ts: str, label: str) -> DataFrame:
                   ).withColumn("steps_back", steps.scalar()).withColumn("monotonic", F.col("steps_back") == 0)
 
 
-def process_indicators(df: DataFrame, order: str, ts: str, label: str, power: Column) -> DataFrame:
-    """Aggregate power per row, its mean and median, class contrast, window length and energy.
+def process_indicators(df: DataFrame, order: str, ts: str, label: str, power: Column, by: list[str] = ()) -> DataFrame:
+    """Aggregate power per row, its mean and median, class contrast, window length and energy, per group.
 
-    Energy is the trapezoid integral of power over time (seconds).
+    Energy is the trapezoid integral of power over time (seconds). A row whose
+    power is null or NaN counts for no power figure, and has no trapezoid on
+    either side. All groups share the same passes.
     """
-    base = df.select(order, F.col(ts).alias("_t"), F.col(label).alias("_l"), power.cast("double").alias("_p"))
-    cuts = range_cuts(base, [order, "_p"])
-    pairs = with_previous(with_range_bucket(base, order, cuts=cuts[order]), [], order, {"_t0": "_t", "_p0": "_p"})
-    energy = pairs.agg(F.sum((F.col("_p") + F.col("_p0")) / 2 * (F.col("_t") - F.col("_t0"))).alias("e"))
+    p = power.cast("double")
+    base = df.select(*by, order, F.col(ts).alias("_t"), F.col(label).alias("_l"), F.nanvl(p, F.lit(None).cast("double")).alias("_p"))
+    pairs = with_previous(with_range_bucket(base, order), by, order, {"_t0": "_t", "_p0": "_p"})
+    energy = pairs.groupBy(*by).agg(F.sum((F.col("_p") + F.col("_p0")) / 2 * (F.col("_t") - F.col("_t0"))).alias("energy"))
     normal, odd = F.avg(F.when(F.col("_l") == 0, F.col("_p"))), F.avg(F.when(F.col("_l") == 1, F.col("_p")))
-    return base.agg(F.avg("_p").alias("mean_power"), normal.alias("normal_mean_power"),
-                    (odd - normal).alias("anomaly_minus_normal"),
-                    (F.max("_t") - F.min("_t")).alias("window_seconds"),
-                    F.avg(F.col("_l").cast("double")).alias("anomaly_rate")
-                    ).withColumns({"median_power": quantiles(base, [], "_p", {"median": 0.5}, cuts=cuts["_p"]).scalar(),
-                                   "energy": energy.scalar()})
+    means = base.groupBy(*by).agg(F.avg("_p").alias("mean_power"), normal.alias("normal_mean_power"),
+                                  (odd - normal).alias("anomaly_minus_normal"),
+                                  (F.max("_t") - F.min("_t")).alias("window_seconds"),
+                                  F.avg(F.col("_l").cast("double")).alias("anomaly_rate"))
+    medians = quantiles(base, by, "_p", {"median_power": 0.5})
+    if not by:
+        return means.withColumns({"median_power": medians.scalar(), "energy": energy.scalar()})
+    return null_safe_join(null_safe_join(means, medians, by, "left"), energy, by, "left")
 
 
 def relative_change(before: DataFrame, after: DataFrame, columns: list[str]) -> DataFrame:

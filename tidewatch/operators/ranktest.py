@@ -1,31 +1,50 @@
-"""Paired signed-rank tests, one per group of a table of any size."""
+"""Paired signed-rank tests, one per group of a table of any size.
+
+Under the null hypothesis every rank has either sign, so the rank sum's generating polynomial is the product of (1 + x^r) / 2
+over all ranks. Small groups multiply it out in one row. For larger ones the product is evaluated at roots of unity instead,
+where it is a sum of logarithms that merges over any number of tasks, and the inverse transform gives shares and tails. Away
+from a few frequencies the product is below 1e-17 / cells; these are ruled out by bounds over whole intervals.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .ordered import null_safe_join, quantiles, range_cuts, running, with_range_bucket
+from ..functions.portable import reading
+from ..shared import written
+from .ordered import counted_quantiles, null_safe_join, range_cuts, running, with_range_bucket
 
 ZERO = 1e-8
 TIE_DIGITS = 8
+#: Groups with up to so many ranks are folded in one row, of at most FOLD_RANKS * (FOLD_RANKS + 1) + 1 cells.
+FOLD_RANKS = 64
+#: Ranks, frequencies or cells of one numpy block.
+CHUNK = 512
+#: Products below this part of 1 / cells don't count.
+NOTHING = 1e-17
 
 
 def differences(df: DataFrame, x: str, y: str, keep: list[str] = ()) -> DataFrame:
-    """Non-zero paired differences; gaps up to 1e-8 count as zero."""
-    d = F.col(x).cast("double") - F.col(y).cast("double")
-    return df.select(*keep, d.alias("difference")).where(F.abs("difference") > ZERO)
+    """Non-zero paired differences; gaps up to 1e-8 count as zero, pairs with a null or NaN reading as no pair."""
+    return df.select(*keep, (reading(x) - reading(y)).alias("difference")).where(F.abs("difference") > ZERO)
 
 
-def average_ranks(diffs: DataFrame, by: list[str], cuts: list[float] | None = None) -> DataFrame:
+def average_ranks(diffs: DataFrame, by: list[str], cuts: list[float] | None = None, count: Column | None = None) -> DataFrame:
     """Average rank of |difference| per group, one row per distinct size with its sign counts.
 
     Equal sizes are merged before the shuffle, and ranks follow from two-level
-    running counts, so a hot group never sits in one task.
+    running counts, so a hot group never sits in one task. ``count`` says for how
+    many pairs a row stands, one by default.
     """
-    sized = diffs.withColumn("size", F.round(F.abs("difference"), TIE_DIGITS))
+    c = F.lit(1) if count is None else count
+    sized = diffs.withColumns({"size": F.round(F.abs("difference"), TIE_DIGITS), "_c": c})
     merged = with_range_bucket(sized, "size", cuts=cuts).groupBy(*by, "_bucket", "size").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("difference") > 0).alias("n_plus"),
-        F.sum("difference").alias("total"))
+        F.sum("_c").alias("n"), F.sum(F.when(F.col("difference") > 0, F.col("_c")).otherwise(0)).alias("n_plus"),
+        F.sum(F.col("difference") * F.col("_c")).alias("total"))
     placed = running(merged, by, ["size"], {"upto": ("sum", F.col("n"))}, whole=True)
     return placed.withColumn("rank", F.col("upto") - F.col("n") + (F.col("n") + 1) / 2.0).drop("_bucket")
 
@@ -33,8 +52,8 @@ def average_ranks(diffs: DataFrame, by: list[str], cuts: list[float] | None = No
 def null_distribution(doubled_ranks: str | Column) -> Column:
     """Share of all sign patterns per doubled rank sum, index 0..2*sum, as an array of doubles.
 
-    Equals listing all 2^n patterns, but folds one rank at a time; shares halve
-    with each rank, so no group size overflows.
+    Equals listing all 2^n patterns, but folds one rank at a time. For lists of
+    bounded length; ``null_shares`` takes groups of any size.
     """
     ranks = F.col(doubled_ranks) if isinstance(doubled_ranks, str) else doubled_ranks
     top = F.aggregate(ranks, F.lit(0), lambda a, r: a + r)
@@ -43,6 +62,158 @@ def null_distribution(doubled_ranks: str | Column) -> Column:
         acc, lambda v, i: (v + F.when(i >= r, F.get(acc, i - r)).otherwise(0.0)) / F.lit(2.0)))
 
 
+def _folded(ranks: DataFrame, by: list[str]) -> DataFrame:
+    """(by, _dist): the null distribution of each small group, in one row."""
+    small = ranks.where(F.col("upto_whole") <= FOLD_RANKS)
+    listed = F.flatten(F.collect_list(F.array_repeat((F.col("rank") * 2).cast("int"), F.col("n").cast("int"))))
+    return small.groupBy(*by).agg(listed.alias("_r")).select(*by, null_distribution("_r").alias("_dist"))
+
+
+def _grid(ranks: DataFrame, by: list[str]) -> DataFrame:
+    """One row per large group: _unit (1 or 2: doubled ranks have this factor), _sum, _cells, _top, _chunks, _spread of its ranks."""
+    r, n = F.col("rank") * 2, F.col("n")
+    per = ranks.where(F.col("upto_whole") > FOLD_RANKS).groupBy(*by).agg(
+        F.when(F.max(r.cast("bigint") % 2) == 0, 2).otherwise(1).cast("bigint").alias("_unit"), F.sum(r.cast("bigint") * n).alias("_s"),
+        F.max(r.cast("bigint")).alias("_m"), F.ceil(F.count(F.lit(1)) / CHUNK).alias("_chunks"), F.sqrt(F.sum(r * r * n)).alias("_d"))
+    return per.select(*by, "_unit", F.expr("_s div _unit").alias("_sum"), F.expr("_s div _unit + 1").alias("_cells"),
+                      F.expr("_m div _unit").alias("_top"), "_chunks", (F.col("_d") / 2 / F.col("_unit")).alias("_spread"))
+
+
+def _arrow(df: DataFrame, by: list[str], fn, fields: list[tuple[str, str, pa.DataType]]) -> DataFrame:
+    """``fn`` of each row's columns gives equally long arrays, one per field; they become rows beside the group's columns."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                got = fn({c: batch.column(c)[i] for c in batch.schema.names})
+                if len(got[0]):
+                    keys = batch.select(by).slice(i, 1).take(pa.array(np.zeros(len(got[0]), np.int64))) if by else None
+                    columns = [keys.column(b) for b in by] + [pa.array(g, kind) for g, (_, _, kind) in zip(got, fields)]
+                    yield pa.RecordBatch.from_arrays(columns, [*by, *(f for f, _, _ in fields)])
+
+    out = T.StructType([df.schema[b] for b in by])
+    for name, kind, _ in fields:
+        out = out.add(name, kind)
+    return df.mapInArrow(run, out)
+
+
+def _tasks(df: DataFrame) -> int:
+    """Blocks are few and costly, so they aren't packed by bytes."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _numbers(x) -> np.ndarray:
+    return x.values.to_numpy(zero_copy_only=False)
+
+
+def _standing(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """(first frequency, frequencies) of the intervals of a block that a bound over some of the ranks doesn't rule out.
+
+    Interval i holds the angles (i .. i+1) * pi / parts. Over it no factor |cos(angle * r / 2)| exceeds the cosine of the distance
+    from the nearest multiple of pi to the nearer end.
+    """
+    parts, cells = 4 * row["_top"].as_py(), row["_cells"].as_py()
+    first = row["_block"].as_py() * CHUNK
+    i = np.arange(first, min(parts, first + CHUNK))
+    r, n = _numbers(row["_r"]), _numbers(row["_n"])
+    part = ((2 * i[:, None] + 1) * r % (4 * parts)) / (4.0 * parts)
+    off = np.maximum(0.0, np.minimum(part, 1.0 - part) - r / (4.0 * parts))
+    with np.errstate(divide="ignore"):
+        bound = np.log(np.cos(np.pi * off)) @ n
+    i = i[bound >= np.log(NOTHING / cells)]
+    # Frequency k is in interval (2 * parts * k) // cells; integers may pass 64 bits.
+    low = np.array([-(-int(x) * cells // (2 * parts)) for x in i], np.int64)
+    end = np.array([-(-(int(x) + 1) * cells // (2 * parts)) for x in i], np.int64)
+    low, end = np.maximum(low, 1), np.minimum(end, (cells - 1) // 2 + 1)
+    low, end = low[low < end], end[low < end]
+    apart = low[1:] != end[:-1]     # neighbouring intervals go together
+    low, end = low[np.append(True, apart)[:len(low)]], end[np.append(apart, True)[-len(end):]] if len(end) else end
+    pieces = np.maximum(0, -(-(end - low) // CHUNK))
+    start = np.repeat(low, pieces) + CHUNK * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+    return start, np.minimum(CHUNK, np.repeat(end, pieces) - start)
+
+
+def _factors(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(frequency, log of the product's size, sign flips) over the ranks of one chunk, at the frequencies of one block."""
+    cells, k0 = row["_cells"].as_py(), row["_from"].as_py()
+    k = np.arange(k0, k0 + row["_k_count"].as_py())
+    r, n = _numbers(row["_r"]), _numbers(row["_n"])
+    value = np.cos(np.pi * (k[:, None] * r % (2 * cells) / float(cells)))
+    with np.errstate(divide="ignore"):
+        size = np.maximum(np.log(np.abs(value)), -1e6) @ n
+    return k, size, (value < 0).astype(np.int64) @ (n.astype(np.int64) % 2)
+
+
+def transform(ranks: DataFrame, by: list[str]) -> DataFrame:
+    """(by, the grid of ``_grid``, _k, _phi): the centred rank-sum polynomial of every large group at the frequencies that count."""
+    grid = _grid(ranks, by)
+    unit = null_safe_join(ranks, grid.select(*by, "_unit", "_chunks"), by).withColumn("_r", ((F.col("rank") * 2).cast("bigint") / F.col("_unit")).cast("bigint"))
+    chunks = unit.withColumn("_chunk", F.pmod(F.xxhash64("_r"), "_chunks")).groupBy(*by, "_chunk").agg(
+        F.sort_array(F.collect_list(F.struct("_r", F.col("n").cast("double").alias("_n")))).alias("_l")).select(
+        *by, "_chunk", F.col("_l._r").alias("_r"), F.col("_l._n").alias("_n"))
+    chunks = written(chunks, "rank-chunks")
+    parts = grid.select(*by, "_top", "_cells", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(4 * _top - 1) div {CHUNK}"))).alias("_block"))
+    # Any part of the ranks gives a bound; the first chunk that holds any is a fair sample.
+    sample = chunks.groupBy(*by).agg(F.min_by(F.struct("_r", "_n"), "_chunk").alias("_s")).select(*by, "_s._r", "_s._n")
+    standing = _arrow(null_safe_join(parts, sample, by), by, _standing, [("_from", "long", pa.int64()), ("_k_count", "long", pa.int64())])
+    work = null_safe_join(null_safe_join(standing, chunks, by), grid.select(*by, "_cells"), by)
+    factors = _arrow(work.repartition(_tasks(ranks), *by, "_from", "_chunk"), by, _factors, [("_k", "long", pa.int64()), ("_size", "double", pa.float64()), ("_flips", "long", pa.int64())])
+    phi = factors.groupBy(*by, "_k").agg((F.exp(F.sum("_size")) * F.when(F.sum("_flips") % 2 == 0, 1.0).otherwise(-1.0)).alias("_phi"))
+    return null_safe_join(phi, grid, by)
+
+
+def _turn(k: str, times: Column) -> Column:
+    """pi * k * times / _cells, reduced by whole turns in integers first."""
+    exact = F.col(k).cast("decimal(19,0)") * times.cast("decimal(18,0)")
+    return F.pmod(exact, (F.col("_cells") * 2).cast("decimal(38,0)")).cast("double") * F.lit(np.pi) / F.col("_cells")
+
+
+def two_sided(ranks: DataFrame, by: list[str], sums: DataFrame) -> DataFrame:
+    """(by, p_value) of the large groups in ``sums`` (by, statistic): the exact share of sign patterns at least as far out.
+
+    Absolute error below 1e-12; no row or task holds a group.
+    """
+    held = null_safe_join(transform(ranks, by), sums.select(*by, "statistic"), by)
+    w = (F.col("statistic") * 2 / F.col("_unit")).cast("bigint")
+    wave = F.sin(_turn("_k", w * 2 - F.col("_sum") + 1)) / F.sin(F.lit(np.pi) * F.col("_k") / F.col("_cells"))
+    tails = held.groupBy(*by).agg(F.max(F.when(w * 2 >= F.col("_sum"), 1).otherwise(0)).alias("_all"),
+                                  (F.max((w + 1) / F.col("_cells")) + F.sum(F.col("_phi") * wave / F.col("_cells"))).alias("_p"))
+    return tails.select(*by, F.when(F.col("_all") == 1, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("_p") * 2))).alias("p_value"))
+
+
+def _shares(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """(cell, part of its share) from the frequencies of one block, for the cells of one block."""
+    cells, total = row["_cells"].as_py(), row["_sum"].as_py()
+    s = np.arange(row["_s0"].as_py(), row["_s0"].as_py() + row["_s_count"].as_py())
+    k, phi = _numbers(row["_ks"]), _numbers(row["_phis"])
+    turn = (2 * s[:, None] - total) * k % (2 * cells) / float(cells)
+    return s, 2.0 * np.cos(np.pi * turn) @ phi / cells
+
+
+def null_shares(ranks: DataFrame, by: list[str]) -> DataFrame:
+    """(by, doubled, share): every doubled rank sum with its share of all sign patterns, for groups of any size.
+
+    Shares of groups with more than FOLD_RANKS ranks are right within 1e-15; smaller ones are left out there.
+    """
+    ranks = written(ranks, "ranks")
+    small = _folded(ranks, by).select(*by, F.posexplode("_dist").alias("doubled", "share")).where("share > 0").withColumn("doubled", F.col("doubled").cast("bigint"))
+    if ranks.where(F.col("upto_whole") > FOLD_RANKS).isEmpty():
+        return small
+    phi = written(transform(ranks, by), "rank-waves")
+    grid = phi.groupBy(*by).agg(*[F.max(c).alias(c) for c in ("_unit", "_sum", "_cells", "_spread")])
+    waves = phi.withColumn("_block", F.expr(f"_k div {CHUNK}")).groupBy(*by, "_block").agg(F.collect_list(F.struct("_k", "_phi")).alias("_l")).select(
+        *by, "_block", F.col("_l._k").alias("_ks"), F.col("_l._phi").alias("_phis"))
+    # Beyond nine spreads from the middle no share reaches 1e-15.
+    low = F.greatest(F.lit(0), F.floor(F.col("_sum") / 2 - 9 * F.col("_spread"))).cast("bigint")
+    high = F.least(F.col("_sum"), F.ceil(F.col("_sum") / 2 + 9 * F.col("_spread"))).cast("bigint")
+    blocks = grid.withColumns({"_low": low, "_high": high}).select(
+        *by, "_unit", "_sum", "_cells", "_high", F.explode(F.sequence("_low", "_high", F.lit(CHUNK).cast("bigint"))).alias("_s0")).withColumn(
+        "_s_count", F.least(F.lit(CHUNK).cast("bigint"), F.col("_high") - F.col("_s0") + 1))
+    parts = _arrow(null_safe_join(blocks, waves, by).repartition(_tasks(ranks), *by, "_s0", "_block"), by, _shares, [("_s", "long", pa.int64()), ("_part", "double", pa.float64())])
+    shares = null_safe_join(parts.groupBy(*by, "_s").agg(F.sum("_part").alias("_part")), grid, by)
+    large = shares.select(*by, (F.col("_s") * F.col("_unit")).alias("doubled"), (F.col("_part") + 1 / F.col("_cells")).alias("share")).where("share > 1e-15")
+    return small.unionByName(large)
+
+
 def _upper_normal_tail(z: Column) -> Column:
     """P(Z > z) for z >= 0 by the published polynomial approximation 26.2.17 (error below 7.5e-8)."""
     # Coefficients of the approximation.
@@ -55,45 +226,53 @@ def _upper_normal_tail(z: Column) -> Column:
 def signed_rank_test(df: DataFrame, by: list[str], x: str, y: str, method: str = "exact") -> DataFrame:
     """w+, w-, statistic, p-value, significance, direction, mean and median difference per group.
 
-    ``method`` is ``exact``, for groups of every size (n steps over n * (n + 1)
-    sums for n non-zero differences), or ``normal``, the approximation with
-    tie-corrected variance. Groups without any difference report n = 0 and p = 1.
+    ``method`` is ``exact``, for groups of every size, or ``normal``, the
+    approximation with tie-corrected variance. Groups without any difference
+    report n = 0 and p = 1. The table is read once, for the number of pairs by
+    group and difference; everything else follows from these counts.
     """
     if method not in ("exact", "normal"):
         raise ValueError(f"unknown method {method!r}")
-    diffs = differences(df, x, y, by)
+    d = reading(x) - reading(y)
+    counts = df.select(*by, F.when(F.abs(d) > ZERO, d).alias("difference")).groupBy(*by, "difference").agg(F.count(F.lit(1)).alias("_pairs"))
+    counts = written(counts, "differences")
+    found = counts.where(F.col("difference").isNotNull())
     # Quantiles of the differences also cut their sizes well, so one pass finds both sets of range buckets.
-    cuts = range_cuts(diffs, ["difference"])["difference"]
-    ranks = average_ranks(diffs, by, sorted({abs(c) for c in cuts}))
-    medians = quantiles(diffs, by, "difference", {"median_difference": 0.5}, cuts=cuts)
-    sized = F.struct((F.col("rank") * 2).cast("int").alias("r"), F.col("n").cast("int").alias("n"))
+    cuts = range_cuts(found, ["difference"])["difference"]
+    ranks = average_ranks(found, by, sorted({abs(c) for c in cuts}), F.col("_pairs"))
+    if method == "exact":
+        ranks = written(ranks, "ranks")
+    medians = counted_quantiles(found, by, "difference", "_pairs", {"median_difference": 0.5}, cuts=cuts)
     sums = ranks.groupBy(*by).agg(
         F.sum("n").alias("n"), F.sum(F.col("rank") * F.col("n_plus")).alias("w_plus"),
         F.sum(F.col("rank") * (F.col("n") - F.col("n_plus"))).alias("w_minus"),
-        F.sum("total").alias("_total"), F.sum(F.col("n") * F.col("n") * F.col("n") - F.col("n")).alias("_ties"),
-        *([F.collect_list(sized).alias("_ranks")] if method == "exact" else []))
+        F.sum("total").alias("_total"), F.sum(F.col("n") * F.col("n") * F.col("n") - F.col("n")).alias("_ties"))
     sums = sums.withColumn("statistic", F.least("w_plus", "w_minus"))
     if method == "exact":
-        expanded = F.flatten(F.transform("_ranks", lambda s: F.array_repeat(s["r"], s["n"])))
-        sums = sums.withColumn("_dist", null_distribution(expanded))
-        top = F.size("_dist") - 1
-        p_value = F.aggregate(F.transform("_dist", lambda c, i: F.when(
-            F.least(i, top - i) <= F.col("statistic") * 2 + 1e-12, c).otherwise(0.0)), F.lit(0.0), lambda a, v: a + v)
+        tested = _with_exact_p(ranks, by, sums)
     else:
         m = F.col("n").cast("double")
         spread = F.sqrt(m * (m + 1) * (2 * m + 1) / 24 - F.col("_ties") / 48.0)
         z = F.abs(F.try_divide(F.col("statistic") - m * (m + 1) / 4, spread))
-        p_value = F.least(F.lit(1.0), F.lit(2.0) * _upper_normal_tail(z))
-    tested = sums.withColumns({"p_value": p_value, "mean_difference": F.col("_total") / F.col("n")})
-    tested = (null_safe_join(tested, medians, by) if by
-              else tested.withColumn("median_difference", medians.scalar()))
+        tested = sums.withColumn("p_value", F.least(F.lit(1.0), F.lit(2.0) * _upper_normal_tail(z)))
+    tested = tested.withColumn("mean_difference", F.col("_total") / F.col("n"))
+    tested = null_safe_join(tested, medians, by)
     kept = ["n", "w_plus", "w_minus", "statistic", "p_value", "mean_difference", "median_difference"]
-    if by:
-        groups = df.select(*by).distinct()
-        tested = null_safe_join(groups, tested.select(*by, *kept), by, "left")
+    groups = counts.select(*by).distinct() if by else df.sparkSession.range(1).select()
+    tested = null_safe_join(groups, tested.select(*by, *kept), by, "left")
     zero = F.lit(0.0)
     full = tested.select(*by, F.coalesce("n", F.lit(0)).alias("n"),
                          *[F.coalesce(c, F.lit(1.0) if c == "p_value" else zero).alias(c) for c in kept[1:]])
     way = (F.when(F.col("mean_difference") > 0, "better_than_random")
            .when(F.col("mean_difference") < 0, "worse_than_random").otherwise("no_difference"))
     return full.withColumns({"significant": F.col("p_value") < 0.05, "direction": way})
+
+
+def _with_exact_p(ranks: DataFrame, by: list[str], sums: DataFrame) -> DataFrame:
+    top = F.size("_dist") - 1
+    tail = F.aggregate(F.transform("_dist", lambda c, i: F.when(
+        F.least(i, top - i) <= F.col("statistic") * 2 + 1e-12, c).otherwise(0.0)), F.lit(0.0), lambda a, v: a + v)
+    small = null_safe_join(sums.where(F.col("n") <= FOLD_RANKS), _folded(ranks, by), by).withColumn("p_value", tail).drop("_dist")
+    if ranks.where(F.col("upto_whole") > FOLD_RANKS).isEmpty():
+        return small
+    return small.unionByName(null_safe_join(sums.where(F.col("n") > FOLD_RANKS), two_sided(ranks, by, sums), by))

@@ -9,8 +9,9 @@ from ..functions.scalar import route
 from ..operators import joins, metrics, profile, quality, reports
 from ..operators.ordered import quantiles
 from ..operators.balance import exact_downsample
-from ..operators.ranktest import average_ranks, differences, null_distribution, signed_rank_test
+from ..operators.ranktest import average_ranks, differences, null_shares, signed_rank_test
 from ..operators.routing import Policy, policy_quality, route_counts, with_route
+from ..shared import written
 from .lookups import COUNTS, KPIS, dataset_counts
 from .registry import query
 from .views import (
@@ -213,6 +214,38 @@ def distribution(spark, sf):
     return rounded(profile.distribution_by_label(sensors(spark, sf), "label", "O_w_BLO_power"))
 
 
+GAPPY = f"n AS (SELECT *, CASE WHEN {u_sql('gap', 'event_id')} < 0.1 THEN NULL ELSE value END AS seen, CASE WHEN {u_sql('gap', 'event_id')} < 0.1 THEN 'NaN'::DOUBLE ELSE value END AS v FROM e)"
+
+
+def gappy(spark, sf):
+    """Events whose readings are NaN in a tenth of the rows, chosen by a seeded hash."""
+    return with_day(events(spark, sf)).withColumn("v", F.when(uniform("gap", "event_id") < 0.1, float("nan")).otherwise(F.col("value")))
+
+
+@query("ag03_null_counts_with_nan", with_events("SELECT 'v' AS column_name, count(*) - count(seen) AS missing FROM n", GAPPY))
+def null_counts_with_nan(spark, sf):
+    return profile.null_counts(gappy(spark, sf), ["v"])
+
+
+@query("ag12_quantiles_with_nan", with_events("""
+SELECT user_id, round(quantile_cont(seen, 0.25), 6) AS q25, round(quantile_cont(seen, 0.95), 6) AS q95 FROM n WHERE seen IS NOT NULL GROUP BY user_id""", GAPPY))
+def quantiles_with_nan(spark, sf):
+    return rounded(quantiles(gappy(spark, sf), ["user_id"], "v", {"q25": 0.25, "q95": 0.95}))
+
+
+@query("ag19_distribution_with_nan", with_events("""
+SELECT label, count(seen) AS n, min(seen) AS lowest, round(quantile_cont(seen, 0.25), 6) AS q1, round(quantile_cont(seen, 0.5), 6) AS median,
+ round(quantile_cont(seen, 0.75), 6) AS q3, max(seen) AS highest FROM n GROUP BY label""", GAPPY))
+def distribution_with_nan(spark, sf):
+    return rounded(profile.distribution_by_label(gappy(spark, sf), "label", "v"))
+
+
+@query("ag20_trend_with_nan", with_events("""
+SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS period, round(avg(seen), 6) AS mean_value, count(*) AS n FROM n GROUP BY 1""", GAPPY))
+def trend_with_nan(spark, sf):
+    return rounded(profile.trend(gappy(spark, sf), "ts", "v", "hour"))
+
+
 @query("ag20_time_trend", with_events(f"""
 SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS period, round(avg(value), 6) AS mean_value, count(*) AS n FROM e
 WHERE {u_sql('42', 'event_id')} < 0.1 GROUP BY 1"""))
@@ -308,13 +341,23 @@ INDICATOR_COLUMNS = ["window_seconds", "mean_power", "median_power", "energy", "
     f"i AS ({INDICATORS.format(r=REGIME)})"))
 def process_indicators(spark, sf):
     e = events(spark, sf).withColumn("regime", regime())
-    parts = [profile.process_indicators(e.where(F.col("regime") == r), "event_id", "ts_s", "label",
-                                        F.col("value") + F.col("k")) for r in ("standard", "optimized")]
-    out = profile.relative_change(*parts, INDICATOR_COLUMNS)
+    both = written(profile.process_indicators(e, "event_id", "ts_s", "label", F.col("value") + F.col("k"), ["regime"]), "indicators")
+    out = profile.relative_change(*[both.where(F.col("regime") == r) for r in ("standard", "optimized")], INDICATOR_COLUMNS)
     return out.select("indicator", F.round("before", 2).alias("before"), F.round("after", 2).alias("after"),
                       F.round("relative_change", 5).alias("relative_change"))
 
 
+@query("ag28_process_indicators_with_nan", with_events("SELECT event_type, mean_power, median_power, normal_mean_power, anomaly_minus_normal, window_seconds, "
+ "anomaly_rate, energy FROM (SELECT event_type, round(avg(pw), 6) AS mean_power, round(quantile_cont(pw, 0.5), 6) AS median_power, "
+ "round(avg(pw) FILTER (label = 0), 6) AS normal_mean_power, round(avg(pw) FILTER (label = 1) - avg(pw) FILTER (label = 0), 6) AS anomaly_minus_normal, "
+ "round(max(ts_s) - min(ts_s), 6) AS window_seconds, round(avg(label), 6) AS anomaly_rate, round(sum((pw + pp) / 2 * (ts_s - pt)), 2) AS energy FROM ("
+ "SELECT *, lag(pw) OVER (PARTITION BY event_type ORDER BY event_id) AS pp, lag(ts_s) OVER (PARTITION BY event_type ORDER BY event_id) AS pt "
+ "FROM (SELECT *, seen + k AS pw FROM n)) GROUP BY 1)", GAPPY))
+def process_indicators_with_nan(spark, sf):
+    out = profile.process_indicators(gappy(spark, sf), "event_id", "ts_s", "label", F.col("v") + F.col("k"), ["event_type"])
+    return rounded(out).withColumn("energy", F.round("energy", 2))
+
+
 @query("ag29_signal_coverage", with_sensors("""
 SELECT subsystem, signal_type, CAST(sum(a) AS BIGINT) AS available, CAST(sum(n) AS BIGINT) AS expected, round(sum(a) / sum(n)::DOUBLE, 6) AS coverage FROM (
  SELECT 'BLO' AS subsystem, 'current' AS signal_type, count("I_w_BLO_Weg") AS a, count(*) AS n FROM s UNION ALL
@@ -344,53 +387,77 @@ def batch_load(spark, sf):
         ("avg_input_s", 4), ("avg_process_s", 4), ("mean_batch_ms", 2), ("mean_delay_ms", 2))])
 
 
-PAIRS = "d AS (SELECT user_id, event_type, value - k AS d FROM e WHERE abs(value - k) > 1e-8)"
-RANKS = """s AS (SELECT user_id, event_type, d, round(abs(d), 8) AS sz FROM d),
-rk AS (SELECT *, rank() OVER (PARTITION BY user_id, event_type ORDER BY sz) + (count(*) OVER (PARTITION BY user_id, event_type, sz) - 1) / 2.0::DOUBLE AS r,
- row_number() OVER (PARTITION BY user_id, event_type ORDER BY sz) - 1 AS i, count(*) OVER (PARTITION BY user_id, event_type) AS n FROM s)"""
+USER_DAY, TYPE_DAY = ["user_id", "event_type", "day"], ["event_type", "day"]
 
 
-FOLD = """steps AS (SELECT user_id, event_type, CAST(2 * r AS BIGINT) AS x, row_number() OVER (PARTITION BY user_id, event_type ORDER BY sz) AS i, n FROM rk),
-fold AS (SELECT DISTINCT user_id, event_type, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS doubled, 1.0::DOUBLE AS share FROM rk UNION ALL
- SELECT fold.user_id, fold.event_type, fold.i + 1, doubled + b * x, sum(share) / 2 FROM fold JOIN steps s ON s.user_id = fold.user_id
-  AND s.event_type = fold.event_type AND s.i = fold.i + 1, (VALUES (0), (1)) t(b) GROUP BY 1, 2, 3, 4),
-nulls AS (SELECT user_id, event_type, doubled, share, n FROM fold JOIN (SELECT DISTINCT user_id, event_type, n FROM steps) USING (user_id, event_type) WHERE i = n)"""
+def with_day(e):
+    return e.withColumn("day", F.expr("ts_us div 86400000000"))
 
 
-def with_fold(body: str, *ctes: str) -> str:
-    return with_events(body, PAIRS, RANKS, FOLD, *ctes).replace("WITH ", "WITH RECURSIVE ", 1)
+def with_ranks(body: str, by: list[str], *ctes: str) -> str:
+    """SQL over signed ranks by group: d, r (average rank of |d|), n, and nulls (every doubled rank sum with its share of sign patterns)."""
+    g = ", ".join(by)
+    same = " AND ".join(f"s.{b} = fold.{b}" for b in by)
+    parts = (f"d AS (SELECT *, ts_us // 86400000000 AS day, value - k AS d FROM e WHERE abs(value - k) > 1e-8)",
+             f"s AS (SELECT {g}, d, round(abs(d), 8) AS sz FROM d)",
+             f"""rk AS (SELECT *, rank() OVER (PARTITION BY {g} ORDER BY sz) + (count(*) OVER (PARTITION BY {g}, sz) - 1) / 2.0::DOUBLE AS r,
+ row_number() OVER (PARTITION BY {g} ORDER BY sz) AS i, count(*) OVER (PARTITION BY {g}) AS n FROM s)""",
+             f"steps AS (SELECT {g}, CAST(2 * r AS BIGINT) AS x, i, n FROM rk)",
+             f"""fold AS (SELECT DISTINCT {g}, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS doubled, 1.0::DOUBLE AS share FROM rk UNION ALL
+ SELECT {', '.join(f'fold.{b}' for b in by)}, fold.i + 1, doubled + b * x, sum(share) / 2 FROM fold JOIN steps s ON {same} AND s.i = fold.i + 1,
+ (VALUES (0), (1)) t(b) GROUP BY ALL)""",
+             f"nulls AS (SELECT {g}, doubled, share, n FROM fold JOIN (SELECT DISTINCT {g}, n FROM steps) USING ({g}) WHERE i = n)",
+             f"""w AS (SELECT {g}, count(*) AS n, coalesce(sum(r) FILTER (d > 0), 0) AS w_plus, coalesce(sum(r) FILTER (d < 0), 0) AS w_minus,
+ avg(d) AS mean_difference, quantile_cont(d, 0.5) AS median_difference FROM rk GROUP BY {g})""",
+             f"ties AS (SELECT {g}, sum(c * c * c - c) AS ties FROM (SELECT {g}, sz, count(*) AS c FROM rk GROUP BY {g}, sz) GROUP BY {g})",
+             f"""ex AS (SELECT {g}, sum(share) FILTER (least(doubled, nulls.n * (nulls.n + 1) - doubled) <= 2 * least(w_plus, w_minus) + 1e-12) AS pv
+ FROM nulls JOIN w USING ({g}) GROUP BY {g})""",
+             f"""zz AS (SELECT w.*, abs((least(w_plus, w_minus) - n * (n + 1) / 4.0::DOUBLE) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0::DOUBLE - ties / 48.0::DOUBLE)) AS z
+ FROM w JOIN ties USING ({g}))""", "np AS (SELECT *, 1.0::DOUBLE / (1 + 0.2316419::DOUBLE * z) AS t FROM zz)")
+    return with_events(body.format(g=g), *parts, *ctes).replace("WITH ", "WITH RECURSIVE ", 1)
 
 
-@query("ag31_exact_null_distribution", with_fold("SELECT user_id, event_type, doubled, share FROM nulls"))
+@query("ag31_exact_null_distribution", with_ranks("SELECT {g}, doubled, share FROM nulls", USER_DAY))
 def null_distributions(spark, sf):
-    by = ["user_id", "event_type"]
-    ranks = average_ranks(differences(events(spark, sf), "value", "k", by), by)
-    doubled = F.flatten(F.collect_list(F.array_repeat((F.col("rank") * 2).cast("int"), F.col("n").cast("int"))))
-    spread = ranks.groupBy(*by).agg(doubled.alias("r")).select(*by, F.posexplode(null_distribution("r")).alias("doubled", "share"))
-    return spread.where("share > 0").select(*by, F.col("doubled").cast("bigint").alias("doubled"), "share")
-
-
-TEST = """w AS (SELECT user_id, event_type, count(*) AS n, coalesce(sum(r) FILTER (d > 0), 0) AS w_plus, coalesce(sum(r) FILTER (d < 0), 0) AS w_minus,
- avg(d) AS mean_difference, quantile_cont(d, 0.5) AS median_difference FROM rk GROUP BY 1, 2),
-ties AS (SELECT user_id, event_type, sum(c * c * c - c) AS ties FROM (SELECT user_id, event_type, sz, count(*) AS c FROM rk GROUP BY 1, 2, 3) GROUP BY 1, 2),
-ex AS (SELECT user_id, event_type, sum(share) FILTER (least(doubled, nulls.n * (nulls.n + 1) - doubled) <= 2 * least(w_plus, w_minus) + 1e-12) AS pv
- FROM nulls JOIN w USING (user_id, event_type) GROUP BY 1, 2),
-zz AS (SELECT w.*, abs((least(w_plus, w_minus) - n * (n + 1) / 4.0::DOUBLE) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0::DOUBLE - ties / 48.0::DOUBLE)) AS z
- FROM w JOIN ties USING (user_id, event_type)),
-np AS (SELECT *, 1.0::DOUBLE / (1 + 0.2316419::DOUBLE * z) AS t FROM zz)"""
-TESTED = """SELECT user_id, event_type, n, w_plus, w_minus, least(w_plus, w_minus) AS statistic, round(pv, 6) AS p_value,
+    return null_shares(average_ranks(differences(with_day(events(spark, sf)), "value", "k", USER_DAY), USER_DAY), USER_DAY)
+
+
+@query("ag31_daily_null_distribution", with_ranks("SELECT {g}, doubled, round(share, 9) AS share FROM nulls WHERE share > 1e-6", TYPE_DAY))
+def daily_null_distributions(spark, sf):
+    shares = null_shares(average_ranks(differences(with_day(events(spark, sf)), "value", "k", TYPE_DAY), TYPE_DAY), TYPE_DAY)
+    return rounded(shares.where("share > 1e-6"), 9)
+
+
+TESTED = """SELECT {g}, n, w_plus, w_minus, least(w_plus, w_minus) AS statistic, round(pv, 6) AS p_value,
  round(mean_difference, 6) AS mean_difference, round(median_difference, 6) AS median_difference, pv < 0.05 AS significant,
  CASE WHEN mean_difference > 0 THEN 'better_than_random' WHEN mean_difference < 0 THEN 'worse_than_random' ELSE 'no_difference' END AS direction
 FROM """
 
 
-@query("ag32_signed_rank_test", with_fold(TESTED + "w JOIN ex USING (user_id, event_type)", TEST))
+@query("ag32_signed_rank_test", with_ranks(TESTED + "w JOIN ex USING ({g})", USER_DAY))
 def rank_test(spark, sf):
-    return rounded(signed_rank_test(events(spark, sf), ["user_id", "event_type"], "value", "k"))
+    return rounded(signed_rank_test(with_day(events(spark, sf)), USER_DAY, "value", "k"))
+
+
+@query("ag32_daily_signed_rank_test", with_ranks(TESTED + "w JOIN ex USING ({g})", TYPE_DAY))
+def daily_rank_test(spark, sf):
+    return rounded(signed_rank_test(with_day(events(spark, sf)), TYPE_DAY, "value", "k"))
+
+
+@query("ag32_signed_rank_test_with_nan", with_ranks(TESTED + "w JOIN ex USING ({g})", USER_DAY).replace(
+    "value - k AS d FROM e WHERE", "seen - k AS d FROM n WHERE").replace("abs(value - k) > 1e-8", "abs(seen - k) > 1e-8").replace(", d AS (", f", {GAPPY}, d AS (", 1)
+    .replace("w JOIN ex USING (user_id, event_type, day)", """(SELECT * FROM w JOIN ex USING (user_id, event_type, day) UNION ALL
+ SELECT DISTINCT user_id, event_type, ts_us // 86400000000 AS day, 0, 0, 0, 0, 0, 1 FROM n ANTI JOIN (SELECT user_id AS a, event_type AS b, day AS c FROM w)
+ ON a = user_id AND b = event_type AND c = ts_us // 86400000000)"""))
+def rank_test_with_nan(spark, sf):
+    return rounded(signed_rank_test(gappy(spark, sf), USER_DAY, "v", "k"))
+
+
+NORMAL = """(SELECT *, least(1, 2 * 0.3989422804014327::DOUBLE * exp(-z * z / 2) * t * (0.319381530::DOUBLE
+ + t * (-0.356563782::DOUBLE + t * (1.781477937::DOUBLE + t * (-1.821255978::DOUBLE + t * 1.330274429::DOUBLE))))) AS pv FROM np)"""
 
 
-@query("ag32_signed_rank_test_normal", with_fold(TESTED + """(SELECT *, least(1, 2 * 0.3989422804014327::DOUBLE * exp(-z * z / 2) * t * (0.319381530::DOUBLE
- + t * (-0.356563782::DOUBLE + t * (1.781477937::DOUBLE + t * (-1.821255978::DOUBLE + t * 1.330274429::DOUBLE))))) AS pv FROM np)""", TEST))
+@query("ag32_signed_rank_test_normal", with_ranks(TESTED + NORMAL, ["user_id", "event_type"]))
 def rank_test_normal(spark, sf):
     return rounded(signed_rank_test(events(spark, sf), ["user_id", "event_type"], "value", "k", method="normal"))
 
