@@ -65,13 +65,13 @@ def class_counts(df: DataFrame, label: str) -> DataFrame:
     return df.groupBy(label).agg(F.count(F.lit(1)).alias("rows"))
 
 
-def class_roles(df: DataFrame, label: str) -> DataFrame:
-    """One row: majority and minority class, their counts, and how many rows to generate.
+def class_roles(df: DataFrame, label: str, by: list[str] = ()) -> DataFrame:
+    """One row (per group): majority and minority class, their counts, and how many rows to generate.
 
     Equal counts are settled by the smallest label.
     """
-    per = class_counts(df, label)
-    return per.agg(
+    per = df.groupBy(*by, label).agg(F.count(F.lit(1)).alias("rows"))
+    return per.groupBy(*by).agg(
         F.min_by(label, F.struct(-F.col("rows"), F.col(label))).alias("majority"),
         F.max("rows").alias("majority_rows"),
         F.min_by(label, F.struct("rows", F.col(label))).alias("minority"),
