@@ -7,12 +7,13 @@ from pyspark.sql import Column, functions as F
 _EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
 
-def order_key(seed: int | str, *ids) -> Column:
-    """Seeded random order as a string key: md5 of ``seed:id``."""
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[_c(i).cast("string") for i in ids]))
+def order_key(seed: int | str | Column, *ids) -> Column:
+    """Seeded random order as a string key: md5 of ``seed:id``. A seed may differ from row to row."""
+    first = seed.cast("string") if isinstance(seed, Column) else F.lit(str(seed))
+    return F.md5(F.concat_ws(":", first, *[_c(i).cast("string") for i in ids]))
 
 
-def uniform(seed: int | str, *ids) -> Column:
+def uniform(seed: int | str | Column, *ids) -> Column:
     """Seeded uniform number in [0, 1), from the first 32 bits of the order key."""
     return F.conv(F.substring(order_key(seed, *ids), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
 

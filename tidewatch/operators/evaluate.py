@@ -1,79 +1,156 @@
 """Evaluation protocols: folds, repeated hold-out, transfer between regimes, suites.
 
-A protocol is a short driver loop over folds, seeds or models; every step
-inside it is a Spark job, and what it returns is a DataFrame of run metrics.
+The folds, seeds and data sets of a protocol are weight columns of one table, so
+all of them are fitted in the same passes where the model allows it; what a
+protocol returns is a DataFrame of run metrics.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.portable import clip01, uniform
 from ..shared import written
 from .balance import exact_downsample, smote
+from .fits import AT_ONCE, fit_at_once
 from .metrics import confusion, run_summary, with_measures
-from .models import family_of, fit, reconstruct, with_class_weights, with_scores
+from .models import family_of, fit, reconstruct, with_scores
 from .ranktest import signed_rank_test
-from .splits import random_baseline, stratified_folds, stratified_holdout
+from .splits import stratified_folds, stratified_holdout
 from .thresholds import pick_classifier_threshold, pick_error_threshold
 
+# Published seeds of the random baselines, of the hold-outs and of the runs between regimes.
 BASELINE_SEED = {"folds": 10_000, "holdout": 20_000}
+HOLDOUT_SEEDS = (42, 52, 62)
+TRANSFER_SEEDS = (42, 52, 62, 72, 82)
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def _run(scored: DataFrame, label: str, prediction, id_col: str, train: DataFrame, run: int, seed: int,
-         protocol: str) -> DataFrame:
-    """One row: measures of the model and F1 of a random baseline with the training positive rate."""
-    rate = train.agg(F.avg(F.col(label).cast("double")).alias("p")).scalar()
-    guessed = random_baseline(scored.withColumn("_p", rate), id_col, "_p", seed + BASELINE_SEED[protocol] + run)
-    both = guessed.withColumn("_prediction", prediction).select(
-        label, F.inline(F.array(F.struct(F.lit("model").alias("who"), F.col("_prediction").alias("p")),
-                                F.struct(F.lit("baseline").alias("who"), F.col("baseline").cast("double").alias("p")))))
-    rated = with_measures(confusion(both, label, "p", ["who"]))
-    mine, theirs = rated.where("who = 'model'").drop("who"), rated.where("who = 'baseline'")
-    return mine.withColumns({"run": F.lit(run), "seed": F.lit(seed),
-                             "baseline_f1": theirs.select("f1").scalar()})
+def _kept(df: DataFrame, name: str, id_col: str) -> DataFrame:
+    """Written once for the passes of the fits; a table that would be read by fewer tasks than there are cores is dealt out anew."""
+    out, cores = written(df, name), df.sparkSession.sparkContext.defaultParallelism
+    return out if out.rdd.getNumPartitions() >= cores else written(out.repartition(cores, id_col), name)
+
+
+def _picked(values: list, which: str) -> Column:
+    """The value at the place that a column names."""
+    return F.element_at(F.array(*[F.lit(v) for v in values]), F.col(which).cast("int") + 1)
+
+
+def _measured(scored: DataFrame, label: str, prediction, id_col: str, rates: list[float], runs: list[int], seeds: list[int], protocol: str) -> DataFrame:
+    """One row per fit: measures of the model and F1 of a random baseline with the training positive rate.
+
+    ``scored`` names the fit of a row in ``_fit``; all fits are counted in one pass.
+    """
+    base = F.lit(BASELINE_SEED[protocol]) + _picked(seeds, "_fit") + _picked(runs, "_fit")
+    guess = (uniform(base, id_col) < clip01(_picked([float(r) for r in rates], "_fit"))).cast("double")
+    both = scored.select(label, "_fit", F.inline(F.array(F.struct(F.lit("model").alias("who"), prediction.alias("p")),
+                                                         F.struct(F.lit("baseline").alias("who"), guess.alias("p")))))
+    rated = with_measures(confusion(both, label, "p", ["_fit", "who"]))
+    theirs = rated.where("who = 'baseline'").select("_fit", F.col("f1").alias("baseline_f1"))
+    out = rated.where("who = 'model'").drop("who").join(theirs, "_fit")
+    return out.withColumns({"run": _picked(runs, "_fit"), "seed": _picked(seeds, "_fit")})
+
+
+def _rates(df: DataFrame, label: str, weights: list[str]) -> list[float]:
+    """Positive rate of each fit's training rows."""
+    row = df.agg(*[F.avg(F.when(F.col(w) > 0, F.col(label).cast("double"))).alias(w) for w in weights]).first()
+    return [row[w] or 0.0 for w in weights]
+
+
+def _scored(model: str, df: DataFrame, features: list[str], label: str, id_col: str, weights: list[str], tested: DataFrame, **settings) -> tuple[DataFrame, list[float]]:
+    """(``tested`` with score and prediction of the fit that ``_fit`` names, gradient left in each fit or NaN).
+
+    Models that take many weight columns are fitted together; the others one after another.
+    """
+    if model in AT_ONCE:
+        fitted = fit_at_once(model, df, features, label, id_col, weights, **settings)
+        out = fitted.score(tested, "_fit").withColumn("prediction", (F.col("score") > 0.5).cast("double"))
+        return out, [float(g) for g in getattr(fitted, "gradient", [math.nan] * len(weights))]
+    parts = []
+    for i, w in enumerate(weights):
+        train = df.where(F.col(w) > 0)
+        parts.append(with_scores(fit(model, train, features, label, **settings), tested.where(F.col("_fit") == i)))
+    return _union(parts), [math.nan] * len(weights)
+
+
+def _with_gradient(runs: DataFrame, gradient: list[float]) -> DataFrame:
+    return runs if all(math.isnan(g) for g in gradient) else runs.withColumn("gradient", _picked(gradient, "_fit"))
 
 
 def cross_validate(df: DataFrame, model: str, features: list[str], label: str, id_col: str, k: int = 5,
                    seed: int = 42, **settings) -> DataFrame:
-    """Stratified k-fold runs with a baseline per fold; scalers are fit on the training folds only."""
-    folded = written(stratified_folds(df, label, id_col, k, seed), "folds")
-    runs = []
-    for fold in range(k):
-        train, test = folded.where(F.col("fold") != fold), folded.where(F.col("fold") == fold)
-        scored = with_scores(fit(model, train, features, label, **settings), test)
-        runs.append(_run(scored, label, F.col("prediction"), id_col, train, fold + 1, seed, "folds"))
-    return _union(runs)
+    """Stratified k-fold runs with a baseline per fold; scalers are fit on the training folds only. All folds share their passes."""
+    return _fold_runs({"": df}, model, features, label, id_col, k, seed, **settings).drop("dataset")
+
+
+def _folded(datasets: dict[str, DataFrame], features: list[str], label: str, id_col: str, k: int, seed: int) -> tuple[DataFrame, list[str]]:
+    """All data sets in one table: _fit (data set and fold), and one weight column per fit."""
+    parts = [stratified_folds(df, label, id_col, k, seed).select(id_col, label, *features, (F.col("fold") + i * k).alias("_fit"))
+             for i, df in enumerate(datasets.values())]
+    fits = len(datasets) * k
+    weights = [f"_w{i}" for i in range(fits)]
+    same = lambda i: F.floor(F.col("_fit") / k) == i // k
+    whole = _union(parts).withColumns({w: (same(i) & (F.col("_fit") != i)).cast("double") for i, w in enumerate(weights)})
+    return _kept(whole, "folds", id_col), weights
+
+
+def _fold_runs(datasets: dict[str, DataFrame], model: str, features: list[str], label: str, id_col: str, k: int, seed: int,
+               folded: tuple[DataFrame, list[str]] | None = None, **settings) -> DataFrame:
+    whole, weights = folded or _folded(datasets, features, label, id_col, k, seed)
+    tested = whole.select(id_col, label, *features, "_fit")
+    scored, gradient = _scored(model, whole, features, label, id_col, weights, tested, **settings)
+    names, fits = list(datasets), len(weights)
+    runs = _measured(scored, label, F.col("prediction"), id_col, _rates(whole, label, weights), [i % k + 1 for i in range(fits)], [seed] * fits, "folds")
+    return _with_gradient(runs, gradient).withColumn("dataset", _picked([names[i // k] for i in range(fits)], "_fit")).drop("_fit")
 
 
 def repeated_holdout(df: DataFrame, model: str, features: list[str], label: str, id_col: str,
-                     seeds: list[int] = (42, 52, 62), weighted: bool = False, **settings) -> DataFrame:
-    """Train, tune the threshold on validation rows, test; once per seed."""
-    runs = []
-    for i, seed in enumerate(seeds, 1):
-        split = written(stratified_holdout(df, label, id_col, seed), "holdout")
-        train, validation, test = (split.where(F.col("split") == s) for s in ("train", "validation", "test"))
-        fit_on, extra = (with_class_weights(train, label), {"weight": "class_weight"}) if weighted else (train, {})
-        fitted = fit(model, fit_on, features, label, **extra, **settings)
-        tuned = pick_classifier_threshold(with_scores(fitted, validation), "score", label).first()
-        scored = with_scores(fitted, test)
-        rated = _run(scored, label, (F.col("score") >= tuned["threshold"]).cast("double"), id_col, train, i, seed,
-                     "holdout")
-        runs.append(rated.withColumns({"threshold": F.lit(tuned["threshold"]),
-                                       "validation_f1": F.lit(tuned["f1"])}))
-    return _union(runs)
+                     seeds: list[int] = HOLDOUT_SEEDS, weighted: bool = False, **settings) -> DataFrame:
+    """Train, tune the threshold on validation rows, test; once per seed, all seeds in the same passes."""
+    whole = df
+    for i, seed in enumerate(seeds):
+        whole = stratified_holdout(whole, label, id_col, seed).withColumnRenamed("split", f"_s{i}")
+    weights = [f"_w{i}" for i in range(len(seeds))]
+    trained = {w: F.col(f"_s{i}") == "train" for i, w in enumerate(weights)}
+    whole = _kept(whole.withColumns({w: on.cast("double") for w, on in trained.items()}), "holdout", id_col)
+    rates = _rates(whole, label, weights)
+    if weighted:
+        # Two classes: total / (2 * count), where the larger has at least 1.2 times the rows of the smaller.
+        even = [(0.5 / (1 - r), 0.5 / r) if 0 < r < 1 and max(r, 1 - r) / min(r, 1 - r) >= 1.2 else (1.0, 1.0) for r in rates]
+        whole = written(whole.withColumns({w: F.col(w) * F.when(F.col(label) == 1, b).otherwise(a) for w, (a, b) in zip(weights, even)}), "weighted")
+        if model not in AT_ONCE:
+            raise ValueError(f"{model} takes no class weights here")
+    listed = F.array(*[F.struct(F.lit(i).alias("_fit"), F.col(f"_s{i}").alias("_split")) for i in range(len(seeds))])
+    tested = whole.select(id_col, label, *features, F.inline(listed)).where("_split != 'train'")
+    scored, gradient = _scored(model, whole, features, label, id_col, weights, tested, **settings)
+    scored = written(scored.select(id_col, label, "_fit", "_split", "score"), "holdout-scores")
+    tuned = {r["_fit"]: r for r in pick_classifier_threshold(scored.where("_split = 'validation'"), "score", label, ["_fit"]).collect()}
+    cuts, best = ([float(tuned[i][c]) if i in tuned else fill for i in range(len(seeds))] for c, fill in (("threshold", 0.5), ("f1", 0.0)))
+    runs = _measured(scored.where("_split = 'test'"), label, (F.col("score") >= _picked(cuts, "_fit")).cast("double"), id_col, rates,
+                     list(range(1, len(seeds) + 1)), list(seeds), "holdout")
+    return _with_gradient(runs, gradient).withColumns({"threshold": _picked(cuts, "_fit"), "validation_f1": _picked(best, "_fit")}).drop("_fit")
+
+
+def _run(scored: DataFrame, label: str, prediction, id_col: str, train: DataFrame, run: int, seed: int, protocol: str) -> DataFrame:
+    """One row for one fit."""
+    rate = train.agg(F.avg(F.col(label).cast("double")).alias("p")).first()["p"] or 0.0
+    return _measured(scored.withColumn("_fit", F.lit(0)), label, prediction, id_col, [rate], [run], [seed], protocol).drop("_fit")
 
 
 def fixed_split(train: DataFrame, test: DataFrame, model: str, features: list[str], label: str, id_col: str,
                 seed: int = 42, **settings) -> DataFrame:
     """Fit on one table, measure on another."""
-    scored = with_scores(fit(model, train, features, label, **settings), test)
-    return _run(scored, label, F.col("prediction"), id_col, train, 1, seed, "holdout")
+    tested = test.withColumn("_fit", F.lit(0))
+    whole = _kept(train.select(id_col, label, *features, F.lit(1.0).alias("_w")), "train", id_col)
+    scored, gradient = _scored(model, whole, features, label, id_col, ["_w"], tested, **settings)
+    return _with_gradient(_measured(scored, label, F.col("prediction"), id_col, _rates(whole, label, ["_w"]), [1], [seed], "holdout"), gradient).drop("_fit")
 
 
 def oversampled(train: DataFrame, features: list[str], label: str, id_col: str, seed: int, **search) -> DataFrame:
@@ -85,19 +162,31 @@ def oversampled(train: DataFrame, features: list[str], label: str, id_col: str,
 
 
 def generalize(a: DataFrame, b: DataFrame, model: str, features: list[str], label: str, id_col: str,
-               names: tuple[str, str] = ("a", "b"), seeds: list[int] = (42,), **settings) -> DataFrame:
-    """Train on one regime (oversampled), test on the other, both ways and for every seed."""
-    runs = []
-    for source, target, frame, other in ((names[0], names[1], a, b), (names[1], names[0], b, a)):
-        for seed in seeds:
-            grown = oversampled(frame, features, label, id_col, seed)
-            run = fixed_split(grown, other, model, features, label, id_col, seed, **settings)
-            share = lambda d: d.agg(F.avg(F.col(label).cast("double")).alias("r")).scalar()
-            runs.append(run.withColumns({
-                "train_source": F.lit(source), "test_source": F.lit(target),
-                "positive_rate_train_raw": share(frame), "positive_rate_train_after_smote": share(grown),
-                "positive_rate_test": share(other)}))
-    return _union(runs)
+               names: tuple[str, str] = ("a", "b"), seeds: list[int] = TRANSFER_SEEDS, **settings) -> DataFrame:
+    """Train on one regime (oversampled), test on the other, both ways and for every seed.
+
+    Both regimes are oversampled for all seeds in one set of jobs, and all fits share their passes.
+    """
+    columns = [id_col, label, F.array(*[F.col(f).cast("double") for f in features]).alias("_v")]
+    both = _union([d.select(*columns, F.lit(i).alias("_source")) for i, d in enumerate((a, b))])
+    both = written(both, "regimes")
+    copied = both.withColumn("_seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
+    grown = smote(copied, label, id_col, "_v", seed=F.col("_seed"), by=["_source", "_seed"])
+    flat = [F.col("_v")[i].alias(f) for i, f in enumerate(features)]
+    place = F.col("_source") * len(seeds) + F.array_position(F.array(*[F.lit(s) for s in seeds]), F.col("_seed")).cast("int") - 1
+    weights = [f"_w{i}" for i in range(2 * len(seeds))]
+    train = _kept(grown.select(id_col, label, *flat, *[(place == i).cast("double").alias(w) for i, w in enumerate(weights)]), "oversampled", id_col)
+    tested = both.select(id_col, label, *flat, "_source", F.explode(F.sequence(F.lit(0), F.lit(len(seeds) - 1))).alias("_n")).withColumn(
+        "_fit", (1 - F.col("_source")) * len(seeds) + F.col("_n")).drop("_n", "_source")
+    scored, gradient = _scored(model, train, features, label, id_col, weights, tested, **settings)
+    after = _rates(train, label, weights)
+    raw = [r["r"] for r in both.groupBy("_source").agg(F.avg(F.col(label).cast("double")).alias("r")).orderBy("_source").collect()]
+    way = [i // len(seeds) for i in range(len(weights))]
+    runs = _measured(scored, label, F.col("prediction"), id_col, after, [1] * len(weights), [s for _ in range(2) for s in seeds], "holdout")
+    return _with_gradient(runs, gradient).withColumns({
+        "train_source": _picked([names[w] for w in way], "_fit"), "test_source": _picked([names[1 - w] for w in way], "_fit"),
+        "positive_rate_train_raw": _picked([raw[w] for w in way], "_fit"), "positive_rate_train_after_smote": _picked(after, "_fit"),
+        "positive_rate_test": _picked([raw[1 - w] for w in way], "_fit")}).drop("_fit")
 
 
 def pooled_holdout(a: DataFrame, b: DataFrame, model: str, features: list[str], label: str, id_col: str,
@@ -144,7 +233,7 @@ def search_candidates(datasets: dict[str, DataFrame], candidates: dict[str, tupl
             run = repeated_holdout(df, model, features, label, id_col, [seed], **settings)
             runs.append(run.select(F.lit(name).alias("dataset"), F.lit(model).alias("model"),
                                    F.lit(profile).alias("tuning_profile"), F.lit(place).alias("place"),
-                                   "validation_f1", F.col("f1").alias("test_f1")))
+                                   "validation_f1", F.col("f1").alias("test_f1"), "baseline_f1", "tp", "tn", "fp", "fn"))
     return _union(runs)
 
 
@@ -159,15 +248,14 @@ def summarize(runs: DataFrame, by: list[str]) -> DataFrame:
 
 def suite(datasets: dict[str, DataFrame], model_settings: dict[str, dict], features: list[str], label: str,
           id_col: str, k: int = 5, seed: int = 42) -> DataFrame:
-    """Run metrics of every model on every dataset that holds both classes."""
-    runs = []
-    for name, df in datasets.items():
-        if df.select(label).distinct().limit(2).count() < 2:
-            continue
-        for model, settings in model_settings.items():
-            runs.append(cross_validate(df, model, features, label, id_col, k, seed, **settings).withColumns(
-                {"dataset": F.lit(name), "model": F.lit(model), "family": F.lit(family_of(model))}))
-    return _union(runs)
+    """Run metrics of every model on every dataset that holds both classes; a model's folds of all datasets share their passes."""
+    usable = {name: df for name, df in datasets.items() if df.select(label).distinct().limit(2).count() == 2}
+    if not usable:
+        raise ValueError("no dataset holds both classes")
+    folded = _folded(usable, features, label, id_col, k, seed)
+    runs = [_fold_runs(usable, model, features, label, id_col, k, seed, folded, **settings).withColumns(
+        {"model": F.lit(model), "family": F.lit(family_of(model))}) for model, settings in model_settings.items()]
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), runs)
 
 
 def batch_score(model, sources: list[DataFrame], name: str = "score") -> DataFrame:

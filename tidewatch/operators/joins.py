@@ -9,6 +9,8 @@ from ..shared import written
 
 # A key is hot above 1 / (HOT_SHARE x shuffle partitions) of all rows, and never below MIN_HOT rows.
 HOT_SHARE, MIN_HOT = 4, 10_000
+# Copies of one row that stay together.
+PIECE = 4096
 
 
 def lookup(df: DataFrame, dim: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
@@ -28,36 +30,39 @@ def last_per_key(df: DataFrame, keys: list[str], order: str | Column) -> DataFra
     return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), by).alias("_l")).select(*keys, "_l.*").select(*df.columns)
 
 
-def salted(df: DataFrame, hot: DataFrame, key: str) -> DataFrame:
-    """Column ``_salt``: 0 but for rows of a key in ``hot`` (key, _salts), which get a salt by their place in the input.
+def dealt(df: DataFrame, hot: DataFrame, key: str) -> DataFrame:
+    """Rows of the keys in ``hot`` (key, _salts) as (row, _copies, _salt): equal rows are merged, and cut into pieces of bounded size.
 
-    A task that runs again must meet its rows in the same order, as over a scan or a written table.
+    The salt is a hash of the row's content and the piece's number, so it does not depend on where or in which order a task
+    meets its rows, and a task that runs again deals them out alike. Copies of one row are spread too.
     """
-    place = F.xxhash64(F.monotonically_increasing_id())
-    placed = df.withColumn("_place", place).join(hot, key, "left")
-    return placed.withColumn("_salt", F.pmod("_place", F.coalesce("_salts", F.lit(1))).cast("int")).drop("_place", "_salts")
+    merged = df.join(F.broadcast(hot), key).groupBy(*df.columns, "_salts").agg(F.count(F.lit(1)).alias("_n"))
+    pieces = merged.withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(_n - 1) div {PIECE}"))))
+    return pieces.select(*df.columns, F.least(F.lit(PIECE), F.col("_n") - F.col("_piece") * PIECE).cast("int").alias("_copies"),
+                         F.pmod(F.xxhash64(*df.columns, "_piece"), "_salts").cast("int").alias("_salt"))
 
 
 def spread_join(df: DataFrame, side: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """Join many rows to one row per key, with hot keys salted.
+    """Join many rows to one row per key (inner, left or left_anti), with hot keys salted.
 
     Keys that fill more than a fair share of a shuffle partition are counted
     first; there are at most ``HOT_SHARE`` x partitions of them, so their table
-    is small by construction. Rows of a hot key are spread over salts by a hash
-    of their place in the input, so that copies and rows of nothing but the key
-    are spread too, and the key's single side row is repeated once per salt.
+    is small by construction. Rows of a hot key are dealt out by their content
+    (see ``dealt``), and the key's single side row is repeated once per salt.
+    Rows without a key meet nothing and are not shuffled.
     """
     spark = df.sparkSession
     parts = HOT_SHARE * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     fair = F.greatest(counts.agg(F.sum("_n").alias("n")).scalar() / parts, F.lit(MIN_HOT))
-    hot = counts.where(F.col(key).isNotNull()).withColumn("_fair", fair).where("_n > _fair").select(
+    hot = counts.withColumn("_fair", fair).where("_n > _fair").select(
         key, F.ceil(F.col("_n") / F.col("_fair")).cast("int").alias("_salts"))
-    hot = F.broadcast(written(hot, "hotkeys"))
-    left = salted(df, hot, key)
-    right = side.join(hot, key, "left").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
-    return left.join(right, [key, "_salt"], how).drop("_salt")
+    hot = written(hot, "hotkeys")
+    cold = df.where(F.col(key).isNotNull()).join(F.broadcast(hot.select(key)), key, "left_anti").join(side, key, how)
+    right = side.join(F.broadcast(hot), key).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
+    joined = dealt(df, hot, key).join(right, [key, "_salt"], how)
+    out = cold.unionByName(joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*cold.columns))
+    return out if how == "inner" else out.unionByName(df.where(F.col(key).isNull()), allowMissingColumns=True)
 
 
 def attach_scores(records: DataFrame, scores: DataFrame, key: str, order: str) -> DataFrame:
