@@ -9,8 +9,6 @@ from ..shared import written
 
 # A key is hot above 1 / (HOT_SHARE x shuffle partitions) of all rows, and never below MIN_HOT rows.
 HOT_SHARE, MIN_HOT = 4, 10_000
-# Copies of one row that stay together.
-PIECE = 4096
 
 
 def lookup(df: DataFrame, dim: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
@@ -31,15 +29,23 @@ def last_per_key(df: DataFrame, keys: list[str], order: str | Column) -> DataFra
 
 
 def dealt(df: DataFrame, hot: DataFrame, key: str) -> DataFrame:
-    """Rows of the keys in ``hot`` (key, _salts) as (row, _copies, _salt): equal rows are merged, and cut into pieces of bounded size.
+    """Rows of the keys in ``hot`` (key, _salts) as (row, _copies, _salt): equal rows are merged, then shared out among the salts.
 
-    The salt is a hash of the row's content and the piece's number, so it does not depend on where or in which order a task
+    The salt follows from the row's content and the piece's number, so it does not depend on where or in which order a task
     meets its rows, and a task that runs again deals them out alike. Copies of one row are spread too.
     """
     merged = df.join(F.broadcast(hot), key).groupBy(*df.columns, "_salts").agg(F.count(F.lit(1)).alias("_n"))
-    pieces = merged.withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(_n - 1) div {PIECE}"))))
-    return pieces.select(*df.columns, F.least(F.lit(PIECE), F.col("_n") - F.col("_piece") * PIECE).cast("int").alias("_copies"),
-                         F.pmod(F.xxhash64(*df.columns, "_piece"), "_salts").cast("int").alias("_salt"))
+    pieces = merged.withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.least(F.col("_n"), F.col("_salts")) - 1)))
+    share = F.expr("_n div _salts") + (F.col("_piece") < F.col("_n") % F.col("_salts")).cast("int")
+    return pieces.select(*df.columns, share.cast("int").alias("_copies"),
+                         F.pmod(F.pmod(F.xxhash64(*df.columns), "_salts") + F.col("_piece"), "_salts").cast("int").alias("_salt"))
+
+
+def salted(df: DataFrame, hot: DataFrame, key: str) -> DataFrame:
+    """Column ``_salt``: 0 but for rows of a key in ``hot`` (key, _salts), which are dealt out by their content."""
+    cold = df.join(F.broadcast(hot.select(key)), key, "left_anti").withColumn("_salt", F.lit(0))
+    spread = dealt(df, hot, key).withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies")))
+    return cold.unionByName(spread.select(*cold.columns))
 
 
 def spread_join(df: DataFrame, side: DataFrame, key: str, how: str = "inner") -> DataFrame:
