@@ -8,7 +8,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from tidewatch.operators import evaluate
-from tidewatch.operators.fits import fit_bayes, fit_linear, fit_trees
+from tidewatch.operators.fits import fit_basis, fit_bayes, fit_linear, fit_trees
 
 
 @pytest.fixture(scope="module")
@@ -134,3 +134,17 @@ def test_protocols_learn(table, rows, model, settings):
     assert sorted(runs["run"]) == [1, 2, 3] and (runs["f1"] > runs["baseline_f1"]).all() and (runs[["tp", "tn", "fp", "fn"]].sum().sum() == 900)
     held = evaluate.repeated_holdout(df, model, X, "y", "id", seeds=[5, 6], weighted=True, **settings).toPandas()
     assert sorted(held["seed"]) == [5, 6] and (held["f1"] > held["baseline_f1"]).all() and held["threshold"].between(0.05, 0.95).all()
+
+
+@pytest.mark.parametrize("width, exact", [(6, True), (60, False)])
+def test_basis_of_narrow_and_wide_tables(spark, width, exact):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 3)) @ rng.normal(size=(3, width)) * 2 + rng.normal(size=(400, width)) * 0.3 + 5
+    names = [f"f{i}" for i in range(width)]
+    basis = fit_basis(spark.createDataFrame(pd.DataFrame(x, columns=names)).repartition(4), names, 3)
+    z = (x - x.mean(0)) / x.std(0, ddof=1)
+    value = np.linalg.eigvalsh(np.cov(z.T))[::-1][:3]
+    assert np.allclose(basis.variance, value, rtol=1e-9 if exact else 1e-6) and abs(basis.total - width) < 1e-9
+    assert np.allclose(basis.axes.T @ basis.axes, np.eye(3), atol=1e-9)
+    got = basis.error(spark.createDataFrame(pd.DataFrame(x, columns=names))).toPandas()["error"].mean()
+    assert abs(got - (width - value.sum()) * 399 / 400 / width) < 1e-6

@@ -354,6 +354,55 @@ def fit_bayes(df: DataFrame, features: list[str], label: str, weights: list[str]
     return Bayes(features, prior, mean, np.maximum(sums[:, :, d + 1:] / np.maximum(n[:, :, None], 1) - mean * mean, 1e-12), None)
 
 
+# ---------------------------------------------------------------- low-rank basis
+
+@dataclass
+class Basis:
+    features: list[str]
+    mean: np.ndarray
+    spread: np.ndarray
+    axes: np.ndarray        # features x components, orthonormal
+    variance: np.ndarray    # along each axis, of standardised readings
+    total: float
+
+    def error(self, df: DataFrame, name: str = "error") -> DataFrame:
+        """Mean squared gap between a row's standardised readings and their projection."""
+        def score(batch: pa.RecordBatch) -> np.ndarray:
+            z = (_columns(batch, self.features) - self.mean) / self.spread
+            return ((z - z @ self.axes @ self.axes.T) ** 2).mean(1)
+
+        return _scored(df, name, self.features, score)
+
+
+def fit_basis(df: DataFrame, features: list[str], components: int, oversample: int = 8, rounds: int = 4, seed: int = 42) -> Basis:
+    """Principal axes of standardised readings, by randomised subspace iteration.
+
+    A round is one pass that sums the Gram product with a thin block, features x (components + oversample), so a table of many
+    columns never needs the full Gram matrix. Tables with no more columns than the block is wide come out exact in one round.
+    """
+    d = len(features)
+    width = min(d, components + oversample)
+    one = df.select(*[F.col(f).cast("double").alias(f) for f in features], F.lit(1.0).alias("_w"))
+    n, mean, spread = (x[0] for x in _moments(one, features, ["_w"]))
+
+    def product(q: np.ndarray) -> np.ndarray:
+        def of(batch: pa.RecordBatch) -> np.ndarray:
+            z = (_columns(batch, features) - mean) / spread
+            return z.T @ (z @ q)
+
+        return _totals(one, features, (d, q.shape[1]), of) / max(1.0, n - 1)
+
+    q = np.linalg.qr(np.random.default_rng(seed).normal(size=(d, width)))[0]
+    for _ in range(0 if width == d else rounds):
+        q = np.linalg.qr(product(q))[0]
+    value, turn = np.linalg.eigh(q.T @ product(q))
+    best = np.argsort(value)[::-1][:components]
+    axes = q @ turn[:, best]
+    axes *= np.where(axes[np.abs(axes).argmax(0), np.arange(axes.shape[1])] < 0, -1.0, 1.0)
+    varied = _totals(one, features, (d,), lambda batch: (((_columns(batch, features) - mean) / spread) ** 2).sum(0)) / max(1.0, n - 1)
+    return Basis(features, mean, spread, axes, value[best], float(varied.sum()))
+
+
 #: Models that can be fitted for many weight columns at once: (fit, settings it takes under which names).
 AT_ONCE = {
     "logistic_regression": (lambda df, x, y, i, w, **s: fit_linear(df, x, y, w, "logistic", **s), {"regParam": "ridge", "maxIter": "steps"}),

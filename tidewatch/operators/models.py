@@ -11,12 +11,13 @@ from pyspark.ml.classification import (
     NaiveBayes,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import PCA, SQLTransformer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.portable import ratio
-from ..functions.scalar import positive_probability, reconstruction_error
+from ..functions.scalar import positive_probability
+from .fits import fit_basis
 from .profile import class_counts
 
 # Published settings of each model; callers override what they need.
@@ -129,19 +130,7 @@ def with_class_weights(df: DataFrame, label: str, name: str = "class_weight") ->
 
 def reconstruct(train_normal: DataFrame, df: DataFrame, features: list[str], components: int) -> DataFrame:
     """Linear reconstruction fit on normal rows; adds ``error``, the mean squared gap per row."""
-    prepared = Pipeline(stages=[
-        VectorAssembler(inputCols=features, outputCol="_raw", handleInvalid="error"),
-        StandardScaler(inputCol="_raw", outputCol="_std", withMean=True, withStd=True),
-        PCA(k=components, inputCol="_std", outputCol="_pc")]).fit(train_normal)
-    axes = prepared.stages[-1].pc.toArray()
-    out = prepared.transform(df).withColumns({"_x": vector_to_array("_std"), "_z": vector_to_array("_pc")})
-    rebuilt = []
-    for row in axes:
-        total = F.lit(0.0)
-        for k, weight in enumerate(row):
-            total = total + F.lit(float(weight)) * F.col("_z")[k]
-        rebuilt.append(total)
-    return out.withColumn("error", reconstruction_error("_x", F.array(*rebuilt))).drop("_raw", "_std", "_pc", "_x", "_z")
+    return fit_basis(train_normal, features, components).error(df)
 
 
 def gaussian_bayes_facts(train: DataFrame, label: str, features: list[str]) -> DataFrame:

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 from ..functions.portable import uniform
 from ..functions.scalar import json_object
 from ..operators.quality import batch_metrics
+from ..operators import joins
+from ..operators.quality import message_quality
 from ..shared import run_dir
-from ..streaming import live
+from ..sources import tablelog
+from ..streaming import live, reconcile
 from .registry import query
 from .views import EPOCH_MS, ROUTE, events, rounded, table, u_sql, with_events
 
@@ -215,3 +218,154 @@ def metrics_append(spark, sf):
     rows.where("anomaly_count > 0").write.mode("append").json(path)
     return spark.read.schema("records_processed BIGINT").json(path).agg(
         F.count(F.lit(1)).alias("batches"), F.sum("records_processed").alias("records"))
+
+
+def _logged(spark, sf):
+    """Events as log messages: four partitions by event id, offsets without gaps."""
+    raw = _as_messages(table(spark, sf, "events")).withColumn("offset", F.expr("offset div 4"))
+    return raw.select("partition", "offset", F.get_json_object("value", "$.message_id").alias("key"), "value")
+
+
+def _kept(stream, out):
+    """A stream's rows as files."""
+    return stream.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/progress")
+
+
+@query("src05_subscribe_at_latest", with_events("""
+SELECT CAST(event_id % 4 AS INTEGER) AS partition, count(*) AS n, min(event_id // 4) AS first_offset, max(event_id // 4) AS last_offset FROM e, (SELECT max(event_id) // 8 AS half FROM e)
+WHERE event_id // 4 >= half GROUP BY 1"""))
+def subscribe_at_latest(spark, sf):
+    """A subscription that starts at the latest offset sees only what is appended after."""
+    out, log = run_dir(spark, "latest"), run_dir(spark, "log")
+    rows = _logged(spark, sf)
+    half = table(spark, sf, "events").agg(F.max("event_id")).first()[0] // 8
+    tablelog.append(rows.where(F.col("offset") < half), log)
+    running = _kept(tablelog.subscribe(spark, log), out).trigger(processingTime="0 seconds").start()
+    try:
+        running.processAllAvailable()
+        tablelog.append(rows.where(F.col("offset") >= half), log)
+        running.processAllAvailable()
+    finally:
+        running.stop()
+    back = spark.read.schema(tablelog.SCHEMA).parquet(f"{out}/rows")
+    return back.groupBy("partition").agg(F.count(F.lit(1)).alias("n"), F.min("offset").alias("first_offset"), F.max("offset").alias("last_offset"))
+
+
+@query("src05_subscribe_at_offsets", with_events(f"""
+SELECT CAST(event_id % 4 AS INTEGER) AS partition, count(*) AS n, count(DISTINCT event_id) AS offsets, CAST(sum(event_id) AS BIGINT) AS ids, {FILES}::BIGINT AS batches
+FROM e WHERE event_id // 4 >= 10 * (1 + event_id % 4) GROUP BY 1"""))
+def subscribe_at_offsets(spark, sf):
+    """Given offsets, a limit per trigger, and a new start after every batch: each message once."""
+    out, log = run_dir(spark, "offsets"), run_dir(spark, "log")
+    tablelog.append(_logged(spark, sf), log)
+    limit = -(-4 * (max(tablelog.end_offsets(log).values()) - 10) // FILES) + 4
+    for _ in range(FILES + 1):
+        stream = tablelog.subscribe(spark, log, starting='{"0": 10, "1": 20, "2": 30, "3": 40}', max_per_trigger=limit, progress=f"{out}/progress")
+        _kept(stream, out).trigger(availableNow=True).start().awaitTermination()
+    back = spark.read.schema(tablelog.SCHEMA).parquet(f"{out}/rows")
+    batches = spark.read.text(f"{out}/progress/commits").select(F.input_file_name().alias("f")).agg(F.countDistinct("f").alias("b")).scalar()
+    return back.groupBy("partition").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("offset").alias("offsets"),
+                                         F.sum(F.col("offset") * 4 + F.col("partition")).alias("ids")).withColumn("batches", batches)
+
+
+@query("st06_live_lag", with_events(f"""
+SELECT batch, CAST(count(*) AS BIGINT) AS records_processed, any_value(lag) AS total_consumer_lag FROM (
+ SELECT event_id // 4 // size AS batch, sum(greatest(0, n - (event_id // 4 // size + 1) * size)) OVER (PARTITION BY event_id // 4 // size) AS s, n, size, event_id FROM ok
+ JOIN (SELECT event_id % 4 AS p, max(event_id) // 4 + 1 AS n FROM e GROUP BY 1) ON p = event_id % 4, (SELECT (max(event_id) // 4 + 1 + {FILES - 1}) // {FILES} AS size FROM e))
+ JOIN (SELECT b AS batch, CAST(sum(greatest(0, n - (b + 1) * size)) AS BIGINT) AS lag FROM range({FILES}) r(b), (SELECT event_id % 4 AS p, max(event_id) // 4 + 1 AS n FROM e GROUP BY 1),
+ (SELECT (max(event_id) // 4 + 1 + {FILES - 1}) // {FILES} AS size FROM e) GROUP BY b) USING (batch) GROUP BY batch""", VALID))
+def live_lag(spark, sf):
+    """Lag of every batch from the running query's own offset log and the log's ends; each run takes what its limit allows."""
+    out, log = run_dir(spark, "lag"), run_dir(spark, "log")
+    tablelog.append(_logged(spark, sf), log)
+    size = -(-max(tablelog.end_offsets(log).values()) // FILES)
+    behind = reconcile.progress_lag(spark, f"{out}/progress", lambda: {"input": tablelog.end_offsets(log)})
+    write = live.batch_writer(out, F.col("score"), ["value"], processed_ms=F.lit(DONE_MS).cast("bigint"), lag=behind)
+    for _ in range(FILES):
+        stream = tablelog.subscribe(spark, log, starting="earliest", max_per_trigger=4 * size, progress=f"{out}/progress")
+        live.start(live.decode(stream.drop("key"), MESSAGE), write, f"{out}/progress", interval=None).awaitTermination()
+    return spark.read.schema("batch_id BIGINT, records_processed BIGINT, total_consumer_lag BIGINT").json(f"{out}/metrics").select(
+        F.col("batch_id").alias("batch"), "records_processed", "total_consumer_lag")
+
+
+def _sides(e):
+    """What was sent and what arrived of it: one in twenty is lost, the rest arrives within half an hour."""
+    rows = e.select(F.concat(F.lit("m"), F.col("event_id").cast("string")).alias("id"), "event_id", F.col("ts").cast("timestamp").alias("at"))
+    sent = rows.select("id", "at", F.lit("input").alias("expected"))
+    late = F.floor(uniform("late", "event_id") * 1800).cast("int")
+    got = rows.where(uniform("lost", "event_id") >= 0.05).select("id", (F.col("at") + F.make_dt_interval(secs=late)).alias("at"), F.lit("input").alias("actual"))
+    return sent, got
+
+
+LOST = f"""SELECT count(*) AS messages, count(*) FILTER ({u_sql('lost', 'event_id')} < 0.05) AS lost, CAST(sum(event_id) FILTER ({u_sql('lost', 'event_id')} < 0.05) AS BIGINT) AS lost_ids FROM e"""
+
+
+@query("jn14_delivery_reconciled_streamed", with_events(LOST))
+def delivery_streamed(spark, sf):
+    """Stream-stream reconciliation: a lost message comes out once, when the watermarks have passed its hour. A last message two days
+    later on both sides moves them past everything; it stays open itself."""
+    out, path = run_dir(spark, "reconciled"), run_dir(spark, "sides")
+    e = table(spark, sf, "events").select("event_id", "ts")
+    sent, got = _sides(e)
+    end = e.agg((F.max("ts") + F.expr("INTERVAL 2 DAYS")).cast("timestamp").alias("at"))
+    first = (sent, got), (end.select(F.lit("end").alias("id"), "at", F.lit("input").alias("expected")), end.select(F.lit("end").alias("id"), "at", F.lit("input").alias("actual")))
+    for a, b in first:
+        a.write.mode("append").parquet(f"{path}/sent")
+        b.write.mode("append").parquet(f"{path}/delivered")
+        streams = (spark.readStream.schema(f.schema).parquet(f"{path}/{name}") for f, name in ((sent, "sent"), (got, "delivered")))
+        rows = reconcile.reconciled(*streams, "id", "at", "at")
+        _kept(rows, out).trigger(availableNow=True).start().awaitTermination()
+    back = spark.read.schema("key STRING, lost BOOLEAN").parquet(f"{out}/rows").where("key != 'end'")
+    return back.agg(F.count(F.lit(1)).alias("messages"), F.count_if("lost").alias("lost"), F.sum(F.when(F.col("lost"), F.substring("key", 2, 20).cast("bigint"))).alias("lost_ids"))
+
+
+@query("jn14_delivery_reconciled", with_events(LOST))
+def delivery_reconciled(spark, sf):
+    """The same reconciliation on tables."""
+    sent, got = _sides(table(spark, sf, "events").select("event_id", "ts"))
+    out = joins.spread_join(sent, got.groupBy("id").agg(F.max("actual").alias("actual")), "id", "left")
+    lost = F.col("actual").isNull()
+    return out.agg(F.count(F.lit(1)).alias("messages"), F.count_if(lost).alias("lost"), F.sum(F.when(lost, F.substring("id", 2, 20).cast("bigint"))).alias("lost_ids"))
+
+
+def _quality_rows(e):
+    """Messages by source partition: a twentieth share an id with others far away, a tenth carry a time an hour back."""
+    offset = F.expr("event_id div 4")
+    mid = F.when(uniform("d", "event_id") < 0.05, offset % 500).otherwise(offset + 1000000000).cast("string")
+    late = F.when(uniform("o", "event_id") < 0.1, 3600000000).otherwise(0)
+    return e.select(F.pmod("event_id", F.lit(4)).cast("int").alias("partition"), offset.alias("offset"), mid.alias("message_id"),
+                    (F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)") - late).alias("event_ts_ms"))
+
+
+QUALITY = f"""q AS (SELECT CAST(event_id % 4 AS INTEGER) AS partition, event_id // 4 AS o, CASE WHEN {u_sql('d', 'event_id')} < 0.05 THEN event_id // 4 % 500 ELSE event_id // 4 + 1000000000 END AS mid,
+ ts_us - CASE WHEN {u_sql('o', 'event_id')} < 0.1 THEN 3600000000 ELSE 0 END AS t FROM e)"""
+QUALITY_SQL = """SELECT partition, records, out_of_order, dup AS duplicated_ids FROM (SELECT partition, count(*) AS records, count(*) FILTER (t < latest) AS out_of_order FROM (
+ SELECT *, max(t) OVER (PARTITION BY partition ORDER BY o) AS latest FROM q) GROUP BY partition) JOIN (SELECT partition, count(*) FILTER (n > 1) AS dup FROM (
+ SELECT partition, mid, count(*) AS n FROM q GROUP BY ALL) GROUP BY partition) USING (partition)"""
+
+
+@query("ag34_message_quality_by_partition", with_events(QUALITY_SQL, QUALITY))
+def quality_by_partition(spark, sf):
+    rows = _quality_rows(table(spark, sf, "events"))
+    out = message_quality(rows, "offset", "event_ts_ms", "message_id", F.lit(True), F.lit(True), ["partition"])
+    return out.select("partition", "records", "out_of_order", "duplicated_ids")
+
+
+@query("ag34_message_quality_streamed", with_events(QUALITY_SQL, QUALITY))
+def quality_streamed(spark, sf):
+    """The same rates from state kept across micro-batches: late times and copied ids that straddle batches count."""
+    out, log = run_dir(spark, "flags"), run_dir(spark, "log")
+    rows = _quality_rows(table(spark, sf, "events"))
+    tablelog.append(rows.select("partition", "offset", F.col("message_id").alias("key"), F.col("event_ts_ms").cast("string").alias("value")), log)
+    limit = 4 * -(-max(tablelog.end_offsets(log).values()) // FILES)
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store, None)
+    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for _ in range(FILES):
+            stream = tablelog.subscribe(spark, log, starting="earliest", max_per_trigger=limit, progress=f"{out}/progress")
+            _kept(reconcile.ordered_flags(stream, "key", "value"), out).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset(store) if before is None else spark.conf.set(store, before)
+    return spark.read.schema(reconcile.FLAGS).parquet(f"{out}/rows").groupBy("partition").agg(
+        F.count(F.lit(1)).alias("records"), F.count_if("late").alias("out_of_order"), F.count_if("second").alias("duplicated_ids"))

@@ -232,6 +232,17 @@ def reconstruction(spark, sf):
     return portable(evaluate.reconstruction_holdout(labelled(spark, sf), FEATURES, "label", "event_id", components=2), "run", "seed")
 
 
+@query("ml12_low_rank_basis", with_events("""
+SELECT round((1 + abs(corr(value, signal))) / 2, 6) AS captured, round(avg(e), 6) AS mean_error FROM (SELECT value, signal, power((value - mv) / sv - g * (signal - ms) / ss, 2) / 4 AS e FROM h,
+ (SELECT avg(value) AS mv, stddev_samp(value) AS sv, avg(signal) AS ms, stddev_samp(signal) AS ss, sign(corr(value, signal)) AS g FROM h))""", SPLIT))
+def low_rank_basis(spark, sf):
+    """Of two standardised readings the first axis lies on a diagonal: its variance and every row's gap are known."""
+    e = labelled(spark, sf)
+    basis = fits.fit_basis(e, ["value", "signal"], 1)
+    share = float(basis.variance.sum() / basis.total)
+    return basis.error(e.select("value", "signal")).agg(F.round(F.lit(share), 6).alias("captured"), F.round(F.avg("error"), 6).alias("mean_error"))
+
+
 @query("ml13_neural_network", holdout_sql("('42', 1)", "0.5::DOUBLE", False))
 def neural_network(spark, sf):
     return portable(evaluate.balanced_network(labelled(spark, sf), FEATURES, "label", "event_id"), "run", "seed")
