@@ -3,14 +3,15 @@
 An alignment of an item of n characters with at most e edits leaves at least n - q + 1 - q * e of its q-grams untouched, and these lie
 on at most e + 1 neighbouring diagonals (place in the document minus place in the item). Bands of 2 * (e + 1) diagonals that
 overlap by half therefore hold all of them in one band. Documents are read once: rolling hashes find the q-grams that
-any item has, their diagonals are counted by item and band, bands that meet the bound are aligned inside the band, and only
-alignments within the edit budget are returned. Characters are compared after Unicode normalisation and full case folding, with an
+any item has, their diagonals are counted by item and band, bands that meet the bound and hold enough of the item's pieces of six
+characters are aligned inside the band, many at once, and only alignments within the edit budget are returned. Characters are compared after Unicode normalisation and full case folding, with an
 array of places back to the bytes of the text; white space is compared one for one, then with each run of it as one space: see ``find_items``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from typing import NamedTuple
@@ -27,8 +28,9 @@ from .common import SPACE, mix, powers, range_hash, slices
 Q, SHORT_Q = 12, 6
 #: Edits allowed by character of an item, rounded up.
 ERROR_RATE = 0.05
-#: Bytes of items in one pass over the documents; more items take more passes.
-PASS_BYTES = 8 << 20
+#: Bytes of items in one pass over the documents; more items take more passes. Only the items travel; tasks build the index, which
+#: takes 30 to 60 times their bytes.
+PASS_BYTES = 2 << 20
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -170,6 +172,11 @@ class Index:
     posting_at: np.ndarray
     filter_bits: int
     present: np.ndarray
+    longest: int
+    tiles: np.ndarray       # hashes of consecutive pieces of SHORT_Q characters, item after item, rare ones first
+    tile_at: np.ndarray     # their places in the item
+    first_tile: np.ndarray
+    pieces: np.ndarray
 
 
 @dataclass
@@ -187,9 +194,11 @@ class Items:
     sizes: list[int]
     #: Edits allowed by item when runs of white space are joined.
     budget: list[int]
-    #: Indexes with white space one for one, and with each run as one space and none at the ends.
+    #: Indexes with white space one for one; and, of items with runs of it or blanks at the ends, with each run as one space and none at the ends.
     plain: list
     joined: list
+    #: Numbers of the latter items.
+    changed: frozenset
 
 
 def _index(numbers: list[int], texts: list[np.ndarray], error_rate: float, q: int) -> Index:
@@ -207,7 +216,14 @@ def _index(numbers: list[int], texts: list[np.ndarray], error_rate: float, q: in
     bits = min(24, len(distinct).bit_length() + 6)
     present = np.zeros(1 << bits, bool)
     present[(distinct >> np.uint64(64 - bits)).astype(np.int64)] = True
-    return Index(q, np.array(numbers), texts, budget, sizes - q + 1 - q * budget, distinct, np.append(first, len(g)), item_[order], at_[order], bits, present)
+    pieces = sizes // SHORT_Q
+    tiles = np.concatenate([range_hash(char_hash(t), np.arange(n) * SHORT_Q, np.arange(n) * SHORT_Q + SHORT_Q) for t, n in zip(texts, pieces.tolist(), strict=True)])
+    first_tile = np.cumsum(pieces) - pieces
+    owner = np.repeat(np.arange(len(texts)), pieces)
+    _, kind, often = np.unique(tiles, return_inverse=True, return_counts=True)
+    rare = np.lexsort((often[kind], owner))
+    return Index(q, np.array(numbers), texts, budget, sizes - q + 1 - q * budget, distinct, np.append(first, len(g)), item_[order], at_[order], bits, present,
+                 int(sizes.max()), tiles[rare], ((np.arange(len(tiles)) - first_tile[owner]) * SHORT_Q)[rare], first_tile, pieces)
 
 
 def _gram(n: int, error_rate: float) -> int:
@@ -215,10 +231,10 @@ def _gram(n: int, error_rate: float) -> int:
     return Q if edit_budget(n, error_rate, Q) >= np.ceil(n * error_rate) else SHORT_Q
 
 
-def _indexes(texts: list[np.ndarray], error_rate: float) -> list:
+def _indexes(texts: list[np.ndarray], error_rate: float, numbers: Iterable[int]) -> list:
     lots: dict[tuple[int, int], list[int]] = {}
-    for k, t in enumerate(texts):
-        n = len(t)
+    for k in numbers:
+        n = len(texts[k])
         lots.setdefault((_gram(n, error_rate), 0) if n >= Q else (0, n), []).append(k)
     out: list = []
     for (q, n), own in sorted(lots.items()):
@@ -243,47 +259,54 @@ def build_items(rows: list[tuple], error_rate: float = ERROR_RATE) -> Items:
         solid = np.flatnonzero(x.chars != 32)
         joined.append(x.chars[solid[0]:solid[-1] + 1])
     chars = [x.chars for x in plain]
-    one = _indexes(chars, error_rate)
-    same = all(len(a) == len(b) for a, b in zip(chars, joined, strict=True))
+    changed = [k for k, (a, b) in enumerate(zip(chars, joined, strict=True)) if len(a) != len(b)]
     budget = [edit_budget(len(t), error_rate, _gram(len(t), error_rate)) for t in joined]
-    return Items([i for i, _ in kept], [len(t) for _, t in kept], budget, one, one if same else _indexes(joined, error_rate))
+    return Items([i for i, _ in kept], [len(t) for _, t in kept], budget, _indexes(chars, error_rate, range(len(chars))), _indexes(joined, error_rate, changed),
+                 frozenset(changed))
 
 
-def align(pattern: np.ndarray, body: np.ndarray, low: int, high: int, budget: int) -> tuple[int, int, int] | None:
-    """(edits, start, end) of the best alignment of the whole item with a part of the text on diagonals low..high; None above the budget.
+_ONE, _FAR = np.int64(1) << 40, np.int64(1) << 60
+
 
-    Of equal edits the earliest end, then the earliest start is taken. Costs hold the start in their low bits.
+def align_many(patterns: np.ndarray, chars: np.ndarray, first: np.ndarray, size: np.ndarray, low: np.ndarray, width: int, budget: int) -> tuple[np.ndarray, ...]:
+    """(candidate, edits, start, end) of the best alignment of each whole pattern with its text on diagonals low .. low + width - 1.
+
+    ``first`` and ``size`` place a candidate's text among all characters. Candidates above the budget are dropped as soon as all
+    their diagonals are. Of equal edits the earliest end, then the earliest start is taken; costs hold the start in their low bits.
     """
-    n, m = len(pattern), len(body)
-    one, far = np.int64(1) << 40, np.int64(1) << 60
-    diagonal = np.arange(low, high + 1)
-    cost = np.where((diagonal >= 0) & (diagonal <= m), diagonal, far).astype(np.int64)
-    slope = np.arange(len(diagonal), dtype=np.int64) * one
-    padded = np.full(len(diagonal) + n + 1, -1, np.int64)
-    a, b = max(0, low), min(m, high + n)
-    if b > a:
-        padded[a - low:b - low] = body[a:b]
+    n = patterns.shape[1]
+    alive = np.arange(len(patterns))
+    steps = np.arange(width)
+    slope = steps * _ONE
+    diagonal = low[:, None] + steps
+    cost = np.where((diagonal >= 0) & (diagonal <= size[:, None]), diagonal, _FAR).astype(np.int64)
+    place = low[:, None] + np.arange(width + n)
+    body = np.where((place >= 0) & (place < size[:, None]), chars[np.clip(first[:, None] + place, 0, len(chars) - 1)].astype(np.int64), -1)
     for i in range(1, n + 1):
-        step = cost + np.where(padded[i - 1:i - 1 + len(diagonal)] == pattern[i - 1], 0, one)
-        step[:-1] = np.minimum(step[:-1], cost[1:] + one)
-        at = diagonal + i
-        step[(at < 0) | (at > m)] = far
-        cost = np.minimum.accumulate(step - slope) + slope
-        cost[(at < 0) | (at > m)] = far
-    edits = cost >> np.int64(40)
-    best = int(edits.argmin())
-    if edits[best] > budget:
-        return None
-    return int(edits[best]), int(cost[best] & (one - 1)), int(diagonal[best]) + n
-
-
-def _place(item: np.ndarray, text: np.ndarray) -> int:
-    """Where the text first holds the item as it is, or -1."""
-    needle, hay = item.tobytes(), text.tobytes()
-    at = hay.find(needle)
-    while at % 4 and at >= 0:
-        at = hay.find(needle, at + 1)
-    return at // 4 if at >= 0 else -1
+        step = cost + np.where(body[:, i - 1:i - 1 + width] == patterns[:, i - 1:i], 0, _ONE)
+        step[:, :-1] = np.minimum(step[:, :-1], cost[:, 1:] + _ONE)
+        out = (diagonal + i < 0) | (diagonal + i > size[:, None])
+        step[out] = _FAR
+        cost = np.minimum.accumulate(step - slope, axis=1) + slope
+        cost[out] = _FAR
+        if i % 8 == 0 or i == n:
+            keep = (cost.min(axis=1) >> np.int64(40)) <= budget
+            if not keep.all():
+                alive, cost, diagonal, body, patterns, size = (x[keep] for x in (alive, cost, diagonal, body, patterns, size))
+            if not len(alive):
+                break
+    if not len(alive):
+        return (np.zeros(0, np.int64),) * 4
+    best = (cost >> np.int64(40)).argmin(axis=1)
+    chosen = cost[np.arange(len(alive)), best]
+    return alive, chosen >> np.int64(40), chosen & (_ONE - 1), diagonal[np.arange(len(alive)), best] + n
+
+
+def align(pattern: np.ndarray, body: np.ndarray, low: int, high: int, budget: int) -> tuple[int, int, int] | None:
+    """(edits, start, end) of the best alignment of one item with a text on diagonals low..high; None above the budget."""
+    one = np.array([0])
+    got = align_many(np.asarray(pattern)[None, :], np.append(body, 0), one, np.array([len(body)]), np.array([low]), high - low + 1, budget)
+    return tuple(int(x[0]) for x in got[1:]) if len(got[0]) else None
 
 
 def _find_exact(index: Exact, text: Folded, prefix: np.ndarray) -> dict[tuple[int, int], tuple[int, int, int]]:
@@ -305,6 +328,126 @@ def _find_exact(index: Exact, text: Folded, prefix: np.ndarray) -> dict[tuple[in
     return found
 
 
+def _counted(items: Index, row: np.ndarray, start: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, item, band) of the bands that meet the bound, from q-gram hits (row, place in it, gram), rows rising.
+
+    Band b of an item holds diagonals [b * width, (b + 2) * width), shifted by 2 * longest to stay above zero. Hits are taken by
+    windows of a row that overlap by more than an alignment can span, and the postings of a window in lots, so that common
+    grams of many items take time but no memory; counts of a window's cells are dense where they are few.
+    """
+    count = items.first[at + 1] - items.first[at]
+    n_items, width = len(items.texts), items.budget + 1
+    span = 2 * items.longest + int(width.max())
+    window = max(4 * span, 1 << 14)
+    met: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for a, b in _windows(row, start, window, span):
+        reach = (int(start[b - 1]) + 2 * items.longest) // int(width.min()) + 2 - max(0, (int(start[a]) + items.longest) // int(width.max()) - 1)
+        one_row = row[a] == row[b - 1]
+        dense = one_row and n_items * reach <= _CELLS
+        # Bands of a window differ from item to item; each item's are counted from the lowest it can meet here.
+        base = np.maximum(0, (int(start[a]) + items.longest) // width - 1) if one_row else np.zeros(n_items, np.int64)
+        total = np.zeros(n_items * reach, np.int32) if dense else None
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        top = (int(start[a:b].max()) + 2 * items.longest) // int(width.min()) + 2
+        ahead = np.cumsum(count[a:b])
+        cuts = np.searchsorted(ahead, np.arange(0, int(ahead[-1]), _LOT), "right")
+        for x, y in zip((a + cuts).tolist(), [*(a + cuts[1:]).tolist(), b], strict=True):
+            if x == y:
+                continue
+            each = np.repeat(np.arange(x, y), count[x:y])
+            posting = np.arange(len(each)) + np.repeat(items.first[at[x:y]] - (np.cumsum(count[x:y]) - count[x:y]), count[x:y])
+            item = items.posting_item[posting].astype(np.int64)
+            band = (start[each] - items.posting_at[posting] + 2 * items.longest) // width[item]
+            if dense:
+                cell = item * reach + band - base[item]
+                total += np.bincount(cell, minlength=len(total))[:len(total)].astype(np.int32)
+            else:
+                found, n = np.unique(((row[each] - row[a]) * n_items + item) * top + band, return_counts=True)
+                keys, place = np.unique(np.concatenate([keys, found]), return_inverse=True)
+                counts = np.bincount(place, np.concatenate([counts, n])).astype(np.int64)
+        if dense:
+            keys = np.flatnonzero(total)
+            counts = total[keys].astype(np.int64)
+            owner, band = keys // reach, keys % reach + base[keys // reach]
+        else:
+            owner, band = keys // top, keys % top
+        # A hit counts in the band that begins at or before its diagonal's and in the one before.
+        both = np.concatenate([owner * (top + 1) + band, owner * (top + 1) + np.maximum(band - 1, 0)])
+        key, place = np.unique(both, return_inverse=True)
+        n = np.bincount(place, np.concatenate([counts, np.where(band > 0, counts, 0)])).astype(np.int64)
+        owner, band = key // (top + 1), key % (top + 1)
+        good = n >= items.needed[owner % n_items]
+        met.append((owner[good] // n_items + row[a], owner[good] % n_items, band[good]))
+    return tuple(np.concatenate(x) for x in zip(*met, strict=True)) if met else (np.zeros(0, np.int64),) * 3
+
+
+#: Dense cells of a window, and postings taken at once.
+_CELLS, _LOT = 1 << 24, 1 << 21
+
+
+def _windows(row: np.ndarray, start: np.ndarray, window: int, span: int) -> Iterator[tuple[int, int]]:
+    """Ranges of hits: many short rows together, or overlapping windows of a long one."""
+    a, end = 0, len(row)
+    while a < end:
+        last = int(np.searchsorted(row, row[a], "right"))
+        if start[last - 1] - start[a] <= window:
+            # Following rows, as long as they are short, up to about as many hits as a window has places.
+            b = last
+            while b < end and b - a < window:
+                nxt = int(np.searchsorted(row, row[b], "right"))
+                if start[nxt - 1] - start[b] > window:
+                    break
+                b = nxt
+            yield a, b
+            a = b
+        else:
+            x = a
+            while True:
+                y = min(last, int(np.searchsorted(start[x:last], start[x] + window, "right")) + x)
+                yield x, y
+                if y == last:
+                    break
+                x = max(x + 1, int(np.searchsorted(start[x:last], start[x] + window - span)) + x)
+            a = last
+
+
+def _merged(row: np.ndarray, item: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One start for two bands that follow each other: from it three widths of diagonals are searched."""
+    order = np.lexsort((band, item, row))
+    row, item, band = row[order], item[order], band[order]
+    begins = np.append(True, (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (band[1:] != band[:-1] + 1))[:len(row)]
+    place = np.arange(len(row))
+    keep = (place - np.maximum.accumulate(np.where(begins, place, 0))) % 2 == 0
+    return row[keep], item[keep], band[keep]
+
+
+def _tiles_met(items: Index, text: Folded, tiles: np.ndarray, row: np.ndarray, item: np.ndarray, band: np.ndarray) -> np.ndarray:
+    """Whether the band still can hold the item: cut into pieces of SHORT_Q characters, each edit spoils one piece at most, and the
+    others stand in the text on the band's diagonals. Pieces that few items have are looked for first."""
+    out = np.zeros(len(item), bool)
+    for at in range(0, len(item), 1 << 15):
+        live = np.arange(at, min(len(item), at + (1 << 15)))
+        left = items.budget[item[live]].copy()
+        for piece in range(int(items.pieces[item[live]].max(initial=0))):
+            k = item[live]
+            has = np.flatnonzero(items.pieces[k] > piece)
+            tile = items.first_tile[k[has]] + piece
+            begin, end = text.offsets[row[live[has]]], text.offsets[row[live[has]] + 1]
+            width = items.budget[k[has]] + 1
+            place = begin + band[live[has]] * width - 2 * items.longest + items.tile_at[tile]
+            want, hit = items.tiles[tile], np.zeros(len(has), bool)
+            for d in range(int(3 * width.max(initial=0))):
+                fine = (place + d >= begin) & (place + d + SHORT_Q <= end) & (d < 3 * width)
+                hit |= fine & (tiles[np.where(fine, place + d, 0)] == want)
+            left[has[~hit]] -= 1
+            keep = left >= 0
+            live, left = live[keep], left[keep]
+            if not len(live):
+                break
+        out[live] = True
+    return out
+
+
 def _find(items: Index, text: Folded, prefix: np.ndarray) -> dict[tuple[int, int], tuple[int, int, int]]:
     """(row, item number) -> (edits, start, end) in characters of the row."""
     chars, offsets, q = text.chars, text.offsets, items.q
@@ -321,35 +464,27 @@ def _find(items: Index, text: Folded, prefix: np.ndarray) -> dict[tuple[int, int
     hit, at, row = hit[inside], at[inside], row[inside]
     if not len(hit):
         return {}
-    count = items.first[at + 1] - items.first[at]
-    each = np.repeat(np.arange(len(hit)), count)
-    posting = np.repeat(items.first[at] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(len(each))
-    item, place, row = items.posting_item[posting].astype(np.int64), items.posting_at[posting], row[each]
-    width = items.budget[item] + 1
-    longest = max(map(len, items.texts))
-    band = (hit[each] - offsets[row] - place + 2 * longest) // width
+    row, item, band = _merged(*_counted(items, row, hit - offsets[row], at))
+    if not len(row):
+        return {}
+    start = np.arange(len(chars) - SHORT_Q + 1)
+    met = _tiles_met(items, text, range_hash(prefix, start, start + SHORT_Q), row, item, band)
+    row, item, band = row[met], item[met], band[met]
     found: dict[tuple[int, int], tuple[int, int, int]] = {}
-    # Band b holds diagonals [b * width, (b + 2) * width), shifted by 2 * longest to stay above zero.
-    reach = int(band.max()) + 2
-    pair = row * len(items.texts) + item
-    key, counted = np.unique(np.concatenate([pair * reach + band, pair * reach + np.maximum(band - 1, 0)]), return_counts=True)
-    owner, band = key // reach, key % reach
-    of = owner % len(items.texts)
-    met = counted >= items.needed[of]
-    for r, k, b in zip((owner[met] // len(items.texts)).tolist(), of[met].tolist(), band[met].tolist(), strict=True):
-        own, e, pattern = chars[offsets[r]:offsets[r + 1]], int(items.budget[k]), items.texts[k]
-        low, high = b * (e + 1) - 2 * longest, (b + 2) * (e + 1) - 1 - 2 * longest
-        region = max(0, low - e)
-        stop = max(region, min(len(own), high + len(pattern) + e))
-        exact = _place(pattern, own[region:stop])
-        if exact >= 0:
-            got = (0, region + exact, region + exact + len(pattern))
-        else:
-            got = align(pattern, own[region:stop], low - region, high - region, e)
-            got = got and (got[0], got[1] + region, got[2] + region)
-        number = int(items.number[k])
-        if got and ((r, number) not in found or got < found[r, number]):
-            found[r, number] = got
+    sizes = np.array([len(t) for t in items.texts], np.int64)[item]
+    for n in np.unique(sizes).tolist():
+        own = np.flatnonzero(sizes == n)
+        e = int(items.budget[item[own[0]]])
+        lot = max(1, _LOT // (n + 3 * (e + 1)))
+        for a in range(0, len(own), lot):
+            c = own[a:a + lot]
+            r = row[c]
+            got = align_many(np.stack([items.texts[k] for k in item[c].tolist()]).astype(np.int64), chars, offsets[r], offsets[r + 1] - offsets[r],
+                             band[c] * (e + 1) - 2 * items.longest, 3 * (e + 1), e)
+            for x, edits, begin, end in zip(*(g.tolist() for g in got), strict=True):
+                key, value = (int(r[x]), int(items.number[item[c[x]]])), (edits, begin, end)
+                if key not in found or value < found[key]:
+                    found[key] = value
     return found
 
 
@@ -373,8 +508,9 @@ def find_items(items: Items, data: np.ndarray, offsets: np.ndarray) -> list[tupl
     text = folded(data, offsets)
     out = {at: (edits, text.first[start], text.last[end - 1]) for at, (edits, start, end) in _search(items.plain, text).items()}
     joined, origin = one_space(text)
-    if items.joined is not items.plain or len(joined.chars) < len(text.chars):
-        for (r, k), (edits, start, end) in _search(items.joined, joined).items():
+    if items.changed or len(joined.chars) < len(text.chars):
+        again = {at: got for at, got in _search(items.plain, joined).items() if at[1] not in items.changed} if len(joined.chars) < len(text.chars) else {}
+        for (r, k), (edits, start, end) in (again | _search(items.joined, joined)).items():
             steps = np.diff(origin[start:end])
             if (steps - 1).sum() <= items.budget[k]:
                 edits += int((steps == 2).sum())
@@ -383,6 +519,17 @@ def find_items(items: Items, data: np.ndarray, offsets: np.ndarray) -> list[tupl
     return [(r, k, edits, int(start - offsets[r]), int(end - offsets[r])) for (r, k), (edits, start, end) in sorted(out.items())]
 
 
+_HELD: dict[str, Items] = {}
+
+
+def _built(name: str, sent, error_rate: float) -> Items:
+    """The index of a lot, built once by each Python worker; it holds the last one alone."""
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = build_items(sent.value, error_rate)
+    return _HELD[name]
+
+
 FOUND = "doc_id long, item_id long, n_edits long, start long, end long, item_bytes long"
 
 
@@ -406,10 +553,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERRO
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
     for rows in item_passes(benchmark, pass_bytes):
-        sent = docs.sparkSession.sparkContext.broadcast(build_items(rows, error_rate))
+        sent, name = docs.sparkSession.sparkContext.broadcast(rows), uuid.uuid4().hex
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            items = sent.value
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, name=name) -> Iterator[pa.RecordBatch]:
+            items = _built(name, sent, error_rate)
             schema = pa.schema([(n, pa.int64()) for n in ("doc_id", "item_id", "n_edits", "start", "end", "item_bytes")])
             for batch in batches:
                 ids = batch.column("doc_id")
@@ -428,13 +575,14 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float =
     """The rows of ``docs``, with all their columns, that contain no item."""
     out = docs
     for rows in item_passes(benchmark, pass_bytes):
-        sent = docs.sparkSession.sparkContext.broadcast(build_items(rows, error_rate))
+        sent, name = docs.sparkSession.sparkContext.broadcast(rows), uuid.uuid4().hex
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, name=name) -> Iterator[pa.RecordBatch]:
+            items = _built(name, sent, error_rate)
             for batch in batches:
                 clean = np.ones(batch.num_rows, bool)
                 for first, _, data, offsets in slices(batch, "text"):
-                    clean[[first + g[0] for g in find_items(sent.value, data, offsets)]] = False
+                    clean[[first + g[0] for g in find_items(items, data, offsets)]] = False
                 yield batch.filter(pa.array(clean))
 
         out = out.mapInArrow(run, docs.schema)
