@@ -61,13 +61,32 @@ def test_rules_on_rows(spark, odd):
 
 def test_junk_is_rejected_where_labels_suffice(spark):
     words = " ".join("w%d" % i for i in range(30))
-    rows = [(i, words if i % 4 else words.replace(" ", "### "), "en") for i in range(4000)]
+    rows = [(i, f"{words} x{i}" if i % 4 else f"{words} x{i}".replace(" ", "### "), "en") for i in range(4000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     labels = docs.selectExpr("doc_id", "int(doc_id % 4 > 0) as quality").filter("doc_id % 2 = 0 or doc_id % 4 > 0")
     got = qualityrules.quality_rules(docs, labels).collect()
     assert all(r.kept == (r.doc_id % 4 > 0) for r in got)
 
 
+def test_small_strata_and_copies(spark):
+    """A stratum too small for cutoffs by rule certifies one for all rules; copies are one label; tiny strata are pooled."""
+    words = " ".join("w%d" % i for i in range(30))
+    text = lambda i: f"{words} x{i}" if i % 3 else f"{words} x{i}".replace(" ", "### ")
+    rows = [(i, text(i), "en") for i in range(600)] + [(1000 + i, text(1 + i % 2), "copies") for i in range(900)] + [(1900, text(0), "copies")]
+    rows += [(3000 + i, text(i), f"tiny{i % 40}") for i in range(600)] + [(9000, text(3), "unlabelled"), (9001, text(3), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = docs.filter("doc_id < 9000").selectExpr("doc_id", "int(not text like '%###%') as quality")
+    got = {r.doc_id: r for r in qualityrules.quality_rules(docs, labels).collect()}
+    assert len(got) == len(rows)
+    junk = {i for i, t, _ in rows if "###" in t}
+    assert all(r.kept == (i not in junk) for i, r in got.items() if i < 600 or 3000 <= i < 4000), "certified alone and in the pool"
+    assert got[1900].stratum == "copies" and not got[1900].kept, "two different texts certify nothing alone; the pool does"
+    measured = qualityrules.measure(docs)
+    few = labels.filter("doc_id between 1000 and 1900")
+    chosen = {r.stratum: r.cutoffs for r in qualityrules.fit_thresholds(measured, few).collect()}
+    assert set(chosen) == {r.stratum for r in got.values()} and all(c == math.inf for v in chosen.values() for c in v)
+
+
 # ---------------------------------------------------------------- language model
 
 def test_scores(spark, sf, documents, odd):

@@ -170,34 +170,32 @@ def lookup(left: DataFrame, facts: DataFrame, keys: list[str], count: str, hot_s
     return cold_rows.unionByName(hot_rows)
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node of each connected component of ``edges`` (u, v); nodes without an edge are absent.
 
-    Alternates large-star and small-star steps; each round is written to the shared folder, so lineage stays short.
-    Only counts and checksums reach the driver.
+    Alternates large-star and small-star steps until nothing changes, which takes about as many rounds as the logarithm of the
+    longest chain. A node's smallest neighbour comes to its edges by ``lookup``, so a hub's edges stay spread. Each step is written
+    to the shared folder, so lineage stays short; only counts and checksums reach the driver.
     """
     def checked(df: DataFrame) -> tuple[DataFrame, tuple]:
         out = written(df, "components")
         return out, tuple(out.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
+    def lowest(df: DataFrame) -> DataFrame:
+        """Edges with the smallest neighbour of u beside them."""
+        return lookup(df, written(df.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "lowest"), ["u"], "n")
+
     links = edges.select("u", "v").filter("u != v")
     now, mark = checked(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    for _ in range(rounds):
-        if not mark[0]:
-            break
+    while mark[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(
+        large = written(lowest(both).filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).filter("u != v").distinct(), "components")
+        small = lowest(large).select(F.explode(F.array(
             F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")
         ).select("e.u", "e.v").filter("u != v").distinct()
-        after, seen = checked(small)
+        now, seen = checked(small)
         if seen == mark:
-            now = after
             break
-        now, mark = after, seen
-    else:
-        raise RuntimeError("components did not settle")
+        mark = seen
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

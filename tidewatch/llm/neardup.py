@@ -196,8 +196,6 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, block_shi
     full = signed.filter("n_shingles > 0 and doc_id is not null")
     classes = written(full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("bands").alias("bands"),
                                                         F.first("n_shingles").alias("n_shingles")), "classes")
-    copies = lookup(full.select("doc_id", "set_a", "set_b"), classes.filter("n > 1").select("set_a", "set_b", "rep", "n"), ["set_a", "set_b"], "n")
-
     banded = classes.select(F.col("rep").alias("u"), F.explode("bands").alias("band"))
     leaders = written(banded.groupBy("band").agg(F.min("u").alias("v"), F.count("*").alias("n")).filter("n > 1"), "leaders")
     candidate = components(lookup(banded, leaders, ["band"], "n").select("u", "v"))
@@ -214,8 +212,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, block_shi
     confirmed = texts.join(meets.withColumnRenamed("rep", "doc_id"), "doc_id").groupBy("root", "low", "high").applyInPandas(
         _verified(size, percent), "u long, v long")
 
-    ties = confirmed.unionByName(copies.select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))).filter("u != v")
-    linked = components(ties)
-    return signed.select("doc_id", "n_shingles").join(linked.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
-        "doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"),
-        F.coalesce(F.col("doc_id") == F.coalesce("root", "doc_id"), F.lit(True)).alias("kept"))
+    # An id that stands in several classes ties them; other copies need no edges, they follow their class.
+    member = lookup(full.select("doc_id", "set_a", "set_b"), classes.select("set_a", "set_b", "rep", "n"), ["set_a", "set_b"], "n").select("doc_id", "rep")
+    spread = member.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count("*").alias("n")).filter("low != high")
+    shared = lookup(member, written(spread, "shared-ids"), ["doc_id"], "n").select(F.col("rep").alias("u"), F.col("low").alias("v"))
+    linked = components(confirmed.unionByName(shared).filter("u != v"))
+    facts = written(classes.select("set_a", "set_b", "rep", "n").join(linked.withColumnRenamed("node", "rep"), "rep", "left").select(
+        "set_a", "set_b", F.coalesce("root", "rep").alias("component_id"), "n"), "facts")
+    found = lookup(full.select("doc_id", "n_shingles", "set_a", "set_b"), facts, ["set_a", "set_b"], "n").select("doc_id", "n_shingles", "component_id")
+    # A row without words takes the component of a row with its id and words, if there is one.
+    bare = signed.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles")
+    known = found.join(bare.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    rest = bare.join(known, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return found.unionByName(rest).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -3,10 +3,14 @@
 Each rule is a feature that is high in poor text and a cutoff above which a text is rejected. For every stratum and rule,
 cutoffs are tried from the highest down on labelled texts. A cutoff is certified if an exact binomial test rejects that it
 turns away more than ``risk / rules`` of the good texts: P(Binomial(n, risk / rules) <= wrongly rejected) must not exceed
-``confidence_error / (strata x rules)``. Trying stops at the first failure (a fixed sequence needs no further correction), and
+``confidence_error / ((strata + 1) x rules)``. Trying stops at the first failure (a fixed sequence needs no further correction), and
 the Bonferroni share covers strata and rules, so with probability 1 - confidence_error no stratum loses more than ``risk`` of
-its good texts. Among certified cutoffs the one with the best balance of poor and good texts rejected is taken; a stratum with
-too few labels to certify anything rejects nothing.
+its good texts. Among certified cutoffs the one with the best balance of poor and good texts rejected is taken.
+
+A stratum with too few good texts for that, whatever they say, tries one cutoff for all rules together instead, against the whole
+``risk``: a sequence of nested rejections that needs no share by rule and so a tenth of the labels. Strata too small even for
+this are pooled, and the bound holds for the pool. Where nothing can be certified nothing is rejected. Copies of one text count
+as one label.
 """
 
 from __future__ import annotations
@@ -20,15 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, mix, prefix_hash, range_hash, slices, words, written
+from .common import SPACE, lookup, mix, prefix_hash, range_hash, slices, words, written
 
 WINDOW = 5
 #: Rules, each a share that is high in poor text.
 RULES = ("symbols_per_word", "repeated_line_share", "repeated_word_share", "upper_share", "mark_share", "letters_per_word")
 #: Cutoffs that are tried, as parts of 1; letters_per_word is divided by 40 first.
 GRID = tuple(round(x, 4) for x in np.concatenate([np.linspace(0.01, 0.2, 20), np.linspace(0.22, 1.0, 40), np.linspace(1.1, 4.0, 30)]).tolist())
-#: Strata above this number aren't meant: thresholds travel to the driver and back.
-MAX_STRATA = 10_000
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -107,7 +109,7 @@ def base_failed(counts: np.ndarray) -> np.ndarray:
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_id", pa.int64()), ("stratum", pa.string()), *((c, pa.int64()) for c in COUNTS), ("base_failed", pa.bool_()),
+    schema = pa.schema([("doc_id", pa.int64()), ("stratum", pa.string()), ("digest", pa.string()), *((c, pa.int64()) for c in COUNTS), ("base_failed", pa.bool_()),
                         ("rules", pa.list_(pa.float64()))])
     for batch in batches:
         for first, last, data, offsets in slices(batch, "text"):
@@ -115,15 +117,15 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             values = rule_values(counts)
             rules = pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, len(RULES), dtype=np.int32)), pa.array(values.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, last - first), batch.column("stratum").slice(first, last - first),
-                                              *(pa.array(c) for c in counts.T), pa.array(base_failed(counts)), rules], schema=schema)
+                                              batch.column("digest").slice(first, last - first), *(pa.array(c) for c in counts.T), pa.array(base_failed(counts)), rules], schema=schema)
 
 
-MEASURED = "doc_id long, stratum string, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, rules array<double>"
+MEASURED = "doc_id long, stratum string, digest string, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, rules array<double>"
 
 
 def _source(docs: DataFrame, stratum: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"),
-                       F.col("text").cast("string").alias("text"))
+                       F.md5(F.col("text").cast("string")).alias("digest"), F.col("text").cast("string").alias("text"))
 
 
 def measure(docs: DataFrame, stratum: str = "lang") -> DataFrame:
@@ -155,34 +157,59 @@ def choose_cutoff(good: np.ndarray, bad: np.ndarray, risk: float, level: float,
     return chosen
 
 
-def fit_thresholds(measured: DataFrame, labels: DataFrame, risk: float = 0.05, confidence_error: float = 0.05, cost: float = 30.0) -> dict[str, list[float | None]]:
-    """Cutoffs by stratum, one for each rule (None: the rule is off there).
+def least_labels(risk: float, level: float) -> int:
+    """Good texts without which no cutoff can be certified."""
+    return math.ceil(math.log(level) / math.log1p(-risk))
+
+
+def choose_cutoffs(good: np.ndarray, bad: np.ndarray, strata: int, risk: float, confidence_error: float, cost: float) -> list[float]:
+    """Cutoff of each rule of one stratum (infinite: off) from counts by rule and grid cell; the last rule is the largest feature of all."""
+    rules, share = len(RULES), confidence_error / (strata + 1)
+    if good[0].sum() >= least_labels(risk / rules, share / rules):
+        found = [choose_cutoff(good[r], bad[r], risk / rules, share / rules, cost) for r in range(rules)]
+    else:
+        found = [choose_cutoff(good[rules], bad[rules], risk, share, cost)] * rules
+    return [math.inf if c is None else c for c in found]
+
+
+def fit_thresholds(measured: DataFrame, labels: DataFrame, risk: float = 0.05, confidence_error: float = 0.05, cost: float = 30.0) -> DataFrame:
+    """(stratum, cutoffs, n): one cutoff for each rule (infinite: the rule is off there), and the rows of the stratum.
 
     ``labels`` has doc_id and quality (1 good, 0 poor; null counts as no label). Labels are counted by stratum, rule and grid cell
-    in Spark, over texts that the base rules pass; only these counts, of fixed size for each stratum, are brought to the driver.
+    over distinct texts that the base rules pass; the cutoffs of a stratum are chosen from these counts, of fixed size, by a task.
     """
-    labelled = measured.filter("not base_failed").select("doc_id", "stratum", "rules").join(
-        labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("quality is not null").distinct(), "doc_id")
-    counts = labelled.select("stratum", "quality", F.posexplode("rules").alias("rule", "value")).withColumn(
-        "cell", F.size(F.filter(F.array(*map(F.lit, GRID)), lambda g: g < F.col("value")))).groupBy("stratum", "rule", "cell").agg(
-        F.sum((F.col("quality") == 1).cast("long")).alias("good"), F.sum((F.col("quality") == 0).cast("long")).alias("bad"))
-    strata = [r[0] for r in measured.select("stratum").distinct().limit(MAX_STRATA + 1).collect()]
-    if len(strata) > MAX_STRATA:
-        raise ValueError(f"more than {MAX_STRATA} strata")
-    tables = {s: np.zeros((2, len(RULES), len(GRID) + 1), np.int64) for s in strata}
-    for s, rule, at, good, bad in counts.collect():
-        tables[s][:, rule, at] = good, bad
-    level = confidence_error / max(1, len(strata) * len(RULES))
-    return {s: [choose_cutoff(t[0, r], t[1, r], risk / len(RULES), level, cost) for r in range(len(RULES))] for s, t in tables.items()}
-
-
-def verdict(measured: DataFrame, thresholds: dict[str, list[float | None]]) -> DataFrame:
+    strata = written(measured.groupBy("stratum").agg(F.count("*").alias("n")), "strata")
+    number = strata.count()
+    given = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("quality is not null").distinct()
+    labelled = measured.filter("not base_failed").select("doc_id", "stratum", "digest", "rules").join(given, "doc_id").groupBy(
+        "stratum", "digest", "quality").agg(F.first("rules").alias("rules"))
+    values = labelled.select("stratum", "quality", F.posexplode(F.concat("rules", F.array(F.array_max("rules")))).alias("rule", "value"))
+    counts = written(values.withColumn("cell", F.size(F.filter(F.array(*map(F.lit, GRID)), lambda g: g < F.col("value")))).groupBy("stratum", "rule", "cell").agg(
+        F.sum((F.col("quality") == 1).cast("long")).alias("good"), F.sum((F.col("quality") == 0).cast("long")).alias("bad")), "label-counts")
+    # Strata that can't certify anything by themselves go together.
+    alone = least_labels(risk, confidence_error / (number + 1))
+    enough = counts.filter(F.col("rule") == len(RULES)).groupBy("stratum").agg(F.sum("good").alias("g")).filter(F.col("g") >= alone).select(
+        "stratum", F.col("stratum").alias("pool"))
+    pools = strata.join(enough, "stratum", "left")
+
+    def chosen(table: pd.DataFrame) -> pd.DataFrame:
+        good, bad = (np.zeros((len(RULES) + 1, len(GRID) + 1), np.int64) for _ in range(2))
+        at = table["rule"].to_numpy(), table["cell"].to_numpy()
+        good[at], bad[at] = table["good"], table["bad"]
+        return pd.DataFrame({"pool": table["pool"].iloc[:1], "cutoffs": [choose_cutoffs(good, bad, number, risk, confidence_error, cost)]})
+
+    by_pool = counts.join(pools.select("stratum", "pool"), "stratum").groupBy("pool", "rule", "cell").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    cutoffs = by_pool.groupBy("pool").applyInPandas(chosen, "pool string, cutoffs array<double>")
+    off = F.array(*[F.lit(math.inf)] * len(RULES))
+    met = pools.join(cutoffs.withColumnRenamed("pool", "_pool"), F.col("pool").eqNullSafe(F.col("_pool")), "left")
+    return written(met.select("stratum", F.coalesce("cutoffs", off).alias("cutoffs"), "n"), "cutoffs")
+
+
+def verdict(measured: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Adds ``kept``: the base rules pass it and no rule of its stratum is above its cutoff."""
-    spark = measured.sparkSession
-    table = spark.createDataFrame(pd.DataFrame({"stratum": list(thresholds), "cutoffs": [[math.inf if c is None else c for c in v] for v in thresholds.values()]}),
-                                  "stratum string, cutoffs array<double>")
     fine = F.forall(F.zip_with("rules", "cutoffs", lambda v, c: v <= c), lambda x: x)
-    return measured.join(F.broadcast(table), "stratum", "left").withColumn("kept", ~F.col("base_failed") & F.coalesce(fine, F.lit(True))).drop("cutoffs")
+    held = lookup(measured, thresholds, ["stratum"], "n")
+    return held.withColumn("kept", ~F.col("base_failed") & fine).drop("cutoffs", "n")
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", **settings) -> DataFrame:
@@ -192,21 +219,23 @@ def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", **s
     no label). Columns other than doc_id, text and the stratum's are not read.
     """
     measured = written(measure(docs, stratum), "quality")
-    return verdict(measured, fit_thresholds(measured, labels, **settings))
+    return verdict(measured, fit_thresholds(measured, labels, **settings)).drop("digest")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang", **settings) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns."""
     thresholds = fit_thresholds(written(measure(docs, stratum), "quality"), labels, **settings)
+    named = docs.withColumn("_stratum", F.coalesce(F.col(stratum).cast("string"), F.lit("")))
+    columns = docs.columns
+    held = lookup(named, thresholds.select(F.col("stratum").alias("_stratum"), F.col("cutoffs").alias("_cutoffs"), F.col("n").alias("_rows")), ["_stratum"], "_rows")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
-            strata = [s if s is not None else "" for s in batch.column(stratum).cast(pa.string()).to_pylist()]
+            cutoffs = batch.column("_cutoffs").flatten().to_numpy().reshape(-1, len(RULES))
             for first, last, data, offsets in slices(batch, "text"):
                 counts = text_counts(data, offsets)
-                cutoffs = np.array([[math.inf if c is None else c for c in thresholds[s]] for s in strata[first:last]])
-                keep[first:last] = ~base_failed(counts) & (rule_values(counts) <= cutoffs).all(1)
-            yield batch.filter(pa.array(keep))
+                keep[first:last] = ~base_failed(counts) & (rule_values(counts) <= cutoffs[first:last]).all(1)
+            yield batch.select(columns).filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return held.select(*columns, "_cutoffs").mapInArrow(run, docs.schema)
