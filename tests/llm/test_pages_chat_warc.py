@@ -4,6 +4,7 @@ import html
 import random
 import re
 
+import pytest
 
 from tidewatch.llm import chatformat, maintext, warc
 
@@ -168,3 +169,32 @@ def test_archive_query(spark, sf):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     got = op5_warc(spark, sf).collect()
     assert {r.page_id: r.payload_digest for r in got} == {i: base64.b32encode(hashlib.sha1((t or "").encode()).digest()).decode() for i, t in pages.items()}
+
+
+STORY = "The harbour master counted the boats twice that morning, and each time one more had come in under the fog than the log allowed for. " * 3
+EXTRA = "Readers wrote that the tide tables had been wrong for a week and that nobody had told the ferry crews about any of it at all."
+
+
+@pytest.mark.parametrize("wrap", ['<div class="legal">', '<div id="related">', '<section class="modal">', '<div class="copyright notice">', '<div class="has-comments">', '<div class="skip">'])
+def test_doubtful_names_do_not_lose_a_story(wrap):
+    page = f"<html><body><nav><a href=/>home</a></nav>{wrap}<p>{STORY}</p></div></section></body></html>"
+    assert maintext.main_text(page, "h", ()) == " ".join(STORY.split())
+
+
+@pytest.mark.parametrize("other", ["user-comments", "comment-thread", "post-comments", "cookie-notice", "newsletter-signup", "breadcrumb-trail"])
+def test_compound_names_go_on_small_hosts(other):
+    page = f"<body><div class=story><p>{STORY}</p></div><div class='{other}'><p>{EXTRA}</p></div></body>"
+    assert maintext.main_text(page, "h", ()) == " ".join(STORY.split())
+
+
+def test_teasers_short_notices_and_hidden_text_go():
+    teasers = "".join(f"<li><a href=/{i}>Another headline of the day number {i}</a></li>" for i in range(9))
+    page = (f"<body><p>{STORY}</p><div class='related-posts'><ul>{teasers}</ul></div><div class=notice>Saved for later.</div><div style='display:none'><p>{EXTRA}</p></div>"
+            f"<p style='color:red; visibility: hidden'>{EXTRA}</p><div style='overflow:hidden'><p>{EXTRA}</p></div></body>")
+    assert maintext.main_text(page, "h", ()) == " ".join(STORY.split()) + "\n\n" + EXTRA
+
+
+def test_a_story_outside_a_short_main_stays():
+    a, b = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(50))
+    assert maintext.main_text(f"<body><main><p>{a}</p></main><div><p>{b}</p></div></body>", "h", ()) == f"{a}\n\n{b}"
+    assert maintext.main_text(f"<body><main><p>{a} {a} {a}</p></main><div><p>{b}</p></div></body>", "h", ()) == f"{a} {a} {a}"

@@ -4,7 +4,7 @@ Every page is parsed once into blocks of text and element subtrees, each with a
 how many different pages of a host a subtree occurs; subtrees that recur on a share of the host's pages are template and are
 deleted, prose inside an article from a larger share on (a quoted or copied paragraph is still the article's). Roles choose among
 what is left: what markup says outright (navigation, forms, scripts, comments of readers and the like) goes, so that hosts with
-few pages are cleaned too, and main or article are taken alone if they hold at least half of the rest.
+few pages are cleaned too, and main or article are taken alone if they hold most of the rest.
 """
 
 from __future__ import annotations
@@ -34,13 +34,18 @@ CLOSES_P = frozenset("address article aside blockquote center details dialog dir
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 # Words in class or id that mark what isn't article, and roles.
-NOT_ARTICLE = frozenset("""nav navbar navigation menu breadcrumb breadcrumbs sidebar side aside ad ads adv advert adverts advertisement advertising banner promo
-    promotion sponsor sponsored cookie cookies consent gdpr notice notices notification alert newsletter subscribe subscription signup login share sharing
-    social related recommended recommendations pagination pager comment comments disqus respond reply replies discussion footer masthead topbar toolbar popup
-    modal overlay widget widgets skip copyright legal outbrain taboola""".split())
-# Parts of a compound name that leave its meaning as it is ("site-nav", "share-box"); all other compounds are names of their own ("has-sidebar").
-BEFORE = frozenset("site page main primary secondary top bottom global".split())
-AFTER = frozenset("area bar block box buttons container content items links list section slot widget wrap wrapper".split())
+NOT_ARTICLE = frozenset("""nav navbar navigation menu breadcrumb breadcrumbs sidebar aside ad ads adv advert adverts advertisement advertising
+    sponsored cookie cookies consent gdpr newsletter subscribe subscription signup login share sharing
+    pagination pager comment comments disqus footer masthead topbar toolbar outbrain taboola""".split())
+# Words that a story's own container may carry too: they count only for an element that is short, or links for a good part.
+PERHAPS = frozenset("""side banner promo promotion sponsor notice notices notification alert social related recommended recommendations discussion respond reply
+    replies popup modal overlay widget widgets skip copyright legal""".split())
+# Parts of a compound name that leave its meaning as it is ("site-nav", "user-comments"); a compound with any other part is a name of its own ("has-sidebar").
+BEFORE = frozenset("site page main primary secondary top bottom global user users reader readers post posts".split())
+AFTER = frozenset("area bar block box buttons container content form items links list post posts section slot thread trail widget wrap wrapper".split())
+#: A doubtful element stays from so many characters on, unless this part of them are links.
+STORY_CHARS, LINK_SHARE = 140, 0.3
+HIDDEN_STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 
 
@@ -59,30 +64,30 @@ class Subtree(NamedTuple):
     article: bool
 
 
-def _names_other(name: str) -> bool:
-    """Whether a class or id names what isn't article: a listed word as a whole, or in a compound with BEFORE and AFTER alone."""
-    if name in NOT_ARTICLE:
-        return True
+def _names_other(name: str) -> int:
+    """How sure a class or id names what isn't article: 2 by a listed word, alone or in a compound of known parts, 1 by a doubtful one, else 0."""
+    if name in NOT_ARTICLE or name in PERHAPS:
+        return 2 if name in NOT_ARTICLE else 1
     parts = [x for x in re.split(r"[-_]+", name) if x]
-    while len(parts) > 1 and parts[0] in BEFORE:
-        del parts[0]
-    while len(parts) > 1 and parts[-1] in AFTER:
-        del parts[-1]
-    return len(parts) == 1 and parts[0] in NOT_ARTICLE
+    if any(x not in NOT_ARTICLE and x not in PERHAPS and x not in BEFORE and x not in AFTER for x in parts):
+        return 0
+    return 2 if any(x in NOT_ARTICLE for x in parts) else int(any(x in PERHAPS and x not in AFTER for x in parts))
 
 
-def _unwanted(tag: str, attributes: str, in_article: bool) -> bool:
+def _unwanted(tag: str, attributes: str, in_article: bool) -> int:
+    """2: the element isn't article; 1: only if it looks like it; 0: nothing says so."""
     if tag in GONE or (tag == "header" and not in_article):
-        return True
+        return 2
     if not attributes or tag in ("html", "body", "main") or (len(tag) == 2 and tag[0] == "h"):
-        return False
+        return 0
+    sure = 0
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
-        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value in ROLES):
-            return True
-        if name in ("class", "id") and any(map(_names_other, value.split())):
-            return True
-    return False
+        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value in ROLES) or (name == "style" and HIDDEN_STYLE.search(value)):
+            return 2
+        if name in ("class", "id"):
+            sure = max([sure, *map(_names_other, value.split())])
+    return sure
 
 
 def parse(page: str) -> tuple[list[Block], list[Subtree]]:
@@ -97,23 +102,31 @@ def parse(page: str) -> tuple[list[Block], list[Subtree]]:
     # Open elements: tag, first block, parts of the digest, numbers of the unwanted elements around, in an article, in main.
     stack: list[tuple] = [("", 0, [], (), False, False)]
     around: list[tuple] = []
-    unwanted, holders = 0, []
+    linked: list[int] = []
+    # Doubtful elements: their number among the unwanted, first block and end.
+    doubtful: dict[int, list[int]] = {}
+    unwanted, holders, in_links = 0, [], 0
 
     def flush() -> None:
+        nonlocal in_links
         if text:
             joined = " ".join("".join(text).split())
             if joined:
                 _, _, parts, gone, article, main = stack[-1]
                 blocks.append(Block(joined, article, main, bool(gone)))
                 around.append(gone)
+                linked.append(min(in_links, len(joined)))
                 parts.append(joined.encode("utf-8", "surrogatepass"))
             text.clear()
+            in_links = 0
 
     def close() -> None:
-        tag, first, parts, _, article, _ = stack[-1]
+        tag, first, parts, gone, article, _ = stack[-1]
         if tag not in INLINE:
             flush()
         stack.pop()
+        if gone and gone[-1] in doubtful and gone != stack[-1][3]:
+            doubtful[gone[-1]][1] = len(blocks)
         if parts:
             digest = hashlib.blake2b(tag.encode() + b"\0" + b"\1".join(parts), digest_size=8).digest()
             stack[-1][2].append(digest)
@@ -135,6 +148,8 @@ def parse(page: str) -> tuple[list[Block], list[Subtree]]:
         piece = page[at:m.start()] if m else page[at:]
         if piece:
             text.append(references.unescape(piece) if "&" in piece else piece)
+            if any(open_[0] == "a" for open_ in stack):
+                in_links += len(text[-1].strip())
         if not m:
             break
         at = m.end()
@@ -173,9 +188,12 @@ def parse(page: str) -> tuple[list[Block], list[Subtree]]:
         if tag not in INLINE:
             flush()
         _, _, _, gone, article, main = stack[-1]
-        if _unwanted(tag, m[3], article):
+        sure = _unwanted(tag, m[3], article)
+        if sure:
             unwanted += 1
             gone = (*gone, unwanted)
+            if sure == 1:
+                doubtful[unwanted] = [len(blocks), len(blocks)]
         if tag in ("article", "main") and not article:
             holders.append(gone)
         stack.append((tag, len(blocks), [], gone, article or tag == "article", main or tag == "main"))
@@ -188,9 +206,16 @@ def parse(page: str) -> tuple[list[Block], list[Subtree]]:
     while len(stack) > 1:
         close()
     flush()
-    least = min(map(len, holders), default=0)
+    spared = set()
+    for number, (first, end) in doubtful.items():
+        chars = sum(len(b.text) for b in blocks[first:end])
+        if chars >= STORY_CHARS and sum(linked[first:end]) < LINK_SHARE * chars:
+            spared.add(number)
+    left = [[x for x in g if x not in spared] for g in holders]
+    least = min(map(len, left), default=0)
     if least:
-        spared = {x for g in holders if len(g) == least for x in g}
+        spared |= {x for g in left if len(g) == least for x in g}
+    if spared:
         blocks = [b._replace(gone=not spared.issuperset(g)) for b, g in zip(blocks, around, strict=True)]
     return blocks, subtrees
 
@@ -213,7 +238,7 @@ def subtree_key(host: str, s: Subtree) -> int:
 
 def main_text(page: str | None, host: str, template) -> str:
     """Blocks outside subtrees whose key is in ``template`` and outside unwanted elements; of these the ones in main, and the ones in
-    an article, if they hold at least half of the characters."""
+    an article, if they hold at least two thirds of the characters, or half of them and no block outside is as long as a story's."""
     blocks, subtrees = parse(page or "")
     gone = [b.gone for b in blocks]
     for s in subtrees:
@@ -222,7 +247,9 @@ def main_text(page: str | None, host: str, template) -> str:
     kept = [b for b, out in zip(blocks, gone, strict=True) if not out]
     for role in ("main", "article"):
         inside = [b for b in kept if getattr(b, role)]
-        if inside and 2 * sum(len(b.text) for b in inside) >= sum(len(b.text) for b in kept):
+        held, whole = sum(len(b.text) for b in inside), sum(len(b.text) for b in kept)
+        story_outside = any(len(b.text) >= STORY_CHARS for b in kept if not getattr(b, role))
+        if inside and (3 * held >= 2 * whole or (2 * held >= whole and not story_outside)):
             kept = inside
     return "\n\n".join(b.text for b in kept)
 
