@@ -425,8 +425,9 @@ def _tiles_met(items: Index, text: Folded, tiles: np.ndarray, row: np.ndarray, i
     """Whether the band still can hold the item: cut into pieces of SHORT_Q characters, each edit spoils one piece at most, and the
     others stand in the text on the band's diagonals. Pieces that few items have are looked for first."""
     out = np.zeros(len(item), bool)
-    for at in range(0, len(item), 1 << 15):
-        live = np.arange(at, min(len(item), at + (1 << 15)))
+    lot = max(1, _LOT // int(3 * (items.budget.max(initial=0) + 1)))
+    for at in range(0, len(item), lot):
+        live = np.arange(at, min(len(item), at + lot))
         left = items.budget[item[live]].copy()
         for piece in range(int(items.pieces[item[live]].max(initial=0))):
             k = item[live]
@@ -435,10 +436,11 @@ def _tiles_met(items: Index, text: Folded, tiles: np.ndarray, row: np.ndarray, i
             begin, end = text.offsets[row[live[has]]], text.offsets[row[live[has]] + 1]
             width = items.budget[k[has]] + 1
             place = begin + band[live[has]] * width - 2 * items.longest + items.tile_at[tile]
-            want, hit = items.tiles[tile], np.zeros(len(has), bool)
-            for d in range(int(3 * width.max(initial=0))):
-                fine = (place + d >= begin) & (place + d + SHORT_Q <= end) & (d < 3 * width)
-                hit |= fine & (tiles[np.where(fine, place + d, 0)] == want)
+            step = np.arange(int(3 * width.max(initial=0)))
+            fine = (step < 3 * width[:, None]) & (step >= (begin - place)[:, None]) & (step <= (end - place)[:, None] - SHORT_Q)
+            r, d = np.nonzero(fine)
+            hit = np.zeros(len(has), bool)
+            hit[r[tiles[place[r] + d] == items.tiles[tile[r]]]] = True
             left[has[~hit]] -= 1
             keep = left >= 0
             live, left = live[keep], left[keep]
