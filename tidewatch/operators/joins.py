@@ -29,7 +29,7 @@ def last_per_key(df: DataFrame, keys: list[str], order: str | Column) -> DataFra
 
 
 def dealt(df: DataFrame, hot: DataFrame, key: str) -> DataFrame:
-    """Rows of the keys in ``hot`` (key, _salts) as (row, _copies, _salt): equal rows are merged, then shared out among the salts.
+    """Rows of the keys in ``hot`` (key, _salts) as (row, _share, _salt): equal rows are merged, then shared out among the salts.
 
     The salt follows from the row's content and the piece's number, so it does not depend on where or in which order a task
     meets its rows, and a task that runs again deals them out alike. Copies of one row are spread too.
@@ -37,14 +37,14 @@ def dealt(df: DataFrame, hot: DataFrame, key: str) -> DataFrame:
     merged = df.join(F.broadcast(hot), key).groupBy(*df.columns, "_salts").agg(F.count(F.lit(1)).alias("_n"))
     pieces = merged.withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.least(F.col("_n"), F.col("_salts")) - 1)))
     share = F.expr("_n div _salts") + (F.col("_piece") < F.col("_n") % F.col("_salts")).cast("int")
-    return pieces.select(*df.columns, share.cast("int").alias("_copies"),
+    return pieces.select(*df.columns, share.cast("int").alias("_share"),
                          F.pmod(F.pmod(F.xxhash64(*df.columns), "_salts") + F.col("_piece"), "_salts").cast("int").alias("_salt"))
 
 
 def salted(df: DataFrame, hot: DataFrame, key: str) -> DataFrame:
     """Column ``_salt``: 0 but for rows of a key in ``hot`` (key, _salts), which are dealt out by their content."""
     cold = df.join(F.broadcast(hot.select(key)), key, "left_anti").withColumn("_salt", F.lit(0))
-    spread = dealt(df, hot, key).withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies")))
+    spread = dealt(df, hot, key).withColumn("_copy", F.explode(F.sequence(F.lit(1), "_share")))
     return cold.unionByName(spread.select(*cold.columns))
 
 
@@ -67,7 +67,7 @@ def spread_join(df: DataFrame, side: DataFrame, key: str, how: str = "inner") ->
     cold = df.where(F.col(key).isNotNull()).join(F.broadcast(hot.select(key)), key, "left_anti").join(side, key, how)
     right = side.join(F.broadcast(hot), key).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
     joined = dealt(df, hot, key).join(right, [key, "_salt"], how)
-    out = cold.unionByName(joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*cold.columns))
+    out = cold.unionByName(joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_share"))).select(*cold.columns))
     return out if how == "inner" else out.unionByName(df.where(F.col(key).isNull()), allowMissingColumns=True)
 
 
