@@ -39,7 +39,7 @@ SHORT = 3
 GRID = (0.25, 1.0, 4.0, 16.0, 64.0, 256.0, 1024.0, 4096.0)
 SIZES = (8, 512)
 #: Bytes of text in a block, tokens scored at once, and bytes of text whose codes are counted in one group.
-BLOCK_BYTES, BATCH_TOKENS, PART_BYTES = 8 << 20, 1 << 15, 16 << 20
+BLOCK_BYTES, BATCH_TOKENS, PART_BYTES = 8 << 20, 1 << 11, 16 << 20
 #: Passes of training over all blocks, tokens of a gradient step, and step size.
 ROUNDS, STEP_TOKENS, RATE = 2, 2048, 0.5
 #: Weight rows that travel together when changes are averaged.
@@ -170,18 +170,27 @@ def feature_rows(train_tokens: int) -> int:
 
 
 def _logits(weights: np.ndarray, bias: np.ndarray, contexts: np.ndarray) -> np.ndarray:
-    z = weights[contexts[:, 0]]
+    """Sums of weights, moved by each row's maximum only where exponentials need it."""
+    z = weights.take(contexts[:, 0], 0)
     for k in range(1, FEATURES):
-        z += weights[contexts[:, k]]
+        z += weights.take(contexts[:, k], 0)
     z += bias
-    z -= z.max(1, keepdims=True)
+    if len(z) and (z.max() > 60 or z.min() < -60):
+        z -= z.max(1, keepdims=True)
     return z
 
 
-def _log_softmax(weights: np.ndarray, bias: np.ndarray, contexts: np.ndarray) -> np.ndarray:
-    z = _logits(weights, bias, contexts)
-    z -= np.log(np.exp(z).sum(1, keepdims=True))
-    return z
+def log_class(weights: np.ndarray, bias: np.ndarray, contexts: np.ndarray, cls: np.ndarray) -> np.ndarray:
+    """log P(class | history) of each token."""
+    out = np.empty(len(cls))
+    one = np.ones(CLASSES, np.float32)
+    for i in range(0, len(cls), BATCH_TOKENS):
+        j = slice(i, i + BATCH_TOKENS)
+        z = _logits(weights, bias, contexts[j])
+        own = z[np.arange(len(z)), cls[j]]
+        np.exp(z, out=z)
+        out[j] = own - np.log(z @ one)
+    return out
 
 
 def train_block(tokens: Tokens, learn: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> None:
@@ -190,8 +199,9 @@ def train_block(tokens: Tokens, learn: np.ndarray, weights: np.ndarray, bias: np
     chosen = np.flatnonzero(learn[tokens.row])
     rows = len(weights) // FEATURES
     contexts = tokens.contexts(rows)
-    values, squares = weights[:, :CLASSES], weights[:, CLASSES]
-    small = np.uint16 if rows <= 1 << 16 else np.uint32
+    values, squares = np.ascontiguousarray(weights[:, :CLASSES]), weights[:, CLASSES].copy()
+    items = values.view(f"V{values.itemsize * CLASSES}").ravel()
+    small, one = np.uint16 if rows <= 1 << 16 else np.uint32, np.ones(CLASSES, np.float32)
     # Steps take tokens from all over the block, so that one of them isn't one language or copy alone.
     strides = max(1, len(chosen) // STEP_TOKENS)
     for k in range(strides):
@@ -199,16 +209,29 @@ def train_block(tokens: Tokens, learn: np.ndarray, weights: np.ndarray, bias: np
         own, target = contexts[at], tokens.cls[at]
         step = _logits(values, bias, own)
         np.exp(step, out=step)
-        step /= -step.sum(1, keepdims=True)
+        step *= (-1 / (step @ one))[:, None]
         step[np.arange(len(at)), target] += 1
         for f in range(FEATURES):
-            order = np.argsort((own[:, f] - f * rows).astype(small), kind="stable")
-            row = own[order, f]
-            first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-            total = np.add.reduceat(step[order], first, axis=0)
-            touched = row[first]
-            squares[touched] += (total * total).sum(1)
-            values[touched] += RATE * total / np.sqrt(squares[touched] + 1e-6)[:, None]
+            key = (own[:, f] - f * rows).astype(small)
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            bounds = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+            first, count = bounds[:-1], bounds[1:] - bounds[:-1]
+            touched = key[first].astype(np.int64) + f * rows
+            # Most rows are met once or twice; only the others are summed by segments.
+            total = step.take(order[first], 0)
+            two, many = np.flatnonzero(count == 2), np.flatnonzero(count > 2)
+            if len(two):
+                total[two] += step.take(order[first[two] + 1], 0)
+            if len(many):
+                total[many] = np.add.reduceat(step.take(order[np.repeat(count > 2, count)], 0), np.cumsum(count[many]) - count[many], axis=0)
+            square = squares[touched]
+            square += np.einsum("ij,ij->i", total, total)
+            squares[touched] = square
+            total *= (RATE / np.sqrt(square + np.float32(1e-6)))[:, None]
+            total += values.take(touched, 0)
+            items[touched] = total.view(items.dtype).ravel()
+    weights[:, :CLASSES], weights[:, CLASSES] = values, squares
 
 
 def _trained(weights, bias):
@@ -297,11 +320,11 @@ def _questions(bits: int):
         for batch in batches:
             for block, packed, lengths, held in zip(batch.column("block").to_pylist(), batch.column("packed"), batch.column("lengths"), batch.column("held"), strict=True):
                 tokens = Tokens(packed.as_py(), np.asarray(lengths.as_py()))
-                code, first, inverse = np.unique(tokens.codes(), return_index=True, return_inverse=True)
+                code, inverse = np.unique(tokens.codes(), return_inverse=True)
                 learn = np.tile(~np.asarray(held.as_py(), bool)[tokens.row], 2)
                 n = np.bincount(inverse[learn], minlength=len(code))
-                of_word = first < len(tokens.hash)
-                kind = np.where(of_word, tokens.cls[np.where(of_word, first, 0)] + 1, 0)
+                kind = np.zeros(len(code), np.uint8)
+                kind[inverse[:len(tokens.hash)]] = tokens.cls + 1
                 parts, cuts = _cuts(code, bits)
                 yield pa.RecordBatch.from_arrays([pa.array(parts), pa.array(np.full(len(parts), block)),
                                                   pa.array([pack(code[a:b], n[a:b], kind[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], schema=schema)
@@ -320,12 +343,13 @@ def _answers(asked: pa.Table) -> pa.Table:
     """The counts over all blocks of the codes of one part, as each block asked, and once the part's tokens and words by class."""
     got = [unpack(x.as_py()) for x in asked.column("packed")]
     sizes = np.cumsum([0] + [len(c) for c, _, _ in got])
-    code, first, inverse = np.unique(np.concatenate([c for c, _, _ in got]), return_index=True, return_inverse=True)
+    code, inverse = np.unique(np.concatenate([c for c, _, _ in got]), return_inverse=True)
     total = np.bincount(inverse, np.concatenate([n for _, n, _ in got]), len(code)).astype(np.int64)
-    kind = np.concatenate([k for _, _, k in got])[first]
+    kind = np.zeros(len(code), np.uint8)
+    kind[inverse] = np.concatenate([k for _, _, k in got])
     count = total[inverse]
     learnt = (kind > 0) & (total > 0)
-    by_class = [np.bincount(kind[learnt] - 1, x, CLASSES).astype(np.int64).tolist() for x in (total[learnt], np.ones(int(learnt.sum())))]
+    by_class = [np.bincount(kind[learnt] - np.uint8(1), x, CLASSES).astype(np.int64).tolist() for x in (total[learnt], np.ones(int(learnt.sum())))]
     rest = [None] * (len(got) - 1)
     return pa.table({"block": asked.column("block"), "part": asked.column("part"),
                      "counts": pa.array([_pack_counts(count[a:b]) for a, b in zip(sizes[:-1], sizes[1:], strict=True)], pa.binary()),
@@ -339,12 +363,7 @@ def score_block(tokens: Tokens, total: np.ndarray, held: np.ndarray, weights: np
     word, gram, context = tokens.counts(total)
     own = (~held[tokens.row]).astype(np.int64)
     contexts, values = tokens.contexts(len(weights) // FEATURES), np.ascontiguousarray(weights[:, :CLASSES])
-    log_class = np.empty(len(word))
-    for i in range(0, len(word), BATCH_TOKENS):
-        j = slice(i, i + BATCH_TOKENS)
-        z = _log_softmax(values, bias, contexts[j])
-        log_class[j] = z[np.arange(len(z)), tokens.cls[j]]
-    static = np.exp(log_class) * (word - own + 1) / (class_totals[tokens.cls] - own)
+    static = np.exp(log_class(values, bias, contexts, tokens.cls)) * (word - own + 1) / (class_totals[tokens.cls] - own)
     c, n = gram - own, context - own
     size = np.searchsorted(SIZES, n, "right")
     cell = tokens.row * (len(SIZES) + 1) + size
