@@ -185,9 +185,13 @@ def test_packed_codes():
     rng = np.random.default_rng(1)
     for m in (0, 1, 5000):
         code = np.unique(rng.integers(0, 1 << 63, m, dtype=np.uint64) * np.uint64(2))
-        n, kind = rng.integers(0, 1 << 32, len(code)), rng.integers(0, 33, len(code))
-        for x, y in zip(maxent.unpack(maxent.pack(code, n, kind)), (code, n, kind), strict=True):
+        n = rng.integers(0, 1 << 32, len(code))
+        for x, y in zip(maxent.unpack(maxent.pack(code, n)), (code, n), strict=True):
             assert (x == y).all()
+        drawn, held = rng.choice(code, 3 * m), rng.integers(0, 2, 3 * m).astype(np.uint64)
+        every, learnt = Counter(drawn.tolist()), Counter(drawn[held == 0].tolist())
+        got = maxent.distinct_counts(drawn, held) if m else (code, n)
+        assert dict(zip(got[0].tolist(), got[1].tolist(), strict=True)) == {x: learnt[x] for x in every} and (np.diff(got[0].astype(object)) > 0).all()
         assert (maxent._unpack_counts(maxent._pack_counts(n)) == n).all()
         for bits in (0, 3):
             parts, cuts = maxent._cuts(code, bits)

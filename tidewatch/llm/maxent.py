@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, mix, powers, prefix_hash, range_hash, slices, words, written
+from .common import LOWER, SLICE_BYTES, mix, powers, prefix_hash, range_hash, slices, words, written
 
 CLASSES = 32
 #: Weight rows of each of the three features, at least and at most.
@@ -97,8 +97,10 @@ class Tokens:
             start, end, row = words(part, at)
             prefix = prefix_hash(part, lower=True)
             hashes.append(range_hash(prefix, start, end))
-            tail = range_hash(prefix, np.maximum(start, end - 3), end)
-            classes.append((tail % np.uint64(CLASSES - 1) + np.uint64(1)).astype(np.uint8))
+            tail = np.zeros(len(start), np.uint32)
+            for k in range(1, 4):
+                tail = tail * np.uint32(256) + np.where(end - k >= start, LOWER[part[np.maximum(end - k, 0)]], 0).astype(np.uint32)
+            classes.append((((tail * np.uint32(0x9E3779B1)) >> np.uint32(12)) % np.uint32(CLASSES - 1) + np.uint32(1)).astype(np.uint8))
             owners.append(row + first)
             sizes.append(end - start <= SHORT)
             first = last
@@ -127,7 +129,7 @@ class Tokens:
         two[second] = _START
         out = np.empty((n, FEATURES), np.int32)
         for k, x in enumerate((one, mix(one * np.uint64(3) + two), mix(two ^ np.uint64(0x77)))):
-            out[:, k] = (x >> np.uint64(20)) % np.uint64(rows) + np.uint64(k * rows)
+            out[:, k] = ((x >> np.uint64(20)) & np.uint64(rows - 1)) + np.uint64(k * rows)
         return out
 
     def ngrams(self) -> np.ndarray:
@@ -149,8 +151,10 @@ class Tokens:
         return mix(before * np.uint64(0x9FB21C651E98DF25) + self.hash)
 
     def codes(self) -> np.ndarray:
-        """What a block asks for: the words, then the n-grams of all tokens."""
-        return np.concatenate([self.hash, self.ngrams()])
+        """What a block asks for: the words, then the n-grams of all tokens. Bit 6 tells words, whose class is in bits 1 to 5; bit 0 is
+        free. So words are told apart by 57 bits of their hash."""
+        words = (self.hash & ~np.uint64(127)) | (self.cls.astype(np.uint64) << np.uint64(1)) | np.uint64(64)
+        return np.concatenate([words, self.ngrams() & ~np.uint64(65)])
 
     def counts(self, total: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Counts of each token, of its n-gram and of that one's context, from those of ``codes``. Whatever isn't a row's end has one
@@ -283,19 +287,18 @@ def fit(blocks: DataFrame, bias: np.ndarray, rows: int, rounds: int = ROUNDS) ->
     return weights
 
 
-def pack(codes: np.ndarray, n: np.ndarray, kind: np.ndarray) -> bytes:
-    """Sorted codes as differences, counts and kinds, by byte planes: the high planes are zeros."""
+def pack(codes: np.ndarray, n: np.ndarray) -> bytes:
+    """Sorted codes as differences, and counts, by byte planes: the high planes are zeros."""
     steps = np.diff(codes, prepend=np.uint64(0))
-    planes = [steps.view(np.uint8).reshape(-1, 8).T.ravel(), n.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.ravel(), kind.astype(np.uint8)]
+    planes = [steps.view(np.uint8).reshape(-1, 8).T.ravel(), n.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.ravel()]
     return zstandard.ZstdCompressor(level=1).compress(np.concatenate(planes).tobytes())
 
 
-def unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
-    m = len(data) // 13
+    m = len(data) // 12
     steps = np.ascontiguousarray(data[:8 * m].reshape(8, m).T).view(np.uint64).ravel()
-    n = np.ascontiguousarray(data[8 * m:12 * m].reshape(4, m).T).view(np.uint32).ravel()
-    return np.cumsum(steps, dtype=np.uint64), n, data[12 * m:]
+    return np.cumsum(steps, dtype=np.uint64), np.ascontiguousarray(data[8 * m:].reshape(4, m).T).view(np.uint32).ravel()
 
 
 def _pack_counts(c: np.ndarray) -> bytes:
@@ -311,23 +314,27 @@ _ASKED = "part long, block long, packed binary"
 _ANSWERED = "block long, part long, counts binary, tokens array<long>, words array<long>"
 
 
+def distinct_counts(codes: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different codes in order, and how often each occurs where ``held`` is false."""
+    keys = np.sort(codes | held)
+    code = keys & ~np.uint64(1)
+    first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])[:len(code)])
+    before = np.concatenate([[0], np.cumsum((keys & np.uint64(1)) == 0)])
+    return code[first], np.diff(before[np.append(first, len(code))])
+
+
 def _questions(bits: int):
-    """Each block's different codes with their counts in its training rows and their kind (0: n-gram, else class of the word + 1), cut
-    by the first ``bits`` bits of the codes."""
+    """Each block's different codes with their counts in its training rows, cut by the first ``bits`` bits of the codes."""
     schema = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("packed", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, packed, lengths, held in zip(batch.column("block").to_pylist(), batch.column("packed"), batch.column("lengths"), batch.column("held"), strict=True):
                 tokens = Tokens(packed.as_py(), np.asarray(lengths.as_py()))
-                code, inverse = np.unique(tokens.codes(), return_inverse=True)
-                learn = np.tile(~np.asarray(held.as_py(), bool)[tokens.row], 2)
-                n = np.bincount(inverse[learn], minlength=len(code))
-                kind = np.zeros(len(code), np.uint8)
-                kind[inverse[:len(tokens.hash)]] = tokens.cls + 1
+                code, n = distinct_counts(tokens.codes(), np.tile(np.asarray(held.as_py(), np.uint64)[tokens.row], 2))
                 parts, cuts = _cuts(code, bits)
                 yield pa.RecordBatch.from_arrays([pa.array(parts), pa.array(np.full(len(parts), block)),
-                                                  pa.array([pack(code[a:b], n[a:b], kind[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], schema=schema)
+                                                  pa.array([pack(code[a:b], n[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], schema=schema)
 
     return run
 
@@ -342,14 +349,13 @@ def _cuts(code: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 def _answers(asked: pa.Table) -> pa.Table:
     """The counts over all blocks of the codes of one part, as each block asked, and once the part's tokens and words by class."""
     got = [unpack(x.as_py()) for x in asked.column("packed")]
-    sizes = np.cumsum([0] + [len(c) for c, _, _ in got])
-    code, inverse = np.unique(np.concatenate([c for c, _, _ in got]), return_inverse=True)
-    total = np.bincount(inverse, np.concatenate([n for _, n, _ in got]), len(code)).astype(np.int64)
-    kind = np.zeros(len(code), np.uint8)
-    kind[inverse] = np.concatenate([k for _, _, k in got])
+    sizes = np.cumsum([0] + [len(c) for c, _ in got])
+    code, inverse = np.unique(np.concatenate([c for c, _ in got]), return_inverse=True)
+    total = np.bincount(inverse, np.concatenate([n for _, n in got]), len(code)).astype(np.int64)
     count = total[inverse]
-    learnt = (kind > 0) & (total > 0)
-    by_class = [np.bincount(kind[learnt] - np.uint8(1), x, CLASSES).astype(np.int64).tolist() for x in (total[learnt], np.ones(int(learnt.sum())))]
+    learnt = ((code & np.uint64(64)) > 0) & (total > 0)
+    cls = (code[learnt] >> np.uint64(1)).astype(np.int64) % CLASSES
+    by_class = [np.bincount(cls, x, CLASSES).astype(np.int64).tolist() for x in (total[learnt], np.ones(len(cls)))]
     rest = [None] * (len(got) - 1)
     return pa.table({"block": asked.column("block"), "part": asked.column("part"),
                      "counts": pa.array([_pack_counts(count[a:b]) for a, b in zip(sizes[:-1], sizes[1:], strict=True)], pa.binary()),
@@ -369,8 +375,8 @@ def score_block(tokens: Tokens, total: np.ndarray, held: np.ndarray, weights: np
     cell = tokens.row * (len(SIZES) + 1) + size
     out = np.empty((rows * (len(SIZES) + 1), len(GRID)))
     for k, m in enumerate(GRID):
-        out[:, k] = np.bincount(cell, np.log10((m * static + c) / (m + n)), len(out))
-    return static, out.reshape(rows, -1)
+        out[:, k] = np.bincount(cell, np.log((m * static + c) / (m + n)), len(out))
+    return static, out.reshape(rows, -1) / np.log(10)
 
 
 _SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()),
@@ -391,7 +397,7 @@ def _scored(weights, bias, class_totals, train_tokens: int, distinct: int):
             word = total[:len(tokens.hash)]
             _, scores = score_block(tokens, total, out, weights.value, bias, class_totals)
             n = np.diff(tokens.first)
-            sums = np.bincount(tokens.row, np.log10(word + 1.0) - base, len(n))
+            sums = np.bincount(tokens.row, np.log(word + 1.0) / np.log(10) - base, len(n))
             listed = pa.ListArray.from_arrays(np.arange(0, scores.size + 1, scores.shape[1], dtype=np.int32), scores.ravel())
             parts.append(pa.Table.from_arrays([pa.array(ids.as_py(), pa.int64()), pa.array(out), pa.array(n), pa.array(np.bincount(tokens.row, word > 0, len(n)).astype(np.int64)),
                                                pa.array(np.full(len(n), train_tokens)), pa.array(sums), listed], schema=_SCORED))
