@@ -351,3 +351,46 @@ def test_text_ids_oversample(spark):
     assert len(made) == 12 and all(isinstance(r["id"], str) and 0 <= r["v"][0] <= 3 for r in made)
     near = nearest(df, df, 1, "id", "id", "v", exclude_self=True).collect()
     assert len(near) == 20 and not {"id-none", "id-nan"} & {r["query_id"] for r in near}
+
+
+def test_standing_intervals_are_found_by_many_tasks(spark, monkeypatch):
+    """The intervals of all groups are ruled out in as many tasks as a shuffle has, not in one."""
+    from tidewatch.operators import ranktest
+
+    seen = []
+    arrow = ranktest._arrow
+
+    def watched(df, by, fn, fields):
+        if fn is ranktest._standing:
+            seen.append(df.rdd.getNumPartitions())
+        return arrow(df, by, fn, fields)
+
+    monkeypatch.setattr(ranktest, "_arrow", watched)
+    monkeypatch.setattr(ranktest, "_tasks", lambda df: 7)
+    rows = [(g, float(i + 1), 0.0) for g in range(20) for i in range(70)]
+    signed_rank_test(spark.createDataFrame(rows, "g int, x double, y double"), ["g"], "x", "y").collect()
+    assert seen == [7]
+
+
+def test_shares_above_a_limit_equal_the_folded_ones(spark):
+    """Only shares above the limit come out, all of them, also where frequencies come in several lots."""
+    from tidewatch.operators import ranktest
+
+    d = np.round(np.random.default_rng(5).normal(0.1, 1, 1100), 3)
+    df = spark.createDataFrame([(0, float(x), 0.0) for x in d], "g int, x double, y double")
+    shares = folded((2 * pd.Series(np.abs(d[np.abs(d) > 1e-8])).rank()).astype(int))
+    want = np.flatnonzero(shares > 1e-6)
+    for waves in (ranktest.WAVES, 32):
+        ranktest.WAVES, kept = waves, ranktest.WAVES
+        got = ranktest.null_shares(average_ranks(differences(df, "x", "y", ["g"]), ["g"]), ["g"], 1e-6).toPandas().sort_values("doubled")
+        ranktest.WAVES = kept
+        assert got["doubled"].tolist() == want.tolist() and np.abs(got["share"] - shares[want]).max() < 1e-15
+
+
+def test_small_shares_of_middling_groups_are_listed(spark):
+    """Of 100 ranks every reachable sum has its share, down to 2 ** -100."""
+    from tidewatch.operators.ranktest import null_shares
+
+    df = spark.createDataFrame([(0, float(i + 1), 0.0) for i in range(100)], "g int, x double, y double")
+    got = {r["doubled"]: r["share"] for r in null_shares(average_ranks(differences(df, "x", "y", ["g"]), ["g"]), ["g"]).collect()}
+    assert sorted(got) == list(range(0, 10101, 2)) and got[0] == 2.0 ** -100
