@@ -69,3 +69,19 @@ def test_reconciliation_on_tables(spark):
     got = spark.createDataFrame([("a", 60), ("b", 7200), (None, 5)], "id string, s int").select("id", F.timestamp_seconds("s").alias("at"), F.lit("t").alias("actual"))
     rows = {r["key"]: r["lost"] for r in reconcile.reconciled(sent, got, "id", "at", "at").collect()}
     assert rows == {"a": False, "b": True, "c": True, None: True}
+
+
+def test_a_large_log_is_written_and_read_in_ranges(spark, tmp_path, monkeypatch):
+    """More than one file a partition, each a range of its own; each message of any offsets is read once, by small batches."""
+    monkeypatch.setattr(tablelog, "RANGE", 1000)
+    monkeypatch.setattr(tablelog, "BATCH", 300)
+    rows = spark.range(20_000).selectExpr("CAST(id % 2 AS INT) AS partition", "id div 2 AS offset", "CAST(id AS STRING) AS key", "CAST(id AS STRING) AS value")
+    path = str(tmp_path / "log")
+    tablelog.append(rows.where("offset < 5500"), path)
+    tablelog.append(rows.where("offset >= 5500"), path)
+    reader = tablelog.LogReader({"path": path})
+    ranges = reader.partitions({"0": 10, "1": 2500}, {"0": 10_000, "1": 7777})
+    batches = [b for r in ranges for b in reader.read(r)]
+    keys = sorted(int(k) for b in batches for k in b.column("key").to_pylist())
+    assert keys == sorted([2 * o for o in range(10, 10_000)] + [2 * o + 1 for o in range(2500, 7777)])
+    assert len(ranges) >= 6 and max(b.num_rows for b in batches) <= 300

@@ -25,6 +25,10 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 NAME = "table_log"
+#: Rows of a batch, and of a row group of the log.
+BATCH, ROW_GROUP_BYTES = 1 << 13, 8 << 20
+#: Rows of a log of one task when it is written, about.
+RANGE = 1 << 18
 SCHEMA = "key string, value string, topic string, partition int, offset bigint"
 
 
@@ -131,16 +135,25 @@ class LogReader(DataSourceStreamReader):
         out = []
         for p, e in end.items():
             first = start.get(p, 0)
-            held = [s.path for s in files if s.partition == int(p) and s.first < e and s.end > first]
-            if held and first < e:
-                out.append(Range(int(p), first, e, held))
+            # A file is a range of its own; files whose offsets overlap are read together.
+            end_of = first
+            for s in sorted((s for s in files if s.partition == int(p) and s.first < e and s.end > first), key=lambda s: (s.first, s.end)):
+                if out and out[-1].partition == int(p) and s.first < end_of:
+                    out[-1].files.append(s.path)
+                    out[-1].end = end_of = max(end_of, min(e, s.end))
+                else:
+                    end_of = min(e, s.end)
+                    out.append(Range(int(p), max(first, s.first), end_of, [s.path]))
         return out
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         store, _ = _place(self.path)
         offset = ds.field("offset")
+        # Nothing is read ahead: a task holds one batch and the row group it comes from.
         rows = ds.dataset(partition.files, filesystem=store, format="parquet").to_batches(
-            columns=["key", "value", "offset"], filter=(offset >= partition.first) & (offset < partition.end))
+            columns=["key", "value", "offset"], filter=(offset >= partition.first) & (offset < partition.end),
+            batch_size=BATCH, batch_readahead=0, fragment_readahead=0, use_threads=False,
+            fragment_scan_options=ds.ParquetFragmentScanOptions(use_buffered_stream=True, pre_buffer=False))
         for batch in rows:
             n = batch.num_rows
             if n:
@@ -164,7 +177,9 @@ class LogSource(DataSource):
 def append(messages: DataFrame, path: str) -> None:
     """Add ``partition, offset, key, value`` rows to a log; offsets must lie behind those it holds."""
     rows = messages.select("partition", F.col("offset").cast("bigint").alias("offset"), F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
-    rows.repartition("partition").sortWithinPartitions("partition", "offset").write.mode("append").partitionBy("partition").parquet(path)
+    dealt = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "partition", F.expr(f"offset div {RANGE}"))
+    dealt.sortWithinPartitions("partition", "offset").write.mode("append").option("parquet.block.size", ROW_GROUP_BYTES).option(
+        "maxRecordsPerFile", RANGE).partitionBy("partition").parquet(path)
 
 
 def subscribe(spark: SparkSession, path: str, topic: str = "input", starting: str = "latest", max_per_trigger: int | None = None,
