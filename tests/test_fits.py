@@ -148,3 +148,13 @@ def test_basis_of_narrow_and_wide_tables(spark, width, exact):
     assert np.allclose(basis.axes.T @ basis.axes, np.eye(3), atol=1e-9)
     got = basis.error(spark.createDataFrame(pd.DataFrame(x, columns=names))).toPandas()["error"].mean()
     assert abs(got - (width - value.sum()) * 399 / 400 / width) < 1e-6
+
+
+def test_poisson_draws_follow_their_limits():
+    """Draws by whole numbers equal those by fractions."""
+    from tidewatch.operators import fits
+
+    h = np.random.default_rng(3).integers(0, 1 << 63, 200_000).astype(np.uint64)
+    salt = fits._mix(np.array([7], np.uint64) + np.uint64((42 * 1_000_003) & 0xFFFFFFFF))
+    draw = (fits._mix(h ^ salt) >> np.uint64(11)) / float(1 << 53)
+    assert (fits._times(h, 42, 7) == np.searchsorted(fits._POISSON, draw, "right")).all()

@@ -23,7 +23,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Histogram cells of one pass; more trees than fit take several passes a level.
 CELLS = 1 << 23
-_ROWS, _MEMBERS = 4096, 32
+_ROWS = 1 << 15
 
 
 def _columns(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
@@ -160,6 +160,20 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(16)])
+#: The same limits for draws of 53 bits.
+_DRAWS = np.array([math.ceil(p * (1 << 53)) for p in _POISSON.tolist()], np.uint64)
+
+
+def _times(h: np.ndarray, seed: int, tree: int) -> np.ndarray:
+    """How often one tree draws each row: Poisson(1) by a hash of seed, tree and row."""
+    salt = _mix(np.array([tree], np.uint64) + np.uint64((seed * 1_000_003) & 0xFFFFFFFF))
+    draw = _mix(h ^ salt) >> np.uint64(11)
+    out = np.zeros(len(h), np.uint8)
+    for limit in _DRAWS[:4]:
+        out += draw >= limit
+    often = np.flatnonzero(out == 4)
+    out[often] = np.searchsorted(_DRAWS, draw[often], "right")
+    return out
 
 
 @dataclass
@@ -175,19 +189,17 @@ class Trees:
     rows: np.ndarray            # weight of a node
 
     def codes(self, x: np.ndarray) -> np.ndarray:
-        return np.stack([np.searchsorted(e, x[:, j], "left") for j, e in enumerate(self.edges)], 1)
+        """Bins, features x rows."""
+        return np.stack([np.searchsorted(e, x[:, j], "left") for j, e in enumerate(self.edges)])
 
-    def descend(self, codes: np.ndarray, members: np.ndarray, levels: int, stop: bool) -> np.ndarray:
-        """Node of each row in each member after some levels; -1 where it stopped in a leaf above, or with ``stop`` that leaf."""
-        rows, member = np.arange(len(codes))[:, None], members[:, None] if members.ndim == 2 else members[None, :]
-        node = np.zeros((len(codes), member.shape[1]), np.int64)
-        done = np.zeros(node.shape, bool)
+    def descend(self, codes: np.ndarray, member: int, rows: np.ndarray, levels: int) -> np.ndarray:
+        """Node of each of ``rows`` in one member after some levels, or the leaf above where it stopped."""
+        flat, wide, feature, cut = codes.ravel(), codes.shape[1], self.feature[member].astype(np.int64), self.cut[member]
+        inner, start, node = feature >= 0, np.maximum(feature, 0) * wide, np.zeros(len(rows), np.int64)
         for _ in range(levels):
-            f = self.feature[member, node]
-            done |= f < 0
-            right = codes[rows, np.maximum(f, 0)] > self.cut[member, node]
-            node = np.where(done, node, 2 * node + 1 + right)
-        return node if stop else np.where(done, -1, node)
+            down = 2 * node + 1 + (flat.take(start.take(node) + rows) > cut.take(node))
+            node = down if inner.take(node).all() else np.where(inner.take(node), down, node)
+        return node
 
     def score(self, df: DataFrame, which: str, name: str = "score") -> DataFrame:
         """Mean share of class 1 over the trees of the fit that ``which`` numbers."""
@@ -195,14 +207,11 @@ class Trees:
 
         def score(batch: pa.RecordBatch) -> np.ndarray:
             codes, fit = self.codes(_columns(batch, self.features)), _columns(batch, [which])[:, 0].astype(np.int64)
-            out = np.zeros(len(codes))
+            out = np.zeros(len(fit))
             for f in np.unique(fit):
-                mine = np.flatnonzero(fit == f)
-                for at in range(0, len(mine), _ROWS):
-                    rows = mine[at:at + _ROWS]
-                    for t in range(0, self.trees, _MEMBERS):
-                        members = np.arange(f * self.trees + t, f * self.trees + min(t + _MEMBERS, self.trees))
-                        out[rows] += self.share[members[None, :], self.descend(codes[rows], members, depth, True)].sum(1)
+                rows = np.flatnonzero(fit == f)
+                for member in range(f * self.trees, (f + 1) * self.trees):
+                    out[rows] += self.share[member].take(self.descend(codes, member, rows, depth))
             return out / self.trees
 
         return _scored(df, name, [*self.features, which], score)
@@ -247,35 +256,40 @@ def fit_trees(df: DataFrame, features: list[str], label: str, row_id: str, weigh
 def _level(df: DataFrame, grown: Trees, label: str, weights: list[str], members: np.ndarray, level: int, width: int, tried: int, seed: int) -> DataFrame:
     """The best split of every node of one level, from histograms summed by member."""
     first, wide, d, trees = 2 ** level - 1, 2 ** level, len(grown.features), grown.trees
-    cells = wide * d * width * 2
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(members), cells))
+        total = np.zeros((len(members), d, wide * width * 2))
         for batch in batches:
-            codes, y = grown.codes(_columns(batch, grown.features)), _columns(batch, [label])[:, 0].astype(np.int64)
-            w, h = _columns(batch, weights), batch.column("_h").to_numpy().view(np.uint64)
-            for at in range(0, len(codes), _ROWS):
-                rows = slice(at, at + _ROWS)
-                for m in range(0, len(members), _MEMBERS):
-                    mine = members[m:m + _MEMBERS]
-                    weight = w[rows][:, mine // trees]
-                    if trees > 1:
-                        salt = _mix((mine % trees).astype(np.uint64) + np.uint64((seed * 1_000_003) & 0xFFFFFFFF))
-                        draw = (_mix(h[rows][:, None] ^ salt) >> np.uint64(11)) / float(1 << 53)
-                        weight = weight * np.searchsorted(_POISSON, draw, "right")
-                    node = grown.descend(codes[rows], mine, level, False)
-                    r, c = np.nonzero((weight > 0) & (node >= first))
-                    key = (c * wide + node[r, c] - first) * d
-                    for f in range(d):
-                        cell = ((key + f) * width + codes[rows][r, f]) * 2 + y[rows][r]
-                        total[m:m + len(mine)] += np.bincount(cell, weight[r, c], len(mine) * cells).reshape(len(mine), cells)
+            for at in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(at, _ROWS)
+                codes, y = grown.codes(_columns(part, grown.features)), _columns(part, [label])[:, 0].astype(np.int64)
+                w, h = _columns(part, weights), part.column("_h").to_numpy().view(np.uint64)
+                cell = codes * 2 + y
+                for fit in np.unique(members // trees).tolist():
+                    drawn = np.flatnonzero(w[:, fit] > 0)
+                    if not len(drawn):
+                        continue
+                    mine, row_h, row_w = np.flatnonzero(members // trees == fit), h[drawn], w[drawn, fit]
+                    for m in mine.tolist():
+                        rows, weight = drawn, row_w
+                        if trees > 1:
+                            times = _times(row_h, seed, int(members[m]) % trees)
+                            taken = np.flatnonzero(times)
+                            rows, weight = rows.take(taken), weight.take(taken) * times.take(taken)
+                        node = grown.descend(codes, int(members[m]), rows, level) - first
+                        if level and node.min(initial=0) < 0:
+                            still = np.flatnonzero(node >= 0)
+                            rows, weight, node = rows.take(still), weight.take(still), node.take(still)
+                        node *= 2 * width
+                        for f in range(d):
+                            total[m, f] += np.bincount(node + cell[f].take(rows), weight, wide * width * 2)
         yield pa.RecordBatch.from_arrays([pa.array(members), pa.array([t.tobytes() for t in total], pa.binary())], ["member", "cells"])
 
     names = ["node", "feature", "cut", "gain", "rows", "positive", "left", "left_positive"]
 
     def choose(table: pa.Table) -> pa.Table:
         member = table["member"][0].as_py()
-        hist = sum(np.frombuffer(c.as_py()) for c in table["cells"]).reshape(wide, d, width, 2)
+        hist = sum(np.frombuffer(c.as_py()) for c in table["cells"]).reshape(d, wide, width, 2).transpose(1, 0, 2, 3)
         left = hist.cumsum(2)
         whole = left[:, :, -1:, :]
         out = []
