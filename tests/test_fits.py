@@ -158,3 +158,17 @@ def test_poisson_draws_follow_their_limits():
     salt = fits._mix(np.array([7], np.uint64) + np.uint64((42 * 1_000_003) & 0xFFFFFFFF))
     draw = (fits._mix(h ^ salt) >> np.uint64(11)) / float(1 << 53)
     assert (fits._times(h, 42, 7) == np.searchsorted(fits._POISSON, draw, "right")).all()
+
+
+def test_candidates_share_their_passes(table, monkeypatch):
+    """Three ridges on two data sets are fitted together, each with its own ridge and as it is alone."""
+    from tidewatch.operators import evaluate, fits
+
+    tables, calls, whole = {"a": table, "b": table.where("id % 3 > 0")}, [], fits.fit_linear
+    monkeypatch.setattr(fits, "fit_linear", lambda *a, **s: calls.append(len(a[3])) or whole(*a, **s))
+    tried = {"plain": ("logistic_regression", {}), "ridge": ("logistic_regression", {"regParam": 0.1}), "strong": ("logistic_regression", {"regParam": 5.0})}
+    got = {(r["dataset"], r["tuning_profile"]): r for r in evaluate.search_candidates(tables, tried, X, "y", "id").collect()}
+    assert calls == [6] and len(got) == 6
+    for (name, profile), r in got.items():
+        alone = evaluate.repeated_holdout(tables[name], "logistic_regression", X, "y", "id", [42], **tried[profile][1]).first()
+        assert [r[c] for c in ("tp", "tn", "fp", "fn", "validation_f1", "baseline_f1")] == [alone[c] for c in ("tp", "tn", "fp", "fn", "validation_f1", "baseline_f1")]

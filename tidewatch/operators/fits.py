@@ -95,16 +95,17 @@ def _moments(df: DataFrame, features: list[str], weights: list[str]) -> tuple[np
     return n[:, 0], mean, np.where(spread > 1e-12 * (1 + np.abs(mean)), spread, 1.0)
 
 
-def fit_linear(df: DataFrame, features: list[str], label: str, weights: list[str], loss: str = "logistic", ridge: float = 0.0, tol: float = 1e-9,
+def fit_linear(df: DataFrame, features: list[str], label: str, weights: list[str], loss: str = "logistic", ridge: float | list[float] = 0.0, tol: float = 1e-9,
                steps: int = 100) -> Linear:
     """Newton's method on the mean ``logistic`` or ``squared_hinge`` loss, for all weight columns together.
 
-    ``ridge`` is on standardised coefficients, as half the squared length; the intercept goes free. A step that doesn't lower a
+    ``ridge``, one for all or one of each fit, is on standardised coefficients, as half the squared length; the intercept goes free. A step that doesn't lower a
     fit's loss is shortened for that fit alone.
     """
     k, d = len(weights), len(features)
     _, mean, spread = _moments(df, features, weights)
     free = np.append(np.ones(d), 0.0)
+    ridge = np.broadcast_to(np.asarray(ridge, float), (k,))
 
     def derivatives(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         def of(batch: pa.RecordBatch) -> np.ndarray:
@@ -129,7 +130,7 @@ def fit_linear(df: DataFrame, features: list[str], label: str, weights: list[str
         sums = _totals(df, [*features, label, *weights], (k, 2 + (d + 1) + (d + 1) ** 2), of)
         total = np.maximum(sums[:, :1], 1e-300)
         value = sums[:, 1] / total[:, 0] + ridge / 2 * (b * b * free).sum(1)
-        return value, sums[:, 2:d + 3] / total + ridge * b * free, (sums[:, d + 3:] / total).reshape(k, d + 1, d + 1) + ridge * np.diag(free)
+        return value, sums[:, 2:d + 3] / total + ridge[:, None] * b * free, (sums[:, d + 3:] / total).reshape(k, d + 1, d + 1) + ridge[:, None, None] * np.diag(free)
 
     b, size = np.zeros((k, d + 1)), np.ones(k)
     value, first, second = derivatives(b)
