@@ -172,3 +172,19 @@ def test_candidates_share_their_passes(table, monkeypatch):
     for (name, profile), r in got.items():
         alone = evaluate.repeated_holdout(tables[name], "logistic_regression", X, "y", "id", [42], **tried[profile][1]).first()
         assert [r[c] for c in ("tp", "tn", "fp", "fn", "validation_f1", "baseline_f1")] == [alone[c] for c in ("tp", "tn", "fp", "fn", "validation_f1", "baseline_f1")]
+
+
+def test_every_row_is_scored_once(spark, table):
+    """The measures of model and baseline come from one pass over the scored rows."""
+    from tidewatch.operators import evaluate
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def once(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    scored = table.select("id", "y", F.lit(0).alias("_fit"), F.lit(1.0).alias("prediction"))
+    evaluate._measured(scored.mapInArrow(once, scored.schema), "y", F.col("prediction"), "id", [0.5], [1], [42], "holdout").collect()
+    assert seen.value == 900

@@ -54,7 +54,8 @@ def _measured(scored: DataFrame, label: str, prediction, id_col: str, rates: lis
     guess = (uniform(base, id_col) < clip01(_picked([float(r) for r in rates], "_fit"))).cast("double")
     both = scored.select(label, "_fit", F.inline(F.array(F.struct(F.lit("model").alias("who"), prediction.alias("p")),
                                                          F.struct(F.lit("baseline").alias("who"), guess.alias("p")))))
-    rated = with_measures(confusion(both, label, "p", ["_fit", "who"]))
+    # A few rows that are read twice; without it every row would be scored twice.
+    rated = written(with_measures(confusion(both, label, "p", ["_fit", "who"])), "rated")
     theirs = rated.where("who = 'baseline'").select("_fit", F.col("f1").alias("baseline_f1"))
     out = rated.where("who = 'model'").drop("who").join(theirs, "_fit")
     return out.withColumns({"run": _picked(runs, "_fit"), "seed": _picked(seeds, "_fit")})
