@@ -49,6 +49,17 @@ def test_query(name, spark, sf, duck):
     assert canonical(got) == canonical(want)
 
 
+@pytest.mark.parametrize("name", ["ag32_signed_rank_test", "ag32_daily_signed_rank_test", "ag32_signed_rank_test_normal", "ag32_signed_rank_test_with_nan"])
+def test_rank_tests_of_users_without_differences(name, spark, tmp_path):
+    """All readings of user 1 equal those they are paired with, as do those of one type on one day."""
+    con = duckdb.connect()
+    rows = [(1, "view", 7.0, 7), (1, "click", 5.0, 5), (2, "view", 9.5, 3), (2, "view", 4.0, 6), (3, "view", 1.25, 8)]
+    values = ", ".join(f"({i}::BIGINT, TIMESTAMP '2024-01-0{1 + i % 2} 05:00:00', {u}::BIGINT, '{t}', {v}::DOUBLE, '{{\"k\": {k}}}')" for i, (u, t, v, k) in enumerate(rows))
+    con.execute(f"COPY (SELECT * FROM (VALUES {values}) t(event_id, ts, user_id, event_type, value, props)) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    assert canonical(queries()[name](spark, str(tmp_path)).toPandas()) == canonical(con.execute(ORACLES[name]).fetchdf())
+
+
 def test_entry(spark):
     rows = {r["policy_name"]: r for r in entry(spark).collect()}
     assert rows["current_drop_policy"]["review_topic_count"] == 0
