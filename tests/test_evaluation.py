@@ -394,3 +394,15 @@ def test_small_shares_of_middling_groups_are_listed(spark):
     df = spark.createDataFrame([(0, float(i + 1), 0.0) for i in range(100)], "g int, x double, y double")
     got = {r["doubled"]: r["share"] for r in null_shares(average_ranks(differences(df, "x", "y", ["g"]), ["g"]), ["g"]).collect()}
     assert sorted(got) == list(range(0, 10101, 2)) and got[0] == 2.0 ** -100
+
+
+def test_means_do_not_depend_on_the_order_of_rows(spark):
+    """0.1 + 0.2 - 0.3 is no zero in doubles, in any order; a mean of 32 readings may lie half way between two rounded ones."""
+    half = [0.01] * 3 + [-0.07] * 5 + [0.13, -0.29, 3.3, 7.77, -1.1] + [0.2] * 19
+    assert round(sum(half) * 100) % 2 == 1 and len(half) == 32
+    rows = [(g, x) for g in range(40) for x in np.random.default_rng(g).permutation([0.1, 0.2, -0.3] if g < 20 else half).tolist()]
+    df = spark.createDataFrame(rows + [(40, 1e20), (40, 1.0), (41, 9e15), (41, 9e15), (42, 1e-8 * 1.5), (43, float("inf"))], "g int, x double").repartition(5)
+    got = {r["g"]: r for r in signed_rank_test(df.withColumn("y", F.lit(0.0)), ["g"], "x", "y", method="normal").collect()}
+    assert {(got[g]["mean_difference"], got[g]["direction"]) for g in range(20)} == {(0.0, "no_difference")}
+    assert {got[g]["mean_difference"] for g in range(20, 40)} == {round(sum(half) * 100) / 3200}
+    assert [got[g]["mean_difference"] for g in (40, 41, 42, 43)] == [5e19, 9e15, 1.5e-8, float("inf")]
