@@ -396,6 +396,42 @@ def test_small_shares_of_middling_groups_are_listed(spark):
     assert sorted(got) == list(range(0, 10101, 2)) and got[0] == 2.0 ** -100
 
 
+@pytest.mark.parametrize("digits, waves", [(3, None), (3, 32), (0, None)])
+def test_all_sums_of_large_groups_are_listed(spark, monkeypatch, digits, waves):
+    """Of 1,100 ranks every reachable sum has its row, whatever its share; with many ties most sums are reached by no pattern."""
+    from tidewatch.operators import ranktest
+
+    if waves:
+        monkeypatch.setattr(ranktest, "WAVES", waves)
+    monkeypatch.setattr(ranktest, "SPAN", 10_000)
+    d = np.round(np.random.default_rng(7).normal(0.1, 1, 1100), digits)
+    df = spark.createDataFrame([(g, float(x), 0.0) for g in (0, None) for x in d] + [(1, 2.0, 1.0)], "g int, x double, y double")
+    d = np.abs(d[np.abs(d) > 1e-8])
+    if len(d) <= ranktest.LISTED_RANKS:
+        monkeypatch.setattr(ranktest, "LISTED_RANKS", 64)
+    doubled = (2 * pd.Series(d).rank()).astype(int)
+    shares, reached = folded(doubled), np.zeros(doubled.sum() + 1, bool)
+    reached[0] = True
+    for r in doubled:
+        reached[r:] |= reached[:len(reached) - r].copy()
+    got = ranktest.null_shares(average_ranks(differences(df, "x", "y", ["g"]), ["g"]), ["g"]).toPandas().sort_values("doubled")
+    want = np.flatnonzero(reached)
+    assert len(want) < len(reached) and len(got) == 2 * len(want) + 2
+    for part in (got[got["g"] == 0], got[got["g"].isna()]):
+        assert part["doubled"].tolist() == want.tolist() and np.abs(part["share"] - shares[want]).max() < 1e-14 and part["share"].min() >= 0
+
+
+def test_daily_null_distribution_lists_small_shares(spark, tmp_path):
+    """25 readings of one type and day: all 326 sums, down to a share of 2 ** -25."""
+    from __spark_entry__ import queries
+
+    rows = [(i, 7, "view", float(100 + 2 * i), '{"k": 1}') for i in range(25)]
+    df = spark.createDataFrame(rows, "event_id bigint, user_id bigint, event_type string, value double, props string")
+    df.withColumn("ts", F.expr("TIMESTAMP_NTZ'2024-01-03 05:00:00'")).write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["doubled"]: r["share"] for r in queries()["ag31_daily_null_distribution"](spark, str(tmp_path)).collect()}
+    assert sorted(got) == list(range(0, 651, 2)) and got[0] == round(2.0 ** -25, 9)
+
+
 def test_means_do_not_depend_on_the_order_of_rows(spark):
     """0.1 + 0.2 - 0.3 is no zero in doubles, in any order; a mean of 32 readings may lie half way between two rounded ones."""
     half = [0.01] * 3 + [-0.07] * 5 + [0.13, -0.29, 3.3, 7.77, -1.1] + [0.2] * 19
