@@ -85,3 +85,33 @@ def test_a_large_log_is_written_and_read_in_ranges(spark, tmp_path, monkeypatch)
     keys = sorted(int(k) for b in batches for k in b.column("key").to_pylist())
     assert keys == sorted([2 * o for o in range(10, 10_000)] + [2 * o + 1 for o in range(2500, 7777)])
     assert len(ranges) >= 6 and max(b.num_rows for b in batches) <= 300
+
+
+def test_order_and_copies_across_batches(spark, tmp_path, monkeypatch):
+    """Flags of four micro-batches equal those of one pass over the messages: missing ids and times, copies in one batch and far apart; state of
+    ids lies in parts, of which lots are put together."""
+    import random
+
+    monkeypatch.setattr(reconcile, "LOTS", 2)
+    monkeypatch.setattr(reconcile, "BUCKETS", 3)
+    rnd, log, out = random.Random(5), str(tmp_path / "log"), str(tmp_path / "out")
+    store = "spark.sql.streaming.stateStore.providerClass"
+    rows = [(p, o, rnd.choice([None, f"once-{o}", *[f"m{i}" for i in range(9)]]), rnd.choice([None, 10**15 + 10 * o, 10**15 + 10 * o - 25])) for p in range(2) for o in range(60)]
+    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for k in range(4):
+            part = spark.createDataFrame([r for r in rows if r[1] // 15 == k], "partition int, offset bigint, key string, value bigint")
+            tablelog.append(part.withColumn("value", F.col("value").cast("string")), log)
+            flags = reconcile.ordered_flags(tablelog.subscribe(spark, log, starting="earliest"), "key", "value")
+            flags.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/progress").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset(store)
+    want, latest, seen = set(), {}, {}
+    for p, o, i, t in rows:
+        n = seen.get((p, i), 0) if i else 0
+        seen[p, i] = n + 1
+        want.add((p, o, t is not None and t < latest.get(p, 0), n > 0, n == 1))
+        latest[p] = max(latest.get(p, 0), t or 0)
+    got = [tuple(r) for r in spark.read.schema(reconcile.FLAGS).parquet(f"{out}/rows").select("partition", "offset", "late", "copy", "second").collect()]
+    assert len(got) == len(rows) and set(got) == want
+    assert sum(r[3] for r in want) > 40 and sum(r[2] for r in want) > 10

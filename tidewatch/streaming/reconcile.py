@@ -6,8 +6,11 @@ import json
 import sys
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Row, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
 # The processor travels to the workers by value, so the package need not be installed there.
@@ -87,41 +90,87 @@ def reconciled(sent: DataFrame, delivered: DataFrame, key: str, sent_at: str, de
 FLAGS = "partition int, offset bigint, late boolean, copy boolean, second boolean"
 
 
-class _Order(StatefulProcessor):
-    """Per source partition: the latest time seen and how often each id came, ids expiring after a while."""
+#: Ids of a source partition are kept in so many parts; a batch calls on the state of each part it meets, which takes a while.
+BUCKETS = 16
+#: Lots of ids of one part before they are put together.
+LOTS = 16
+#: Stands for a missing time; no time lies below it.
+_NEVER = -(1 << 63)
+
+
+class _Late(StatefulProcessor):
+    """Per source partition: the latest time seen."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.latest = handle.getValueState("latest", "ts bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        whole = pd.concat(list(rows), ignore_index=True)
+        whole = whole.iloc[np.argsort(whole["offset"].to_numpy(), kind="stable")]
+        ts = whole["ts"].to_numpy()
+        before = np.maximum.accumulate(np.concatenate([[self.latest.get()[0] if self.latest.exists() else _NEVER], ts]))
+        if before[-1] != _NEVER:
+            self.latest.update((int(before[-1]),))
+        late = (ts != _NEVER) & (ts < before[:-1])
+        for at in range(0, len(whole), 1 << 16):
+            yield whole.iloc[at:at + (1 << 16)][["partition", "offset", "id"]].assign(late=late[at:at + (1 << 16)])
+
+    def close(self) -> None:
+        pass
+
+
+class _Copies(StatefulProcessor):
+    """Per part of a source partition's ids: how often each came, ids expiring after a while.
+
+    A batch adds one packed lot of the ids that it holds and their counts so far; the last lot that names an id counts.
+    """
 
     def __init__(self, ttl_ms: int | None):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.latest = handle.getValueState("latest", "ts bigint")
-        self.seen = handle.getMapState("seen", "id string", "n int", self.ttl_ms)
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        latest = self.latest.get()[0] if self.latest.exists() else None
-        for r in sorted(rows, key=lambda r: r["offset"]):
-            n = 0
-            if r["id"] is not None:
-                n = self.seen.getValue((r["id"],))[0] if self.seen.containsKey((r["id"],)) else 0
-                self.seen.updateValue((r["id"],), (n + 1,))
-            late = latest is not None and r["ts"] is not None and r["ts"] < latest
-            if r["ts"] is not None:
-                latest = r["ts"] if latest is None else max(latest, r["ts"])
-            yield Row(partition=key[0], offset=r["offset"], late=late, copy=n > 0, second=n == 1)
-        if latest is not None:
-            self.latest.update((latest,))
+        self.seen = handle.getListState("seen", "lot binary", self.ttl_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        whole = pd.concat(list(rows), ignore_index=True)
+        whole = whole.iloc[np.argsort(whole["offset"].to_numpy(), kind="stable")].reset_index(drop=True)
+        lots = [pa.ipc.open_stream(bytes(r[0])).read_pandas() for r in self.seen.get()] if self.seen.exists() else []
+        held = pd.concat(lots).drop_duplicates("id", keep="last") if lots else pd.DataFrame({"id": pd.Series(dtype=object), "n": pd.Series(dtype="int64")})
+        known = whole["id"].notna()
+        ids = whole.loc[known, "id"]
+        place, names = pd.factorize(ids)
+        before = pd.Series(held["n"].to_numpy(), index=pd.Index(held["id"].to_numpy(), dtype=object)).reindex(names).fillna(0).to_numpy(np.int64)
+        n = np.full(len(whole), -1)
+        n[known.to_numpy()] = before[place] + ids.groupby(place).cumcount().to_numpy()
+        if len(names):
+            new = pd.DataFrame({"id": names, "n": before + np.bincount(place, minlength=len(names))})
+            # Expiry is by lot, so lots of ids that expire stay apart.
+            if len(lots) >= LOTS and not self.ttl_ms:
+                self.seen.put([(_packed(pd.concat([held, new]).drop_duplicates("id", keep="last")),)])
+            else:
+                self.seen.appendValue((_packed(new),))
+        yield whole[["partition", "offset", "late"]].assign(copy=n > 0, second=n == 1)
 
     def close(self) -> None:
         pass
 
 
+def _packed(counts: pd.DataFrame) -> bytes:
+    table = pa.table({"id": pa.array(counts["id"], pa.string()), "n": pa.array(counts["n"], pa.int64())})
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema) as writer:
+        writer.write_table(table)
+    return out.getvalue().to_pybytes()
+
+
 def ordered_flags(stream: DataFrame, message_id: str = "message_id", ts: str = "event_ts_ms", ttl_ms: int | None = None) -> DataFrame:
     """Per message: out of order within its source partition, a copy of an id seen there before, and the first such copy.
 
-    State is kept by source partition across micro-batches (the session needs a
-    state store that takes it, as RocksDB's). A batch's messages of one
-    partition are sorted by offset in memory; the source's limit per trigger
-    bounds them. Null ids are no copies; ``ttl_ms`` lets ids expire.
+    State is kept across micro-batches (the session needs a state store that takes it, as RocksDB's): the latest time by source
+    partition, and the ids by parts of it, so that these are spread over all tasks. A batch's messages of one partition are sorted by
+    offset in memory; the source's limit per trigger bounds them. Null ids are no copies; ``ttl_ms`` lets ids expire.
     """
-    rows = stream.select("partition", "offset", F.col(message_id).alias("id"), F.col(ts).cast("bigint").alias("ts"))
-    return rows.groupBy("partition").transformWithState(_Order(ttl_ms), FLAGS, "Append", "ProcessingTime" if ttl_ms else "None")
+    rows = stream.select("partition", "offset", F.col(message_id).alias("id"), F.coalesce(F.col(ts).cast("bigint"), F.lit(_NEVER).cast("bigint")).alias("ts"))
+    timed = rows.groupBy("partition").transformWithStateInPandas(_Late(), "partition int, offset bigint, id string, late boolean", "Append", "None")
+    parted = timed.withColumn("part", F.pmod(F.xxhash64(F.coalesce("id", F.col("offset").cast("string"))), F.lit(BUCKETS)).cast("int"))
+    return parted.groupBy("partition", "part").transformWithStateInPandas(_Copies(ttl_ms), FLAGS, "Append", "ProcessingTime" if ttl_ms else "None")
