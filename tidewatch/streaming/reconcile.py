@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
@@ -98,22 +99,51 @@ LOTS = 16
 _NEVER = -(1 << 63)
 
 
+def _packed(table: pa.Table) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema) as writer:
+        writer.write_table(table)
+    return out.getvalue().to_pybytes()
+
+
+def _unpacked(lots) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(bytes(lot)).read_all() for lot in lots])
+
+
+def _lots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(partition, the messages of one batch): state operators are handed rows one by one, so a row holds many messages."""
+    for batch in batches:
+        of = batch.column("partition").dictionary_encode("encode")
+        for i, p in enumerate(of.dictionary.to_pylist()):
+            mine = pa.Table.from_batches([batch.filter(pc.equal(of.indices, i))])
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([_packed(mine)], pa.binary())], ["partition", "lot"])
+
+
+def _flags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lot in batch.column("lot").to_pylist():
+            yield from _unpacked([lot]).to_batches()
+
+
 class _Late(StatefulProcessor):
-    """Per source partition: the latest time seen."""
+    """Per source partition: the latest time seen. Hands on the messages by parts of their ids."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.latest = handle.getValueState("latest", "ts bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        whole = pd.concat(list(rows), ignore_index=True)
-        whole = whole.iloc[np.argsort(whole["offset"].to_numpy(), kind="stable")]
+        whole = _unpacked(lot for f in rows for lot in f["lot"])
+        whole = whole.take(pa.array(np.argsort(whole["offset"].to_numpy(), kind="stable")))
         ts = whole["ts"].to_numpy()
         before = np.maximum.accumulate(np.concatenate([[self.latest.get()[0] if self.latest.exists() else _NEVER], ts]))
         if before[-1] != _NEVER:
             self.latest.update((int(before[-1]),))
-        late = (ts != _NEVER) & (ts < before[:-1])
-        for at in range(0, len(whole), 1 << 16):
-            yield whole.iloc[at:at + (1 << 16)][["partition", "offset", "id"]].assign(late=late[at:at + (1 << 16)])
+        whole = whole.drop_columns(["ts"]).append_column("late", pa.array((ts != _NEVER) & (ts < before[:-1])))
+        part = whole["part"].to_numpy()
+        order = np.argsort(part, kind="stable")
+        parts, first = np.unique(part[order], return_index=True)
+        for p, at in zip(parts.tolist(), np.split(order, first[1:])):
+            yield pd.DataFrame({"partition": pd.array(whole["partition"][:1].to_pylist(), "Int32"), "part": [p], "lot": [_packed(whole.take(pa.array(at)))]})
 
     def close(self) -> None:
         pass
@@ -132,35 +162,33 @@ class _Copies(StatefulProcessor):
         self.seen = handle.getListState("seen", "lot binary", self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        whole = pd.concat(list(rows), ignore_index=True)
-        whole = whole.iloc[np.argsort(whole["offset"].to_numpy(), kind="stable")].reset_index(drop=True)
-        lots = [pa.ipc.open_stream(bytes(r[0])).read_pandas() for r in self.seen.get()] if self.seen.exists() else []
-        held = pd.concat(lots).drop_duplicates("id", keep="last") if lots else pd.DataFrame({"id": pd.Series(dtype=object), "n": pd.Series(dtype="int64")})
-        known = whole["id"].notna()
-        ids = whole.loc[known, "id"]
-        place, names = pd.factorize(ids)
+        # One lot a batch, in the order of its offsets.
+        whole = _unpacked(lot for f in rows for lot in f["lot"])
+        ids = whole["id"].to_pandas()
+        known = ids.notna().to_numpy()
+        place, names = pd.factorize(ids[known])
+        lots = [r[0] for r in self.seen.get()] if self.seen.exists() else []
+        counts = [_unpacked(lots).to_pandas()] if lots else []
+        held = pd.concat([*counts, pd.DataFrame({"id": pd.Series(dtype=object), "n": pd.Series(dtype="int64")})]).drop_duplicates("id", keep="last")
         before = pd.Series(held["n"].to_numpy(), index=pd.Index(held["id"].to_numpy(), dtype=object)).reindex(names).fillna(0).to_numpy(np.int64)
         n = np.full(len(whole), -1)
-        n[known.to_numpy()] = before[place] + ids.groupby(place).cumcount().to_numpy()
+        n[known] = before[place] + ids[known].groupby(place).cumcount().to_numpy()
         if len(names):
             new = pd.DataFrame({"id": names, "n": before + np.bincount(place, minlength=len(names))})
             # Expiry is by lot, so lots of ids that expire stay apart.
             if len(lots) >= LOTS and not self.ttl_ms:
-                self.seen.put([(_packed(pd.concat([held, new]).drop_duplicates("id", keep="last")),)])
+                self.seen.put([(_packed(_counts(pd.concat([held, new]).drop_duplicates("id", keep="last"))),)])
             else:
-                self.seen.appendValue((_packed(new),))
-        yield whole[["partition", "offset", "late"]].assign(copy=n > 0, second=n == 1)
+                self.seen.appendValue((_packed(_counts(new)),))
+        flags = pa.table({"partition": whole["partition"], "offset": whole["offset"], "late": whole["late"], "copy": n > 0, "second": n == 1})
+        yield pd.DataFrame({"lot": [_packed(flags)]})
 
     def close(self) -> None:
         pass
 
 
-def _packed(counts: pd.DataFrame) -> bytes:
-    table = pa.table({"id": pa.array(counts["id"], pa.string()), "n": pa.array(counts["n"], pa.int64())})
-    out = pa.BufferOutputStream()
-    with pa.ipc.new_stream(out, table.schema) as writer:
-        writer.write_table(table)
-    return out.getvalue().to_pybytes()
+def _counts(counts: pd.DataFrame) -> pa.Table:
+    return pa.table({"id": pa.array(counts["id"], pa.string()), "n": pa.array(counts["n"], pa.int64())})
 
 
 def ordered_flags(stream: DataFrame, message_id: str = "message_id", ts: str = "event_ts_ms", ttl_ms: int | None = None) -> DataFrame:
@@ -170,7 +198,9 @@ def ordered_flags(stream: DataFrame, message_id: str = "message_id", ts: str = "
     partition, and the ids by parts of it, so that these are spread over all tasks. A batch's messages of one partition are sorted by
     offset in memory; the source's limit per trigger bounds them. Null ids are no copies; ``ttl_ms`` lets ids expire.
     """
-    rows = stream.select("partition", "offset", F.col(message_id).alias("id"), F.coalesce(F.col(ts).cast("bigint"), F.lit(_NEVER).cast("bigint")).alias("ts"))
-    timed = rows.groupBy("partition").transformWithStateInPandas(_Late(), "partition int, offset bigint, id string, late boolean", "Append", "None")
-    parted = timed.withColumn("part", F.pmod(F.xxhash64(F.coalesce("id", F.col("offset").cast("string"))), F.lit(BUCKETS)).cast("int"))
-    return parted.groupBy("partition", "part").transformWithStateInPandas(_Copies(ttl_ms), FLAGS, "Append", "ProcessingTime" if ttl_ms else "None")
+    part = F.pmod(F.xxhash64(F.coalesce(F.col(message_id), F.col("offset").cast("string"))), F.lit(BUCKETS)).cast("int")
+    rows = stream.select("partition", "offset", F.col(message_id).alias("id"), F.coalesce(F.col(ts).cast("bigint"), F.lit(_NEVER).cast("bigint")).alias("ts"), part.alias("part"))
+    lots = rows.mapInArrow(_lots, "partition int, lot binary")
+    timed = lots.groupBy("partition").transformWithStateInPandas(_Late(), "partition int, part int, lot binary", "Append", "None")
+    flagged = timed.groupBy("partition", "part").transformWithStateInPandas(_Copies(ttl_ms), "lot binary", "Append", "ProcessingTime" if ttl_ms else "None")
+    return flagged.mapInArrow(_flags, FLAGS)
